@@ -57,6 +57,12 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one places of the runs of equal values; none for an empty array."""
+    head = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return head, np.append(head, len(x))[1:]
+
+
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For the nodes 0..n-1 and the edges a-b, the smallest node of each node's component."""
     label = np.arange(n)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import components, materialize, pack, power_of_two, unpack
+from weft.llm.base import components, materialize, pack, power_of_two, runs, unpack
 from weft.llm.hashing import FOLD, mix, prefix, ranges, words
 
 SHINGLE_WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
@@ -186,8 +186,8 @@ def band_members(reps: DataFrame, n_buckets: int) -> DataFrame:
             order = np.argsort(key)
             key, node = key[order], node[order]
             bucket = (key >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(key), np.int64)
-            head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(key) else np.zeros(0, np.int64)
-            data = [pack(key[i:j], node[i:j]) for i, j in zip(head, np.append(head[1:], len(key)), strict=True)]
+            head, ends = runs(bucket)
+            data = [pack(key[i:j], node[i:j]) for i, j in zip(head, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[head]), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def gather(table: pa.Table) -> pa.Table:
@@ -213,10 +213,9 @@ def candidate_edges(members: DataFrame, reps: DataFrame, n_buckets: int, thresho
         names, node = np.unique(node, return_inverse=True)
         order = np.lexsort((node, key))
         key, node, low = key[order], node[order], low[order]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(starts, len(key)))
+        starts, ends = runs(key)
         label = np.arange(len(names))
-        for a, b in pairs_in(sizes, starts):
+        for a, b in pairs_in(ends - starts, starts):
             apart = label[node[a]] != label[node[b]]
             a, b = prune(low, a[apart], b[apart], least)
             if len(a):

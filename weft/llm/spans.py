@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import pack, power_of_two, unpack
+from weft.llm.base import pack, power_of_two, runs, unpack
 from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
@@ -152,8 +152,7 @@ def _answers(part: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.Table:
     """A row for each part."""
     order = np.argsort(part, kind="stable")
     part = part[order]
-    head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(part))
+    head, ends = runs(part)
     data = [pack(*(a[order[i:j]] for a in arrays)) for i, j in zip(head, ends, strict=True)]
     return pa.table([pa.array(part[head], pa.int64()), pa.array([kind] * len(head), pa.int32()), pa.array(data, pa.binary())], schema=ANSWER)
 
@@ -177,8 +176,7 @@ def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.n
     def tell(table: pa.Table) -> pa.Table:
         part = Part(unit, table)
         bucket = bucket_of(part.key)
-        head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(head[1:], len(bucket))
+        head, ends = runs(bucket)
         data = [pack(part.key[i:j] >> np.uint64(12), part.content[i:j] >> np.uint64(12), part.id[i:j]) for i, j in zip(head, ends, strict=True)]
         number = table.column("part")[0].as_py()
         return pa.table([pa.array(bucket[head], pa.int64()), pa.array([number] * len(head), pa.int64()), pa.array(head, pa.int64()), pa.array(data, pa.binary())], schema=ASKED)
@@ -232,8 +230,7 @@ def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.n
                 windows[i] = r.windows[own]
                 parts[i] = r.sent[r.first[own] : r.first[own] + r.windows[own] + unit.n - 1]
         bucket = bucket_of(part.key[asked])
-        head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        ends = np.append(head[1:], len(bucket))
+        head, ends = runs(bucket)
         data = []
         for i, j in zip(head, ends, strict=True):
             about = pack(asked[i:j].astype(np.uint32), windows[i:j].astype(np.uint16), part.id[asked[i:j]])
