@@ -30,7 +30,9 @@ from weft.llm.base import pack, power_of_two, runs, unpack
 from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
-PART_BYTES, BLOCK_BYTES, BUCKET_REGIONS = 6 << 20, 1 << 20, 1 << 18
+PART_BYTES, BLOCK_BYTES, BUCKET_REGIONS = 4 << 20, 1 << 20, 1 << 17
+#: Units that a matcher gets at once, unless one anchor's regions have more.
+MATCH_UNITS = 1 << 19
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 _PLACE = 26
@@ -233,24 +235,36 @@ def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.n
         head, ends = runs(bucket)
         data = []
         for i, j in zip(head, ends, strict=True):
-            about = pack(asked[i:j].astype(np.uint32), windows[i:j].astype(np.uint16), part.id[asked[i:j]])
+            about = pack(asked[i:j].astype(np.uint32), windows[i:j].astype(np.uint16), part.id[asked[i:j]], part.key[asked[i:j]] >> np.uint64(32))
             units = pack(np.concatenate(parts[i:j]))
             data.append(len(about).to_bytes(4, "little") + about + units)
         number = table.column("part")[0].as_py()
         return pa.table([pa.array(bucket[head], pa.int64()), pa.array([number] * len(head), pa.int64()), pa.array([0] * len(head), pa.int64()), pa.array(data, pa.binary())], schema=ASKED)
 
     def compare(table: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
         for number, data in zip(table.column("part").to_numpy(), table.column("data"), strict=True):
             blob = data.as_py()
             n = int.from_bytes(blob[:4], "little")
-            at, windows, ids = unpack(blob[4 : 4 + n], "<u4", "<u2", "<i8")
+            at, windows, ids, key = unpack(blob[4 : 4 + n], "<u4", "<u2", "<i8", "<u8")
             units = unpack(blob[4 + n :], unit.sent)[0]
-            for c, x in zip(cols, (at, windows.astype(np.int64), ids, np.full(len(at), number), units), strict=True):
+            for c, x in zip(cols, (at, windows.astype(np.int64), ids, key, np.full(len(at), number), units), strict=True):
                 c.append(x)
-        at, windows, ids, part, units = map(np.concatenate, cols)
-        starts = np.concatenate([[0], np.cumsum(windows + unit.n - 1)])
-        masks = match(units, starts, windows, ids)
+        at, windows, ids, key, part, units = map(np.concatenate, cols)
+        masks = np.zeros(len(at), np.uint64)
+        lengths = windows + unit.n - 1
+        begin = np.cumsum(lengths) - lengths
+        order = np.argsort(key, kind="stable")
+        done = np.cumsum(lengths[order])
+        i = 0
+        while i < len(order):  # whole anchors, a bounded number of units at a time
+            j = max(i + 1, int(np.searchsorted(done, done[i] + MATCH_UNITS)))
+            j = int(np.searchsorted(key[order], key[order[j - 1]], "right"))
+            own = order[i:j]
+            starts = np.concatenate([[0], np.cumsum(lengths[own])])
+            place = np.arange(starts[-1]) + np.repeat(begin[own] - starts[:-1], lengths[own])
+            masks[own] = match(units[place], starts, windows[own], ids[own])
+            i = j
         some = masks > 0
         return _answers(part[some], 1, at[some], masks[some])
 
