@@ -66,7 +66,7 @@ def slices(rows: DataFrame, cuts: dict[str, tuple[int, int]], key: str = "s", se
 
 def capped_reuse(pairs: DataFrame, cap: int, left: str = "template", right: str = "filler", order: str = "uid") -> DataFrame:
     """Pairs in which either side has been used fewer than cap times before."""
-    used = lambda c: F.row_number().over(W.Window.partitionBy(c).orderBy(order))
+    used = lambda c: F.row_number().over(W.Window.partitionBy(c).orderBy(order, left, right))
     return pairs.withColumn("__l", used(left)).withColumn("__r", used(right)).where((F.col("__l") <= cap) | (F.col("__r") <= cap)).drop("__l", "__r")
 
 

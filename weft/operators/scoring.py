@@ -68,10 +68,10 @@ def relation_cases(gold: DataFrame, predicted: DataFrame, relations: list[str])
     both = gold.select("ex").distinct().join(predicted.select("ex").distinct(), "ex", "left_semi")
     side = lambda df, n: df.where(F.col("p").isin(relations)).select("ex", "p", "v", F.lit(n).alias("side"))
     rows = side(gold, 0).unionByName(side(predicted, 1)).join(both, "ex", "left_semi")
-    sets = rows.groupBy("ex", "p").agg(F.collect_set(F.when(F.col("side") == 0, F.col("v"))).alias("G"), F.collect_set(F.when(F.col("side") == 1, F.col("v"))).alias("P"), F.count_if(F.col("side") == 0).alias("ng"), F.count_if(F.col("side") == 1).alias("np"))
-    g, p = F.size("G") > 0, F.size("P") > 0
-    hit = F.size(F.array_intersect("P", "G"))
-    by = sets.groupBy("p").agg(F.sum(F.when(g & p, hit).otherwise(0)).alias("tp"), F.sum(F.when(g & p, F.size("P") - hit).when(p, 1).otherwise(0)).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count("*").alias("__seen"), F.sum("ng").alias("nb_gt"), F.sum("np").alias("nb_pred"))
+    sets = rows.groupBy("ex", "p").agg(F.collect_set(F.when(F.col("side") == 0, F.col("v"))).alias("gold_set"), F.collect_set(F.when(F.col("side") == 1, F.col("v"))).alias("pred_set"), F.count_if(F.col("side") == 0).alias("ng"), F.count_if(F.col("side") == 1).alias("np"))
+    g, p = F.size("gold_set") > 0, F.size("pred_set") > 0
+    hit = F.size(F.array_intersect("pred_set", "gold_set"))
+    by = sets.groupBy("p").agg(F.sum(F.when(g & p, hit).otherwise(0)).alias("tp"), F.sum(F.when(g & p, F.size("pred_set") - hit).when(p, 1).otherwise(0)).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count("*").alias("__seen"), F.sum("ng").alias("nb_gt"), F.sum("np").alias("nb_pred"))
     names = gold.sparkSession.createDataFrame([(r,) for r in relations], "p string")
     total = both.agg(F.count("*").alias("__all"))
     joined = F.broadcast(names).join(by, "p", "left").join(F.broadcast(total)).fillna(0)

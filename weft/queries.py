@@ -295,7 +295,7 @@ def slice_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.slices(_orders(spark, sf_dir), {"train": (0, 1000), "test": (1000, 1200)})
 
 
-@query("""SELECT template, filler, uid FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY uid) AS l, row_number() OVER (PARTITION BY filler ORDER BY uid) AS r
+@query("""SELECT template, filler, uid FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY uid, template, filler) AS l, row_number() OVER (PARTITION BY filler ORDER BY uid, template, filler) AS r
     FROM (SELECT l_suppkey AS template, l_partkey AS filler, min(l_orderkey * 10 + l_linenumber)::BIGINT AS uid FROM lineitem GROUP BY ALL)) WHERE l <= 10 OR r <= 10""")
 def reuse_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("template"), F.col("l_partkey").alias("filler")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("uid"))
