@@ -16,6 +16,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to Python or back: long texts make small batches, so a worker's memory is bounded.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df, after setting the session's limit on the bytes of an Arrow batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
     if named := spark.conf.get("spark.checkpoint.dir", None):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import components, materialize, pack, power_of_two, runs, unpack
+from weft.llm.base import bound_batches, components, materialize, pack, power_of_two, runs, unpack
 from weft.llm.hashing import FOLD, mix, prefix, ranges, words
 
 SHINGLE_WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
@@ -282,7 +282,7 @@ def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, class_id, n_links."""
-    rows = materialize(nodes(docs, doc_id, text), "nodes")
+    rows = materialize(nodes(bound_batches(docs), doc_id, text), "nodes")
     known = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     by = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     low = known.join(by.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.base import bound_batches
 from weft.llm.hashing import FOLD
 
 #: Labelled texts for each language at most, and characters of each: together they bound a dictionary.
@@ -61,6 +62,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_texts: i
 def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text: str = "text", min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, the columns in keep, lang_pred, score (lead of the best size over the second, 0 to 1) and rejected."""
     languages = sorted(model)
+    docs = bound_batches(docs)
     schema = docs.select(id_col, *keep).schema
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, lang_pred string, score double, rejected boolean"
 

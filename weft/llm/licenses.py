@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.base import bound_batches
 from weft.llm.hashing import FOLD
 
 THRESHOLD, BLOCK_WORDS = 0.8, 64
@@ -116,6 +117,7 @@ def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment, 1 for a phrase) and templates (the places in ``templates`` that match)."""
+    docs = bound_batches(docs)
     frequency = frequencies(docs, text, {w for _, t in templates for w in tokens(t.encode())})
     index = Index(templates, frequency, threshold)
     searched = [(tokens(p.encode()), label) for p, label in phrases]

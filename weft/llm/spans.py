@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import pack, power_of_two, runs, unpack
+from weft.llm.base import bound_batches, pack, power_of_two, runs, unpack
 from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
@@ -166,7 +166,7 @@ Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], out: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs the four steps. finish(raw, breaks, before, sent, starts): columns after doc_id for some texts; starts are the repeated windows' first units."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    rows = bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_parts = power_of_two(size / PART_BYTES)
     n_buckets = power_of_two(size * unit.density * 2 / (unit.n - unit.k + 2) / BUCKET_REGIONS)

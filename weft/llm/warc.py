@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.base import materialize, shared_dir
+from weft.llm.base import bound_batches, materialize, shared_dir
 
 MIN_REVISIT = 100
 #: Repeated payloads whose list is broadcast; more are joined by shuffle.
@@ -89,7 +89,7 @@ def to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(parts)])], ["name", "content"])
 
-    return pages.select(F.col(key), F.col(url), F.col(payload).cast("binary")).mapInArrow(run, "name string, content binary")
+    return bound_batches(pages).select(F.col(key), F.col(url), F.col(payload).cast("binary")).mapInArrow(run, "name string, content binary")
 
 
 def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
