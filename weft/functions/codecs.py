@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: The regular language of the one-line form: subject, type, then properties with literals or object lists.
 _LOCAL = "[^ ;,.\"]+"
@@ -72,7 +73,7 @@ def to_list(triples: Column) -> Column:
     return F.to_json(F.transform(triples, lambda t: F.array(t["subj"], t["prop"], t["val"])))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def char_bleu(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """BLEU over characters up to 4-grams with brevity penalty, in percent; add-one smoothing above unigrams."""
 
