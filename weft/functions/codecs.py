@@ -45,6 +45,29 @@ def parse(line: Column) -> Column:
     return F.when((subject != "") & (kind != ""), F.concat(head, found)).otherwise(F.array().cast("array<struct<subj:string,prop:string,val:string>>"))
 
 
+def parse_ultra(line: Column) -> Column:
+    """(subj, prop, val) triples of the shortest form, `subject a type;prop "literal";...`: a part without a literal names subject and type."""
+    parts = F.split(line, ";")
+    head = F.split(F.trim(F.get(parts, F.lit(0))), " ")
+    first = F.struct(F.get(head, F.lit(0)).alias("subj"), F.lit("type").alias("prop"), F.get(head, F.lit(2)).alias("val"))
+    rest = F.filter(F.slice(parts, 2, 10_000), lambda x: x.contains('"'))
+    name = lambda x: F.trim(F.replace(F.regexp_replace(x, '"[^"]*"', ""), F.lit("."), F.lit("")))
+    facts = F.transform(rest, lambda x: F.struct(first["subj"].alias("subj"), name(x).alias("prop"), F.regexp_extract(x, '"([^"]*)"', 1).alias("val")))
+    return F.concat(F.array(first), facts)
+
+
+def from_set_text(c: Column) -> Column:
+    """Sorted members of a set written as {'a', 'b'}."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit("'([^']*)'"), F.lit(1))))
+
+
+def type_and_label_first(lines: Column) -> Column:
+    """N-Triples lines of an entity: its first type, its first label, then the others as they stood."""
+    one = lambda part: F.slice(F.filter(lines, lambda x: x.contains(part)), 1, 1)
+    head = F.concat(one("rdf-syntax-ns#"), one("rdf-schema#label"))
+    return F.concat(head, F.filter(lines, lambda x: ~F.array_contains(head, x)))
+
+
 def to_tags(triples: Column) -> Column:
     each = F.transform(triples, lambda t: F.concat(F.lit("<subj>"), t["subj"], F.lit("<rel>"), t["prop"], F.lit("<obj>"), t["val"], F.lit("<et>")))
     return F.array_join(each, "")

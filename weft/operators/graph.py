@@ -25,6 +25,30 @@ def missing(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
     return left.join(right.select(*on), list(on), "left_anti")
 
 
+def lookup(quads: DataFrame, entities: DataFrame, *props: str) -> DataFrame:
+    """Facts of a batch of entities (s) and properties: one join, whatever the number of entities."""
+    return exists(quads.where(F.col("p").isin(list(props))), entities, "s").select("s", "p", "o")
+
+
+def known_classes(names: DataFrame, quads: DataFrame) -> DataFrame:
+    """ASK for each class name (cls): whether any entity has it."""
+    have = quads.where(F.col("p") == "rdf:type").select(F.col("o").alias("cls")).distinct().withColumn("known", F.lit(True))
+    return names.join(have, "cls", "left").select("cls", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def reified(quads: DataFrame) -> DataFrame:
+    """Facts stated through a node that holds the value: s p n, n rdf:value o."""
+    values = quads.where(F.col("p") == "rdf:value").select(F.col("s").alias("n"), "o")
+    return quads.where(F.col("k") == "iri").select("s", "p", F.col("o").alias("n")).join(values, "n").select("s", "p", "o").distinct()
+
+
+def new_or_old(quads: DataFrame, new: DataFrame) -> DataFrame:
+    """Entities with one object property at least, each marked new (it is among the new ones) or old."""
+    linked = quads.where((F.col("k") == "iri") & (F.col("p") != "rdf:type")).select("s").distinct()
+    marked = linked.join(new.select("s", F.lit("new").alias("part")).distinct(), "s", "left")
+    return marked.select("s", F.coalesce("part", F.lit("old")).alias("part"))
+
+
 def star(quads: DataFrame, props: list[str]) -> DataFrame:
     """Entities that have all of the properties, one value each (the least): a conditional aggregation, not a join for each property."""
     wide = quads.where(F.col("p").isin(props)).groupBy("s").agg(*[F.min(F.when(F.col("p") == p, F.col("o"))).alias(p) for p in props])

@@ -64,6 +64,18 @@ def slices(rows: DataFrame, cuts: dict[str, tuple[int, int]], key: str = "s", se
     return ranked.withColumn("split", split).where("split IS NOT NULL").drop("n")
 
 
+def pages(rows: DataFrame, size: int, key: str = "s", seed: int = 42) -> DataFrame:
+    """The page of each row, `size` rows on each, in a random order: all LIMIT/OFFSET pages at once."""
+    return _ranked(rows, [uid(F.col(key), seed), F.col(key)]).withColumn("page", F.floor(F.col("n") / size).cast("int")).drop("n")
+
+
+def augment(sample: DataFrame, synthetic: DataFrame, key: str = "s") -> DataFrame:
+    """The sample's entities and the synthetic ones (template, filler), which are named after the template with a short suffix; no repeats."""
+    suffix = F.substring(F.md5(F.concat_ws("|", "template", "filler").cast("binary")), 1, 8)
+    made = synthetic.select(F.concat_ws("_", "template", suffix).alias(key), F.lit("synthetic").alias("origin"))
+    return sample.select(key, F.lit("sample").alias("origin")).unionByName(made).distinct()
+
+
 def capped_reuse(pairs: DataFrame, cap: int, left: str = "template", right: str = "filler", order: str = "uid") -> DataFrame:
     """Pairs in which either side has been used fewer than cap times before."""
     used = lambda c: F.row_number().over(W.Window.partitionBy(c).orderBy(order, left, right))

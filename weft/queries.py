@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import codecs, text
-from weft.operators import graph, grounding, sampling, scoring, signatures
+from weft.operators import graph, grounding, mapping, reports, sampling, scoring, signatures
 from weft.plans.shape import Shape
-from weft.sources.quads import load, star_quads, star_sql
+from weft.sources.quads import delete_where, load, star_quads, star_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,6 +531,154 @@ def bleu_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("p_brand").agg(F.round(F.avg("bleu"), 4).alias("bleu"))
 
 
+# Lookups, clean-up, partitions
+
+
+@query(f"WITH {_QP} SELECT s, p, o FROM quads WHERE s IN (SELECT 'supplier/' || s_suppkey FROM supplier) AND p IN ('label', 'nation')")
+def value_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = load(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("s"))
+    return graph.lookup(star_quads(spark, sf_dir, PEOPLE), batch, "label", "nation")
+
+
+@query(f"WITH {_QP} SELECT cls, cls IN (SELECT o FROM quads WHERE p = 'rdf:type') AS known FROM (SELECT unnest(['Customer', 'Nation', 'Airport']) AS cls)")
+def ask_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([("Customer",), ("Nation",), ("Airport",)], "cls string")
+    return graph.known_classes(names, star_quads(spark, sf_dir, PEOPLE))
+
+
+@query(f"WITH {_QO} SELECT s, p, o FROM quads WHERE k = 'literal'")
+def reified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = star_quads(spark, sf_dir, ORDERS).where("k = 'literal'").withColumn("n", F.concat_ws("#", "s", "p"))
+    node = F.array(F.struct(F.col("s"), F.col("p"), F.col("n").alias("o"), F.lit("iri").alias("k")), F.struct(F.col("n").alias("s"), F.lit("rdf:value").alias("p"), F.col("o"), F.lit("literal").alias("k")))
+    return graph.reified(q.select(F.inline(node)))
+
+
+@query("SELECT doc_id, p, o FROM (SELECT doc_id, 'lang' AS p, lang AS o FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents) WHERE o IS NOT NULL AND o NOT IN ('', 'NaN')")
+def clean_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(c).alias("p"), F.col(c).alias("o")) for c in ("lang", "source")])
+    facts = load(spark, sf_dir, "documents").select("doc_id", F.inline(pairs))
+    return delete_where(facts, F.col("o").isNull() | F.col("o").isin("", "NaN"))
+
+
+@query(f"WITH {_FLAGS} SELECT p, count(DISTINCT s) AS nb FROM facts GROUP BY p HAVING count(DISTINCT s) >= 100")
+def shape_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.prune_properties(_flags(spark, sf_dir), 100)
+
+
+@query(f"SELECT s, floor(n / 500)::INT AS page FROM {_RANK}")
+def uid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.pages(_orders(spark, sf_dir), 500)
+
+
+@query(f"WITH {_QP} SELECT s, CASE WHEN s IN (SELECT 'customer/' || o_custkey FROM orders) THEN 'new' ELSE 'old' END AS part FROM (SELECT DISTINCT s FROM quads WHERE k = 'iri' AND p <> 'rdf:type')")
+def new_or_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bought = load(spark, sf_dir, "orders").select(F.concat(F.lit("customer/"), "o_custkey").alias("s"))
+    return graph.new_or_old(star_quads(spark, sf_dir, PEOPLE), bought)
+
+
+@query("SELECT 'supplier/' || s_suppkey AS s, 'sample' AS origin FROM supplier UNION SELECT t || '_' || substr(md5(t || '|' || f), 1, 8), 'synthetic' FROM (SELECT 'supplier/' || l_suppkey AS t, 'part/' || l_partkey AS f FROM lineitem)")
+def augment_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = load(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("s"))
+    pairs = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("supplier/"), "l_suppkey").alias("template"), F.concat(F.lit("part/"), "l_partkey").alias("filler"))
+    return sampling.augment(sample, pairs.distinct())
+
+
+# Reports
+
+
+@query("""SELECT round(count(*) FILTER (k % 5 <> 0) / count(*), 6) AS part_parsed, 1.0::DOUBLE AS part_subj_ok, round(count(*) FILTER (k % 5 <> 0 AND k % 7 <> 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_type_ok,
+    round(count(*) FILTER (k % 5 <> 0 AND k % 3 <> 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_valid_rdf FROM (SELECT o_orderkey AS k FROM orders)""")
+def parse_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ttl_light_serialize(spark, sf_dir).withColumn("n", F.substring_index("s", "/", -1).cast("long"))
+    other = F.when(F.col("n") % 7 == 0, F.replace("line", F.lit("a :Order"), F.lit("a :Thing"))).otherwise(F.col("line"))
+    other = F.when(F.col("n") % 3 == 0, F.regexp_replace(other, '; :status "[^"]*"', "")).otherwise(other)
+    other = F.when(F.col("n") % 5 == 0, F.lit("no graph")).otherwise(other)
+    return reports.parse_quality(lines.select(codecs.parse(F.col("line")).alias("gold"), codecs.parse(other).alias("predicted")))
+
+
+@query(f"""WITH a AS ({ORACLE["score_micro_macro"]}), b AS ({ORACLE["fp_fn_rates"]}), t AS (SELECT n_fn, n_fp, greatest(r_micro * n_fn / (100 - r_micro), p_micro * n_fp / (100 - p_micro)) AS tp FROM a, b)
+    SELECT n_fn, n_fp, round(tp, 4) AS tp, round(n_fp / (n_fp + tp), 6) AS new_fp_rate, round(n_fn / (n_fn + tp), 6) AS new_fn_rate FROM t""")
+def derived_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.derived_rates(score_micro_macro(spark, sf_dir).join(F.broadcast(fp_fn_rates(spark, sf_dir))))  # one row each
+
+
+@query("SELECT model, count(*) AS n_folds, round(avg(discount), 6) AS discount, round(avg(tax), 6) AS tax FROM (SELECT l_returnflag AS model, l_linenumber, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY ALL) GROUP BY model")
+def fold_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("model"), "l_linenumber").agg(F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
+    return reports.fold_means(folds, "model", ["discount", "tax"])
+
+
+@query(f"""WITH {_GP}, a AS (SELECT ex, list_distinct(list(p || '=' || v)) AS g, count(DISTINCT p) AS np FROM gold GROUP BY ex), b AS (SELECT ex, list_distinct(list(p || '=' || v)) AS q, count(DISTINCT p) AS nq FROM pred GROUP BY ex),
+    c AS (SELECT ex, len(list_intersect(g, q)) AS h, len(q) AS n1, len(g) AS n2, nq, np FROM a JOIN b USING (ex))
+    SELECT ex, round(100 * h / n1, 2) AS value_p, round(100 * h / n2, 2) AS value_r, round(CASE WHEN h = 0 THEN 0 ELSE 200 * h / (n1 + n2) END, 2) AS value_f1, round(100 * nq / np, 2) AS expressiveness FROM c""")
+def three_graph_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda df, n: df.groupBy("ex").agg(F.collect_set(F.concat_ws("=", "p", text.normal_value(F.col("v")))).alias(n), F.count_distinct("p").alias(f"n_{n}"))
+    both = own(_gold(spark, sf_dir), "g").join(own(_predicted(spark, sf_dir), "q"), "ex")
+    p, r, f = scoring.set_scores(F.col("q"), F.col("g"))
+    return both.select("ex", F.round(p, 2).alias("value_p"), F.round(r, 2).alias("value_r"), F.round(f, 2).alias("value_f1"), F.round(100 * F.col("n_q") / F.col("n_g"), 2).alias("expressiveness"))
+
+
+@query("""WITH e AS (SELECT DISTINCT (c_nationkey + c_custkey) % 30 AS vp, CASE WHEN c_custkey % 3 = 1 THEN c_nationkey END AS vg FROM customer WHERE c_custkey % 3 <> 2),
+    x AS (SELECT e.*, a.n_nationkey IS NOT NULL AS found, CASE WHEN a.n_regionkey = 0 THEN 0.5 ELSE 0 END AS ps, CASE WHEN vg IS NULL OR b.n_nationkey IS NULL THEN NULL WHEN a.n_nationkey = b.n_nationkey THEN 1 WHEN a.n_regionkey = b.n_regionkey THEN 1 / 3 ELSE 0 END AS pg,
+        CASE WHEN b.n_regionkey = 0 THEN 2 / 3 WHEN b.n_regionkey IS NOT NULL THEN 0 END AS gs FROM e LEFT JOIN nation a ON a.n_nationkey = vp LEFT JOIN nation b ON b.n_nationkey = vg)
+    SELECT CASE WHEN vg IS NULL THEN 'new' ELSE 'diff' END AS kind, count(*) AS nb, round(count(*) FILTER (found) / count(*), 6) AS uri_ok, round(avg(ps) FILTER (found), 6) AS pred_shape, round(avg(pg) FILTER (found), 6) AS pred_gold, round(avg(gs) FILTER (found), 6) AS gold_shape FROM x GROUP BY 1""")
+def object_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    kind = F.when(F.col("c_custkey") % 3 == 0, "FP_new").when(F.col("c_custkey") % 3 == 1, "FP_different").otherwise("FN")
+    errors = c.select(kind.alias("type"), F.lit("nation").alias("pred"), F.concat(F.lit(":n"), (F.col("c_nationkey") + F.col("c_custkey")) % 30).alias("val_pred"), F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(":n"), "c_nationkey")).alias("val_gold"))
+    types = load(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("uri"), F.col("n_name").alias("cls"))
+    return reports.object_novelty(errors, types, spark.createDataFrame([("nation", "region0")], "pred string, shape_cls string"), graph.closure(_tree(spark, sf_dir)), "world")
+
+
+@query("SELECT o_orderkey, 'order ' || o_orderkey || ' orderDate ' || strftime(o_orderdate, '%d %B %Y') AS dated, 'order ' || o_orderkey || ' order status ' || o_orderstatus AS plain FROM orders")
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subject = F.concat(F.lit(":order_"), "o_orderkey")
+    day = reports.claim(subject, F.lit("orderDate"), F.to_date("o_orderdate").cast("string"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", day.alias("dated"), reports.claim(subject, F.lit("order_status"), F.concat(F.lit(":"), "o_orderstatus")).alias("plain"))
+
+
+# Foreign records
+
+
+@query("""WITH c AS (SELECT c_custkey AS ex, replace(c_name, ' ', '_') AS subj, replace(n_name, ' ', '_') AS n, replace(r_name, ' ', '_') AS r, strftime(DATE '1970-01-01' + (c_custkey % 9000)::INT, '%Y-%m-%d') AS d FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+    SELECT ex, subj, 'birthDate' AS prop, d AS val FROM c UNION ALL SELECT ex, subj, 'birthYear', substr(d, 1, 4) FROM c UNION ALL SELECT ex, subj, 'birthPlace', n FROM c UNION ALL SELECT ex, subj, 'birthPlace', r FROM c""")
+def relation_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    c = load(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    day = text.long_date(F.date_add(F.lit("1970-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int")))
+    triple = lambda s, r, o: F.struct(s.alias("subj"), F.lit(r).alias("rel"), o.alias("obj"))
+    each = F.array(triple(F.col("c_name"), "place of birth", F.col("n_name")), triple(F.col("n_name"), "country", F.col("r_name")), triple(F.col("c_name"), "date of birth", day), triple(F.col("c_name"), "spouse", F.col("n_name")))
+    return mapping.map_relations(c.select(F.col("c_custkey").alias("ex"), F.inline(each)))
+
+
+@query("""SELECT 's' || s_suppkey AS s, 'founded' AS p, '1994-08-29' AS o FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL
+    SELECT 's' || s_suppkey, 'seat', n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 <> 0""")
+def attribute_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    day = F.when(F.col("s_suppkey") % 2 == 0, F.lit("on 29 August 1994")).otherwise(F.lit("1994-08-29 or 1995-01-02"))
+    place = F.concat(F.when(F.col("s_suppkey") % 3 == 0, F.lit("old ")).otherwise(F.lit("")), "n_name", F.lit(", somewhere"))
+    records = s.select(F.concat(F.lit("s"), "s_suppkey").alias("s"), F.create_map(F.lit("founded_on"), day, F.lit("city"), place).alias("attrs"))
+    return mapping.import_attributes(records, {"founded_on": "founded"}, {"city": "seat"}, star_quads(spark, sf_dir, ("nation",)), "Nation")
+
+
+@query("SELECT 'p' || p_partkey AS subj, 'type' AS prop, 'Part' AS val FROM part UNION ALL SELECT 'p' || p_partkey, 'brand', p_brand FROM part UNION ALL SELECT 'p' || p_partkey, 'size', p_size::VARCHAR FROM part")
+def ultra_light_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("p"), "p_partkey", F.lit(' a Part;brand "'), "p_brand", F.lit('";size "'), "p_size", F.lit('" .'))
+    return load(spark, sf_dir, "part").select(F.inline(codecs.parse_ultra(line)))
+
+
+@query("SELECT n_nationkey, CASE WHEN 'label' < n_name THEN 'label,' || n_name ELSE n_name || ',label' END AS members FROM nation")
+def set_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.concat(F.lit("{'"), "n_name", F.lit("', 'label', '"), "n_name", F.lit("'}"))
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.array_join(codecs.from_set_text(written), ",").alias("members"))
+
+
+@query("SELECT n_nationkey, 'rdf-syntax-ns#type N' || chr(10) || 'rdf-schema#label ' || n_name || chr(10) || 'region ' || n_regionkey || chr(10) || 'rdf-schema#label also' AS lines FROM nation")
+def ntriples_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.array(F.concat(F.lit("region "), "n_regionkey"), F.concat(F.lit("rdf-schema#label "), "n_name"), F.lit("rdf-syntax-ns#type N"), F.lit("rdf-schema#label also"))
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.array_join(codecs.type_and_label_first(lines), "\n").alias("lines"))
+
+
 @query(f"WITH {_CHECKED}, y AS (SELECT s, 'orderYear' AS p FROM quads WHERE p = 'orderDate'), f AS (SELECT s, p FROM checked WHERE found UNION ALL SELECT s, p FROM y) SELECT p, count(DISTINCT s) AS nb, round(count(DISTINCT s) / (SELECT count(DISTINCT s) FROM f), 6) AS freq FROM f GROUP BY p")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape, rules, grounding and property statistics in one plan."""
