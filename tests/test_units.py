@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import codecs, text
-from weft.operators import grounding, sampling, scoring, signatures
+from weft.operators import grounding, mapping, reports, sampling, scoring, signatures
 from weft.plans.shape import Shape, read_rules
 from weft.queries import ORDER_SHAPE
 from weft.sources import quads
@@ -148,3 +148,30 @@ def test_char_bleu(spark):
     df = spark.createDataFrame([("same text", "same text"), ("", "x")], "a string, b string")
     got = [r[0] for r in df.select(codecs.char_bleu("a", "b")).collect()]
     assert got[0] == pytest.approx(100) and got[1] == 0
+
+
+def test_parse_quality_of_nothing(spark):
+    kind = "array<struct<subj:string,prop:string,val:string>>"
+    rows = spark.createDataFrame([], f"gold {kind}, predicted {kind}")
+    assert tuple(reports.parse_quality(rows).first()) == (0, 0, 0, 0)
+    one = spark.createDataFrame([([("s", "type", "T")], None), ([("s", "type", "T")], [("s", "type", "U")])], f"gold {kind}, predicted {kind}")
+    assert tuple(reports.parse_quality(one).first()) == (0.5, 1, 0, 1)
+
+
+def test_derived_rates_without_errors(spark):
+    totals = spark.createDataFrame([(100.0, 100.0, 0, 0), (50.0, 80.0, 10, 5)], "r_micro double, p_micro double, n_fn long, n_fp long")
+    got = [(r.tp, r.new_fp_rate, r.new_fn_rate) for r in reports.derived_rates(totals).collect()]
+    assert got == [(0, 0, 0), (20, 0.2, round(1 / 3, 6))]
+
+
+def test_mapping_keeps_to_its_relations(spark):
+    rows = [(1, "A B", "place of birth", "Lyon"), (1, "Lyon", "country", "France"), (2, "Lyon", "country", "Gaul"), (1, "A B", "date of death", "soon"), (1, "A B", "spouse", "C")]
+    got = mapping.map_relations(spark.createDataFrame(rows, "ex long, subj string, rel string, obj string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "A_B", "birthPlace", "Lyon"), (1, "A_B", "birthPlace", "France")}
+
+
+def test_short_forms(spark):
+    df = spark.createDataFrame([('S a Person;label "A. B";birthYear "1994".', "{'b', 'a', 'b'}", ["x", "rdf-schema#label 1", "rdf-syntax-ns#type T", "rdf-schema#label 2"])], "line string, members string, lines array<string>")
+    got = df.select(codecs.parse_ultra(F.col("line")), codecs.from_set_text(F.col("members")), codecs.type_and_label_first(F.col("lines"))).first()
+    assert [tuple(t) for t in got[0]] == [("S", "type", "Person"), ("S", "label", "A. B"), ("S", "birthYear", "1994")]
+    assert got[1] == ["a", "b"] and got[2] == ["rdf-syntax-ns#type T", "rdf-schema#label 1", "x", "rdf-schema#label 2"]
