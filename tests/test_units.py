@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import codecs, text
-from weft.operators import grounding, mapping, reports, sampling, scoring, signatures
+from weft.operators import grounding, mapping, plugins, reports, sampling, scoring, signatures
 from weft.plans.shape import Shape, read_rules
 from weft.queries import ORDER_SHAPE
 from weft.sources import quads
@@ -175,3 +175,23 @@ def test_short_forms(spark):
     got = df.select(codecs.parse_ultra(F.col("line")), codecs.from_set_text(F.col("members")), codecs.type_and_label_first(F.col("lines"))).first()
     assert [tuple(t) for t in got[0]] == [("S", "type", "Person"), ("S", "label", "A. B"), ("S", "birthYear", "1994")]
     assert got[1] == ["a", "b"] and got[2] == ["rdf-syntax-ns#type T", "rdf-schema#label 1", "x", "rdf-schema#label 2"]
+
+
+def test_scores_and_extractors(spark):
+    facts = spark.createDataFrame([("a", "p", "Red Fox"), ("a", "p", "..."), ("b", "p", "red"), ("c", "p", None)], "s string, p string, o string")
+    texts = spark.createDataFrame([("a", "a red hen, 1 of 2"), ("c", None)], "s string, text string")
+    assert sorted((r.s, r.score) for r in plugins.score(facts, texts).collect()) == [("a", 0.0), ("a", 0.5), ("b", 0.0), ("c", 0.0)]
+    assert {r.score for r in plugins.score(facts, texts, least=0.5).collect()} == {0.0}
+    assert {r.score for r in plugins.score(facts, texts, lambda e, p, v, t: F.lit(1)).collect()} == {1.0}
+    assert sorted(tuple(r) for r in plugins.extract_by_rules(texts, {"n": "(\\d)", "hue": "(red)"}).collect()) == [("a", "hue", "red"), ("a", "n", "1"), ("a", "n", "2")]
+    assert plugins.extract(texts, lambda batches: (b.assign(line=b["text"].str.upper())[["s", "line"]] for b in batches)).where("s = 'a'").first().line == "A RED HEN, 1 OF 2"
+
+
+def test_other_syntaxes(spark):
+    assert values(spark, codecs.encode_locals(F.col("x")), ':A(b) a :C;:n ":D(e)" .', ":É :p :Q,:R.", None) == [':A%28b%29 a :C;:n ":D(e)" .', ":%C3%89 :p :Q,:R.", None]
+    assert codecs.syntax_of("DS_turtleS_0datatype_1inLine_1facto_bart") == {"syntax": "turtleS", "datatype": False, "inLine": True, "facto": True}
+    assert codecs.syntax_of("tags") == {"syntax": "tags", "datatype": False, "inLine": False, "facto": False}
+    got = values(spark, codecs.parse_as(F.col("x"), F.lit("list")), '[["a","b","c"],["d"]]', "no list", None)
+    assert [[tuple(t) for t in x] for x in got] == [[("a", "b", "c")], [], []]
+    facts = spark.createDataFrame([("x", "n", "1", "literal", "xsd:int"), ("x", "n", "2", "literal", None), ("x", "rdf:type", "T", "iri", None)], "s string, p string, o string, k string, dt string")
+    assert codecs.statements(facts, datatypes=True).first().line == ':x a :T . :x :n "1"^^xsd:int . :x :n "2" .'

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from weft.functions.text import encode_uri
+
 #: The regular language of the one-line form: subject, type, then properties with literals or object lists.
 _LOCAL = "[^ ;,.\"]+"
 GRAMMAR = f'^:{_LOCAL} *a *:{_LOCAL} *(; *:{_LOCAL} *("[^"]*"|:{_LOCAL}( *, *:{_LOCAL})*) *)*\\.'
@@ -22,6 +26,17 @@ def serialize(facts: DataFrame, subject: str = "s") -> DataFrame:
     return parts.select(subject, F.concat(F.lit(":"), F.col(subject), F.lit(" "), F.array_join("parts.t", "; "), F.lit(" .")).alias("line"))
 
 
+def statements(facts: DataFrame, subject: str = "s", gap: str = " ", datatypes: bool = False) -> DataFrame:
+    """serialize() with a statement for each fact, `:S a :Type . :S :p "literal" .`, gap between them; with datatypes, literals carry their dt."""
+    kind = F.when(F.col("dt").isNotNull(), F.concat(F.lit("^^"), F.col("dt"))).otherwise("") if datatypes else F.lit("")
+    value = F.when(F.col("k") == "iri", F.concat(F.lit(":"), F.col("o"))).otherwise(F.concat(F.lit('"'), F.col("o"), F.lit('"'), kind))
+    name = F.when(F.col("p") == "rdf:type", "a").otherwise(F.concat(F.lit(":"), F.col("p")))
+    each = F.struct((F.col("p") != "rdf:type").alias("later"), name.alias("p"), value.alias("v"))
+    by = facts.groupBy(subject).agg(F.array_sort(F.collect_set(each)).alias("parts"))
+    one = lambda t: F.concat(F.lit(":"), F.col(subject), F.lit(" "), t["p"], F.lit(" "), t["v"], F.lit(" ."))
+    return by.select(subject, F.array_join(F.transform("parts", one), gap).alias("line"))
+
+
 def accepted(line: Column) -> Column:
     return F.coalesce(line.rlike(GRAMMAR), F.lit(False))
 
@@ -96,6 +111,53 @@ def to_list(triples: Column) -> Column:
     return F.to_json(F.transform(triples, lambda t: F.array(t["subj"], t["prop"], t["val"])))
 
 
+TRIPLES = "array<struct<subj:string,prop:string,val:string>>"
+
+
+def from_list(text: Column) -> Column:
+    """Triples of [[subj, prop, val], ...]; lists of another length are left out, text that is no JSON gives none."""
+    lists = F.filter(F.from_json(text, "array<array<string>>"), lambda t: F.size(t) == 3)
+    return F.coalesce(F.transform(lists, lambda t: F.struct(t[0].alias("subj"), t[1].alias("prop"), t[2].alias("val"))), F.array().cast(TRIPLES))
+
+
+def to_factored(triples: Column) -> Column:
+    """[subj, [[prop, [val, ...]], ...]] for each subject as an array of (subj, pairs of (prop, vals)), in order of first use."""
+    def pairs(s: Column) -> Column:
+        mine = F.filter(triples, lambda t: t["subj"] == s)
+        return F.transform(F.array_distinct(F.transform(mine, lambda t: t["prop"])), lambda p: F.struct(p.alias("prop"), F.transform(F.filter(mine, lambda t: t["prop"] == p), lambda t: t["val"]).alias("vals")))
+
+    return F.transform(F.array_distinct(F.transform(triples, lambda t: t["subj"])), lambda s: F.struct(s.alias("subj"), pairs(s).alias("pairs")))
+
+
+def from_factored(factored: Column) -> Column:
+    one = lambda f, p: F.transform(p["vals"], lambda v: F.struct(f["subj"].alias("subj"), p["prop"].alias("prop"), v.alias("val")))
+    return F.flatten(F.transform(factored, lambda f: F.flatten(F.transform(f["pairs"], lambda p: one(f, p)))))
+
+
+def parse_as(line: Column, syntax: Column) -> Column:
+    """Triples of a line in the syntax named: light, ultra, tags, list or tokens; an unknown name gives none."""
+    readers = {"light": parse, "ultra": parse_ultra, "tags": from_tags, "list": from_list, "tokens": from_triplet_tokens}
+    empty = F.array().cast(TRIPLES)
+    chosen = F.coalesce(*[F.when(syntax == name, read(line).cast(TRIPLES)) for name, read in readers.items()], empty)
+    return F.when(line.isNull(), empty).otherwise(chosen)
+
+
+def encode_locals(line: Column) -> Column:
+    """Percent-encodes each local name, from a colon to white space, `;` or `,`; a closing period and quoted literals stay."""
+    def one(t: Column) -> Column:
+        end = F.regexp_extract(t, "\\.?$", 0)
+        return F.when(t.startswith(":"), F.concat(F.lit(":"), encode_uri(F.regexp_replace(F.substring(t, 2, 1 << 30), "\\.$", "")), end)).otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(line, F.lit('("[^"]*"|:[^\\s;,]+|[^:"]+|.)'), F.lit(1)), one), "")
+
+
+def syntax_of(dataset: str) -> dict[str, str | bool]:
+    """The syntax that a dataset's name tells, DS_<syntax>_<0|1>datatype_<0|1>inLine_<0|1>facto_...; flags that it lacks are off."""
+    found = re.match(r"(?:DS_)?([A-Za-z]+)", dataset)
+    flags = {name: bool(int(on)) for on, name in re.findall(r"_([01])(datatype|inLine|facto)", dataset)}
+    return {"syntax": found[1] if found else "", "datatype": False, "inLine": False, "facto": False} | flags
+
+
 @F.pandas_udf(DoubleType())
 def char_bleu(predicted: pd.Series, gold: pd.Series) -> pd.Series:
     """BLEU over characters up to 4-grams with brevity penalty, in percent; add-one smoothing above unigrams."""

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import codecs, text
-from weft.operators import graph, grounding, mapping, reports, sampling, scoring, signatures
+from weft.operators import graph, grounding, mapping, plugins, reports, sampling, scoring, signatures
+from weft.plans import sparql
 from weft.plans.shape import Shape
 from weft.sources.quads import delete_where, load, star_quads, star_sql
 
@@ -679,6 +680,81 @@ def ntriples_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select("n_nationkey", F.array_join(codecs.type_and_label_first(lines), "\n").alias("lines"))
 
 
+# SPARQL text
+
+_STORE = "PREFIX : <> "
+
+
+@query("SELECT 'order/' || o_orderkey AS s, strftime(o_orderdate, '%Y-%m-%d') AS day, c_name AS who FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= '1995-01-01'")
+def sparql_star_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT ?s ?day ?who WHERE { ?s a :Order ; :orderDate ?day ; :priority ?pr ; :customer ?c . ?c :label ?who . FILTER(?pr IN ('1-URGENT', '2-HIGH') && ?day >= '1995-01-01') }"
+    return sparql.query(_STORE + text, star_quads(spark, sf_dir, ("orders", "customer")))
+
+
+@query("SELECT 'nation/' || c_nationkey AS n, count(*) AS nb FROM customer GROUP BY 1 HAVING count(*) > 2 ORDER BY nb DESC, n LIMIT 10")
+def sparql_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT ?n (COUNT(DISTINCT ?s) AS ?nb) FROM <customer> WHERE { ?s a :Customer . ?s :nation ?n } GROUP BY ?n HAVING (COUNT(DISTINCT ?s) > 2) ORDER BY DESC(?nb) ASC(?n) LIMIT 10"
+    return sparql.query(_STORE + text, star_quads(spark, sf_dir, PEOPLE))
+
+
+@query("SELECT 'order/' || o_orderkey AS s FROM orders WHERE o_orderstatus <> 'F' AND o_orderpriority <> '5-LOW' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY s LIMIT 50 OFFSET 10")
+def sparql_exists_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """SELECT ?s FROM <orders> WHERE { ?s a :Order ; :customer ?c . FILTER EXISTS { GRAPH <customer> { ?c :segment 'BUILDING' } }
+        FILTER NOT EXISTS { ?s :status 'F' } MINUS { ?s :priority '5-LOW' } } ORDER BY ASC(?s) LIMIT 50 OFFSET 10"""
+    return sparql.query(_STORE + text, star_quads(spark, sf_dir, ("orders", "customer")))
+
+
+@query("SELECT n_name AS name, r_name AS land, CASE WHEN r_name LIKE 'A%' THEN 'region/' || r_regionkey END AS a FROM nation JOIN region ON r_regionkey = n_regionkey")
+def sparql_optional_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT ?name ?land ?a WHERE { ?n :label ?name . ?n :region/:label ?land . OPTIONAL { ?n :region ?a . ?a :label ?x . FILTER regex(?x, '^A') } }"
+    return sparql.query(_STORE + text, star_quads(spark, sf_dir, ("nation", "region")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'nation/' || n_nationkey AS c, 'region/' || n_regionkey AS p FROM nation), u AS (SELECT 'nation/3' AS a UNION SELECT p FROM e JOIN u ON e.c = u.a) SELECT a FROM u""")
+def sparql_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparql.query("SELECT ?a { <nation/3> <region>* ?a }", star_quads(spark, sf_dir, ("nation", "region")))
+
+
+@query("""SELECT 'inferences' AS g, 'order/' || o_orderkey AS s, 'orderYear' AS p, year(o_orderdate)::VARCHAR AS o, 'literal' AS k FROM orders
+    UNION SELECT 'inferences', 'customer/' || c_custkey, 'region', 'region/' || n_regionkey, 'iri' FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def sparql_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = "CONSTRUCT { GRAPH $INFERENCE_NS$ { ?s <orderYear> ?y } } WHERE { ?s a <Order> ; <orderDate> ?d . BIND(year(?d) AS ?y) FILTER NOT EXISTS { ?s <orderYear> ?b } }"
+    region = "CONSTRUCT { GRAPH $INFERENCE_NS$ { ?s <region> ?r } } WHERE { ?s a <Customer> . ?s <nation> ?n . ?n a <Nation> . ?n <region> ?r . FILTER NOT EXISTS { ?s <region> ?r } }"
+    return sparql.apply_rules([year, region], star_quads(spark, sf_dir, ("orders", "customer", "nation")), "inferences")
+
+
+# Scorers and extractors
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
+
+
+@query(f"SELECT 'p' || p_partkey AS s, 'partType' AS p, p_type AS o, round(len(list_intersect({_WORDS.format('p_type')}, {_WORDS.format('t')})) / len({_WORDS.format('p_type')}), 6) AS score FROM (SELECT *, p_name || ' ' || split_part(p_type, ' ', 1 + p_partkey % 2) AS t FROM part)")
+def critic_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = load(spark, sf_dir, "part").withColumn("s", F.concat(F.lit("p"), "p_partkey"))
+    texts = part.select("s", F.concat("p_name", F.lit(" "), F.split_part("p_type", F.lit(" "), (1 + F.col("p_partkey") % 2).cast("int"))).alias("text"))
+    scored = plugins.score(part.select("s", F.lit("partType").alias("p"), F.col("p_type").alias("o")), texts)
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT s, 'status' AS p, regexp_extract(note, 'status (\\w+)', 1) AS o FROM (SELECT 'order/' || o_orderkey AS s, {_NOTE} AS note FROM orders) UNION ALL SELECT s, 'year', regexp_extract(note, ' (\\d{{4}}) ', 1) FROM (SELECT 'order/' || o_orderkey AS s, {_NOTE} AS note FROM orders)")
+def extract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plugins.extract_by_rules(_order_texts(spark, sf_dir), {"status": "status (\\w+)", "year": " (\\d{4}) "})
+
+
+@query("SELECT 'nation/' || n_nationkey AS s, ':nation/' || n_nationkey || ' a :Nation .' || chr(10) || ':nation/' || n_nationkey || ' :label \"' || n_name || '\" .' || chr(10) || ':nation/' || n_nationkey || ' :region :region/' || n_regionkey || ' .' AS line FROM nation")
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.statements(star_quads(spark, sf_dir, ("nation",)), gap="\n")
+
+
+@query("SELECT s, syntax, n::INT AS n, true AS same FROM (SELECT 'order/' || o_orderkey AS s FROM orders), (VALUES ('light', 5), ('tags', 5), ('list', 5), ('other', 0)) v(syntax, n)")
+def parse_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ttl_light_serialize(spark, sf_dir).withColumn("t", codecs.parse(F.col("line")))
+    written = F.create_map(F.lit("light"), F.col("line"), F.lit("tags"), codecs.to_tags(F.col("t")), F.lit("list"), codecs.to_list(F.col("t")), F.lit("other"), F.col("line"))
+    back = t.select("s", "t", F.explode(written).alias("syntax", "text")).withColumn("back", codecs.parse_as(F.col("text"), F.col("syntax")))
+    again = codecs.from_factored(codecs.to_factored(F.col("back")))
+    return back.select("s", "syntax", F.size("back").alias("n"), (F.to_json(again) == F.to_json(F.when(F.size("back") > 0, F.col("t")).otherwise(F.col("back")))).alias("same"))
+
+
 @query(f"WITH {_CHECKED}, y AS (SELECT s, 'orderYear' AS p FROM quads WHERE p = 'orderDate'), f AS (SELECT s, p FROM checked WHERE found UNION ALL SELECT s, p FROM y) SELECT p, count(DISTINCT s) AS nb, round(count(DISTINCT s) / (SELECT count(DISTINCT s) FROM f), 6) AS freq FROM f GROUP BY p")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape, rules, grounding and property statistics in one plan."""
