@@ -208,6 +208,11 @@ def test_mix(spark, sf_dir):
     assert (got.taken <= 2 * got["size"]).all()
     again = queries.op10_multinomial_mix(spark, sf_dir).toPandas()
     same_rows(got, again)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    other = mixing.Mix(docs.repartition(7), 1.5, (5.0, 2.0, 1.0)).taken().select(*got.columns).toPandas()
+    same_rows(got, other)
+    small = mixing.pieces(mixing.place(docs).withColumn("ix", F.lit(0)), 9, 32).groupBy("block").agg(F.sum("words").alias("n")).orderBy(F.desc("block")).toPandas()
+    assert (small.n[1:] == 32).all() and len(small) == small.block[0] + 1 and 0 < small.n[0] <= 32
     assert mixing.Mix(table(spark, []), 1.5, (5.0, 2.0, 1.0)).taken().count() == 0
     odd = spark.createDataFrame([(1, "a b", None), (2, None, "x"), (None, "c d e", "y")], "doc_id long, text string, source string")
     rows = {r.doc_id: (r.size, r.source_size) for r in mixing.Mix(odd, 1.5, (5.0, 2.0, 1.0)).taken().collect()}

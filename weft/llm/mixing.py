@@ -1,6 +1,6 @@
 """Mixing sources to target weights by sampling blocks of tokens.
 
-The words of each source stand one after another (by bucket of the row's number, then that number) and are cut into
+The words of each source stand one after another (by bucket of the hash of id and text, then that hash) and are cut into
 blocks of block_len words; a block may hold the end of one document and the start of the next. The mix is
 a fixed number of output shards of equally many slots. For each shard the counts of its slots by source are
 drawn from the multinomial law, given what each source still has to give (so that the counts of all
@@ -13,7 +13,8 @@ others until none is above. As no block is taken more than cap times, no documen
 
 Nulls: a null text has no words; null sources form one source that sorts last; ids may be null.
 Repeated rows are rows of their own. Sources without words get target 0. An empty table gives no rows.
-All draws depend on the seed and the sizes only: reruns agree.
+All draws depend on the seed, the ids and the texts, not on how the table is split: reruns agree. Rows equal in id,
+source and text share a bucket; which of them is taken from is left open, as they are the same.
 """
 
 from __future__ import annotations
@@ -87,17 +88,17 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def place(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per row: doc_id, source, size, and the row's number rid; written to the shared folder."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    """Per row: doc_id, source, size, the hash h of id and text, and the row's number rid; written to the shared folder."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(id_col, text).alias("h"))
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
 
 
 def pieces(rows: DataFrame, n_buckets: int, block_len: int) -> DataFrame:
-    """The words of each row by block of its source: rid, ix, block, words. rows: rid, ix, doc_id, size."""
-    rows = rows.where(F.col("size") > 0).withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(n_buckets)))
+    """The words of each row by block of its source: rid, ix, block, words. rows: rid, ix, doc_id, size, h."""
+    rows = rows.where(F.col("size") > 0).withColumn("b", F.pmod("h", F.lit(n_buckets)))
     sums = rows.groupBy("ix", "b").agg(F.sum("size").alias("n"))
     base = sums.select("ix", "b", (F.sum("n").over(W.Window.partitionBy("ix").orderBy("b")) - F.col("n")).alias("base"))
-    own = W.Window.partitionBy("ix", "b").orderBy("rid")
+    own = W.Window.partitionBy("ix", "b").orderBy("h", "doc_id", "size", "rid")
     start = F.col("base") + F.sum("size").over(own) - F.col("size")
     at = rows.join(base, ["ix", "b"]).select("rid", "ix", "size", start.alias("start"))
     n = F.lit(block_len)
