@@ -32,7 +32,7 @@ from weft.llm.hashing import mix
 
 BLOCK_LEN, N_SHARDS, SEED, CAP = 32, 64, 7, 2
 #: Rows for each bucket in which the places of a source's documents are added up.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 #: Rounds of the permutation.
 ROUNDS = 4
 
