@@ -55,11 +55,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded: not at all, once or twice."""
-    taken = mixing.Mix(docs, SHARE, WEIGHTS).taken().groupBy(F.col("doc_id").alias("__id")).agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    copies = _small(taken.select("__id", F.floor(F.coalesce(F.try_divide("t", "s"), F.lit(0.0)) + 0.5).cast("int").alias("__copies")), "copies")
-    joined = docs.join(copies, docs["doc_id"] == copies["__id"], "left").withColumn("__copies", F.when(F.col("__id").isNull(), 1).otherwise(F.col("__copies")))
-    return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    """Each document as often as the mix takes its words, rounded up or down so that the words of each source stay at its target."""
+    copies = _small(mixing.Mix(docs, SHARE, WEIGHTS).copies().where("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies")), "copies")
+    joined = docs.withColumn("__key", mixing.row_key()).join(copies, "__key")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

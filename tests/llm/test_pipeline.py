@@ -1,6 +1,8 @@
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from test_operators import jaccard_brute, prose
-from weft.llm import decontaminate
+from weft.llm import decontaminate, mixing
 from weft.llm.base import load
 
 
@@ -31,3 +33,16 @@ def test_odd_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+def test_mix_meets_its_targets(spark, sf_dir):
+    sizes = {"a": 500, "b": 200, "c": 500, "d": 500, "e": 200, None: 100}  # of c, the mix takes 0.375 times its words
+    rows = [(1000 * n + i if i % 50 else None, prose(1000 * n + i, 60 + i * 7 % 400), "en", s) for n, s in enumerate(sizes) for i in range(sizes[s])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(8).cache()
+    want = {r.source: r.target for r in mixing.Mix(docs, corpus_pipeline.SHARE, corpus_pipeline.WEIGHTS).rows.select("source", "target").distinct().collect()}
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    size = {r.source: r.n for r in docs.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert want["c"] < 0.4 * size["c"] and {s: got.get(s, 0) / t for s, t in want.items()} == {s: pytest.approx(1, abs=0.02) for s in want}
+    again = corpus_pipeline.mix_sources(spark, docs.repartition(5), sf_dir)
+    assert mixed.exceptAll(again).count() == again.exceptAll(mixed).count() == 0

@@ -35,6 +35,8 @@ BLOCK_LEN, N_SHARDS, SEED, CAP = 32, 64, 7, 2
 BUCKET_ROWS = 5_000
 #: Rounds of the permutation.
 ROUNDS = 4
+#: One copy of a document, in the units in which copies are added up.
+COPY = 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -93,6 +95,11 @@ def place(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "sizes")
 
 
+def row_key(id_col: str = "doc_id", text: str = "text", source: str = "source") -> Column:
+    """A hash of a document's source, id and text."""
+    return F.xxhash64(source, F.xxhash64(id_col, text))
+
+
 def pieces(rows: DataFrame, n_buckets: int, block_len: int) -> DataFrame:
     """The words of each row by block of its source: rid, ix, block, words. rows: rid, ix, doc_id, size, h."""
     rows = rows.where(F.col("size") > 0).withColumn("b", F.pmod("h", F.lit(n_buckets)))
@@ -145,7 +152,8 @@ class Mix:
         self.counts = draw(slots, n_shards, seed) if by else np.zeros((n_shards, 0), np.int64)
         about = spark.createDataFrame([(r.source, i, r.s, t) for i, (r, t) in enumerate(zip(by, self.targets, strict=True))], "source string, ix int, source_size long, target double")
         self.rows = rows.join(F.broadcast(about), rows.source.eqNullSafe(about.source)).drop(about.source)
-        self.blocks = pieces(self.rows, max(1, sum(r.n for r in by) // BUCKET_ROWS), block_len)
+        self.seed, self.n_buckets = seed, max(1, sum(r.n for r in by) // BUCKET_ROWS)
+        self.blocks = pieces(self.rows, self.n_buckets, block_len)
         self.slots = plan_slots(spark, n_blocks, self.counts, seed)
 
     def taken(self) -> DataFrame:
@@ -153,3 +161,15 @@ class Mix:
         drawn = self.slots.join(self.blocks, ["ix", "block"])
         by = drawn.groupBy("rid").agg(F.sum("words").alias("taken"))
         return self.rows.join(by, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+    def copies(self) -> DataFrame:
+        """The mix in whole documents: key (that of row_key()) and copies, for rows with words. A document of which the mix takes x times its words
+        gets floor(x) or floor(x) + 1 copies, x on average: the fractions are added up in each bucket of a source, in the order of size and
+        from a start drawn by the seed, and a document gets one more copy when the sum passes a whole number in it."""
+        by = self.taken().where("size > 0").groupBy("source", "ix", "h").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+        by = by.select("source", "ix", "h", "s", F.pmod("h", F.lit(self.n_buckets)).alias("b"), F.expr(f"t * {COPY} div s").alias("x"))
+        own = W.Window.partitionBy("ix", "b").orderBy("s", "h").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+        part = F.col("x") % COPY
+        start = F.pmod(F.xxhash64(F.lit(self.seed), "ix", "b"), F.lit(COPY))
+        ends = by.select("source", "h", "x", part.alias("part"), (start + F.sum(part).over(own)).alias("end"))
+        return ends.select(F.xxhash64("source", "h").alias("key"), F.expr(f"int(x div {COPY} + end div {COPY} - (end - part) div {COPY})").alias("copies"))
