@@ -193,6 +193,16 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    bsd = "# Redistribution and use in source and binary forms, with or\n# without modification, are permitted provided\n# that the following conditions are met"
+    texts = [(i, "\n".join([*["filler line"] * i, bsd, *["more words"] * 40])) for i in range(40)]
+    texts += [(40, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"), (41, "Redistribution and use in source\n" + "far words " * 60 + "\nwith or without modification, are permitted provided that the following conditions")]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(table(spark, texts)).collect()}
+    assert got == dict.fromkeys(range(40), ("bsd", 1.0)) | {40: ("mit", 1.0), 41: ("", 0.0)}
+    long = prose(60, 90, 10**6)
+    assert licenses.scan(table(spark, [(1, prose(61, 50) + " " + long)]), templates=(("long", long),)).first().labels == "long"
+
+
 def test_prefix_filter_loses_no_match():
     r, vocabulary = random.Random(5), [w for _, t in licenses.TEMPLATES for w in licenses.tokens(t.encode())]
     index = licenses.Index(licenses.TEMPLATES, {w: r.randrange(9) for w in vocabulary}, 0.8)

@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of templates against all text blocks.
 
 A template is a set of words with a label. A text block is a line; a line longer than BLOCK_WORDS words is
-cut into blocks of that many words that overlap by half. A block matches a template when it holds at least
+cut into blocks of that many words that overlap by half. As notices are often wrapped, the words of the whole text are
+cut likewise across line ends, into blocks that overlap by half of BLOCK_WORDS or by the longest template's length, whichever is
+more: any stretch of that many words stands whole in a block. A block matches a template when it holds at least
 the share ``threshold`` of the template's words. The words of all templates are ordered globally by the
 number of documents that hold them, rarest first. The filters lose no match:
 
@@ -96,11 +98,19 @@ class Index:
         return out
 
 
-def blocks(raw: bytes) -> Iterator[frozenset[bytes]]:
-    for line in raw.split(b"\n"):
-        own = tokens(line)
-        for i in range(0, max(1, len(own) - BLOCK_WORDS // 2), BLOCK_WORDS // 2):
-            yield frozenset(own[i : i + BLOCK_WORDS])
+def cut(own: list[bytes], overlap: int) -> Iterator[frozenset[bytes]]:
+    """Blocks of 2 * overlap words that overlap by half."""
+    for i in range(0, max(1, len(own) - overlap), overlap):
+        yield frozenset(own[i : i + 2 * overlap])
+
+
+def blocks(raw: bytes, own: list[bytes], overlap: int) -> Iterator[frozenset[bytes]]:
+    """The blocks of the lines, and those of the whole text, whose words are own."""
+    lines = raw.split(b"\n")
+    for line in lines:
+        yield from cut(tokens(line), BLOCK_WORDS // 2)
+    if len(lines) > 1 or overlap > BLOCK_WORDS // 2:
+        yield from cut(own, overlap)
 
 
 def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -120,6 +130,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
     docs = bound_batches(docs)
     frequency = frequencies(docs, text, {w for _, t in templates for w in tokens(t.encode())})
     index = Index(templates, frequency, threshold)
+    overlap = max([BLOCK_WORDS // 2, *(len(tokens(t.encode())) for _, t in templates)])
     searched = [(tokens(p.encode()), label) for p, label in phrases]
     rare = {min(p, key=lambda w: (frequency.get(w, 0) == 0, frequency.get(w, 0), w)) for p, _ in searched}
     kind = docs.schema[id_col].dataType.simpleString()
@@ -138,7 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
                             base.add(label)
                             starts += found
                 if held & index.first:
-                    for block in blocks(raw):
+                    for block in blocks(raw, own, overlap):
                         for i, share in index.match(block).items():
                             hits[i] = max(share, hits.get(i, 0.0))
                 for column, value in zip(out, (len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {index.labels[i] for i in hits})), 1.0 if base else max(hits.values(), default=0.0), sorted(hits)), strict=True):
