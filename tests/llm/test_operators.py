@@ -7,7 +7,7 @@ import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from weft.llm import bitslices, bytespans, decontaminate, jaccard, langid, licenses, mixing, queries, shards, warc, wordspans
+from weft.llm import bitslices, bytespans, decontaminate, jaccard, langid, licenses, mixing, queries, shards, spans, warc, wordspans
 from weft.llm.hashing import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string, n_words string"
@@ -88,6 +88,28 @@ def test_spans_edge_cases(spark, dedup):
     assert [len(r.spans) for r in dedup(table(spark, [(5, long), (5, long)])).collect()] == [0, 0]
 
 
+@pytest.mark.parametrize(("dedup", "n", "cut"), [(bytespans.dedup, 50, lambda t: list(t.encode())), (wordspans.dedup, 13, str.split)])
+def test_spans_of_shared_ids_in_several_parts(spark, monkeypatch, dedup, n, cut):
+    monkeypatch.setattr(spans, "PART_BYTES", 1 << 8)
+    shared, other = prose(40, 60), prose(41, 60)
+    rows = [(None, f"{prose(50 + k, 9)} {shared} {prose(80 + k, 9)}") for k in range(12)]
+    rows += [(9, f"{prose(110 + k, 9)} {other} {prose(140 + k, 9)}") for k in range(12)]
+    rows += [(7, " ".join(shared.split()[:30]) + " " + prose(170, 20)), (8, prose(171, 20) + " " + " ".join(other.split()[25:]))]
+    windows = [[tuple(u[p : p + n]) for p in range(len(u) - n + 1)] for u in (cut(t) for _, t in rows)]
+    number, least, want = lambda i: spans.NO_ID if i is None else i, {}, []
+    for (i, _), own in zip(rows, windows, strict=True):
+        for w in own:
+            least[w] = min(number(i), least.get(w, spans.NO_ID))
+    for (i, t), own in zip(rows, windows, strict=True):
+        gone = np.zeros(len(own) + n - 1, bool)
+        for p, w in enumerate(own):
+            if least[w] < number(i):
+                gone[p : p + n] = True
+        want.append((number(i), len(gone), int(gone.sum())))
+    got = dedup(table(spark, rows)).select("doc_id", "n_bytes" if n == 50 else "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])).collect()
+    assert sorted((number(r[0]), r[1], r[2]) for r in got) == sorted(want)
+
+
 def jaccard_brute(rows):
     sets = {i: shingles(t) for i, t in rows}
     parent, links = {i: i for i in sets}, dict.fromkeys(sets, 0)

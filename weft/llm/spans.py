@@ -9,7 +9,7 @@ start in a document with a smaller id. To find all repeats without sending every
    regions are one, held by the smallest id; every other document of the part repeats it. What goes out per region are two
    hashes and that id.
 2. Regions with the same anchor meet (by bucket of the anchor's hash). If all are equal, ids decide. Where regions
-   differ, each different one is asked for its units.
+   differ, each different one is asked for its units, in every part that holds it under its least id.
 3. The units of the regions asked for meet by anchor, and an exact matcher finds which of their windows start in a region of a smaller id.
 4. Back in the documents, both answers and the part's own repeats give each document's repeated windows.
 
@@ -199,7 +199,7 @@ def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.n
         differ = np.bincount(group, new)[group] > 1  # regions with this anchor differ
         least = ids[np.flatnonzero(new)][same]
         answer = (ids > least).astype(np.uint8)  # 1: repeated, all windows; 2: its units are asked for
-        answer[differ & new & (answer == 0)] = 2
+        answer[differ & (answer == 0)] = 2  # of every part: rows that share the least id stand in several
         some = answer > 0
         return _answers(part[order][some], 0, at[order][some].astype(np.uint32), answer[some])
 
