@@ -8,7 +8,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 
 from weft.llm import bitslices, bytespans, decontaminate, jaccard, langid, licenses, mixing, queries, shards, spans, warc, wordspans
-from weft.llm.hashing import words
+from weft.llm.hashing import prefix, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string, n_words string"
 
@@ -79,6 +79,75 @@ def test_words_against_brute_force(spark):
     assert {r[0]: tuple(r)[1:] for r in got} == word_brute(rows)
 
 
+def near_copies(n=40):
+    """A base text with a few words changed in each copy, so that its anchors have many different regions."""
+    r, base = random.Random(12), prose(12, 250, 10**6).split()
+    out = []
+    for k in range(n):
+        own = list(base)
+        for _ in range(6):
+            own[r.randrange(len(own))] = f"x{r.randrange(999)}"
+        out.append((1000 + k, f"{prose(300 + k, 20)} {' '.join(own)}"))
+    return out
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 9, 4 << 20])
+@pytest.mark.parametrize("hot", [0, 3, 10**6])
+def test_split_anchors_against_brute_force(spark, monkeypatch, part_bytes, hot):
+    monkeypatch.setattr(spans, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(bytespans.Expansion, "hot", hot)
+    monkeypatch.setattr(wordspans.Factoring, "hot", hot)
+    rows = corpus()[:16] + near_copies()
+    got = bytespans.dedup(table(spark, rows)).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == byte_brute(rows)
+    got = wordspans.dedup(table(spark, rows)).select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == word_brute(rows)
+
+
+@pytest.mark.parametrize("n", [3, 13, 130, 200])
+def test_window_lengths_against_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(spans, "PART_BYTES", 1 << 11)
+    monkeypatch.setattr(bytespans.Expansion, "hot", 20)
+    rows = corpus()[4:16] + near_copies(12)
+    got = bytespans.dedup(table(spark, rows), n).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == byte_brute(rows, n)
+    got = wordspans.dedup(table(spark, rows), n).select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.sha2("kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in got} == word_brute(rows, n)
+
+
+def test_span_queries_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op6_bwt_substrings(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == byte_brute(rows)
+    got = queries.op8_rlz_windows(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == word_brute(rows)
+
+
+def test_expansion_finds_the_classes():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        n, lengths = int(r.integers(1, 7)), r.integers(7, 20, r.integers(1, 9))
+        text, starts = r.integers(97, 97 + r.integers(1, 4), lengths.sum()).astype(np.uint8), np.concatenate([[0], np.cumsum(lengths)])
+        ids, windows = r.integers(0, 5, len(lengths)), lengths - n + 1
+        strings = [text[i:j].tobytes() for i, j in zip(starts, starts[1:])]
+        least = {}
+        for i, t in zip(ids, strings, strict=True):
+            for p in range(len(t) - n + 1):
+                least[t[p : p + n]] = min(i, least.get(t[p : p + n], 9))
+        assert list(bytespans.least_ids(n, windows, starts, text, ids)) == [least[t[p : p + n]] for t in strings for p in range(len(t) - n + 1)]
+
+
+def test_factors_are_long():
+    shared = words(np.frombuffer(prose(5, 300, 10**6).encode(), np.uint8), np.array([0, len(prose(5, 300, 10**6))]))[0]
+    other = words(np.frombuffer(prose(6, 50, 10**6).encode(), np.uint8), np.array([0, len(prose(6, 50, 10**6))]))[0]
+    text = np.concatenate([shared, other, shared[20:280], other[:12], shared[50:90]])
+    begin, end = np.array([0, 350]), np.array([350, len(text)])
+    index = wordspans.Index(13, prefix(text), begin, end, np.array([1, 2]))
+    found, lengths = index.parse(begin, end, np.array([1, 2]))
+    assert list(lengths) == [260, 40]
+    assert sorted(found) == [*range(350, 350 + 248), *range(350 + 272, 350 + 300)]
+
+
 @pytest.mark.parametrize("dedup", [bytespans.dedup, wordspans.dedup])
 def test_spans_edge_cases(spark, dedup):
     assert dedup(table(spark, [])).count() == 0

@@ -1,13 +1,12 @@
 """Removal of byte strings that an earlier document holds.
 
 Every byte covered by a min_bytes-byte string that also starts in a document with a smaller id is removed;
-strings are judged on the input. The frame is that of weft.llm.spans; the exact matcher for regions that
-differ is a Burrows-Wheeler one: the regions of a bucket are sorted by suffix, and common
-prefixes are derived by increasing value. Level 1 splits the suffixes by first byte. Each level then
-extends every interval of the level before by the byte on its left, through the transform's LF mapping: two neighbours
-that start with the same byte go on sharing one byte more if no boundary of the level before parts
-the suffixes that follow theirs. A boundary that first shows at level l is a common prefix of l bytes. The expansion stops
-at min_bytes: what is not parted by then is a class of equal strings, and its smallest id is the one that keeps them.
+strings are judged on the input. The frame is that of weft.llm.spans: it brings the different regions that share an anchor together,
+one copy of each. What they have in common is found on their Burrows-Wheeler transform, by threshold-bounded interval expansion: the
+intervals of one byte are extended to the left breadth first, through the transform's LF mapping alone. An interval of l bytes that extends to one of l + 1
+bytes whose right end is not yet known to be a boundary makes it one, with a common prefix of l bytes, and goes on; others end there.
+So boundaries come by increasing value, each once, and the expansion stops at min_bytes: what no boundary parts by then is a class of equal strings, and
+its least id is the one that keeps them.
 
 Null texts are empty; matches never cross documents; within one document nothing is a repeat of itself; rows
 that share an id (nulls included, which count as the largest id) don't repeat each other. Texts shorter than min_bytes stay whole.
@@ -16,87 +15,155 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm.hashing import BYTES
-from weft.llm.spans import Unit, repeated
+from weft.llm.spans import MAX_WINDOWS, PIECES, REGIONS, Held, Method, Part, Pieces, Unit, answers, repeated, spread, told
 
 MIN_BYTES = 50
+#: Bytes that are transformed at once, unless the regions of one anchor have more.
+TRANSFORM_BYTES = 1 << 19
 
 
 class Bytes(Unit):
     sent, density = "u1", 1.0
 
     def __init__(self, n: int):
-        self.n, self.k = n, max(1, n * 2 // 5)
+        self.n, self.k = n, max(1, n * 2 // 5, n - MAX_WINDOWS + 1)
 
     def of(self, raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return BYTES[raw], raw, breaks
 
-
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
-
-
-def suffix_order(text: np.ndarray, n: int) -> np.ndarray:
-    """Suffixes sorted by their first n bytes."""
-    size = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    keys, have = np.zeros(size, np.uint64), min(8, n)
+    def hashes(self, sent: np.ndarray) -> np.ndarray:
+        return BYTES[sent]
+
+
+def transform(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings that stand one after another, string i from starts[i] to starts[i + 1]: the order of all suffixes (places in the
+    strings with an end mark after each), the transform and the first symbols. A symbol is a byte plus one; end marks are 0 and
+    sort by their strings."""
+    lengths = np.diff(starts)
+    ends = starts[1:] + np.arange(len(lengths))
+    size = len(text) + len(lengths)
+    symbols = np.zeros(size, np.int64)
+    symbols[spread(starts[:-1] + np.arange(len(lengths)), lengths)] = text.astype(np.int64) + 1
+    rest = np.repeat(ends, lengths + 1) - np.arange(size)  # symbols before the end mark
+    padded, keys, have = np.concatenate([symbols, np.zeros(7, np.int64)]), np.zeros(size, np.int64), 7
     for i in range(have):
-        keys = keys << np.uint64(8) | padded[i : size + i]
-    rank = _ranks(keys)
-    while have < n:
-        step = min(have, n - have)
+        keys = keys << 9 | np.where(rest > i, padded[i : i + size], 0)
+    longest = int(lengths.max(initial=0))
+    while True:
+        order = np.argsort(keys, kind="stable")
+        new = np.append(True, keys[order][1:] != keys[order][:-1])
+        rank = np.empty(size, np.int64)
+        rank[order] = np.cumsum(new)
+        if have > longest or new.all():
+            break
         after = np.zeros(size, np.int64)
-        after[: max(0, size - step)] = rank[step:] + 1
-        rank = _ranks(rank * (size + 1) + after)
-        have += step
-    return np.argsort(rank, kind="stable")
-
-
-def common_classes(text: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    """For each place of the order, the number of its class of suffixes with n bytes in common."""
-    size = len(text)
-    inverse = np.empty(size, np.int64)
-    inverse[order] = np.arange(size)
-    after = inverse[(order + 1) % size]  # LF leads from here to the place itself
-    first = text[order]
-    parted = np.ones(size, bool)
-    parted[1:] = first[1:] != first[:-1]
-    if size:
-        ends = inverse[size - 1]  # the suffix of one byte goes on nowhere
-    open_ = np.flatnonzero(~parted)
-    for level in range(1, n):
-        if not len(open_):
+        after[: size - have] = rank[have:]
+        keys = rank * (size + 1) + np.where(rest >= have, after, 0)
+        have *= 2
+    before = order - 1
+    return order, np.where(before >= 0, symbols[before], 0), symbols[order]
+
+
+def boundaries(bwt: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Whether a suffix shares less than n symbols with the one before it in the order, from the transform."""
+    size = len(bwt)
+    lf = np.empty(size, np.int64)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(size)
+    parted = np.ones(size + 1, bool)
+    parted[1:size] = (first[1:] != first[:-1]) | (first[1:] == 0)
+    left = np.flatnonzero(parted[:-1])
+    right = np.append(left[1:], size)
+    holder = np.full(size + 1, -1)
+    for _ in range(1, n):
+        if not len(left):
             break
-        interval = np.cumsum(parted)
-        split = interval[after[open_]] != interval[after[open_ - 1]]
-        if level == 1:
-            split |= (open_ == ends) | (open_ - 1 == ends)
-        parted[open_[split]] = True
-        open_ = open_[~split]
-    return np.cumsum(parted) - 1
-
-
-def match(n: int):
-    def run(units: np.ndarray, starts: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        lengths = np.diff(starts)
-        region = np.repeat(np.arange(len(windows)), lengths)
-        place = np.arange(len(units)) - starts[region]
-        valid = place < windows[region]
-        order = suffix_order(units, n)
-        group = common_classes(units, order, n)
-        owner = np.where(valid, ids[region], np.iinfo(np.int64).max)[order]
-        least = np.minimum.reduceat(owner, np.flatnonzero(np.append(True, group[1:] != group[:-1])))
-        hit = order[valid[order] & (owner > least[group])]
-        masks = np.zeros(len(windows), np.uint64)
-        np.bitwise_or.at(masks, region[hit], np.uint64(1) << place[hit].astype(np.uint64))
-        return masks
-
-    return run
+        width = right - left
+        of, place = np.repeat(np.arange(len(left)), width), spread(left, width)
+        goes = bwt[place] > 0
+        of, to = of[goes], lf[place[goes]]
+        holder[to] = of
+        last = (holder[to + 1] != of) | (first[np.minimum(to + 1, size - 1)] != first[to])
+        begins = (holder[to - 1] != of) | (first[to - 1] != first[to])  # end marks come first, so no place is 0
+        holder[to] = -1
+        left, right = np.sort(to[begins]), np.sort(to[last]) + 1
+        fresh = ~parted[right]
+        parted[right] = True
+        left, right = left[fresh], right[fresh]
+    return parted[:size]
+
+
+def least_ids(n: int, windows: np.ndarray, starts: np.ndarray, units: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For all windows of the strings, one string after another, the least id of a string that holds it."""
+    order, bwt, first = transform(units, starts)
+    head = np.flatnonzero(boundaries(bwt, first, n))
+    string = np.repeat(np.arange(len(windows)), np.diff(starts) + 1)
+    place = np.arange(len(order)) - (starts[:-1] + np.arange(len(windows)))[string]
+    starts_window = place < windows[string]
+    owner = np.where(starts_window, ids[string], np.iinfo(np.int64).max)[order]
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, len(order))))
+    return least[starts_window]
+
+
+def _in_batches(n: int, key: np.ndarray, windows: np.ndarray, starts: np.ndarray, units: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """least_ids of strings in the order of their keys: equal windows have one key, so whole keys are transformed, a bounded number of bytes at a time."""
+    out, i = [], 0
+    while i < len(key):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + TRANSFORM_BYTES)) - 1)
+        j = int(np.searchsorted(key, key[j - 1], "right"))
+        out.append(least_ids(n, windows[i:j], starts[i : j + 1] - starts[i], units[starts[i] : starts[j]], ids[i:j]))
+        i = j
+    return np.concatenate(out)
+
+
+def _masks(least: np.ndarray, begin: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each holder, whose windows' least ids stand from begin on, a bit for each window that a smaller id holds."""
+    out = np.zeros(len(ids), np.uint64)
+    for i in range(int(windows.max(initial=0))):
+        some = np.flatnonzero(windows > i)
+        out[some] |= (least[begin[some] + i] < ids[some]).astype(np.uint64) << np.uint64(i)
+    return out
+
+
+class Expansion(Method):
+    all_equal, hot, per, piece_units = True, 1024, 4, True
+
+    def regions(self, unit: Unit, held: Held) -> pa.Table:
+        least = _in_batches(unit.n, held.key, held.windows, held.starts, held.units, held.least)
+        begin = np.cumsum(held.windows) - held.windows
+        return answers(held.part, REGIONS, held.at.astype(np.uint32), _masks(least, begin[held.content], held.windows[held.content], held.id))
+
+    def pieces(self, unit: Unit, key: np.ndarray, windows: np.ndarray, starts: np.ndarray, units: np.ndarray, ids: np.ndarray, part: np.ndarray, at: np.ndarray) -> pa.Table:
+        least = _in_batches(unit.n, key, windows, starts, units, ids)
+        return answers(part, PIECES, at, _masks(least, np.cumsum(windows) - windows, windows, ids))
+
+    def starts(self, part: Part, table: pa.Table, split: Pieces | None) -> Iterator[np.ndarray]:
+        mask, judged = np.zeros(len(part.key), np.uint64), np.zeros(len(part.key), bool)
+        at, found = told(table, REGIONS, "<u4", "<u8")
+        mask[at], judged[at] = found, True
+        if split is not None:
+            at, found = told(table, PIECES, "<u4", "<u8")
+            of_run = np.zeros(len(split.head), np.uint64)
+            of_run[at] = found
+            every = (~np.uint64(0)) >> (np.uint64(64) - split.windows.astype(np.uint64))
+            own = np.where(split.id > split.id[split.head][split.run], every, of_run[split.run])
+            np.bitwise_or.at(mask, split.region, own << split.offset.astype(np.uint64))
+            judged[split.region] = True
+        offset = 0
+        for _, _, _, r, _ in part.blocks:
+            which = part.which[offset : offset + len(r.first)]
+            offset += len(r.first)
+            copy = judged[which] & (r.id > part.id[which])  # of a region that the expansion has put in classes with a smaller id
+            window = spread(np.zeros(len(r.first), np.int64), r.windows)
+            bits = (np.repeat(mask[which], r.windows) >> window.astype(np.uint64)) & np.uint64(1)
+            yield r.valid[np.repeat(copy, r.windows) | bits.astype(bool)]
 
 
 def covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -136,4 +203,4 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, **columns) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(kept)])[breaks]
         return [pa.array(np.diff(breaks)), spans(removed, breaks), binary_array(raw[kept], offsets)]
 
-    return repeated(docs, Bytes(min_bytes), match(min_bytes), finish, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary", **columns)
+    return repeated(docs, Bytes(min_bytes), Expansion(), finish, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary", **columns)

@@ -1,25 +1,28 @@
 """Repeated windows across documents: the distributed frame of both substring deduplications.
 
 A window is n consecutive units (bytes or words) of one document. A window is a repeat when the same units also
-start in a document with a smaller id. To find all repeats without sending every window over the network:
+start in a document with a smaller id. The frame brings together what may be equal; a Method decides what is:
 
-1. Anchors. Of the k-grams in a window the one with the smallest hash is the window's anchor (the leftmost at a tie), so equal
+1. tell. Of the k-grams in a window the one with the smallest hash is the window's anchor (the leftmost at a tie), so equal
    windows have equal anchors at equal places. The windows of a document that choose the same anchor are
-   consecutive; their union is a region. Within a part (documents by hash of their id, a few MB) equal
-   regions are one, held by the smallest id; every other document of the part repeats it. What goes out per region are two
-   hashes and that id.
-2. Regions with the same anchor meet (by bucket of the anchor's hash). If all are equal, ids decide. Where regions
-   differ, each different one is asked for its units, in every part that holds it under its least id.
-3. The units of the regions asked for meet by anchor, and an exact matcher finds which of their windows start in a region of a smaller id.
-4. Back in the documents, both answers and the part's own repeats give each document's repeated windows.
-
-A group of equal regions costs one message for each part, however many documents share it. The parts' texts
-are shuffled once; Spark reuses that exchange for steps 1, 3 and 4.
+   consecutive; their union is a region. Documents are dealt into parts of a few MB. Per part and different region, two
+   hashes and the least id go to the bucket of the anchor; copies of a region are sent once.
+2. resolve. Anchors that documents of different ids hold are shared. Of each different region of a shared anchor, one part is asked for the units.
+3. send. The units go to the bucket of the anchor. An anchor with more than Method.hot different regions is split: its regions are cut into pieces of
+   Method.per windows, and each piece goes by the hash of the units that its windows have in common, wherever they belong. Equal pieces of a
+   part are sent once. So no bucket grows with the regions of one anchor.
+4. compare. The method gets the units of the bucket's different regions, and which part holds each under which least id.
+5. apply. What the method has found goes back to all parts that hold the region; there it says which windows of whole documents are repeats.
+
+Rows that share an id (nulls included, which count as the largest id) don't repeat each other. The parts' texts
+and the regions are shuffled once; Spark reuses these exchanges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +34,10 @@ from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
 PART_BYTES, BLOCK_BYTES, BUCKET_REGIONS = 4 << 20, 1 << 20, 1 << 17
-#: Units that a matcher gets at once, unless one anchor's regions have more.
-MATCH_UNITS = 1 << 19
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
+#: Windows of a region at most: as many as a mask has bits.
+MAX_WINDOWS = 64
 _PLACE = 26
 
 
@@ -50,6 +53,15 @@ class Unit:
     def of(self, raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise NotImplementedError
 
+    def hashes(self, sent: np.ndarray) -> np.ndarray:
+        """The hashes of units as they are sent."""
+        raise NotImplementedError
+
+
+def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at first, one range after another."""
+    return np.arange(int(lengths.sum())) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
+
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, their breaks and the ids."""
@@ -109,48 +121,91 @@ class Regions:
         self.id = ids[np.searchsorted(self.before, self.first, "right") - 1]
 
 
-def _blocks(unit: Unit, table: pa.Table):
-    """Regions of a part, a bounded number of bytes at a time: rows [i, j), Regions."""
+def _blocks(unit: Unit, table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, Regions, np.ndarray]]:
+    """Regions of a part, a bounded number of bytes at a time: rows [i, j), their bytes, Regions and ids."""
     raw, breaks, ids = _texts(table)
     i, rows = 0, len(ids)
     while i < rows:
         j = max(i + 1, int(np.searchsorted(breaks, breaks[i] + BLOCK_BYTES, "right")) - 1)
-        yield i, j, raw[breaks[i] : breaks[j]], Regions(unit, raw[breaks[i] : breaks[j]], breaks[i : j + 1] - breaks[i], ids[i:j])
+        yield i, j, raw[breaks[i] : breaks[j]], Regions(unit, raw[breaks[i] : breaks[j]], breaks[i : j + 1] - breaks[i], ids[i:j]), ids[i:j]
         i = j
 
 
 class Part:
-    """The different regions of a part in the order of (key, content), with the smallest id of each."""
+    """The different regions of a part in the order of (key, content), with the least id of each, and whether documents of further ids hold it."""
 
     def __init__(self, unit: Unit, table: pa.Table):
-        self.blocks = list(_blocks(unit, table))
+        self.unit, self.blocks = unit, list(_blocks(unit, table))
         regions = [b[3] for b in self.blocks]
+        #: Units before each block.
+        self.offset = np.cumsum([0, *(len(r.sent) for r in regions)])
         key, content, ids = (np.concatenate([getattr(r, a) for r in regions] or [np.zeros(0, t)]) for a, t in (("key", np.uint64), ("content", np.uint64), ("id", np.int64)))
+        #: By region in reading order: the place of its first unit and of its anchor in the part, and its windows.
+        self.first, self.anchor = (np.concatenate([getattr(r, a) + o for r, o in zip(regions, self.offset, strict=False)] or [np.zeros(0, np.int64)]) for a in ("first", "anchor"))
+        self.windows = np.concatenate([r.windows for r in regions] or [np.zeros(0, np.int64)])
         order = np.lexsort((ids, content, key))
         k, c = key[order], content[order]
         new = np.ones(len(order), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        head = np.flatnonzero(new)
+        head, ends = runs(np.cumsum(new))
         self.key, self.content, self.id, self.holder = k[head], c[head], ids[order][head], order[head]
+        self.several = ids[order][ends - 1] > self.id
         #: For each region in reading order, the number of its different one.
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(new) - 1
 
-
-def _no_rows(schema: pa.Schema) -> pa.Table:
-    return schema.empty_table()
+    @cached_property
+    def sent(self) -> np.ndarray:
+        """The units of all blocks."""
+        return np.concatenate([b[3].sent for b in self.blocks] or [np.zeros(0, self.unit.sent)])
+
+    def units(self, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """The units of these windows, one range after another."""
+        return self.sent[spread(first, windows + self.unit.n - 1)]
+
+
+class Pieces:
+    """The pieces of some different regions (at) of a part, `per` windows each. Windows whose anchor is at the distances i * per to (i + 1) * per - 1 are
+    piece i of their region: they have n - per + 1 units in common, whose hash is the piece's key. Equal pieces are numbered alike, with the least id."""
+
+    def __init__(self, part: Part, at: np.ndarray, per: int):
+        unit, own = part.unit, part.holder[at]
+        windows = part.windows[own]
+        place = spread(np.zeros(len(at), np.int64), windows)
+        region = np.repeat(np.arange(len(at)), windows)
+        which = ((part.anchor - part.first)[own][region] - place) // per
+        head, ends = runs(region * MAX_WINDOWS + which)
+        self.region, self.offset, self.windows = at[region[head]], place[head], ends - head
+        self.first = part.first[own][region[head]] + self.offset
+        sums = prefix(unit.hashes(part.sent))
+        latest = part.anchor[own][region[head]] - which[head] * per
+        key = mix(ranges(sums, latest, latest - per + 1 + unit.n) + mix(which[head].astype(np.uint64) + np.uint64(1)))
+        shape = (latest - self.first).astype(np.uint64) * np.uint64(4096) + self.windows.astype(np.uint64)
+        content = mix(ranges(sums, self.first, self.first + self.windows + unit.n - 1) ^ mix(shape))
+        self.id = part.id[self.region]
+        order = np.lexsort((self.id, content, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
+        #: The first of each run of equal pieces, the run of each piece, and the key of each run.
+        self.head = order[new]
+        self.run = np.empty(len(order), np.int64)
+        self.run[order] = np.cumsum(new) - 1
+        self.key = key[self.head]
 
 
-ASKED = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
+SENT = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 _SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+#: Kinds of answers: what the part has to send, and what the method says of regions and of pieces.
+ASK, REGIONS, PIECES = 0, 1, 2
+_UNITS, _PIECES = 2, 3
 
 
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {_SQL[f.type]}" for f in schema)
 
 
-def _answers(part: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.Table:
+def answers(part: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.Table:
     """A row for each part."""
     order = np.argsort(part, kind="stable")
     part = part[order]
@@ -159,13 +214,53 @@ def _answers(part: np.ndarray, kind: int, *arrays: np.ndarray) -> pa.Table:
     return pa.table([pa.array(part[head], pa.int64()), pa.array([kind] * len(head), pa.int32()), pa.array(data, pa.binary())], schema=ANSWER)
 
 
-#: A matcher gets the units of all regions of a bucket one after another, the start of each region (and the end of the last), each
-#: region's number of windows and id, and returns for each region a bit mask of the windows that start in a region of a smaller id.
-Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+def told(table: pa.Table, kind: int, *kinds: str) -> list[np.ndarray]:
+    """The arrays of all answers of a kind."""
+    found = [unpack(data.as_py(), *kinds) for k, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True) if k == kind]
+    return [np.concatenate([f[i] for f in found] or [np.zeros(0, t)]) for i, t in enumerate(kinds)]
+
+
+@dataclass
+class Held:
+    """The different regions of a bucket's shared anchors, in the order of their anchors: key, windows, least id, and the units, region i's from starts[i] to
+    starts[i + 1]. And who holds them: content (the region's number), part, at (its number there), id (the least there), several (whether further ids do)."""
+
+    key: np.ndarray
+    windows: np.ndarray
+    starts: np.ndarray
+    units: np.ndarray
+    least: np.ndarray
+    content: np.ndarray
+    part: np.ndarray
+    at: np.ndarray
+    id: np.ndarray
+    several: np.ndarray
+
+
+class Method:
+    """What decides which windows are repeats. all_equal: whether it wants the units of shared regions that are equal everywhere, too. hot: different regions
+    of an anchor from which it is split, into pieces of `per` windows; piece_units: whether the pieces' units are wanted."""
+
+    all_equal: bool
+    hot: int
+    per: int
+    piece_units: bool
 
+    def regions(self, unit: Unit, held: Held) -> pa.Table:
+        """Answers of kind REGIONS."""
+        raise NotImplementedError
+
+    def pieces(self, unit: Unit, key: np.ndarray, windows: np.ndarray, starts: np.ndarray, units: np.ndarray, ids: np.ndarray, part: np.ndarray, at: np.ndarray) -> pa.Table:
+        """Answers of kind PIECES, for pieces that come together by their keys."""
+        raise NotImplementedError
 
-def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], out: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs the four steps. finish(raw, breaks, before, sent, starts): columns after doc_id for some texts; starts are the repeated windows' first units."""
+    def starts(self, part: Part, table: pa.Table, split: Pieces | None) -> Iterator[np.ndarray]:
+        """For each block of the part, the first units of the repeated windows."""
+        raise NotImplementedError
+
+
+def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], out: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Runs the five steps. finish(raw, breaks, before, sent, starts): columns after doc_id for some texts; starts are the repeated windows' first units."""
     rows = bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_parts = power_of_two(size / PART_BYTES)
@@ -173,129 +268,126 @@ def repeated(docs: DataFrame, unit: Unit, match: Matcher, finish: Callable[[np.n
     shift = np.uint64(64 - n_buckets.bit_length() + 1)
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(n_parts)))
     bucket_of = lambda key: (key >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(key), np.int64)
-    kinds = ("<u8", "<u8", "<i8")
+    told_kinds, sent_kinds = ("<u8", "<u8", "<i8", "u1"), ("<u4", "<u2", "<i8", "<u8", "<u8")
+    low = np.uint64(12)
+
+    def rows_of(number: int, bucket: np.ndarray, base: np.ndarray, data: list[bytes]) -> pa.Table:
+        return pa.table([pa.array(bucket, pa.int64()), pa.array([number] * len(bucket), pa.int64()), pa.array(base, pa.int64()), pa.array(data, pa.binary())], schema=SENT)
 
     def tell(table: pa.Table) -> pa.Table:
         part = Part(unit, table)
         bucket = bucket_of(part.key)
         head, ends = runs(bucket)
-        data = [pack(part.key[i:j] >> np.uint64(12), part.content[i:j] >> np.uint64(12), part.id[i:j]) for i, j in zip(head, ends, strict=True)]
-        number = table.column("part")[0].as_py()
-        return pa.table([pa.array(bucket[head], pa.int64()), pa.array([number] * len(head), pa.int64()), pa.array(head, pa.int64()), pa.array(data, pa.binary())], schema=ASKED)
+        data = [pack(part.key[i:j] >> low, part.content[i:j], part.id[i:j], part.several[i:j].astype(np.uint8)) for i, j in zip(head, ends, strict=True)]
+        return rows_of(table.column("part")[0].as_py(), bucket[head], head, data)
 
-    def resolve(table: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    def regions_of(table: pa.Table) -> list[np.ndarray]:
+        """key, content, ids, several, part and number of the regions told."""
+        cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (*told_kinds, "<i8", "<i8")]
         for number, base, data in zip(table.column("part").to_numpy(), table.column("base").to_numpy(), table.column("data"), strict=True):
-            key, content, ids = unpack(data.as_py(), *kinds)
-            for c, x in zip(cols, (key, content, ids, np.full(len(key), number), base + np.arange(len(key))), strict=True):
+            found = unpack(data.as_py(), *told_kinds)
+            n = len(found[0])
+            for c, x in zip(cols, (*found, np.full(n, number), base + np.arange(n)), strict=True):
                 c.append(x)
-        key, content, ids, part, at = map(np.concatenate, cols)
-        del cols
-        order = np.lexsort((ids, content, key))
+        return [np.concatenate(c) for c in cols]
+
+    def resolve(table: pa.Table) -> pa.Table:
+        key, content, ids, several, part, at = regions_of(table)
+        order = np.lexsort((part, ids, content, key))
         key, content, ids = key[order], content[order], ids[order]
         new_key = np.append(True, key[1:] != key[:-1])
         new = new_key | np.append(True, content[1:] != content[:-1])
-        group, same = np.cumsum(new_key) - 1, np.cumsum(new) - 1
-        differ = np.bincount(group, new)[group] > 1  # regions with this anchor differ
-        least = ids[np.flatnonzero(new)][same]
-        answer = (ids > least).astype(np.uint8)  # 1: repeated, all windows; 2: its units are asked for
-        answer[differ & (answer == 0)] = 2  # of every part: rows that share the least id stand in several
-        some = answer > 0
-        return _answers(part[order][some], 0, at[order][some].astype(np.uint32), answer[some])
-
-    def told(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each different region of the part, the answers of both kinds: 0, 1 or 2, and a mask."""
-        code, mask = np.zeros(n, np.uint8), np.zeros(n, np.uint64)
-        for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-            if kind == 0:
-                at, x = unpack(data.as_py(), "<u4", "u1")
-                code[at] = x
-            else:
-                at, m = unpack(data.as_py(), "<u4", "<u8")
-                mask[at] |= m
-        return code, mask
-
-    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _no_rows(ASKED)
+        group, heads = np.cumsum(new_key) - 1, np.flatnonzero(new_key)
+        shared = (np.maximum.reduceat(ids, heads) > np.minimum.reduceat(ids, heads)) | np.logical_or.reduceat(several[order], heads)
+        different = np.bincount(group, new)
+        hot = (shared & (different > method.hot))[group]
+        wanted = (shared & ((different > 1) | method.all_equal))[group]
+        code = np.where(hot, _PIECES, np.where(wanted & new, _UNITS, 0)).astype(np.uint8)
+        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        some = code > 0 if method.all_equal else (code > 0) | (least < ids)
+        return answers(part[order][some], ASK, at[order][some].astype(np.uint32), code[some], least[some])
+
+    def split_of(part: Part, table: pa.Table) -> tuple[np.ndarray, Pieces | None]:
+        """The regions whose units are asked for, and the pieces of those that are split."""
+        at, code, _ = told(table, ASK, "<u4", "u1", "<i8")
+        hot = np.sort(at[code == _PIECES])
+        return np.sort(at[code == _UNITS]), Pieces(part, hot, method.per) if len(hot) else None
+
+    def send(table: pa.Table, asking: pa.Table) -> pa.Table:
+        if not table.num_rows or not asking.num_rows:
+            return SENT.empty_table()
         part = Part(unit, table)
-        code, _ = told(answers, len(part.key))
-        asked = np.flatnonzero(code == 2)
-        if not len(asked):
-            return _no_rows(ASKED)
-        holder = part.holder[asked]
-        offsets = np.cumsum([0, *(len(b[3].first) for b in part.blocks)])
-        windows, parts = np.zeros(len(asked), np.int64), [np.zeros(0)] * len(asked)
-        for b, (_, _, _, r) in enumerate(part.blocks):
-            for i in np.flatnonzero((holder >= offsets[b]) & (holder < offsets[b + 1])):
-                own = holder[i] - offsets[b]
-                windows[i] = r.windows[own]
-                parts[i] = r.sent[r.first[own] : r.first[own] + r.windows[own] + unit.n - 1]
-        bucket = bucket_of(part.key[asked])
-        head, ends = runs(bucket)
-        data = []
-        for i, j in zip(head, ends, strict=True):
-            about = pack(asked[i:j].astype(np.uint32), windows[i:j].astype(np.uint16), part.id[asked[i:j]], part.key[asked[i:j]] >> np.uint64(32))
-            units = pack(np.concatenate(parts[i:j]))
-            data.append(len(about).to_bytes(4, "little") + about + units)
-        number = table.column("part")[0].as_py()
-        return pa.table([pa.array(bucket[head], pa.int64()), pa.array([number] * len(head), pa.int64()), pa.array([0] * len(head), pa.int64()), pa.array(data, pa.binary())], schema=ASKED)
-
-    def compare(table: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        for number, data in zip(table.column("part").to_numpy(), table.column("data"), strict=True):
+        asked, split = split_of(part, asking)
+        number, out = table.column("part")[0].as_py(), []
+
+        def put(base: int, bucket: np.ndarray, at: np.ndarray, first: np.ndarray, windows: np.ndarray, ids: np.ndarray, key: np.ndarray, content: np.ndarray, whole: bool) -> None:
+            order = np.argsort(bucket, kind="stable")
+            head, ends = runs(bucket[order])
+            data = []
+            for i, j in zip(head, ends, strict=True):
+                o = order[i:j]
+                about = pack(at[o].astype(np.uint32), windows[o].astype(np.uint16), ids[o], key[o], content[o])
+                data.append(len(about).to_bytes(4, "little") + about + pack(part.units(first[o], windows[o]) if whole else np.zeros(0, unit.sent)))
+            out.append(rows_of(number, base + bucket[order][head], np.zeros(len(head), np.int64), data))
+
+        own = part.holder[asked]
+        put(0, bucket_of(part.key[asked]), asked, part.first[own], part.windows[own], part.id[asked], part.key[asked] >> low, part.content[asked], True)
+        if split is not None:
+            h = split.head
+            put(n_buckets, bucket_of(split.key), np.arange(len(h)), split.first[h], split.windows[h], split.id[h], split.key, split.key, method.piece_units)
+        return pa.concat_tables(out)
+
+    def compare(table: pa.Table, sent: pa.Table) -> pa.Table:
+        if not sent.num_rows:
+            return ANSWER.empty_table()
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for number, data in zip(sent.column("part").to_numpy(), sent.column("data"), strict=True):
             blob = data.as_py()
             n = int.from_bytes(blob[:4], "little")
-            at, windows, ids, key = unpack(blob[4 : 4 + n], "<u4", "<u2", "<i8", "<u8")
-            units = unpack(blob[4 + n :], unit.sent)[0]
-            for c, x in zip(cols, (at, windows.astype(np.int64), ids, key, np.full(len(at), number), units), strict=True):
+            at, windows, ids, key, content = unpack(blob[4 : 4 + n], *sent_kinds)
+            for c, x in zip(cols, (at, windows.astype(np.int64), ids, key, content, np.full(len(at), number), unpack(blob[4 + n :], unit.sent)[0]), strict=True):
                 c.append(x)
-        at, windows, ids, key, part, units = map(np.concatenate, cols)
-        masks = np.zeros(len(at), np.uint64)
+        at, windows, ids, key, content, part, units = map(np.concatenate, cols)
         lengths = windows + unit.n - 1
-        begin = np.cumsum(lengths) - lengths
-        order = np.argsort(key, kind="stable")
-        done = np.cumsum(lengths[order])
-        i = 0
-        while i < len(order):  # whole anchors, a bounded number of units at a time
-            j = max(i + 1, int(np.searchsorted(done, done[i] + MATCH_UNITS)))
-            j = int(np.searchsorted(key[order], key[order[j - 1]], "right"))
-            own = order[i:j]
-            starts = np.concatenate([[0], np.cumsum(lengths[own])])
-            place = np.arange(starts[-1]) + np.repeat(begin[own] - starts[:-1], lengths[own])
-            masks[own] = match(units[place], starts, windows[own], ids[own])
-            i = j
-        some = masks > 0
-        return _answers(part[some], 1, at[some], masks[some])
-
-    def apply(table: pa.Table, answers: pa.Table) -> pa.Table:
+        order = np.lexsort((content, key))
+        if len(units):
+            units = units[spread((np.cumsum(lengths) - lengths)[order], lengths[order])]
+        at, windows, ids, key, content, part = (x[order] for x in (at, windows, ids, key, content, part))
+        starts = np.concatenate([[0], np.cumsum(lengths[order])])
+        if sent.column("bucket")[0].as_py() >= n_buckets:
+            return method.pieces(unit, key, windows, starts, units, ids, part, at)
+        name = lambda k, c: mix(k) ^ c
+        names = name(key, content)
+        by = np.argsort(names)
+        of_key, of_content, of_id, several, of_part, of_at = regions_of(table)
+        mine = name(of_key, of_content)
+        where = np.minimum(np.searchsorted(names[by], mine), len(by) - 1)
+        some = names[by][where] == mine
+        holds = by[where[some]]
+        least = np.full(len(names), NO_ID)
+        np.minimum.at(least, holds, of_id[some])
+        return method.regions(unit, Held(key, windows, starts, units, least, holds, of_part[some], of_at[some], of_id[some], several[some].astype(bool)))
+
+    def apply(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _no_rows(schema)
+            return schema.empty_table()
         part = Part(unit, table)
-        code, mask = told(answers, len(part.key))
-        done, offset = [], 0
-        for i, j, raw, r in part.blocks:
-            which = part.which[offset : offset + len(r.first)]
-            offset += len(r.first)
-            full = (code[which] == 1) | (r.id > part.id[which])
-            first = np.concatenate([[0], np.cumsum(r.windows)])
-            window = np.arange(first[-1]) - np.repeat(first[:-1], r.windows)
-            bits = (np.repeat(mask[which], r.windows) >> window.astype(np.uint64)) & np.uint64(1)
-            hit = np.repeat(full, r.windows) | bits.astype(bool)
+        done = []
+        for (i, j, raw, r, _), starts in zip(part.blocks, method.starts(part, found, split_of(part, found)[1]), strict=True):
             texts = table.column("text").slice(i, j - i)
             lengths = np.array([len(x.as_buffer()) for x in texts], np.int64)
-            columns = finish(raw, np.concatenate([[0], np.cumsum(lengths)]), r.before, r.sent, r.valid[hit])
+            columns = finish(raw, np.concatenate([[0], np.cumsum(lengths)]), r.before, r.sent, starts)
             done.append(pa.table([table.column("doc_id").slice(i, j - i).combine_chunks(), *columns], names=schema.names))
         return pa.concat_tables(done).cast(schema)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {id_type}, {out}"
     schema = _arrow_schema(rows.sparkSession, ddl)
-    regions = rows.groupBy("part").applyInArrow(tell, _ddl(ASKED))
-    first = regions.groupBy("bucket").applyInArrow(resolve, _ddl(ANSWER))
-    asked = rows.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(send, _ddl(ASKED))
-    second = asked.groupBy("bucket").applyInArrow(compare, _ddl(ANSWER))
-    return rows.groupBy("part").cogroup(first.unionByName(second).groupBy("part")).applyInArrow(apply, ddl)
+    regions = rows.groupBy("part").applyInArrow(tell, _ddl(SENT))
+    asked = regions.groupBy("bucket").applyInArrow(resolve, _ddl(ANSWER))
+    sent = rows.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(send, _ddl(SENT))
+    found = regions.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(compare, _ddl(ANSWER))
+    return rows.groupBy("part").cogroup(asked.unionByName(found).groupBy("part")).applyInArrow(apply, ddl)
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
