@@ -52,21 +52,39 @@ def transform(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     symbols = np.zeros(size, np.int64)
     symbols[spread(starts[:-1] + np.arange(len(lengths)), lengths)] = text.astype(np.int64) + 1
     rest = np.repeat(ends, lengths + 1) - np.arange(size)  # symbols before the end mark
-    padded, keys, have = np.concatenate([symbols, np.zeros(7, np.int64)]), np.zeros(size, np.int64), 7
+    used = np.unique(text)
+    code = np.zeros(257, np.int64)
+    code[used.astype(np.int64) + 1] = np.arange(1, len(used) + 1)
+    bits = int(len(used)).bit_length()
+    have = 62 // bits  # symbols that fit in a number
+    padded, keys = np.concatenate([code[symbols], np.zeros(have, np.int64)]), np.zeros(size, np.int64)
     for i in range(have):
-        keys = keys << 9 | np.where(rest > i, padded[i : i + size], 0)
-    longest = int(lengths.max(initial=0))
-    while True:
-        order = np.argsort(keys, kind="stable")
-        new = np.append(True, keys[order][1:] != keys[order][:-1])
-        rank = np.empty(size, np.int64)
-        rank[order] = np.cumsum(new)
-        if have > longest or new.all():
-            break
-        after = np.zeros(size, np.int64)
-        after[: size - have] = rank[have:]
-        keys = rank * (size + 1) + np.where(rest >= have, after, 0)
+        keys = keys << bits | np.where(rest > i, padded[i : i + size], 0)
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))  # a rank is the place of the first suffix that isn't told apart yet
+    rank = np.empty(size, np.int64)
+    rank[order] = np.repeat(head, np.diff(np.append(head, size)))
+    width = np.diff(np.append(head, size))
+    places = np.flatnonzero(np.repeat(width > 1, width))
+    while len(places := places[rest[order[places]] >= have]):
+        at = order[places]
+        keys = rank[at] * (size + 1) + rank[at + have] + 1
+        by = np.argsort(keys)
+        at, keys = at[by], keys[by]
+        order[places] = at
+        new = np.append(True, keys[1:] != keys[:-1])
+        head = np.flatnonzero(new)
+        width = np.diff(np.append(head, len(at)))
+        fresh = np.repeat(places[head], width)
+        rank[at] = fresh
+        places = places[np.repeat(width > 1, width)]
         have *= 2
+    final = rank[order]
+    same = np.append(False, final[1:] == final[:-1])
+    tied = np.flatnonzero(same | np.append(same[1:], False))  # suffixes that end alike sort by their strings
+    at = order[tied]
+    order[tied] = at[np.lexsort((at, rank[at]))]
     before = order - 1
     return order, np.where(before >= 0, symbols[before], 0), symbols[order]
 
@@ -74,25 +92,29 @@ def transform(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def boundaries(bwt: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     """Whether a suffix shares less than n symbols with the one before it in the order, from the transform."""
     size = len(bwt)
-    lf = np.empty(size, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(size)
-    parted = np.ones(size + 1, bool)
-    parted[1:size] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    left = np.flatnonzero(parted[:-1])
-    right = np.append(left[1:], size)
-    holder = np.full(size + 1, -1)
+    kind = np.int32 if size < 1 << 31 else np.int64
+    lf = np.empty(size, kind)
+    lf[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(size, dtype=kind)
+    differs = np.ones(size + 1, bool)  # from the first symbol before
+    differs[1:size] = first[1:] != first[:-1]
+    parted = differs.copy()
+    parted[:size] |= first == 0
+    left = np.flatnonzero(parted[:-1]).astype(kind)
+    right = np.append(left[1:], size).astype(kind)
+    holder = np.full(size + 1, -1, kind)
     for _ in range(1, n):
         if not len(left):
             break
         width = right - left
-        of, place = np.repeat(np.arange(len(left)), width), spread(left, width)
-        goes = bwt[place] > 0
+        of = np.repeat(np.arange(len(left), dtype=kind), width)
+        place = np.arange(len(of), dtype=kind) + (left - np.cumsum(width, dtype=kind) + width)[of]
+        goes = np.flatnonzero(bwt[place] > 0)
         of, to = of[goes], lf[place[goes]]
         holder[to] = of
-        last = (holder[to + 1] != of) | (first[np.minimum(to + 1, size - 1)] != first[to])
-        begins = (holder[to - 1] != of) | (first[to - 1] != first[to])  # end marks come first, so no place is 0
+        begins = differs[to] | (holder[to - 1] != of)  # end marks come first, so no place is 0
+        last = differs[to + 1] | (holder[to + 1] != of)
         holder[to] = -1
-        left, right = np.sort(to[begins]), np.sort(to[last]) + 1
+        left, right = np.sort(to[begins]), np.sort(to[last]) + kind(1)
         fresh = ~parted[right]
         parted[right] = True
         left, right = left[fresh], right[fresh]
@@ -133,7 +155,7 @@ def _masks(least: np.ndarray, begin: np.ndarray, windows: np.ndarray, ids: np.nd
 
 
 class Expansion(Method):
-    all_equal, hot, per, piece_units = True, 1024, 4, True
+    all_equal, hot, per, piece_units = True, 4096, 4, True
 
     def regions(self, unit: Unit, held: Held) -> pa.Table:
         least = _in_batches(unit.n, held.key, held.windows, held.starts, held.units, held.least)

@@ -115,7 +115,7 @@ class Regions:
         head = np.flatnonzero(new)
         self.first, self.anchor = at[head], anchor[head]
         self.windows = np.diff(np.append(head, len(at)))
-        self.key = grams[self.anchor]
+        self.key = mix(grams[self.anchor])  # the least hashes are small; as keys they have to spread evenly
         shape = ((self.anchor - self.first) * 4096 + self.windows).astype(np.uint64)
         self.content = mix(ranges(sums, self.first, self.first + self.windows + n - 1) ^ mix(shape))
         self.id = ids[np.searchsorted(self.before, self.first, "right") - 1]
@@ -305,7 +305,7 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
         code = np.where(hot, _PIECES, np.where(wanted & new, _UNITS, 0)).astype(np.uint8)
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         some = code > 0 if method.all_equal else (code > 0) | (least < ids)
-        return answers(part[order][some], ASK, at[order][some].astype(np.uint32), code[some], least[some])
+        return answers(part[order][some], ASK, at[order][some].astype(np.uint32), code[some], least[some] * (not method.all_equal))
 
     def split_of(part: Part, table: pa.Table) -> tuple[np.ndarray, Pieces | None]:
         """The regions whose units are asked for, and the pieces of those that are split."""
@@ -331,7 +331,7 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
             out.append(rows_of(number, base + bucket[order][head], np.zeros(len(head), np.int64), data))
 
         own = part.holder[asked]
-        put(0, bucket_of(part.key[asked]), asked, part.first[own], part.windows[own], part.id[asked], part.key[asked] >> low, part.content[asked], True)
+        put(0, bucket_of(part.key[asked]), asked, part.first[own], part.windows[own], np.zeros(len(asked), np.int64), part.key[asked] >> low, part.content[asked], True)  # the ids are told with the regions
         if split is not None:
             h = split.head
             put(n_buckets, bucket_of(split.key), np.arange(len(h)), split.first[h], split.windows[h], split.id[h], split.key, split.key, method.piece_units)
