@@ -27,11 +27,13 @@ def bound_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session that runs on this machine alone gets a temporary one."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="weft-")
         atexit.register(shutil.rmtree, own, True)
         sc.setCheckpointDir(own)
@@ -43,7 +45,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what materialize() has written for df, once nothing reads it any more."""
+    if path := getattr(df, "_weft_path", None):
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at.getParent(), True)
 
 
 def power_of_two(n: float) -> int:
