@@ -3,29 +3,37 @@
 An ARC file begins with a version block; its header line ``filedesc://... version ...`` and the line of
 field names that follows tell how the header lines of all records read (version 1: five fields, version 2:
 ten). Each record is its header line, as many bytes as its last field declares, and a newline. A record
-becomes a WARC record: the identifier is a UUID of its URL, date and key, the 14-digit date becomes an
-ISO timestamp, the type is ``response`` (or ``revisit`` for a payload that an earlier key holds), and
-SHA-256 digests of block and payload are added.
+becomes a WARC record: the identifier is a UUID of its URL, date and place, the 8- to 14-digit date becomes an
+ISO timestamp, the type is ``response`` for an HTTP message (``revisit`` for a payload that an earlier key holds) and ``resource`` for
+anything else, and SHA-256 digests of block and payload are added. The version block becomes a ``warcinfo`` record.
+
+Files may be compressed, as a whole or record by record. Newlines between records may be missing or repeated. A record that the file's
+end cuts short keeps the bytes that are there and is marked ``WARC-Truncated``. Lines that are no header line where one has to stand are skipped up to the next one.
+Each record has a key: the number in its X-Record-Key header (null, if that is empty); a record without that header gets one by its file, URL,
+date and place.
 
 WARC files are written with Spark's text writer: a record and the four bytes that end it are a line and its
-separator, so a written file is one gzip member holding a plain WARC file. The reader takes the lines of a
+separator, so a written file is one gzip member holding a plain WARC file; it holds what one task converts. The reader takes the lines of a
 file in order, puts the separators back and cuts records at their declared lengths; it holds one record at a
 time. Neither opens a path in Python, so any store that Spark reaches will do, and a lost executor's
 files are written again under Spark's commit protocol.
 
-Nulls: a null payload is empty, a null URL becomes ``urn:weft:<key>``; keys must not be null and should be
-distinct. Payloads under MIN_REVISIT bytes are never revisits. Of equal keys with equal payloads every
+Nulls: a null payload is empty, a null URL becomes ``urn:weft:<key>``; a record with a null key is a response that no other refers to.
+Payloads under MIN_REVISIT bytes are never revisits. Of equal keys with equal payloads every
 record is a response. An empty table makes no record. Columns beside those named are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +42,7 @@ from weft.llm.base import bound_batches, materialize, shared_dir
 MIN_REVISIT = 100
 #: Repeated payloads whose list is broadcast; more are joined by shuffle.
 MAX_BROADCAST = 200_000
-#: Bytes of a synthesised ARC file, records of a WARC file.
+#: Bytes of a synthesised ARC file, and records of a WARC file at most.
 ARC_BYTES, WARC_RECORDS = 2 << 20, 20_000
 END = b"\r\n\r\n"
 KEY = "X-Record-Key"
@@ -74,6 +82,7 @@ def to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
             parts: list[bytes] = []
             size, version, name = 0, 1, ""
             for k, u, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                k = "" if k is None else k
                 if not parts:
                     version, name, n = 1 + n % 2, f"weft-{k}.arc", n + 1
                     parts.append(arc_head(version, name, date))
@@ -92,65 +101,161 @@ def to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: st
     return bound_batches(pages).select(F.col(key), F.col(url), F.col(payload).cast("binary")).mapInArrow(run, "name string, content binary")
 
 
-def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an ARC file after its version block: header fields and block."""
-    at, names = 0, ARC_FIELDS[1].split()
-    while at < len(content):
-        end = content.index(b"\n", at)
-        line = content[at:end].decode("utf-8", "replace")
-        if not line.strip():  # further newlines between records
-            at = end + 1
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """ARC files at a path, compressed or not, as rows (name, content)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def _pieces(content: bytes, size: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a file in pieces, decompressed if they are gzip members; what a member that is damaged or cut short gives until there."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, member = memoryview(content), zlib.decompressobj(31)
+    for at in range(0, len(view), size):
+        left = bytes(view[at : at + size])
+        while left:
+            try:
+                piece = member.decompress(left)
+            except zlib.error:
+                return
+            if piece:
+                yield piece
+            left = member.unused_data if member.eof else b""
+            if member.eof:
+                member = zlib.decompressobj(31)
+
+
+class _Stream:
+    """A file's bytes by line or by number."""
+
+    def __init__(self, content: bytes):
+        self._from, self._held, self._at, self.place = _pieces(content), b"", 0, 0
+
+    def _more(self) -> bool:
+        if (piece := next(self._from, None)) is None:
+            return False
+        self._held, self._at = self._held[self._at :] + piece if self._at < len(self._held) else piece, 0
+        return True
+
+    def _got(self, end: int) -> bytes:
+        out = self._held[self._at : end]
+        self._at += len(out)
+        self.place += len(out)
+        return out
+
+    def line(self) -> bytes:
+        """Up to the next newline, with it; nothing at the end."""
+        seen = self._at
+        while (end := self._held.find(b"\n", seen)) < 0:
+            seen = len(self._held) - self._at
+            if not self._more():
+                return self._got(len(self._held))
+        return self._got(end + 1)
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or what is left."""
+        out = [self._got(self._at + n)]
+        while (n := n - len(out[-1])) > 0 and self._more():
+            out.append(self._got(self._at + n))
+        return b"".join(out)
+
+
+_HEADER = re.compile(r"(\S.*) (\S+) (\d{8,17}) (\S.*|) (\d+)$")
+
+
+def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int, bool]]:
+    """The records of an ARC file, the version block first if it has one: header fields, block, place in the file, and whether it is cut short."""
+    stream, names = _Stream(content), ARC_FIELDS[1].split()
+    while True:
+        place = stream.place
+        if not (raw := stream.line()):
+            return
+        line = raw.rstrip(b"\r\n").decode("utf-8", "replace")
+        if not _HEADER.match(line):  # newlines between records, or bytes that no header declares
             continue
         fields = line.split(" ")
-        block = content[end + 1 : end + 1 + int(fields[-1])]
-        at = end + 1 + len(block) + 1
+        length = int(fields[-1])
+        block = stream.take(length)
         if line.startswith("filedesc://"):
             lines = block.decode("utf-8", "replace").split("\n")
             version = lines[0].split(" ")[0]
-            names = (lines[1] if len(lines) > 1 and lines[1].startswith("URL") else ARC_FIELDS[int(version)]).split()
-            continue
-        if len(fields) != len(names):  # a URL or type with spaces: the fields after it are counted from the end
+            given = lines[1].split() if len(lines) > 1 and lines[1].lower().startswith("url") else []
+            names = given or ARC_FIELDS[int(version) if version in ("1", "2") else 1].split()
+        if len(fields) < len(names):  # a record of the other version: the fields that both have
+            fields = [*fields[:4], *["-"] * (len(names) - len(fields)), *fields[4:]]
+        if len(fields) > len(names):  # a URL or type with spaces: the fields after it are counted from the end
             fields = [" ".join(fields[: len(fields) - len(names) + 1]), *fields[len(fields) - len(names) + 1 :]]
-        yield dict(zip(names, fields, strict=True)), block
+        yield dict(zip(map(str.lower, names), fields, strict=True)), block, place, len(block) < length
 
 
 def _http(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
-    """Head with its blank line, payload, and headers of an HTTP message; all payload if it is none."""
+    """Head with its blank line, payload, and headers (by lower-case name) of an HTTP message; all payload if it is none."""
     if not block.startswith(b"HTTP/"):
         return b"", block, {}
-    head, sep, body = block.partition(END)
-    return head + sep, body, dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+    ends = [(at, len(sep)) for sep in (END, b"\n\n") if (at := block.find(sep)) >= 0]
+    at, width = min(ends, default=(len(block), 0))
+    lines = (x.partition(":") for x in block[:at].decode("utf-8", "replace").splitlines()[1:])
+    return block[: at + width], block[at + width :], {k.strip().lower(): v.strip() for k, _, v in lines}
+
+
+def timestamp(date: str) -> str:
+    """ISO form of the first 14 digits; the time is 0 where digits are missing."""
+    d = (date + "000000")[:14] if len(date) >= 8 else "19700101000000"
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
+CONVERTED = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("timestamp", pa.string()), ("record_id", pa.string()), ("content_type", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("truncated", pa.bool_())])
+
+
+def _converted(name: str, fields: dict[str, str], block: bytes, place: int, cut: bool) -> tuple:
+    url, date = fields.get("url", ""), fields.get("archive-date", "")
+    head, payload, headers = _http(block)
+    own = headers.get(KEY.lower())
+    if own is None:
+        key = xxhash.xxh64_intdigest(f"{name} {url} {date} {place}") >> 1
+    else:
+        key = int(own) if own.lstrip("-").isdigit() else None
+    if url.startswith("filedesc://"):
+        kind, mime, key, head, payload = "warcinfo", "application/warc-fields", None, b"", b"software: weft\r\nformat: WARC File Format 1.1\r\ndescription: converted from " + url.encode() + b"\r\n"
+    else:
+        kind, mime = ("response", "application/http; msgtype=response") if head else ("resource", fields.get("content-type") or "application/octet-stream")
+    record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {name} {place}' if own is None else f'{url} {date} {own}')}>"
+    return key, kind, url, timestamp(date), record, mime, head, payload, hashlib.sha256(payload).hexdigest(), len(payload), cut
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """Per ARC record: key, uri, timestamp, record_id, head, payload, payload_digest, payload_bytes."""
-    schema = pa.schema([("key", pa.int64()), ("uri", pa.string()), ("timestamp", pa.string()), ("record_id", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
+    """Per ARC record: key, kind, uri, timestamp, record_id, content_type, head, payload, payload_digest, payload_bytes, truncated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CONVERTED, strict=True)], schema=CONVERTED)
+
         for batch in batches:
-            for x in batch.column("content"):
-                rows = []
-                for fields, block in arc_records(_bytes(x)):
-                    head, payload, headers = _http(block)
-                    d = fields["Archive-date"]
-                    when = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    key = int(headers[KEY])
-                    record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{fields["URL"]} {d} {key}')}>"
-                    rows.append((key, fields["URL"], when, record, head, payload, hashlib.sha256(payload).hexdigest(), len(payload)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+            for name, x in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                rows, size = [], 0
+                for record in arc_records(_bytes(x)):
+                    rows.append(_converted(name, *record))
+                    size += len(record[1])
+                    if size >= ARC_BYTES:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
 
-    return arcs.mapInArrow(run, "key long, uri string, timestamp string, record_id string, head binary, payload binary, payload_digest string, payload_bytes long")
+    return arcs.mapInArrow(run, "key long, kind string, uri string, timestamp string, record_id string, content_type string, head binary, payload binary, payload_digest string, payload_bytes long, truncated boolean")
 
 
 def with_roles(records: DataFrame) -> DataFrame:
-    """Adds first_key (the smallest key with the payload, where it isn't the record's own) and first_uri, first_id, first_time."""
-    long = records.where(F.col("payload_bytes") >= MIN_REVISIT)
-    firsts = long.groupBy("payload_digest").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key")).where("first_key < last_key").drop("last_key")
+    """Adds first: the key, record_id, uri and timestamp of the record with the smallest key that has the payload, where it isn't the record's own."""
+    may = (F.col("kind") == "response") & (F.col("payload_bytes") >= MIN_REVISIT) & F.col("key").isNotNull()
+    firsts = records.where(may).groupBy("payload_digest").agg(F.min(F.struct("key", "record_id", "uri", "timestamp")).alias("first"), F.max("key").alias("last")).where("first.key < last").drop("last")
     firsts = materialize(firsts, "firsts")
     if firsts.count() <= MAX_BROADCAST:
         firsts = F.broadcast(firsts)
     held = records.join(firsts, "payload_digest", "left")
-    return held.withColumn("first_key", F.when((F.col("payload_bytes") >= MIN_REVISIT) & (F.col("first_key") < F.col("key")), F.col("first_key")))
+    return held.withColumn("first", F.when(may & (F.col("first.key") < F.col("key")), F.col("first")))
 
 
 def render(records: DataFrame) -> DataFrame:
@@ -158,19 +263,25 @@ def render(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(n) for n in batch.schema.names}
+            c = {n: batch.column(n) if n in ("head", "payload") else batch.column(n).to_pylist() for n in batch.schema.names}
             out = []
             for i in range(batch.num_rows):
-                first, head, payload = c["first_key"][i].as_py(), _bytes(c["head"][i]), _bytes(c["payload"][i])
+                first, head, payload = c["first"][i], _bytes(c["head"][i]), _bytes(c["payload"][i])
                 block = head if first is not None else head + payload
-                lines = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {c['record_id'][i].as_py()}", f"WARC-Date: {c['timestamp'][i].as_py()}", f"WARC-Target-URI: {c['uri'][i].as_py()}"]
+                lines = ["WARC/1.1", f"WARC-Type: {c['kind'][i] if first is None else 'revisit'}", f"WARC-Record-ID: {c['record_id'][i]}", f"WARC-Date: {c['timestamp'][i]}"]
+                if c["kind"][i] == "warcinfo":
+                    lines.append(f"WARC-Filename: {c['uri'][i].removeprefix('filedesc://')}")
+                else:
+                    lines += [f"WARC-Target-URI: {c['uri'][i]}", f"WARC-Payload-Digest: sha256:{c['payload_digest'][i]}", f"{KEY}: {'' if c['key'][i] is None else c['key'][i]}"]
                 if first is not None:
-                    lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Key: {first}"]
-                lines += [f"WARC-Payload-Digest: sha256:{c['payload_digest'][i].as_py()}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+                    lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {first['record_id']}", f"WARC-Refers-To-Target-URI: {first['uri']}", f"WARC-Refers-To-Date: {first['timestamp']}", f"X-Refers-To-Key: {first['key']}", f"X-Payload-Length: {len(payload)}"]
+                if c["truncated"][i]:
+                    lines.append("WARC-Truncated: unspecified")
+                lines += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {c['content_type'][i]}", f"Content-Length: {len(block)}"]
                 out.append("\r\n".join(lines).encode() + END + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    return records.select("first_key", "head", "payload", "record_id", "timestamp", "uri", "payload_digest").mapInArrow(run, "record binary")
+    return records.select("key", "kind", "first", "head", "payload", "record_id", "timestamp", "uri", "content_type", "payload_digest", "truncated").mapInArrow(run, "record binary")
 
 
 def write(rendered: DataFrame, path: str) -> None:
@@ -180,8 +291,9 @@ def write(rendered: DataFrame, path: str) -> None:
 
 
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """WARC records from the pieces between the separators: header fields and block. The separators are put back, so it doesn't
-    matter where in a payload they were found; line ends between records are skipped."""
+    """WARC records from the pieces between the separators: header fields (by lower-case name) and block. The separators are put back, so it doesn't
+    matter where in a payload they were found; line ends between records are skipped. A file that ends within a record is an error, as
+    what is read here was written and committed whole."""
     held = bytearray()
 
     def more() -> bool:
@@ -199,53 +311,63 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
                 continue
             return
         while (end := held.find(END)) < 0:
-            more()
-        fields = dict(x.split(": ", 1) for x in held[:end].decode("utf-8", "replace").split("\r\n")[1:])
-        begin, length = end + len(END), int(fields["Content-Length"])
+            if not more():
+                raise ValueError(f"no end of a WARC header in {len(held)} bytes")
+        lines = (x.partition(":") for x in held[:end].decode("utf-8", "replace").split("\r\n")[1:])
+        fields = {k.strip().lower(): v.strip() for k, _, v in lines}
+        begin, length = end + len(END), int(fields["content-length"])
         while len(held) < begin + length:
             if not more():
-                raise ValueError(f"{fields.get('WARC-Record-ID')}: {length} bytes declared, {len(held) - begin} found")
+                raise ValueError(f"{fields.get('warc-record-id')}: {length} bytes declared, {len(held) - begin} found")
         yield fields, bytes(held[begin : begin + length])
         del held[: begin + length]
 
 
+#: What read() returns.
+READ = pa.schema([("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("refers_to_id", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("truncated", pa.bool_())])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: key, payload_bytes, payload_digest, record_type, refers_to, uri. Block digests, and the payload digests of responses, are verified."""
+    """Per record: key, payload_bytes, payload_digest, record_type, refers_to (a key), uri, refers_to_id, record_id, date, truncated.
+    Block digests, and the payload digests of whole payloads, are verified."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
             for x in batch.column(0):
                 yield _bytes(x)
 
+    def number(x: str | None) -> int | None:
+        return int(x) if x else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            kinds = [("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string())]
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ, strict=True)], schema=READ)
             rows.clear()
             return out
 
         for fields, block in parse(pieces(batches)):
-            head, payload, headers = _http(block)
-            kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-            if fields["WARC-Block-Digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}" or kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"{fields['WARC-Record-ID']}: digest differs")
-            size = len(payload) if kind == "response" else int(headers["Content-Length"])
-            to = fields.get("X-Refers-To-Key")
-            rows.append((int(headers[KEY]), size, digest, kind, int(to) if to else None, fields["WARC-Target-URI"]))
+            kind = fields["warc-type"]
+            payload = _http(block)[1] if kind == "response" else block
+            found = hashlib.sha256(payload).hexdigest()
+            digest = fields.get("warc-payload-digest", f"sha256:{found}").removeprefix("sha256:")
+            if fields["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}" or kind != "revisit" and found != digest:
+                raise ValueError(f"{fields['warc-record-id']}: digest differs")
+            size = int(fields["x-payload-length"]) if kind == "revisit" else len(payload)
+            rows.append((number(fields.get(KEY.lower())), size, digest, kind, number(fields.get("x-refers-to-key")), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields["warc-record-id"], fields["warc-date"], "warc-truncated" in fields))
             if len(rows) >= 5000:
                 yield flush()
         if rows:
             yield flush()
 
     text = spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary"))
-    return text.mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string")
+    return text.mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, refers_to_id string, record_id string, date string, truncated boolean")
 
 
 def archive(arcs: DataFrame) -> DataFrame:
-    """Converts ARC files, writes the WARC files to the shared folder and reads them back."""
+    """Converts ARC files, writes the WARC files to the shared folder and reads them back, without the warcinfo records."""
     spark = arcs.sparkSession
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/warc"
     write(render(with_roles(convert(arcs))), path)
-    return read(spark, path)
+    return read(spark, path).where("record_type <> 'warcinfo'")
