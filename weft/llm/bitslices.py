@@ -9,13 +9,14 @@ addition is left at the end. The k largest rows are then chosen from the most si
 bitmaps: rows sure to be in, and rows still tied. Rows tied on all slices are boundary rows; the smallest
 ids among them fill what is left, so ties are exact.
 
-The index is written as blocks of BLOCK_ROWS rows, the queries are packed into blocks of QUERY_ROWS, and each
+The index is written as blocks of BLOCK_ROWS rows, the queries are packed into blocks of up to QUERY_ROWS, and each
 (query block, index block) pair is one row of an equi-join on the index block's number: a pair is bounded
-in size, whatever the table's. The best k of every pair are merged by a window over (query, id bucket) and then query.
+in size, whatever the table's, and a block is sent once for thousands of queries. Of every pair only the best k are kept; a window by query merges them.
 
-Vectors that are null, empty, or have null or non-finite components take no part; vectors are compared with
-those of their own length. Repeated rows are candidates each, a query repeated with the same vector is asked
-once, and rows that share the query's id are not its candidates. With fewer than k candidates all are returned; an empty table gives
+Vectors that are null, empty, or have null or non-finite components (or such that no 64-bit integer holds when scaled) take no part; vectors are compared with
+those of their own length. Sums have as many slices as they need, so the order is exact at any size; a score that no 64-bit integer holds is told as the nearest one that does.
+Repeated rows are candidates each, a query repeated with the same vector is asked
+once, with another vector it is another query, and rows that share the query's id are not its candidates. With fewer than k candidates all are returned; an empty table gives
 no rows. Columns beside the id and the vector are ignored.
 """
 
@@ -31,14 +32,16 @@ from pyspark.sql import window as W
 
 from weft.llm.base import materialize
 
-BLOCK_ROWS, QUERY_ROWS = 16384, 256
+BLOCK_ROWS, QUERY_ROWS = 16384, 4096
+#: Query blocks to begin with, so that a small table is not searched in one task.
+QUERY_BLOCKS = 32
 
 
 def quantise(vector: Column, scale: int) -> Column:
     """floor(scale * x) of each component, null if the vector can take no part."""
     wide = vector.cast("array<double>")
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.when(vector.isNotNull() & ~bad & (F.size(vector) > 0), F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("int")))
+    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * F.lit(float(scale))) >= F.lit(2.0**63)))
+    return F.when(vector.isNotNull() & ~bad & (F.size(vector) > 0), F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
 
 
 def naf(value: int) -> list[tuple[int, int]]:
@@ -124,44 +127,47 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
 
 
 def values_at(total: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The numbers that the slices hold for these rows."""
+    """The numbers that the slices hold for these rows; the nearest 64-bit ones."""
     bits = (total[:, rows >> 6] >> (rows & 63).astype(np.uint64)) & np.uint64(1)
+    if len(total) > 64:
+        exact = [sum((-b if j == len(total) - 1 else b) << j for j, b in enumerate(column)) for column in bits.T.tolist()]
+        return np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in exact], np.int64)
     weights = np.left_shift(np.int64(1), np.arange(len(total), dtype=np.int64))
     weights[-1] = -weights[-1]
     return (bits.astype(np.int64) * weights[:, None]).sum(0)
 
 
 def _blocks(rows: DataFrame, size: int, sliced: bool, name: str) -> DataFrame:
-    """Rows (block, n, dims, bits, ids, data), each of `size` vectors at most, in the order of their ids."""
+    """Rows (block, n, dims, bits, ids, which, data), each of `size` vectors at most, in the order of their ids."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(ids: np.ndarray, which: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[order]
+            ids, which, values = ids[order], which[order], values[order]
             for i in range(0, len(ids), size):
                 v = values[i : i + size]
                 bits = max(1, int(max(v.max(initial=0), -1 - v.min(initial=0))).bit_length()) + 1
-                data = slices(v, bits) if sliced else v.astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([len(v)], pa.int32()), pa.array([v.shape[1]], pa.int32()), pa.array([bits], pa.int32()), pa.array([ids[i : i + size].tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["n", "dims", "bits", "ids", "data"])
+                data = slices(v, bits) if sliced else v.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([len(v)], pa.int32()), pa.array([v.shape[1]], pa.int32()), pa.array([bits], pa.int32()), pa.array([ids[i : i + size].tobytes()], pa.binary()), pa.array([which[i : i + size].tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["n", "dims", "bits", "ids", "which", "data"])
 
         held: dict[int, list] = {}
         for batch in batches:
             lengths = np.diff(batch.column(1).offsets.to_numpy())
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            ids, ends = batch.column(0).to_numpy(), np.cumsum(lengths)
+            ids, which, ends = batch.column(0).to_numpy(), batch.column(2).to_numpy(), np.cumsum(lengths)
             for n in np.unique(lengths):
                 of = np.flatnonzero(lengths == n)
                 at = (ends[of] - n)[:, None] + np.arange(n)
-                held.setdefault(int(n), []).append((ids[of], flat[at].astype(np.int64)))
+                held.setdefault(int(n), []).append((ids[of], which[of], flat[at].astype(np.int64)))
             for n, parts in held.items():
                 if sum(len(p[0]) for p in parts) >= 4 * size:
-                    yield from out(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                    yield from out(*(np.concatenate(c) for c in zip(*parts, strict=True)))
                     held[n] = []
         for parts in held.values():
             if parts:
-                yield from out(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                yield from out(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
-    made = rows.select("id", "q").mapInArrow(build, "n int, dims int, bits int, ids binary, data binary")
+    made = rows.select("id", "q", F.xxhash64("q").alias("which")).mapInArrow(build, "n int, dims int, bits int, ids binary, which binary, data binary")
     return materialize(made.withColumn("uid", F.monotonically_increasing_id()), name)
 
 
@@ -174,13 +180,16 @@ def _numbered(blocks: DataFrame, name: str) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score."""
-    rows = vectors.select(F.col(id_col).alias("id"), quantise(F.col(vector), scale).alias("q"), is_query.alias("asks")).where(F.col("q").isNotNull() & F.col("id").isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vector), scale).alias("q"), is_query.alias("asks")).where(F.col("q").isNotNull() & F.col("id").isNotNull())
     n = rows.count()
     parts = max(1, -(-n // BLOCK_ROWS))
     index = _numbered(_blocks(rows.repartitionByRange(parts, "id"), BLOCK_ROWS, True, "index"), "index")
-    asking = _blocks(rows.where("asks").dropDuplicates(["id", "q"]).repartitionByRange(max(1, parts // 64), "id"), QUERY_ROWS, False, "queries")
+    queries = rows.where("asks").dropDuplicates(["id", "q"])
+    n_queries = queries.count()
+    query_rows = max(64, min(QUERY_ROWS, -(-n_queries // QUERY_BLOCKS)))
+    asking = _blocks(queries.repartitionByRange(max(1, n_queries // (4 * query_rows)), "id"), query_rows, False, "queries")
     n_blocks = index.count()
-    asking = asking.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))).alias("block"))
+    asking = asking.select(F.col("ids").alias("q_ids"), F.col("which").alias("q_which"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))).alias("block"))
     pairs = index.join(asking, "block").where("dims = q_dims").repartition(max(2, 2 * n_blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,23 +198,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                 ids = np.frombuffer(r["ids"], np.int64)
                 bits, dims, words = r["bits"], r["dims"], -(-r["n"] // 64)
                 data = np.frombuffer(r["data"], np.uint64).reshape(dims, bits, words)
-                asked, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"], np.int32).reshape(-1, dims)
+                asked, which, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_which"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(-1, dims)
                 everyone = np.zeros(words * 64, np.uint8)
                 everyone[: r["n"]] = 1
                 take = np.packbits(everyone, bitorder="little").view(np.uint64)
-                out: list[list[np.ndarray]] = [[], [], []]
-                for a, v in zip(asked, q, strict=True):
-                    width = int(np.abs(v).astype(np.int64).sum()).bit_length() + bits + 1
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for a, w, v in zip(asked, which, q, strict=True):
+                    width = sum(map(abs, v.tolist())).bit_length() + bits + 1
                     total = add_up(v, data, width)
                     mine = take.copy()
                     for own in np.arange(np.searchsorted(ids, a, "left"), np.searchsorted(ids, a, "right")):
                         mine[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
                     best = select(total, mine, k)
-                    for column, x in zip(out, (np.full(len(best), a), ids[best], values_at(total, best)), strict=True):
+                    for column, x in zip(out, (np.full(len(best), a), np.full(len(best), w), ids[best], values_at(total, best)), strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["query_id", "which", "vec_id", "score"])
 
-    found = pairs.select("n", "dims", "bits", "ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.select("n", "dims", "bits", "ids", "data", "q_ids", "q_which", "q_data").mapInArrow(run, "query_id long, which long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
-    ranked = found.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(*order)))
+    ranked = found.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id", "which").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
