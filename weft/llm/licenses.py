@@ -1,10 +1,9 @@
 """License scan: an exact set-similarity join of templates against all text blocks.
 
-A template is a set of words with a label. A text block is a line; a line longer than BLOCK_WORDS words is
-cut into blocks of that many words that overlap by half. As notices are often wrapped, the words of the whole text are
-cut likewise across line ends, into blocks that overlap by half of BLOCK_WORDS or by the longest template's length, whichever is
-more: any stretch of that many words stands whole in a block. A block matches a template when it holds at least
-the share ``threshold`` of the template's words. The words of all templates are ordered globally by the
+A template is a notice with a label, and words that it can't do without (those that tell it from similar notices). Templates are put into classes by length (powers of
+two). For a class of up to n words, the words of each whole text, across line ends, are cut into blocks of 2 n words that overlap by half: any
+stretch of n words stands whole in a block. A block matches a template when it holds at least
+the share ``threshold`` of the template's distinct words, and all that it can't do without. The words of all templates are ordered globally by the
 number of documents that hold them, rarest first. The filters lose no match:
 
 * prefix: with n words of which ceil(threshold * n) must be shared, one of the first n - ceil(...) + 1 must be;
@@ -31,22 +30,34 @@ from pyspark.sql import functions as F
 from weft.llm.base import bound_batches
 from weft.llm.hashing import FOLD
 
-THRESHOLD, BLOCK_WORDS = 0.8, 64
+THRESHOLD = 0.8
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Public license notices and their labels.
+#: Public license notices, their labels, and the words that they can't do without.
 TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "This library is licensed under the GNU Lesser General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("mit", "Released under the MIT License", "mit license"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "permission sublicense",
+    ),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission person obtaining associated"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "permission fee"),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS", "applicable"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3", "gnu general public"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu general public"),
+    ("lgpl", "This library is licensed under the GNU Lesser General Public License", "gnu lesser"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "gnu lesser"),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "gnu affero"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution binary forms"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License", "eclipse"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "warranty liable"),
+    ("bsl", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "permission organization accompanying"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered"),
 )
 
 
@@ -73,44 +84,47 @@ def frequencies(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[byte
 class Index:
     """The templates' words in global order, and the inverted index of their prefixes."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], threshold: float):
-        self.sets, self.labels, self.need, self.prefix = [], [], [], {}
-        for i, (label, text) in enumerate(templates):
-            ordered = sorted(set(tokens(text.encode())), key=lambda w: (frequency[w], w))
+    def __init__(self, templates: tuple[tuple[str, str, str], ...], frequency: dict[bytes, int], threshold: float):
+        self.sets, self.labels, self.must, self.need, self.size, self.prefix = [], [], [], [], [], {}
+        for i, (label, text, must) in enumerate(templates):
+            words = tokens(text.encode())
+            ordered = sorted(set(words), key=lambda w: (frequency[w], w))
             need = ceil(threshold * len(ordered) - 1e-9)
             self.sets.append(frozenset(ordered))
             self.labels.append(label)
+            self.must.append(frozenset(tokens(must.encode())))
             self.need.append(need)
+            self.size.append(1 << (len(words) - 1).bit_length())
             for at, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((i, len(ordered) - at))
         self.first = frozenset(self.prefix)
 
-    def match(self, block: frozenset[bytes]) -> dict[int, float]:
-        """Containment of each template that the block matches."""
+    def possible(self, held: frozenset[bytes] | set[bytes]) -> dict[int, set[int]]:
+        """By class, the templates that a text of these words may match."""
+        out: dict[int, set[int]] = {}
+        for i in {i for w in self.first & held for i, _ in self.prefix[w]}:
+            if self.must[i] <= held and len(self.sets[i] & held) >= self.need[i]:
+                out.setdefault(self.size[i], set()).add(i)
+        return out
+
+    def match(self, block: frozenset[bytes], of: set[int] | None = None) -> dict[int, float]:
+        """Containment of each template (of those given) that the block matches."""
         out: dict[int, float] = {}
         at_most: dict[int, int] = {}
         for w in self.first & block:
             for i, rest in self.prefix[w]:
-                at_most[i] = max(rest, at_most.get(i, 0))
+                if of is None or i in of:
+                    at_most[i] = max(rest, at_most.get(i, 0))
         for i, most in at_most.items():
-            if len(block) >= self.need[i] and most >= self.need[i] and (shared := len(self.sets[i] & block)) >= self.need[i]:
+            if len(block) >= self.need[i] and most >= self.need[i] and self.must[i] <= block and (shared := len(self.sets[i] & block)) >= self.need[i]:
                 out[i] = shared / len(self.sets[i])
         return out
 
 
-def cut(own: list[bytes], overlap: int) -> Iterator[frozenset[bytes]]:
-    """Blocks of 2 * overlap words that overlap by half."""
-    for i in range(0, max(1, len(own) - overlap), overlap):
-        yield frozenset(own[i : i + 2 * overlap])
-
-
-def blocks(raw: bytes, own: list[bytes], overlap: int) -> Iterator[frozenset[bytes]]:
-    """The blocks of the lines, and those of the whole text, whose words are own."""
-    lines = raw.split(b"\n")
-    for line in lines:
-        yield from cut(tokens(line), BLOCK_WORDS // 2)
-    if len(lines) > 1 or overlap > BLOCK_WORDS // 2:
-        yield from cut(own, overlap)
+def cut(own: list[bytes], size: int) -> Iterator[frozenset[bytes]]:
+    """Blocks of 2 * size words that overlap by half."""
+    for i in range(0, max(1, len(own) - size), size):
+        yield frozenset(own[i : i + 2 * size])
 
 
 def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -125,12 +139,11 @@ def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
         return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment, 1 for a phrase) and templates (the places in ``templates`` that match)."""
     docs = bound_batches(docs)
-    frequency = frequencies(docs, text, {w for _, t in templates for w in tokens(t.encode())})
+    frequency = frequencies(docs, text, {w for _, t, _ in templates for w in tokens(t.encode())})
     index = Index(templates, frequency, threshold)
-    overlap = max([BLOCK_WORDS // 2, *(len(tokens(t.encode())) for _, t in templates)])
     searched = [(tokens(p.encode()), label) for p, label in phrases]
     rare = {min(p, key=lambda w: (frequency.get(w, 0) == 0, frequency.get(w, 0), w)) for p, _ in searched}
     kind = docs.schema[id_col].dataType.simpleString()
@@ -148,9 +161,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
                         if found := places(own, phrase):
                             base.add(label)
                             starts += found
-                if held & index.first:
-                    for block in blocks(raw, own, overlap):
-                        for i, share in index.match(block).items():
+                for size, of in index.possible(held).items():
+                    for block in cut(own, size):
+                        for i, share in index.match(block, of).items():
                             hits[i] = max(share, hits.get(i, 0.0))
                 for column, value in zip(out, (len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {index.labels[i] for i in hits})), 1.0 if base else max(hits.values(), default=0.0), sorted(hits)), strict=True):
                     column.append(value)
