@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from weft.llm.base import bound_batches
 from weft.llm.hashing import FOLD
 
-#: Labelled texts for each language at most, and characters of each: together they bound a dictionary.
-SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 400, 250, 500
+#: Labelled texts for each language at most, characters of each, and characters of all dictionaries: with many languages each has fewer texts.
+SAMPLE_TEXTS, SAMPLE_CHARS, MODEL_CHARS = 400, 250, 64_000_000
 BLOCK_BYTES, LEVEL = 8192, 5
 #: Share of the second size by which the best must be smaller, else the text is rejected.
 MIN_MARGIN = 0.003
@@ -42,17 +42,18 @@ def has_letter(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """A dictionary for each language, from a sample bounded by sample_texts and sample_chars: of the distinct
-    texts of each language, by the text's hash the first in each of sample_texts bins."""
+    """A dictionary for each language, from a sample bounded by sample_texts, sample_chars and MODEL_CHARS: of the distinct
+    texts of each language, by the text's hash the first in each of sample_texts bins, and of it a stretch that begins where the hash says."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & has_letter(F.col("t")))
+    n_languages = docs.agg(F.approx_count_distinct(lang, 0.01)).first()[0]
+    sample_texts = max(1, min(sample_texts, MODEL_CHARS // (sample_chars * max(1, n_languages))))
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("bin", F.pmod("h", F.lit(sample_texts)))
     chosen = rows.groupBy("l", "bin").agg(F.min("h").alias("h")).collect()  # sample_texts for each language at most
-    if len({r.l for r in chosen}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not chosen:
         return {}
     ids = docs.sparkSession.createDataFrame([(r.l, r.h) for r in chosen], "l string, h long")
-    texts = rows.join(F.broadcast(ids), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, sample_chars)).alias("s")).collect()
+    stretch = F.substring("t", (F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.length("t") - F.lit(sample_chars - 1))) + 1).cast("int"), F.lit(sample_chars))
+    texts = rows.join(F.broadcast(ids), ["l", "h"]).groupBy("l", "h").agg(F.min(stretch).alias("s")).collect()
     by: dict[str, list[str]] = {}
     for r in sorted(texts, key=lambda r: (r.l, r.h)):
         by.setdefault(r.l, []).append(r.s)
