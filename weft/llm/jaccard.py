@@ -7,8 +7,9 @@ their sets is ``threshold`` or more. Texts with equal sets are one node, so copi
    the threshold shares no band with probability (1 - 0.8^5)^40, about 1e-7.
 2. Pairs that share a band are compared value by value, STEP at a time: after m of n values agree, the
    posterior probability that the similarity reaches the threshold (uniform prior) is a binomial tail; a pair is dropped as soon as that is
-   below TOLERANCE. What is left connects the nodes into candidate groups: only spanning edges are sent.
-3. The shingle sets of each group meet (a group of more than BLOCK nodes as pairs of blocks). Pairs are pruned
+   below TOLERANCE. What is left connects the nodes into candidate groups: only spanning edges are sent. The nodes of a band that has more than BLOCK
+   of them are all connected to its smallest, without a comparison: their pairs wait for step 3, so this step stays linear.
+3. The shingle sets of each group meet (a group of more than BLOCK nodes or BLOCK_SHINGLES shingles as pairs of blocks). Pairs are pruned
    the same way, the rest verified exactly: |A and B| / |A or B| on the sets themselves. Links are counted, not sent;
    spanning edges of verified links make the classes.
 
@@ -37,8 +38,8 @@ from weft.llm.hashing import FOLD, mix, prefix, ranges, words
 SHINGLE_WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS = 40, 5
 N_HASHES, STEP = BANDS * ROWS, 40
-#: Nodes of a group compared in one block, bytes of text read at once, entries and bytes of a bucket on average.
-BLOCK, TEXT_BYTES, BUCKET_ENTRIES, BUCKET_BYTES = 1024, 1 << 20, 1 << 18, 8 << 20
+#: Nodes of a group compared in one block, shingles of a block on average, bytes of text read at once, entries and bytes of a bucket on average.
+BLOCK, BLOCK_SHINGLES, TEXT_BYTES, BUCKET_ENTRIES, BUCKET_BYTES = 1024, 1 << 19, 1 << 20, 1 << 18, 8 << 20
 #: Nodes in groups up to which their ids are broadcast to the texts; beyond that both are joined by shuffle.
 MAX_BROADCAST = 200_000
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -156,7 +157,7 @@ def _batched(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, lis
 
 
 def nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, node (null without shingles), and the node's bands and bytes."""
+    """Per row: doc_id, node (null without shingles), its number of shingles, and the node's bands and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,13 +171,13 @@ def nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     k, b = band_keys(s), low_bytes(s)
                     for at, x, y in zip(np.flatnonzero(some), k, b, strict=True):
                         keys[at], low[at] = x.tobytes(), y.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.int64(), mask=~some), pa.array(keys, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "node", "bands", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.int64(), mask=~some), pa.array(np.diff(begin)), pa.array(keys, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "node", "shingles", "bands", "low"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, bands binary, low binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, node long, shingles long, bands binary, low binary")
 
 
 def band_members(reps: DataFrame, n_buckets: int) -> DataFrame:
-    """Per band key that more than one node has: key, node."""
+    """Per band key that more than one node has: key, node, and to_node: the smallest node, if the key has more than BLOCK."""
     shift = np.uint64(64 - n_buckets.bit_length() + 1)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +194,14 @@ def band_members(reps: DataFrame, n_buckets: int) -> DataFrame:
     def gather(table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py(), "<u8", "<i8") for x in table.column("data")]
         key, node = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(key)
+        order = np.lexsort((node, key))
         key, node = key[order], node[order]
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[1:] == key[:-1]
-        shared = same[1:] | same[:-1]
-        return pa.table({"key": pa.array(key[shared].view(np.int64)), "node": pa.array(node[shared])})
+        head, ends = runs(key)
+        size = np.repeat(ends - head, ends - head)
+        shared, least = size > 1, np.repeat(node[head], ends - head)
+        return pa.table({"key": pa.array(key[shared].view(np.int64)), "node": pa.array(node[shared]), "to_node": pa.array(least[shared], mask=size[shared] <= BLOCK)})
 
-    return reps.select("node", "bands").mapInArrow(scatter, "bucket long, data binary").groupBy("bucket").applyInArrow(gather, "key long, node long")
+    return reps.select("node", "bands").mapInArrow(scatter, "bucket long, data binary").groupBy("bucket").applyInArrow(gather, "key long, node long, to_node long")
 
 
 def candidate_edges(members: DataFrame, reps: DataFrame, n_buckets: int, threshold: float) -> DataFrame:
@@ -286,16 +287,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
     known = rows.where("doc_id IS NOT NULL AND node IS NOT NULL")
     by = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     low = known.join(by.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).dropDuplicates(["node"])
-    reps = materialize(low.join(by, "node").select("node", "rep", "copies", "bands", "low"), "reps")
+    reps = materialize(low.join(by, "node").select("node", "rep", "copies", "shingles", "bands", "low"), "reps")
     n = reps.count()
     members = materialize(band_members(reps, power_of_two(n * BANDS / BUCKET_ENTRIES)), "members")
-    edges = candidate_edges(members, reps, power_of_two(members.count() * N_HASHES / BUCKET_BYTES), threshold)
-    groups = connect(edges, "groups")
+    edges = candidate_edges(members.where("to_node IS NULL").select("key", "node"), reps, power_of_two(members.count() * N_HASHES / BUCKET_BYTES), threshold)
+    groups = connect(edges.unionByName(members.where("node > to_node").select(F.col("node").alias("a"), F.col("to_node").alias("b"))), "groups")
     least = least_matches(threshold)
 
     ends = groups.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(groups.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
-    sizes = groups.groupBy(F.col("b").alias("comp")).agg((F.count("*") + 1).alias("size"))
-    at = materialize(ends.join(sizes, "comp").join(reps.select("node", "rep", "copies"), "node"), "grouped")
+    ends = ends.join(reps.select("node", "rep", "copies", "shingles"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
+    at = materialize(ends.drop("shingles").join(ends.groupBy("comp").agg(blocks.alias("blocks")), "comp"), "grouped")
     total = at.count()
     if total <= MAX_BROADCAST:
         at = F.broadcast(at)
@@ -311,15 +313,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
                     sets = [values[begin[x] : begin[x + 1]] for x in of]
                     sig = low_bytes(signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)])))
                     kept = part.take(pa.array(of))
-                    yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("node", "comp", "size", "copies")] + [pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "comp", "size", "copies", "low", "shingles"])
+                    yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("node", "comp", "blocks", "copies")] + [pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "comp", "blocks", "copies", "low", "shingles"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("t")).join(at, "rep").select("node", "comp", "size", "copies", "t")
-    sets = texts.mapInArrow(load_sets, "node long, comp long, size long, copies long, low binary, shingles binary")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("t")).join(at, "rep").select("node", "comp", "blocks", "copies", "t")
+    sets = texts.mapInArrow(load_sets, "node long, comp long, blocks int, copies long, low binary, shingles binary")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     n_cells = power_of_two(total / 1024)
-    sets = sets.withColumn("cell", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_cells))).drop("other", "size")
+    sets = sets.withColumn("cell", F.pmod(F.xxhash64("comp", "i", "j"), F.lit(n_cells))).drop("other", "blocks")
     found = materialize(sets.groupBy("cell").applyInArrow(lambda t: verify(t, least, threshold), "node long, links long, label long"), "links")
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
