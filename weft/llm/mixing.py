@@ -31,8 +31,8 @@ from weft.llm.base import materialize
 from weft.llm.hashing import mix
 
 BLOCK_LEN, N_SHARDS, SEED, CAP = 32, 64, 7, 2
-#: Rows for each bucket in which the places of a source's documents are added up.
-BUCKET_ROWS = 5_000
+#: Rows for each bucket in which the places of a source's documents are added up, and buckets whose sums are added up at once.
+BUCKET_ROWS, SUMS = 1_000, 1_000
 #: Rounds of the permutation.
 ROUNDS = 4
 #: One copy of a document, in the units in which copies are added up.
@@ -104,7 +104,11 @@ def pieces(rows: DataFrame, n_buckets: int, block_len: int) -> DataFrame:
     """The words of each row by block of its source: rid, ix, block, words. rows: rid, ix, doc_id, size, h."""
     rows = rows.where(F.col("size") > 0).withColumn("b", F.pmod("h", F.lit(n_buckets)))
     sums = rows.groupBy("ix", "b").agg(F.sum("size").alias("n"))
-    base = sums.select("ix", "b", (F.sum("n").over(W.Window.partitionBy("ix").orderBy("b")) - F.col("n")).alias("base"))
+    sums = sums.withColumn("bb", F.expr(f"b div {SUMS}"))
+    above = sums.groupBy("ix", "bb").agg(F.sum("n").alias("n"))
+    above = above.select("ix", "bb", (F.sum("n").over(W.Window.partitionBy("ix").orderBy("bb")) - F.col("n")).alias("above"))
+    within = sums.select("ix", "bb", "b", (F.sum("n").over(W.Window.partitionBy("ix", "bb").orderBy("b")) - F.col("n")).alias("base"))
+    base = within.join(above, ["ix", "bb"]).select("ix", "b", (F.col("above") + F.col("base")).alias("base"))
     own = W.Window.partitionBy("ix", "b").orderBy("h", "doc_id", "size", "rid")
     start = F.col("base") + F.sum("size").over(own) - F.col("size")
     at = rows.join(base, ["ix", "b"]).select("rid", "ix", "size", start.alias("start"))
