@@ -26,7 +26,7 @@ from weft.llm.spans import MAX_WINDOWS, PIECES, REGIONS, Held, Method, Part, Pie
 
 MIN_BYTES = 50
 #: Bytes that are transformed at once, unless the regions of one anchor have more.
-TRANSFORM_BYTES = 1 << 19
+TRANSFORM_BYTES = 1 << 17
 
 
 class Bytes(Unit):

@@ -33,7 +33,7 @@ from weft.llm.base import bound_batches, pack, power_of_two, runs, unpack
 from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
-PART_BYTES, BLOCK_BYTES, BUCKET_REGIONS = 4 << 20, 1 << 20, 1 << 17
+PART_BYTES, BLOCK_BYTES, BUCKET_REGIONS = 4 << 20, 1 << 18, 1 << 17
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 #: Windows of a region at most: as many as a mask has bits.
