@@ -1,6 +1,8 @@
+import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -225,6 +227,45 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, docs), items.limit(0)).count() == 0
 
 
+def leaks_brute(docs, items, threshold=0.8):
+    cut = lambda t: [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if x]
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [cut(t)] for i in range(len(w) - 4)}
+    sets, out = [(i, grams(t)) for i, t in docs], {}
+    for item, t in items:
+        if want := grams(t):
+            for i, held in sets:
+                if len(want & held) >= threshold * len(want) - 1e-9:
+                    out[i, item] = max(out.get((i, item), 0), len(want & held))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_leaks_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", broadcast)
+    r = random.Random(8)
+    items = [(k, prose(400 + k, n, 10**5)) for k, n in enumerate((5, 6, 8, 9, 12, 15, 16, 30, 40, 70, 150, 150))] + [(90, "a b c d"), (91, None)]
+    docs = []
+    for k in range(60):  # documents of all sizes that hold parts of items
+        item = items[k % 12][1].split()
+        at = r.randrange(max(1, len(item) // 4))
+        part = item[at : at + max(5, int(len(item) * r.uniform(0.7, 1.0)))]
+        docs.append((k, f"{prose(500 + k, 4 ** (k % 8), 10**5)} {' '.join(part)} {prose(600 + k, 30, 10**5)}"))
+    docs += [(100, None), (101, ""), (7, items[3][1]), (102, items[9][1]), (102, items[9][1])]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.n_shared for x in decontaminate.leaks(table(spark, docs), frame).collect()}
+    want = leaks_brute(docs, items)
+    assert len(want) > 20 and got == want
+
+
+def test_leak_search_alone(spark, sf_dir):
+    """The candidates hold what they must with the probability that the sketch promises; here, all of it."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): r.n_shared for r in queries.op3_benchmark_leaks(spark, sf_dir).collect()}
+    assert got == leaks_brute(docs, items) and got
+    assert [decontaminate.load_bits(q, 0.8) for q in (1, 4, 8, 16, 32, 64)] == sorted(decontaminate.load_bits(q, 0.8) for q in (1, 4, 8, 16, 32, 64))
+
+
 def test_language(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = queries.op1_compression_langid(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
@@ -245,11 +286,91 @@ def test_warc_round_trip(spark, sf_dir, duck):
     assert warc.to_arc(pages.limit(0)).count() == 0
 
 
+V1 = b"""filedesc://IA-001.arc 0.0.0.0 19960923142103 text/plain 76
+1 0 AlexaInternet
+URL IP-address Archive-date Content-type Archive-length
+
+http://www.dryswamp.edu:80/index.html 127.10.100.2 19961104142103 text/html 146
+HTTP/1.0 200 Document follows
+Date: Mon, 04 Nov 1996 14:21:06 GMT
+Server: NCSA/1.4.1
+content-TYPE: text/html
+
+<HTML>
+Hello World!!!
+\n\n\n\n\n
+http://www.dryswamp.edu:80/some file.html 127.10.100.2 19961104 text/html 9
+no header
+dns:archive.org 1.2.3.4 199611041421 text/dns 12
+archive.org.http://cut.example/ 1.2.3.4 19961104142103 text/plain 500
+only this"""
+V2 = b"""filedesc://IA-2.arc 0.0.0.0 20000101000000 text/plain 200 - - 0 IA-2.arc 122
+2 0 Crawl
+URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length
+
+
+http://a.example/ 1.1.1.1 20000102030405 text/html 200 abc - 122 IA-2.arc 42
+HTTP/1.1 200 OK\r
+X-Record-Key: 77\r
+\r
+\r\n\r\nbod
+
+garbage that no header declares
+http://b.example/ 1.1.1.1 20000102030405 text/html 200 abc - 122 IA-2.arc 44
+HTTP/1.1 200 OK\r
+x-record-key: \r
+\r
+<html></html>"""
+
+
+def fixed(raw):
+    """The lengths of the first two records set right, whatever their texts."""
+    lines = raw.split(b"\n")
+    heads = [i for i, x in enumerate(lines) if re.search(rb" \d+$", x) and re.match(rb"\w+:", x)]
+    for i, j in zip(heads[:2], heads[1:3]):
+        lines[i] = lines[i].rsplit(b" ", 1)[0] + b" " + str(len(b"\n".join(lines[i + 1 : j]))).encode()
+    return b"\n".join(lines)
+
+
+def test_genuine_arc_files():
+    got = [(f["url"], f["archive-date"], len(block), cut) for f, block, _, cut in warc.arc_records(fixed(V1))]
+    assert [g[0].split(":")[0] for g in got] == ["filedesc", "http", "http", "dns", "http"]
+    assert got[2][:3] == ("http://www.dryswamp.edu:80/some file.html", "19961104", 9) and got[3][2] == 12 and got[4][2:] == (9, True)
+    assert [warc.timestamp(g[1]) for g in got[1:4]] == ["1996-11-04T14:21:03Z", "1996-11-04T00:00:00Z", "1996-11-04T14:21:00Z"]
+    rows = [dict(zip(warc.CONVERTED.names, warc._converted("n", *r), strict=True)) for r in warc.arc_records(fixed(V1))]
+    assert [r["kind"] for r in rows] == ["warcinfo", "response", "resource", "resource", "resource"]
+    assert rows[1]["payload"].startswith(b"<HTML>") and rows[1]["head"].endswith(b"\n\n") and rows[3]["content_type"] == "text/dns"
+    assert len({r["record_id"] for r in rows}) == 5 and len({r["key"] for r in rows[1:]}) == 4
+    second = [warc._converted("n", *r) for r in warc.arc_records(fixed(V2))]
+    assert [(r[0], r[7][:3]) for r in second[1:]] == [(77, b"\r\n\r"), (None, b"<ht")]
+    whole, parts = gzip.compress(fixed(V1)), b"".join(gzip.compress(x) for x in (fixed(V1)[:300], fixed(V1)[300:]))
+    for raw in (whole, parts):
+        assert [r[1] for r in warc.arc_records(raw)] == [r[1] for r in warc.arc_records(fixed(V1))]
+    assert len(list(warc.arc_records(whole[:-60]))) >= 1 and list(warc.arc_records(b"")) == list(warc.arc_records(b"no arc\n\n")) == []
+
+
+def test_arc_files_to_warc(spark, tmp_path):
+    (tmp_path / "a.arc").write_bytes(fixed(V1))
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(fixed(V2)))
+    (tmp_path / "c.arc").write_bytes(b"")
+    got = {r.uri: r for r in warc.archive(warc.read_arc(spark, str(tmp_path))).collect()}
+    assert len(got) == 6 and got["http://a.example/"].key == 77 and got["http://b.example/"].key is None
+    assert got["http://cut.example/"].truncated and got["http://cut.example/"].payload_bytes == 9 and got["dns:archive.org"].record_type == "resource"
+
+
+def test_revisits_say_what_they_refer_to(spark):
+    pages = spark.createDataFrame([(None, "u", "x" * 200), (2, "http://second", "x" * 200), (1, "http://first", "x" * 200), (None, "u", None)], "page_id long, url string, html string")
+    rows = warc.archive(warc.to_arc(pages.withColumn("key", F.lit("clash")).withColumn("first", F.lit(1)))).collect()
+    first = next(r for r in rows if r.key == 1)
+    assert sorted((r.key or 0, r.record_type, r.refers_to) for r in rows) == [(0, "response", None), (0, "response", None), (1, "response", None), (2, "revisit", 1)]
+    assert next(r for r in rows if r.key == 2).refers_to_id == first.record_id
+
+
 def test_arc_versions():
     for version in (1, 2):
         raw = warc.arc_head(version, "n.arc", "20200101000000") + warc.arc_record(version, "http://a b", "19990102030405", b"body\n\nx", 9, "n.arc")
-        (fields, block), *rest = warc.arc_records(raw)
-        assert (fields["URL"], fields["Archive-date"], block, rest) == ("http://a b", "19990102030405", b"body\n\nx", [])
+        _, (fields, block, _, cut), *rest = warc.arc_records(raw)
+        assert (fields["url"], fields["archive-date"], block, cut, rest) == ("http://a b", "19990102030405", b"body\n\nx", False, [])
 
 
 def test_top_k(spark, sf_dir, duck):
@@ -259,6 +380,19 @@ def test_top_k(spark, sf_dir, duck):
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 0), (2, 2, 0)]
 
 
+def test_top_k_of_odd_vectors(spark):
+    v = [(0, [2.0**40, 1.0]), (1, [2.0**40, -3.0]), (2, [-(2.0**52), 5.0]), (3, [1e300, 0.0]), (4, [2.0**30, 7.0]), (5, [0.5, 0.25]), (5, [0.25, 0.5]), (5, [0.25, 0.5]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame([(i, x, "clash") for i, x in v], "vec_id long, embedding array<double>, which string")
+    got = bitslices.top_k(frame, F.col("vec_id") % 5 == 0, k=3).collect()
+    whole = [(i, [int(np.floor(1024 * y)) for y in x]) for i, x in v if i not in (3, None)]
+    want = []
+    for q, a in {(i, tuple(x)) for i, x in whole if i % 5 == 0}:
+        scores = sorted(((sum(m * n for m, n in zip(a, b)), i) for i, b in whole if i != q), key=lambda s: (-s[0], s[1]))[:3]
+        want += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, s))) for n, (s, i) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert bitslices.top_k(frame.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+
+
 def test_bit_arithmetic():
     r = np.random.default_rng(3)
     v, q = r.integers(-700, 700, (130, 9)), r.integers(-700, 700, 9)
@@ -267,14 +401,46 @@ def test_bit_arithmetic():
     assert all(sum(s << p for p, s in bitslices.naf(x)) == x for x in range(-300, 300))
 
 
-def test_shards(spark, sf_dir):
+def even(got, n, slack=0.08):
+    """Whether the shards are all there, near equal in bytes, and their slots gapless."""
+    by = got.groupby("shard")
+    size = by["size"].sum()
+    assert sorted(size.index) == list(range(n)) and (size - size.mean()).abs().max() <= slack * size.mean() + got["size"].max()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in by)
+
+
+@pytest.mark.parametrize("local_rows", [20, 1 << 14])
+def test_shards_of_the_documents(spark, sf_dir, monkeypatch, local_rows):
+    monkeypatch.setattr(shards, "LOCAL_ROWS", local_rows)
     got = queries.op5_kd_tree_shards(spark, sf_dir).toPandas()
-    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
+    even(got, 40)
+    assert sorted(got.doc_id) == sorted(docs.index) and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
+    raw = got.doc_id.map(docs).fillna("").map(str.encode)
+    assert (got["size"] == raw.map(len) + 16).all() and (got.text_crc32 == raw.map(zlib.crc32)).all()
+    same_rows(got, queries.op5_kd_tree_shards(spark, sf_dir).toPandas())
+
+
+@pytest.mark.parametrize("local_rows", [50, 1 << 14])
+def test_shards(spark, monkeypatch, local_rows):
+    monkeypatch.setattr(shards, "LOCAL_ROWS", local_rows)
     many = table(spark, [(i, "same text") for i in range(900)] + [(None, None), (None, "")])
-    size = shards.kd_shards(many, 8).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s
-    assert len(size) == 8 and size.max() < 1.1 * size.mean()
+    even(shards.kd_shards(many, 8).toPandas(), 8)
+    one = table(spark, [(1, "same id")] * 700 + [(None, "no id")] * 300).withColumn("tie", F.lit(1)).withColumn("node", F.lit(2))
+    even(shards.kd_shards(one, 7).toPandas(), 7)
+    groups = table(spark, [(i, f"text {i % 300} " * 20) for i in range(900)])
+    got = shards.kd_shards(groups, 4).toPandas()
+    even(got, 4)
+    assert (got.groupby("group").shard.nunique() == 1).all()
     assert shards.kd_shards(table(spark, []), 4).count() == 0
     assert shards.kd_shards(table(spark, [(1, "a")]), 1).first().shard == 0
+    assert shards.kd_shards(table(spark, [(i, "abc") for i in range(40)]), target_bytes=190).agg(F.count_distinct("shard")).first()[0] == 4
+
+
+def test_many_shards(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.hash("id"), F.lit(50))).alias("text"))
+    got = shards.kd_shards(rows, 5_000).groupBy("shard").agg(F.sum("size").alias("s")).toPandas()
+    assert len(got) == 5_000 and got.s.max() < 4 * got.s.mean()
 
 
 def test_licenses(spark):
@@ -291,16 +457,55 @@ def test_wrapped_licenses(spark):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(table(spark, texts)).collect()}
     assert got == dict.fromkeys(range(40), ("bsd", 1.0)) | {40: ("mit", 1.0), 41: ("", 0.0)}
     long = prose(60, 90, 10**6)
-    assert licenses.scan(table(spark, [(1, prose(61, 50) + " " + long)]), templates=(("long", long),)).first().labels == "long"
+    assert licenses.scan(table(spark, [(1, prose(61, 50) + " " + long)]), templates=(("long", long, ""),)).first().labels == "long"
+
+
+def test_license_labels(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation"
+    mit = licenses.TEMPLATES[1][1]
+    texts = [(1, gpl), (2, "It was released under the old license of the town."), (3, "\n".join(mit[i : i + 60] for i in range(0, len(mit), 60))), (4, "This library is licensed under the GNU Lesser General Public License"), (5, "Licensed under the\n * Apache License, Version 2.0\n"), (6, "Die Apache lizenz")]
+    got = {r.doc_id: (r.base_labels, r.labels) for r in licenses.scan(table(spark, texts)).collect()}
+    assert got == {1: ("gpl", "gpl"), 2: ("", ""), 3: ("", "mit"), 4: ("gpl", "gpl,lgpl"), 5: ("apache", "apache"), 6: ("", "")}
+    assert "lgpl" in got[4][1]
+
+
+def licenses_brute(text):
+    """Labels, base columns and score, block by block and template by template."""
+    own = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    base, starts, hits = set(), [], {}
+    for phrase, label in licenses.PHRASES:
+        p = phrase.encode().split()
+        found = [i for i in range(len(own)) if own[i : i + len(p)] == p]
+        starts += found
+        base |= {label} if found else set()
+    for i, (_, t, must) in enumerate(licenses.TEMPLATES):
+        words = re.findall(rb"[a-z0-9]+", t.lower().encode())
+        size = 1 << (len(words) - 1).bit_length()
+        for at in range(0, max(1, len(own) - size), size):
+            block = set(own[at : at + 2 * size])
+            share = len(set(words) & block) / len(set(words))
+            if share >= 0.8 - 1e-9 and set(must.encode().split()) <= block:
+                hits[i] = max(share, hits.get(i, 0))
+    labels = base | {licenses.TEMPLATES[i][0] for i in hits}
+    return len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if base else max(hits.values(), default=0.0)
+
+
+def test_license_query_against_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op7_license_scan(spark, sf_dir).collect()}
+    want = {r.doc_id: licenses_brute(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert got == want and any("," not in v[5] and v[5] for v in want.values()) and not any("lgpl" in v[5] for v in want.values())
 
 
 def test_prefix_filter_loses_no_match():
-    r, vocabulary = random.Random(5), [w for _, t in licenses.TEMPLATES for w in licenses.tokens(t.encode())]
+    r, vocabulary = random.Random(5), [w for _, t, _ in licenses.TEMPLATES for w in licenses.tokens(t.encode())]
     index = licenses.Index(licenses.TEMPLATES, {w: r.randrange(9) for w in vocabulary}, 0.8)
     for _ in range(2000):
         own = r.choice(index.sets)
         block = frozenset(w for w in own if r.random() < 0.85) | frozenset(r.choices(vocabulary, k=r.randrange(4)))
-        want = {i: len(s & block) / len(s) for i, s in enumerate(index.sets) if len(s & block) >= index.need[i]}
+        want = {i: len(s & block) / len(s) for i, s in enumerate(index.sets) if len(s & block) >= index.need[i] and index.must[i] <= block}
+        possible = set().union(*index.possible(block).values()) if want else set()
+        assert set(want) <= possible
         assert index.match(block) == want
 
 
@@ -320,6 +525,46 @@ def test_mix(spark, sf_dir):
     assert rows == {1: (2, 2), 2: (0, 0), None: (3, 3)}
 
 
+def mix_brute(docs, share=1.5, weights=(5, 2, 1), block=32, n_shards=64, seed=7):
+    """The mix drawn word by word: what it takes of each document."""
+    by = {}
+    for d in docs:
+        by.setdefault(d["source"], []).append(d)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = [sum(d["size"] for d in by[s]) for s in names]
+    goals = mixing.targets(sizes, [float(weights[i % 3]) for i in range(len(names))], share * sum(sizes))
+    n_blocks = [-(-s // block) for s in sizes]
+    slots = [round(t * b / s) if s else 0 for t, b, s in zip(goals, n_blocks, sizes)]
+    assert list(mixing.draw(slots, n_shards, seed).sum(0)) == slots
+    taken = {d["rid"]: 0 for d in docs}
+    buckets = max(1, len(docs) // mixing.BUCKET_ROWS)
+    for ix, s in enumerate(names):
+        words = [d["rid"] for d in sorted(by[s], key=lambda d: (d["h"] % buckets, d["h"])) for _ in range(d["size"])]
+        for k in range(slots[ix]):
+            key = np.array([(k // n_blocks[ix]) * len(names) + ix], np.uint64) + (np.uint64(seed) << np.uint64(40))
+            at = int(mixing.permute(np.array([k % n_blocks[ix]]), np.array([n_blocks[ix]]), key)[0])
+            for rid in words[at * block : (at + 1) * block]:
+                taken[rid] += 1
+    return taken, dict(zip(names, goals)), dict(zip(names, sizes))
+
+
+def test_mix_query_against_brute_force(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(mixing, "SUMS", 2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r.asDict() for r in docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").alias("rid"), "text").collect()]
+    for r in rows:
+        r["size"] = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    taken, goals, sizes = mix_brute(rows)
+    got = queries.op10_multinomial_mix(spark, sf_dir).toPandas()
+    assert {r.doc_id: r.taken for r in got.itertuples()} == taken
+    of = docs.select("doc_id", "source").toPandas().set_index("doc_id").source
+    for r in got.itertuples():
+        assert (r.size, r.source_size, r.target) == (next(x["size"] for x in rows if x["doc_id"] == r.doc_id), sizes[of[r.doc_id]], pytest.approx(goals[of[r.doc_id]]))
+    sums = got.assign(s=got.doc_id.map(of)).groupby("s").taken.sum()
+    assert all(abs(sums[s] - goals[s]) <= 64 + 0.01 * goals[s] for s in sums.index)
+
+
 def test_targets_and_permutation():
     t = mixing.targets([10, 100, 0, 50], [5, 2, 1, 5], 240)
     assert t[0] == 20 and t[2] == 0 and sum(t) == pytest.approx(240) and t[3] == 100

@@ -46,3 +46,27 @@ def test_mix_meets_its_targets(spark, sf_dir):
     assert want["c"] < 0.4 * size["c"] and {s: got.get(s, 0) / t for s, t in want.items()} == {s: pytest.approx(1, abs=0.02) for s in want}
     again = corpus_pipeline.mix_sources(spark, docs.repartition(5), sf_dir)
     assert mixed.exceptAll(again).count() == again.exceptAll(mixed).count() == 0
+
+
+def test_rows_are_judged_by_their_own_texts(spark, sf_dir):
+    """Rows that share an id, or have none, neither go with others nor stay beside them."""
+    one, other = prose(70, 80), prose(71, 80)
+    item = load(spark, sf_dir, "benchmark").orderBy("item_id").first().text
+    rows = [(1, one, "a"), (2, one, "a"), (2, other, "a"), (2, other, "b"), (None, one, "a"), (None, prose(72, 80), "a"), (None, prose(72, 80), "a"), (3, item, "a"), (3, prose(73, 80), "a"), (None, f"{item} end", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, "x") for i, t, s in rows], "doc_id long, text string, lang string, source string, key int, `a.b` string")
+    first = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    kept = sorted((r.doc_id or 0, r.text) for r in first.collect())
+    assert first.columns == docs.columns
+    assert kept in (sorted([(0, prose(72, 80)), (1, one), (2, other), (3, item), (3, prose(73, 80))]), sorted([(0, prose(72, 80)), (0, f"{item} end"), (1, one), (2, other), (3, item), (3, prose(73, 80))]))
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, sf_dir).collect()) == sorted((i or 0, t) for i, t, _ in rows if item not in t)
+    assert corpus_pipeline.mix_sources(spark, docs, sf_dir).columns == docs.columns
+
+
+def test_whole_run(spark, sf_dir):
+    got = corpus_pipeline.run(spark, sf_dir).toPandas()
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n")).toPandas().set_index("doc_id").n
+    assert set(got.columns) == {"doc_id", "size", "shard", "slot"} and set(got.doc_id) <= set(docs.index)
+    assert (got["size"] == got.doc_id.map(docs) + 16).all()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    size = got.groupby("shard")["size"].sum().reindex(range(corpus_pipeline.N_SHARDS), fill_value=0)
+    assert (size - size.mean()).abs().max() <= 0.08 * size.mean() + got["size"].max()
