@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.sources.scratch import settle
+
 
 def in_graphs(quads: DataFrame, *graphs: str) -> DataFrame:
     return quads.where(F.col("g").isin(list(graphs)))
@@ -83,28 +85,33 @@ def infer_two_hops(quads: DataFrame, first: str, cls: str, second: str, target:
 
 
 def closure(edges: DataFrame, child: str = "c", parent: str = "p") -> DataFrame:
-    """Reflexive transitive closure with the least number of steps (c, a, d), by a recursive CTE; an ontology's class tree is small."""
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView("weft_edges")
-    return spark.sql("""
-        WITH RECURSIVE up(c, a, d) AS (
-            SELECT DISTINCT n, n, 0 FROM (SELECT c AS n FROM weft_edges UNION SELECT p FROM weft_edges)
-            UNION ALL SELECT up.c, e.p, up.d + 1 FROM up JOIN weft_edges e ON e.c = up.a WHERE up.d < 64)
-        SELECT c, a, min(d) AS d FROM up GROUP BY c, a""")
+    """Reflexive transitive closure with the least number of steps (c, a, d), of any graph, cycles included. Paths double their length with each round,
+    so there are as many rounds as the longest distance has binary digits, and one that finds nothing new."""
+    e = edges.select(F.col(child).alias("c"), F.col(parent).alias("a")).where("c IS NOT NULL AND a IS NOT NULL")
+    nodes = e.select("c").union(e.select("a")).select("c", F.col("c").alias("a"), F.lit(0).alias("d"))
+    up = settle(nodes.unionByName(e.withColumn("d", F.lit(1))).groupBy("c", "a").agg(F.min("d").alias("d")))
+    state = up.agg(F.count("*"), F.sum("d")).first()
+    while True:
+        step = up.select(F.col("c").alias("a"), F.col("a").alias("b"), F.col("d").alias("d2"))
+        longer = up.join(step, "a").select("c", F.col("b").alias("a"), (F.col("d") + F.col("d2")).alias("d"))
+        up = settle(longer.groupBy("c", "a").agg(F.min("d").alias("d")))
+        was, state = state, up.agg(F.count("*"), F.sum("d")).first()
+        if was == state:
+            return up
 
 
 def common_ancestors(pairs: DataFrame, up: DataFrame) -> DataFrame:
     """Per pair (c1, c2): the lowest common ancestor (nearest by steps, then by name) and the steps to it."""
     a = up.select(F.col("c").alias("c1"), F.col("a").alias("lca"), F.col("d").alias("d1"))
     b = up.select(F.col("c").alias("c2"), F.col("a").alias("lca"), F.col("d").alias("d2"))
-    shared = pairs.join(F.broadcast(a), "c1").join(F.broadcast(b), ["c2", "lca"])
+    shared = pairs.join(a, "c1").join(b, ["c2", "lca"])
     return shared.groupBy("c1", "c2").agg(F.min(F.struct(F.col("d1") + F.col("d2"), "lca", "d1", "d2")).alias("m")).select("c1", "c2", "m.lca", "m.d1", "m.d2")
 
 
 def similarities(lcas: DataFrame, up: DataFrame, root: str) -> DataFrame:
     """Wu-Palmer and depth similarity of each pair."""
     depth = up.where(F.col("a") == root).select(F.col("c").alias("lca"), F.col("d").alias("d0"))
-    joined = lcas.join(F.broadcast(depth), "lca")
+    joined = lcas.join(depth, "lca")
     d0, d1, d2 = F.col("d0"), F.col("d1"), F.col("d2")
     far = lambda d: 1 - F.pow(F.lit(0.5), d)
     same = F.col("c1") == F.col("c2")

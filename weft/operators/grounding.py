@@ -37,10 +37,24 @@ def in_plain(value: Column, text: Column) -> Column:
 
 
 def wikicheck(facts: DataFrame, texts: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Facts (s, p, o) of shape properties (p, range) that the text of their entity (s, text) expresses. The shape is broadcast; facts and
-    texts meet on the entity."""
+    """Facts (s, p, o) of shape properties (p, range) that the text of their entity (s, text and perhaps md, its markdown) expresses. Objects (a range that is
+    neither a datatype nor text) count as found where the markdown links to them, or without markdown where the text has their name. The shape is
+    broadcast; facts and texts meet on the entity."""
     typed = facts.join(F.broadcast(kinds), "p")
-    return typed.join(texts, "s").withColumn("found", in_text(F.col("o"), F.col("range"), F.col("p"), F.col("text"))).select("s", "p", "o", "found")
+    is_object = ~F.col("range").startswith("xsd:") & ~F.col("range").startswith("rdf:")
+    linked = in_markdown(F.col("o"), F.col("md")) if "md" in texts.columns else in_plain(F.col("o"), F.col("text"))
+    found = F.when(is_object, linked).otherwise(in_text(F.col("o"), F.col("range"), F.col("p"), F.col("text")))
+    return typed.join(texts, "s").withColumn("found", found).select("s", "p", "o", "found")
+
+
+def in_plain_text(facts: DataFrame, texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """wikicheck() against plain text only, for any property: one without a range is found where the text contains its value but for case."""
+    typed = facts.join(F.broadcast(kinds), "p", "left")
+    is_object = F.col("o").startswith(":") | (~F.col("range").startswith("xsd:") & ~F.col("range").startswith("rdf:"))
+    known = F.when(is_object, in_plain(F.col("o"), F.col("text"))).otherwise(in_text(F.col("o"), F.col("range"), F.col("p"), F.col("text")))
+    loose = F.coalesce(contains_ci(F.col("text"), F.col("o")), F.lit(False))
+    found = F.when(F.col("range").isNull() & ~F.col("o").startswith(":"), loose).otherwise(known)
+    return typed.join(texts, "s").withColumn("found", found).select("s", "p", "o", "found")
 
 
 def rate(checked: DataFrame, entity: str = "s") -> DataFrame:
@@ -49,14 +63,26 @@ def rate(checked: DataFrame, entity: str = "s") -> DataFrame:
     return by.select(entity, "n", "n_found", F.round(100 * F.col("n_found") / F.col("n"), 2).alias("rate"))
 
 
-def contained(values: DataFrame, texts: DataFrame, key: str = "s", n: int = 5) -> DataFrame:
-    """(value id, text key) where the text contains the value, entity unknown. The pairs meet on a word n-gram: a text holds a value of n
-    words or more only if it holds the value's first whole n-gram, so an equi-join replaces the nested loop; then the substring test decides.
-    Values of fewer words have no whole n-gram (n + 2 words are needed, as the first and last may be cut)."""
-    grams = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
-    v = values.withColumn("w", F.split("value", "\\s+")).where(F.size("w") >= n + 2).withColumn("h", F.xxhash64(F.slice("w", 2, n)))
-    t = texts.withColumn("w", F.split("text", "\\s+")).where(F.size("w") >= n).withColumn("h", F.explode(F.array_distinct(grams(F.col("w")))))
-    return t.drop("w").join(v.drop("w"), "h").where(F.contains("text", "value")).select("item", key).distinct()
+def contained(values: DataFrame, texts: DataFrame, key: str = "s", n: int = 5, chars: int = 4) -> DataFrame:
+    """(value id, text key) where the text contains the value, entity unknown. The pairs meet on what a text must hold whole if it contains the value: the words
+    after the value's first one, n at most and without its last; of a value of one or two words, its first characters. These keys alone are
+    joined; then the substring test decides on the candidates' texts."""
+    v = values.where(F.col("value") != "").withColumn("w", F.split("value", "\\s+")).withColumn("words", F.least(F.lit(n), F.size("w") - 2))
+    v = v.withColumn("m", F.when(F.col("words") > 0, F.col("words")).otherwise(-F.least(F.lit(chars), F.length("value"))))
+    v = v.withColumn("h", F.when(F.col("m") > 0, F.xxhash64(F.slice("w", 2, F.greatest("m", F.lit(0))))).otherwise(F.xxhash64(F.substring("value", F.lit(1), F.greatest(-F.col("m"), F.lit(0))))))
+    sizes = [r.m for r in v.select("m").distinct().collect()]  # n + chars at most
+    t = texts.select(F.col(key).alias("t_key"), "text").where("text IS NOT NULL").withColumn("t_id", F.xxhash64("t_key", "text"))
+
+    def grams(m: int) -> Column:
+        first = F.when(F.size("w") >= m, F.sequence(F.lit(0), F.size("w") - m)) if m > 0 else F.when(F.length("text") >= -m, F.sequence(F.lit(0), F.length("text") + m))
+        each = (lambda i: F.xxhash64(F.slice("w", i + 1, m))) if m > 0 else (lambda i: F.xxhash64(F.substring("text", i + 1, F.lit(-m))))
+        return F.struct(F.lit(m).alias("m"), F.coalesce(F.array_distinct(F.transform(first, each)), F.array().cast("array<long>")).alias("hs"))
+
+    if not sizes:
+        return v.join(t, F.lit(False)).select("item", F.col("t_key").alias(key))
+    held = t.withColumn("w", F.split("text", "\\s+")).select("t_id", F.inline(F.array(*[grams(m) for m in sorted(sizes)]))).select("t_id", "m", F.explode("hs").alias("h"))
+    pairs = held.join(v.select("item", "value", "m", "h"), ["m", "h"]).select("t_id", "item", "value").distinct()
+    return pairs.join(t, "t_id").where(F.contains("text", "value")).select("item", F.col("t_key").alias(key)).distinct()
 
 
 def tag(text: Column, values: Column, mask: str | None = None) -> Column:
