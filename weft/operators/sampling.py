@@ -33,40 +33,50 @@ def strata(facts: DataFrame, key: str = "s", prop: str = "p") -> DataFrame:
     return facts.select(key).distinct().join(hit, key, "left").select(key, F.coalesce(f"m.{prop}", F.lit("NONE")).alias("stratum"))
 
 
+def ranked(rows: DataFrame, order: Column, *more: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds n, the place in the order (an MD5 in hexadecimal, then further columns) within each group of `by`, and all, the rows of the group. Groups are cut into
+    65,536 buckets by the first digits, whose counts are added up; so no task sorts a whole group."""
+    keys = [*by, "__b"]
+    hashed = rows.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, 4))
+    counts = hashed.groupBy(*keys).agg(F.count("*").alias("__c"))
+    group = W.Window.partitionBy(*by) if by else W.Window.partitionBy()
+    base = counts.select(*keys, (F.sum("__c").over(group.orderBy("__b")) - F.col("__c")).alias("__a"), F.sum("__c").over(group).alias("all"))
+    base = base if by else F.broadcast(base)  # a row for each bucket
+    place = F.row_number().over(W.Window.partitionBy(*keys).orderBy("__o", *more)) - 1
+    return hashed.withColumn("__r", place).join(base, keys).withColumn("n", F.col("__a") + F.col("__r")).drop("__o", "__b", "__a", "__r")
+
+
 def stratified_split(rows: DataFrame, stratum: str, share: int = 6, key: str = "s", seed: int = 0) -> DataFrame:
     """test for one in `share` of each stratum (rounded down), train for the rest."""
-    w = W.Window.partitionBy(stratum)
-    place, n = F.row_number().over(w.orderBy(uid(F.col(key), seed), key)), F.count("*").over(w)
-    return rows.withColumn("split", F.when(place <= F.floor(n / share), "test").otherwise("train"))
+    placed = ranked(rows, uid(F.col(key), seed), key, by=(stratum,))
+    return placed.withColumn("split", F.when(F.col("n") < F.floor(F.col("all") / share), "test").otherwise("train")).drop("n", "all")
 
 
-def _ranked(rows: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
-    """Adds n, the place in the order from 0, without one task that sorts all: range parts, their counts, places within them."""
-    hashed = rows.withColumn("__o", order[0]).withColumn("__p", F.conv(F.substring("__o", 1, 2), 16, 10).cast("int"))
-    counts = hashed.groupBy("__p").agg(F.count("*").alias("__c"))
-    base = counts.select("__p", (F.sum("__c").over(W.Window.orderBy("__p")) - F.col("__c")).alias("__b"))  # 256 rows
-    place = F.row_number().over(W.Window.partitionBy("__p").orderBy("__o", *order[1:])) - 1
-    return hashed.withColumn("__r", place).join(F.broadcast(base), "__p").withColumn("n", F.col("__b") + F.col("__r")).drop("__o", "__p", "__b", "__r")
+def stratified_kfold(rows: DataFrame, stratum: str, k: int, key: str = "s", seed: int = 42) -> DataFrame:
+    """Folds that share out each stratum evenly: its rows go round the folds in a random order, beginning where a hash of the stratum says."""
+    placed = ranked(rows, uid(F.col(key), seed), key, by=(stratum,))
+    begin = F.conv(F.substring(uid(F.col(stratum), seed), 1, 6), 16, 10).cast("long")
+    return placed.withColumn("fold", F.pmod(F.col("n") + begin, F.lit(k)).cast("int")).drop("n", "all")
 
 
 def kfold(rows: DataFrame, k: int, key: str = "s", seed: int = 42) -> DataFrame:
     """Contiguous folds of a random order, sizes at most one apart."""
-    ranked, total = _ranked(rows, [uid(F.col(key), seed), F.col(key)]), rows.agg(F.count("*").alias("__all"))
-    return ranked.join(F.broadcast(total)).withColumn("fold", F.floor(F.col("n") * k / F.col("__all")).cast("int")).drop("n", "__all")
+    placed = ranked(rows, uid(F.col(key), seed), key)
+    return placed.withColumn("fold", F.floor(F.col("n") * k / F.col("all")).cast("int")).drop("n", "all")
 
 
 def slices(rows: DataFrame, cuts: dict[str, tuple[int, int]], key: str = "s", seed: int = 42) -> DataFrame:
     """Splits by place in a random order: name -> [begin, end)."""
-    ranked = _ranked(rows, [uid(F.col(key), seed), F.col(key)])
+    placed = ranked(rows, uid(F.col(key), seed), key)
     split = F.lit(None).cast("string")
     for name, (a, b) in cuts.items():
         split = F.when((F.col("n") >= a) & (F.col("n") < b), name).otherwise(split)
-    return ranked.withColumn("split", split).where("split IS NOT NULL").drop("n")
+    return placed.withColumn("split", split).where("split IS NOT NULL").drop("n", "all")
 
 
 def pages(rows: DataFrame, size: int, key: str = "s", seed: int = 42) -> DataFrame:
     """The page of each row, `size` rows on each, in a random order: all LIMIT/OFFSET pages at once."""
-    return _ranked(rows, [uid(F.col(key), seed), F.col(key)]).withColumn("page", F.floor(F.col("n") / size).cast("int")).drop("n")
+    return ranked(rows, uid(F.col(key), seed), key).withColumn("page", F.floor(F.col("n") / size).cast("int")).drop("n", "all")
 
 
 def augment(sample: DataFrame, synthetic: DataFrame, key: str = "s") -> DataFrame:
@@ -77,9 +87,10 @@ def augment(sample: DataFrame, synthetic: DataFrame, key: str = "s") -> DataFram
 
 
 def capped_reuse(pairs: DataFrame, cap: int, left: str = "template", right: str = "filler", order: str = "uid") -> DataFrame:
-    """Pairs in which either side has been used fewer than cap times before."""
-    used = lambda c: F.row_number().over(W.Window.partitionBy(c).orderBy(order, left, right))
-    return pairs.withColumn("__l", used(left)).withColumn("__r", used(right)).where((F.col("__l") <= cap) | (F.col("__r") <= cap)).drop("__l", "__r")
+    """Distinct pairs in which either side has been used fewer than cap times before: the first cap of each left and of each right one, which Spark
+    cuts to cap rows a key before it shuffles them."""
+    first = lambda c: pairs.withColumn("__n", F.row_number().over(W.Window.partitionBy(c).orderBy(order, left, right))).where(F.col("__n") <= cap).drop("__n")
+    return first(left).unionByName(first(right)).distinct()
 
 
 def class_weights(rows: DataFrame, cls: str) -> DataFrame:
@@ -92,8 +103,9 @@ def class_weights(rows: DataFrame, cls: str) -> DataFrame:
 def same_level(signatures: DataFrame, key: str = "s", sig: str = "signature", seed: int = 42) -> DataFrame:
     """Template and filler with the same signature: each entity with the next one in random order, and both orders. Linear in the
     entities: a chain within each signature, not all pairs."""
-    w = W.Window.partitionBy(sig).orderBy(uid(F.col(key), seed), key)
-    chain = signatures.withColumn("next", F.lead(key).over(w)).where("next IS NOT NULL").select(F.col(key).alias("a"), F.col("next").alias("b"), sig)
+    placed = ranked(signatures, uid(F.col(key), seed), key, by=(sig,))
+    after = placed.select(sig, (F.col("n") - 1).alias("n"), F.col(key).alias("b"))
+    chain = placed.select(sig, "n", F.col(key).alias("a")).join(after, [sig, "n"]).drop("n")
     both = F.array(F.struct(F.col("a").alias("template"), F.col("b").alias("filler")), F.struct(F.col("b").alias("template"), F.col("a").alias("filler")))
     return chain.select(sig, F.inline(both))
 
@@ -107,3 +119,22 @@ def low_level(signatures: DataFrame, key: str = "s", sig: str = "sig", seed: int
     need = a.where(F.size("sa") > 0).withColumn("m", F.explode("sa"))
     hit = need.join(member, "m").groupBy("template", "filler", F.size("sa").alias("na"), F.size("sb").alias("nb")).agg(F.count("*").alias("n"))
     return hit.where("n = na AND na < nb").select("template", "filler")
+
+
+def with_property(facts: DataFrame, prop: str, taken: DataFrame, key: str = "s") -> DataFrame:
+    """The entities of a sample and all that have the property."""
+    return taken.select(key).union(facts.where(F.col("p") == prop).select(key)).distinct()
+
+
+def usable(rows: DataFrame, props: list[str], least: int = 10) -> DataFrame:
+    """Rows with a property of the shape whose text, and markdown if there is a column md, is longer than `least` characters."""
+    long = F.length("text") > least
+    if "md" in rows.columns:
+        long = long & (F.length("md") > least)
+    return rows.where(long & F.col("p").isin(props))
+
+
+def next_name(names: list[str], stem: str = "sample") -> str:
+    """The first free name, <stem>_<number>."""
+    numbers = [int(n.rsplit("_", 1)[1]) for n in names if n.startswith(f"{stem}_") and n.rsplit("_", 1)[1].isdigit()]
+    return f"{stem}_{max(numbers, default=-1) + 1}"

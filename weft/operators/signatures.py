@@ -8,10 +8,11 @@ from pyspark.sql import window as W
 
 
 def property_frequency(facts: DataFrame, entity: str = "s", prop: str = "p") -> DataFrame:
-    """Per property: entities that realise it, and their share of all entities."""
-    total = facts.agg(F.count_distinct(entity).alias("total"))
-    by = facts.groupBy(prop).agg(F.count_distinct(entity).alias("nb"))
-    return by.join(F.broadcast(total)).select(F.col(prop).alias("p"), "nb", F.round(F.col("nb") / F.col("total"), 6).alias("freq"))
+    """Per property: entities that realise it, and their share of all entities. One pass: each entity's set of properties, with a mark that counts the entities."""
+    own = facts.groupBy(entity).agg(F.collect_set(prop).alias("ps"))
+    counts = own.select(F.explode(F.concat("ps", F.array(F.lit(None).cast("string")))).alias("p")).groupBy("p").agg(F.count("*").alias("nb"))
+    whole = counts.agg(F.collect_list(F.struct("p", "nb")).alias("each"), F.max(F.when(F.col("p").isNull(), F.col("nb"))).alias("total"))  # a shape's properties are few
+    return whole.select("total", F.inline("each")).where("p IS NOT NULL").select("p", "nb", F.round(F.col("nb") / F.col("total"), 6).alias("freq"))
 
 
 def entity_signatures(facts: DataFrame, entities: DataFrame | None = None, entity: str = "s", prop: str = "p") -> DataFrame:
@@ -53,6 +54,26 @@ def one_hot(signatures: DataFrame, props: list[str]) -> DataFrame:
     return signatures.select(*flags).groupBy(*props).agg(F.count("*").alias("nb"))
 
 
-def prune_properties(facts: DataFrame, least: int) -> DataFrame:
-    """Properties of a shape worth keeping: used by `least` entities at least."""
-    return property_frequency(facts).where(F.col("nb") >= least).select("p", "nb")
+def prune_properties(facts: DataFrame, least: int, members: DataFrame | None = None) -> DataFrame:
+    """Properties of a shape worth keeping: used by `least` entities at least, of the class's members (s) if those are given."""
+    scoped = facts if members is None else facts.join(members.select("s").distinct(), "s", "left_semi")
+    return property_frequency(scoped).where(F.col("nb") >= least).select("p", "nb")
+
+
+def sampled_patterns(signatures: DataFrame, sample: DataFrame, entity: str = "s") -> DataFrame:
+    """signature_counts() of the entities of a sample."""
+    return signature_counts(signatures.join(sample.select(entity).distinct(), entity, "left_semi"))
+
+
+def tallies(facts: DataFrame, entity: str = "s", prop: str = "p", first_is_zero: bool = False) -> DataFrame:
+    """Properties by rarity, the rarest first (place), and signatures alike: kind (property or pattern), name, nb. first_is_zero: the first sighting of a name doesn't count."""
+    own = entity_signatures(facts, None, entity, prop)
+    each = own.select(F.inline(F.concat(F.transform("sig", lambda p: F.struct(F.lit("property").alias("kind"), p.alias("name"))), F.array(F.struct(F.lit("pattern").alias("kind"), F.array_join("sig", ",").alias("name"))))))
+    by = each.groupBy("kind", "name").agg((F.count("*") - int(first_is_zero)).alias("nb"))
+    return by.withColumn("place", F.row_number().over(W.Window.partitionBy("kind").orderBy("nb", "name")))
+
+
+def property_numbers(facts: DataFrame, entity: str = "s", prop: str = "p", cls: str | None = None) -> DataFrame:
+    """Per entity (of a class, if one is named) the number of its different properties; an entity that isn't there has no row."""
+    known = facts if cls is None else facts.join(facts.where((F.col(prop) == "rdf:type") & (F.col("o") == cls)).select(entity).distinct(), entity, "left_semi")
+    return known.groupBy(entity).agg(F.count_distinct(prop).alias("n_props"))
