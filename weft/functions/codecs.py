@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from weft.functions.text import encode_uri
+from weft.functions.text import ascii_only, decode_uri, encode_uri
 
 #: The regular language of the one-line form: subject, type, then properties with literals or object lists.
 _LOCAL = "[^ ;,.\"]+"
@@ -18,12 +15,14 @@ GRAMMAR = f'^:{_LOCAL} *a *:{_LOCAL} *(; *:{_LOCAL} *("[^"]*"|:{_LOCAL}( *, *:{_
 
 
 def serialize(facts: DataFrame, subject: str = "s") -> DataFrame:
-    """Per subject of (s, p, o, k): the line `:S a :Type; :p "literal"; :q :A, :B .`; properties and values sorted, the type first."""
+    """Per subject of (s, p, o, k): the line `:S a :Type; :p "literal"; :q :A, :B .`; properties and values sorted, the type first. One grouping: a value that
+    follows one of the same property continues its list."""
     value = F.when(F.col("k") == "iri", F.concat(F.lit(":"), F.col("o"))).otherwise(F.concat(F.lit('"'), F.col("o"), F.lit('"')))
-    by = facts.withColumn("v", value).groupBy(subject, "p").agg(F.array_join(F.array_sort(F.collect_set("v")), ", ").alias("v"))
-    first = F.when(F.col("p") == "rdf:type", F.concat(F.lit("a "), F.col("v"))).otherwise(F.concat(F.lit(":"), F.col("p"), F.lit(" "), F.col("v")))
-    parts = by.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct((F.col("p") != "rdf:type").alias("later"), F.col("p").alias("p"), first.alias("t")))).alias("parts"))
-    return parts.select(subject, F.concat(F.lit(":"), F.col(subject), F.lit(" "), F.array_join("parts.t", "; "), F.lit(" .")).alias("line"))
+    each = F.struct((F.col("p") != "rdf:type").alias("later"), F.col("p").alias("p"), value.alias("v"))
+    by = facts.groupBy(subject).agg(F.array_sort(F.collect_set(each)).alias("parts"))
+    name = lambda t: F.when(t["later"], F.concat(F.lit(":"), t["p"], F.lit(" "))).otherwise(F.lit("a "))
+    text = lambda t, i: F.concat(F.when(i == 0, F.lit(" ")).when(F.get("parts", i - 1)["p"] == t["p"], F.lit(", ")).otherwise(F.lit("; ")), F.when((i > 0) & (F.get("parts", i - 1)["p"] == t["p"]), F.lit("")).otherwise(name(t)), t["v"])
+    return by.select(subject, F.concat(F.lit(":"), F.col(subject), F.array_join(F.transform("parts", text), ""), F.lit(" .")).alias("line"))
 
 
 def statements(facts: DataFrame, subject: str = "s", gap: str = " ", datatypes: bool = False) -> DataFrame:
@@ -46,7 +45,8 @@ def parse(line: Column) -> Column:
     text = F.regexp_replace(F.trim(line), "\\s*\\.\\s*$", "")
     subject = F.regexp_extract(text, "^:?(\\S+?)\\s*\\ba\\s*:", 1)
     kind = F.regexp_extract(text, "^:?\\S+?\\s*\\ba\\s*:([^\\s;.]+)", 1)
-    rest = F.slice(F.split(text, ";"), 2, 10_000)
+    parts = F.split(text, ";")
+    rest = F.slice(parts, 2, F.size(parts))
 
     def one(part: Column) -> Column:
         name = F.regexp_extract(part, "^\\s*:([^\\s\":]+)", 1)
@@ -65,7 +65,7 @@ def parse_ultra(line: Column) -> Column:
     parts = F.split(line, ";")
     head = F.split(F.trim(F.get(parts, F.lit(0))), " ")
     first = F.struct(F.get(head, F.lit(0)).alias("subj"), F.lit("type").alias("prop"), F.get(head, F.lit(2)).alias("val"))
-    rest = F.filter(F.slice(parts, 2, 10_000), lambda x: x.contains('"'))
+    rest = F.filter(F.slice(parts, 2, F.size(parts)), lambda x: x.contains('"'))
     name = lambda x: F.trim(F.replace(F.regexp_replace(x, '"[^"]*"', ""), F.lit("."), F.lit("")))
     facts = F.transform(rest, lambda x: F.struct(first["subj"].alias("subj"), name(x).alias("prop"), F.regexp_extract(x, '"([^"]*)"', 1).alias("val")))
     return F.concat(F.array(first), facts)
@@ -96,11 +96,12 @@ def from_tags(text: Column) -> Column:
 
 def from_triplet_tokens(text: Column) -> Column:
     """`<triplet> head <subj> tail <obj> relation`, several tails for a head: (subj, prop, val) triples."""
-    heads = F.slice(F.split(text, "<triplet>"), 2, 10_000)
+    pieces = F.split(text, "<triplet>")
+    heads = F.slice(pieces, 2, F.size(pieces))
 
     def one(chunk: Column) -> Column:
         head = F.trim(F.substring_index(chunk, "<subj>", 1))
-        tails = F.filter(F.slice(F.split(chunk, "<subj>"), 2, 10_000), lambda x: x.contains("<obj>"))
+        tails = F.filter(F.slice(F.split(chunk, "<subj>"), 2, F.length(chunk)), lambda x: x.contains("<obj>"))
         return F.transform(tails, lambda x: F.struct(head.alias("subj"), F.trim(F.substring_index(x, "<obj>", -1)).alias("prop"), F.trim(F.substring_index(x, "<obj>", 1)).alias("val")))
 
     return F.flatten(F.transform(heads, one))
@@ -158,18 +159,58 @@ def syntax_of(dataset: str) -> dict[str, str | bool]:
     return {"syntax": found[1] if found else "", "datatype": False, "inLine": False, "facto": False} | flags
 
 
-@F.pandas_udf(DoubleType())
-def char_bleu(predicted: pd.Series, gold: pd.Series) -> pd.Series:
-    """BLEU over characters up to 4-grams with brevity penalty, in percent; add-one smoothing above unigrams."""
+def char_bleu(predicted: Column, references: Column) -> Column:
+    """BLEU over characters but spaces, up to 4-grams, against an array of references, from 0 to 1: clipped precisions without smoothing (0 if one is 0),
+    brevity against the reference nearest in length."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: F.trim(x) != "")
+    grams = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+    own, others = chars(predicted), F.transform(references, chars)
+
+    def log_precision(n: int) -> Column:
+        mine, theirs = grams(own, n), F.transform(others, lambda r: grams(r, n))
+        most = lambda g: F.array_max(F.transform(theirs, lambda r: times(r, g)))
+        hits = F.aggregate(F.array_distinct(mine), F.lit(0), lambda acc, g: acc + F.least(times(mine, g), most(g)))
+        return F.ln(F.nullif(hits.cast("double"), F.lit(0.0)) / F.size(mine))
+
+    logs = sum((log_precision(n) / 4 for n in range(1, 5)), F.lit(0.0))
+    sizes = F.transform(others, lambda r: F.size(r))
+    nearest = F.element_at(F.array_sort(F.transform(sizes, lambda n: F.struct(F.abs(n - F.size(own)).alias("far"), n.alias("n")))), 1)["n"]
+    short = F.least(F.lit(0.0), 1 - F.try_divide(nearest.cast("double"), F.size(own)))
+    return F.coalesce(F.exp(short + logs), F.lit(0.0))
+
+
+def parse_statements(line: Column) -> Column:
+    """(subj, prop, val) triples of the form with a statement for each fact (statements()); a statement without an object gives the value NULL."""
+    def one(part: Column) -> Column:
+        subject, prop = F.regexp_extract(part, "^\\s*:?(\\S+)", 1), F.regexp_extract(part, "^\\s*:?\\S+\\s+:?([^\\s:\"]+)", 1)
+        value = F.trim(F.regexp_replace(part, "^\\s*:?\\S+\\s+:?[^\\s:\"]+\\s*", ""))
+        literal = F.regexp_extract(value, '^"([^"]*)"', 1)
+        val = F.when(value == "", F.lit("NULL")).when(value.startswith('"'), literal).when(prop == "a", F.regexp_replace(value, "^:", "")).otherwise(value)
+        return F.struct(subject.alias("subj"), F.when(prop == "a", F.lit("type")).otherwise(prop).alias("prop"), val.alias("val"))
+
+    pieces = F.filter(F.split(F.regexp_replace(F.trim(line), "\\s*\\.\\s*$", ""), "\\s+\\.\\s+"), lambda x: F.trim(x) != "")
+    return F.coalesce(F.filter(F.transform(pieces, one), lambda t: t["prop"] != ""), F.array().cast(TRIPLES))
+
+
+def accepted_after_decoding(line: Column, times: int = 2) -> Column:
+    """Whether the line, or what up to `times` percent-decodings make of it, is in the grammar; characters beyond ASCII don't count."""
+    found, text = accepted(ascii_only(line)), line
+    for _ in range(times):
+        text = decode_uri(text)
+        found = found | accepted(ascii_only(text))
+    return found
 
-    def one(p: str, g: str) -> float:
-        if not p or not g:
-            return 0.0
-        logs = []
-        for n in range(1, min(4, len(p), len(g)) + 1):
-            a, b = pd.Series([p[i : i + n] for i in range(len(p) - n + 1)]).value_counts(), pd.Series([g[i : i + n] for i in range(len(g) - n + 1)]).value_counts()
-            hit, total = a.combine(b, min, 0).sum(), a.sum()
-            logs.append(np.log((hit + (n > 1)) / (total + (n > 1))) if hit or n > 1 else -np.inf)
-        return float(100 * min(1.0, np.exp(1 - len(g) / len(p))) * np.exp(np.mean(logs)))
 
-    return pd.Series([one(p, g) for p, g in zip(predicted.fillna(""), gold.fillna(""), strict=True)])
+def from_typed_tokens(text: Column) -> Column:
+    """`<triplet> head <type> tail <type> relation`, in which tags like <per> or <loc> name the types: (subj, subj_type, prop, val, val_type) rows."""
+    pieces = F.split(text, "<triplet>")
+
+    def one(chunk: Column) -> Column:
+        tags = F.regexp_extract_all(chunk, F.lit("<([a-z]+)>"), F.lit(1))
+        words = F.transform(F.split(chunk, "<[a-z]+>"), lambda x: F.trim(x))
+        rest = F.sequence(F.lit(0), F.floor((F.size(tags) - 2) / 2).cast("int"))
+        each = F.transform(rest, lambda i: F.struct(F.get(words, F.lit(0)).alias("subj"), F.get(tags, F.lit(0)).alias("subj_type"), F.get(words, 2 * i + 2).alias("prop"), F.get(words, 2 * i + 1).alias("val"), F.get(tags, 2 * i + 1).alias("val_type")))
+        return F.when(F.size(tags) >= 2, each).otherwise(F.array().cast("array<struct<subj:string,subj_type:string,prop:string,val:string,val_type:string>>"))
+
+    return F.flatten(F.transform(F.slice(pieces, 2, F.size(pieces)), one))

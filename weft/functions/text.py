@@ -31,6 +31,11 @@ def strip_entity(c: Column) -> Column:
     return F.trim(_chain(c, [("<", ""), (">", ""), (RESOURCE, ""), (ONTOLOGY, "")]))
 
 
+def strip_entity_name(c: Column) -> Column:
+    """strip_entity() with _ for spaces and without quotation marks, as names are compared."""
+    return _chain(strip_entity(c), [(" ", "_"), ('"', ""), ("'", "")])
+
+
 def strip_prefixes(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\b[A-Za-z]+:(?=[A-Za-z])", ""))
 
@@ -66,23 +71,39 @@ def md_to_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, " +", " "))
 
 
-def html_lead(c: Column) -> Column:
-    """The paragraphs of the first <article> or <section> as markdown links and text; tolerates a missing end."""
+#: Classes of elements that hold no prose.
+DROPPED = ("ext-phonos", "IPA", "IPA-label", "Inline-Template", "reference")
+
+
+def html_lead(c: Column, encode: bool = False) -> Column:
+    """The paragraphs of the first <article> or <section> as markdown links and text; tolerates a missing end. Elements of the DROPPED classes go, links to pages
+    that don't exist lose their target; with encode, targets are percent-encoded."""
     block = F.regexp_extract(c, "(?s)<(?:article|section)[^>]*>(.*?)(?:</article>|</section>|$)", 1)
     each = F.regexp_extract_all(block, F.lit("(?s)<p>(.*?)(?:</p>|<p>|$)"), F.lit(1))
     text = F.array_join(each, " ")
+    names = "|".join(DROPPED)
+    text = F.regexp_replace(text, f'(?s)<(span|sup|small)[^>]*class="(?:[^"]* )?(?:{names})(?: [^"]*)?"[^>]*>.*?</\\1>', "")
+    text = F.regexp_replace(text, '<a [^>]*(?:redlink=1|class="new")[^>]*>([^<]*)</a>', "$1")
     text = F.regexp_replace(text, '<a [^>]*href="\\./([^"]*)"[^>]*>([^<]*)</a>', "[$2](:$1)")
-    text = F.regexp_replace(text, "<[^>]*>", "")
-    return F.trim(F.regexp_replace(text, "[ \\n\\r\\t]+", " "))
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "[ \\n\\r\\t]+", " "))
+    if not encode:
+        return text
+    pieces = F.regexp_extract_all(text, F.lit("(?s)(\\]\\(:[^)]*\\)|\\]|[^\\]]+)"), F.lit(1))
+    target = lambda x: F.concat(F.lit("](:"), encode_uri(F.regexp_extract(x, "^\\]\\(:([^)]*)\\)$", 1)), F.lit(")"))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("](:"), target(x)).otherwise(x)), "")
 
 
 def html_links(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit('<a href="([^"]*)"'), F.lit(1))
 
 
-def repair_decoded(c: Column) -> Column:
-    """Decoded model output: special tokens go, spaces around signs are put right, in this order."""
-    return F.trim(_chain(c, [("<s>", ""), ("</s>", ""), ("<pad>", ""), (" ;", ";"), ("; ", ";"), (" .", "."), ('" ', '"'), ("  ", " ")]))
+#: Replacements in decoded model output, in their order.
+REPAIRS = (("<s>", ""), ("</s>", ""), ("<pad>", ""), (" ;", ";"), ("; ", ";"), (" .", "."), ('" ', '"'), ("  ", " "))
+
+
+def repair_decoded(c: Column, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> Column:
+    """Decoded model output: special tokens go, spaces around signs are put right, in the order given."""
+    return F.trim(_chain(c, list(repairs)))
 
 
 def escape_literal(c: Column) -> Column:
@@ -125,8 +146,11 @@ def shorten(c: Column, budget: int) -> Column:
     """Drops sentences from the end until the text has `budget` characters at most; the first sentence always stays."""
     sentences = F.split(c, "(?<=[.]) ")
     step = lambda a, s: F.when((F.length(a) + F.length(s) + 1 <= budget) & ~a.endswith("\u0000"), F.concat(a, F.lit(" "), s)).otherwise(F.when(a.endswith("\u0000"), a).otherwise(F.concat(a, F.lit("\u0000"))))
-    return F.replace(F.aggregate(F.slice(sentences, 2, 1_000_000), F.get(sentences, F.lit(0)), step), F.lit("\u0000"), F.lit(""))
+    return F.replace(F.aggregate(F.slice(sentences, 2, F.size(sentences)), F.get(sentences, F.lit(0)), step), F.lit("\u0000"), F.lit(""))
 
 
-def prompt(entity: Column, text: Column) -> Column:
+def prompt(entity: Column, text: Column, prefix: str | None = None) -> Column:
+    """Model input; with a prefix, a task's name stands before it in the place of the marks."""
+    if prefix is not None:
+        return F.concat(F.lit(f"{prefix}: "), entity, F.lit(" : "), text)
     return F.concat(F.lit("<s>"), entity, F.lit(" : "), text, F.lit("</s>"))

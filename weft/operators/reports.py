@@ -11,14 +11,41 @@ from weft.operators.graph import common_ancestors, similarities
 
 def parse_quality(rows: DataFrame) -> DataFrame:
     """One row of shares from (gold, predicted) arrays of (subj, prop, val): part_parsed of all rows (both sides non-empty), and of the parsed
-    ones part_subj_ok (same first subject), part_type_ok (same types) and part_valid_rdf (same set of properties). 0 where nothing is parsed."""
+    ones part_subj_ok (same first subject), part_type_ok (same types) and part_valid_rdf (same set of properties); part_valid_s too, if a column valid tells what the shape
+    says of the prediction; and the mean edit distance of lines that are not parsed (null if all are), if there are columns gold_line and pred_line. 0 where nothing is parsed."""
     values = lambda c, p: F.array_sort(F.transform(F.filter(c, lambda t: t["prop"] == p), lambda t: t["val"]))
     props = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda t: t["prop"])))
     parsed = F.coalesce((F.size("gold") > 0) & (F.size("predicted") > 0), F.lit(False))
     ok = {"part_subj_ok": F.get("gold", F.lit(0))["subj"] == F.get("predicted", F.lit(0))["subj"], "part_type_ok": values("gold", "type") == values("predicted", "type"), "part_valid_rdf": props("gold") == props("predicted")}
+    if "valid" in rows.columns:
+        ok["part_valid_s"] = F.col("valid")
     n = F.count_if(parsed)
     share = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)), 6)
-    return rows.agg(share(n, F.count("*")).alias("part_parsed"), *[share(F.count_if(parsed & c), n).alias(k) for k, c in ok.items()])
+    more = [F.round(F.avg(F.when(~parsed, F.levenshtein("pred_line", "gold_line"))), 4).alias("edit_distance")] if "pred_line" in rows.columns else []
+    return rows.agg(share(n, F.count("*")).alias("part_parsed"), *[share(F.count_if(parsed & c), n).alias(k) for k, c in ok.items()], *more)
+
+
+def means(rows: DataFrame, metrics: list[str], entity: str = "ex", cls: str = "cls") -> DataFrame:
+    """Per class the mean of its entities' means, and over all classes (cls null) the mean of those, rounded to two places."""
+    own = rows.groupBy(cls, entity).agg(*[F.avg(m).alias(m) for m in metrics])
+    by = own.groupBy(cls).agg(F.count("*").alias("n_entities"), *[F.avg(m).alias(m) for m in metrics])
+    total = by.agg(F.lit(None).cast("string").alias(cls), F.sum("n_entities").alias("n_entities"), *[F.avg(m).alias(m) for m in metrics])
+    return by.unionByName(total).select(cls, "n_entities", *[F.round(m, 2).alias(m) for m in metrics])
+
+
+def claim_scores(scored: DataFrame, score: str = "score", by: str = "type") -> DataFrame:
+    """Claims and the mean of what a scorer says of them, for each kind of error."""
+    return scored.groupBy(by).agg(F.count("*").alias("nb"), F.round(F.avg(score), 6).alias(score))
+
+
+def write_csv(report: DataFrame, path: str) -> None:
+    """A report as CSV files with a header."""
+    report.write.option("header", True).csv(path)
+
+
+def write_json(report: DataFrame, path: str) -> None:
+    """A report or an index as JSON files, one object a line."""
+    report.write.json(path)
 
 
 def derived_rates(totals: DataFrame) -> DataFrame:

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.codecs import char_bleu
+from weft.functions.text import normal_value, year_of
+from weft.operators.grounding import in_text, wikicheck
 from weft.plans.shape import Shape
 
 #: Lexical forms of the datatypes that shapes use; other types accept any text.
 LEXICAL = {"date": "^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}$", "gYear": "^-?[0-9]{4,}$", "double": "^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$", "nonNegativeInteger": "^[+]?[0-9]+$", "positiveInteger": "^[+]?0*[1-9][0-9]*$"}
 
 
-def validate(facts: DataFrame, shape: Shape, class_check: str = "skip") -> DataFrame:
+def validate(facts: DataFrame, shape: Shape, class_check: str = "skip", types: DataFrame | None = None) -> DataFrame:
     """Per subject of (s, p, o, k): violations and conforms. One aggregation by subject. Counts, datatypes, node kinds and sh:or (a group holds if
-    all properties of one branch do). class_check: skip, or strict (an object property needs an IRI)."""
+    all properties of one branch do). class_check: skip, strict (an object property needs an IRI), or types (its object must have the class asked for among types
+    (s, cls), which include those of superclasses if these are to count)."""
+    facts = facts.dropDuplicates(["s", "p", "o"])
+    if class_check == "types":
+        wanted = facts.sparkSession.createDataFrame([(p.name, (p.range or "").rsplit("/", 1)[-1].rsplit("#", 1)[-1]) for p in shape.properties if p.kind == "object"], "p string, cls string").distinct()
+        have = types.select(F.col("s").alias("o"), "cls").distinct().withColumn("classed", F.lit(True))
+        facts = facts.join(F.broadcast(wanted), "p", "left").join(have, ["o", "cls"], "left")
     here = lambda p: F.col("p") == p.name
     aggs, holds = [], {}
     for i, p in enumerate(shape.properties):
@@ -23,14 +32,16 @@ def validate(facts: DataFrame, shape: Shape, class_check: str = "skip") -> DataF
             wrong = wrong | ~F.col("o").rlike(lexical)
         if (p.node_kind or "").endswith("Literal"):
             wrong = wrong | (F.col("k") != "literal")
-        if p.kind == "object" and class_check == "strict":
+        if p.kind == "object" and class_check in ("strict", "types"):
             wrong = wrong | (F.col("k") != "iri")
+        if p.kind == "object" and class_check == "types":
+            wrong = wrong | F.col("classed").isNull()
         aggs += [F.count_if(here(p)).alias(f"n{i}"), F.count_if(here(p) & wrong).alias(f"w{i}")]
         ok = (F.col(f"n{i}") >= p.min_count) & (F.col(f"w{i}") == 0)
         if p.max_count is not None:
             ok = ok & (F.col(f"n{i}") <= p.max_count)
         holds.setdefault((p.or_group, p.or_branch), []).append((p.name, ok))
-    by = facts.dropDuplicates(["s", "p", "o"]).groupBy("s").agg(*aggs)
+    by = facts.groupBy("s").agg(*aggs)
     broken: list[Column] = [F.when(~ok, name) for name, ok in holds.get((0, 0), [])]
     for group in sorted({g for g, _ in holds if g}):
         branches = [b for (g, _), b in holds.items() if g == group]
@@ -61,21 +72,46 @@ def extraction_stats(found: Column, shape_props: list[str]) -> list[Column]:
     return [F.array_join(matched, ",").alias("matched"), F.array_join(F.array_sort(F.array_except(found, shape)), ",").alias("extra"), F.array_join(F.array_sort(F.array_except(shape, found)), ",").alias("missing"), F.round(100 * F.size(matched) / len(shape_props), 2).alias("coverage"), F.round(F.coalesce(F.try_divide(100.0 * F.size(matched), n), F.lit(0.0)), 2).alias("precision")]
 
 
-def relation_cases(gold: DataFrame, predicted: DataFrame, relations: list[str]) -> DataFrame:
-    """Per relation: tp, fp, fn, tn, nb_gt, nb_pred. gold and predicted: (ex, p, v). Examples parsed on both sides only. Where both have values,
+def relation_of(prop: Column, relations: list[str]) -> Column:
+    """The relation whose name stands in a property's name, if that is one only; else null."""
+    hits = F.filter(F.array(*[F.lit(r) for r in relations]), lambda r: F.contains(prop, r))
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+
+
+def parsed_on_both(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    return gold.select("ex").distinct().join(predicted.select("ex").distinct(), "ex", "left_semi")
+
+
+def relation_cases(gold: DataFrame, predicted: DataFrame, relations: list[str], bleu_for: list[str] | None = None, strip: bool = True) -> DataFrame:
+    """Per relation: tp, fp, fn, tn, nb_gt, nb_pred, and bleu if bleu_for names the relations that it is wanted for. gold and predicted: (ex, p, v). Examples parsed on both
+    sides only. A property counts for the relation whose name is in its own, if just one is; nb_gt and nb_pred count equal names. Where both have values,
     the shared count as tp and the other predicted ones as fp; missed gold values add no fn. Gold alone is one fn, prediction alone one fp, none on
     both sides one tn. One shuffle by (example, relation); the relation list is a shape's and stays small."""
-    both = gold.select("ex").distinct().join(predicted.select("ex").distinct(), "ex", "left_semi")
-    side = lambda df, n: df.where(F.col("p").isin(relations)).select("ex", "p", "v", F.lit(n).alias("side"))
-    rows = side(gold, 0).unionByName(side(predicted, 1)).join(both, "ex", "left_semi")
-    sets = rows.groupBy("ex", "p").agg(F.collect_set(F.when(F.col("side") == 0, F.col("v"))).alias("gold_set"), F.collect_set(F.when(F.col("side") == 1, F.col("v"))).alias("pred_set"), F.count_if(F.col("side") == 0).alias("ng"), F.count_if(F.col("side") == 1).alias("np"))
+    both = parsed_on_both(gold, predicted)
+    value = F.trim("v") if strip else F.col("v")
+    side = lambda df, n: df.select("ex", relation_of(F.col("p"), relations).alias("r"), F.when(F.lit(n == 1), value).otherwise(F.col("v")).alias("v"), F.lit(n).alias("side"))
+    rows = side(gold, 0).unionByName(side(predicted, 1)).where("r IS NOT NULL").join(both, "ex", "left_semi")
+    sets = rows.groupBy("ex", F.col("r").alias("p")).agg(F.collect_set(F.when(F.col("side") == 0, F.col("v"))).alias("gold_set"), F.collect_set(F.when(F.col("side") == 1, F.col("v"))).alias("pred_set"))
+    counts = side_counts(gold, predicted, both, relations)
     g, p = F.size("gold_set") > 0, F.size("pred_set") > 0
     hit = F.size(F.array_intersect("pred_set", "gold_set"))
-    by = sets.groupBy("p").agg(F.sum(F.when(g & p, hit).otherwise(0)).alias("tp"), F.sum(F.when(g & p, F.size("pred_set") - hit).when(p, 1).otherwise(0)).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count("*").alias("__seen"), F.sum("ng").alias("nb_gt"), F.sum("np").alias("nb_pred"))
+    scores = [F.sum(F.when(g & p, hit).otherwise(0)).alias("tp"), F.sum(F.when(g & p, F.size("pred_set") - hit).when(p, 1).otherwise(0)).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count("*").alias("__seen")]
+    if bleu_for:
+        each = F.transform("pred_set", lambda v: char_bleu(v, F.col("gold_set")))
+        total = F.when(g & p & F.col("p").isin(bleu_for), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+        scores.append(F.round(F.try_divide(F.sum(total), F.sum(F.when(total.isNotNull(), F.size("pred_set")))), 4).alias("bleu"))
+    by = sets.groupBy("p").agg(*scores)
     names = gold.sparkSession.createDataFrame([(r,) for r in relations], "p string")
     total = both.agg(F.count("*").alias("__all"))
-    joined = F.broadcast(names).join(by, "p", "left").join(F.broadcast(total)).fillna(0)
-    return joined.select("p", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], (F.col("__all") - F.col("__seen")).alias("tn"), F.col("nb_gt").cast("long").alias("nb_gt"), F.col("nb_pred").cast("long").alias("nb_pred"))
+    joined = F.broadcast(names).join(by, "p", "left").join(counts, "p", "left").join(F.broadcast(total))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return joined.select("p", *[zero(c).alias(c) for c in ("tp", "fp", "fn")], (F.col("__all") - zero("__seen")).alias("tn"), zero("nb_gt").alias("nb_gt"), zero("nb_pred").alias("nb_pred"), *(["bleu"] if bleu_for else []))
+
+
+def side_counts(gold: DataFrame, predicted: DataFrame, both: DataFrame, relations: list[str]) -> DataFrame:
+    """Per relation p: the gold and the predicted facts of just that name, nb_gt and nb_pred."""
+    rows = gold.select("ex", "p", F.lit(0).alias("side")).unionByName(predicted.select("ex", "p", F.lit(1).alias("side"))).where(F.col("p").isin(relations))
+    return rows.join(both, "ex", "left_semi").groupBy("p").agg(F.count_if(F.col("side") == 0).alias("nb_gt"), F.count_if(F.col("side") == 1).alias("nb_pred"))
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -85,21 +121,113 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [F.round(p, 4).alias("p_score"), F.round(r, 4).alias("r_score"), F.round(f, 4).alias("f1")]
 
 
-def overall(cases: DataFrame) -> DataFrame:
-    """Micro scores from the sums, macro F1 as the mean over relations with gold values; accuracy and error rates as fractions."""
+def overall(cases: DataFrame, rates_with_tn: bool = True) -> DataFrame:
+    """Micro scores from the sums, macro F1 as the mean over relations with gold values; accuracy and error rates as fractions, the rates of all cases or, without
+    tn, of those that are no true negative. The mean of bleu over relations that have one, if the cases have it."""
     tp, fp, fn, tn = (F.sum(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     p, r = F.try_divide(100 * tp, tp + fp), F.try_divide(100 * tp, tp + fn)
     f = lambda a, b, c: F.coalesce(F.try_divide(200.0 * a, 2 * a + b + c), F.lit(0.0))
     macro = F.avg(F.when(F.col("nb_gt") > 0, f(F.col("tp"), F.col("fp"), F.col("fn"))))
-    return cases.agg(F.round(F.coalesce(p, F.lit(0.0)), 4).alias("p_micro"), F.round(F.coalesce(r, F.lit(0.0)), 4).alias("r_micro"), F.round(f(tp, fp, fn), 4).alias("f1_micro"), F.round(macro, 4).alias("f1_macro"), F.round((tp + tn) / (tp + fp + fn + tn), 6).alias("accuracy"), F.round(fp / (tp + fp + fn + tn), 6).alias("fp_rate"), F.round(fn / (tp + fp + fn + tn), 6).alias("fn_rate"))
-
-
-def to_inspect(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Error rows of single-valued relations: FN, FP_new or FP_different, with both values. gold and predicted: (ex, p, v)."""
-    one = lambda df, n: df.groupBy("ex", "p").agg(F.min("v").alias(n))
-    rows = one(gold, "val_gold").join(one(predicted, "val_pred"), ["ex", "p"], "full")
-    kind = F.when(F.col("val_pred").isNull(), "FN").when(F.col("val_gold").isNull(), "FP_new").when(F.col("val_pred") != F.col("val_gold"), "FP_different")
-    return rows.withColumn("type", kind).where("type IS NOT NULL").select("type", "ex", F.col("p").alias("pred"), "val_pred", "val_gold")
+    every = tp + fp + fn + tn
+    errors = every if rates_with_tn else tp + fp + fn
+    more = [F.round(F.avg("bleu"), 4).alias("bleu")] if "bleu" in cases.columns else []
+    return cases.agg(F.round(F.coalesce(p, F.lit(0.0)), 4).alias("p_micro"), F.round(F.coalesce(r, F.lit(0.0)), 4).alias("r_micro"), F.round(f(tp, fp, fn), 4).alias("f1_micro"), F.round(macro, 4).alias("f1_macro"), F.round(F.try_divide(tp + tn, every), 6).alias("accuracy"), F.round(F.try_divide(fp, errors), 6).alias("fp_rate"), F.round(F.try_divide(fn, errors), 6).alias("fn_rate"), *more)
+
+
+def to_inspect(gold: DataFrame, predicted: DataFrame, texts: DataFrame | None = None, kinds: DataFrame | None = None, first_only: bool = False) -> DataFrame:
+    """Error rows: FP_different for each predicted value that isn't among the gold ones (with the first gold value), FN for a relation that only gold has, FP_new for
+    one that only the prediction has. gold and predicted: (ex, p, v, pos), pos giving the order of values; examples parsed on both sides only. first_only: of the
+    predicted values that differ, the first predicted one is told. With texts (ex, text) and kinds (p, range), abs and found are added, FP_different is told only where there is
+    a text, and a FP_new without one is a plain FP."""
+    both = parsed_on_both(gold, predicted)
+    side = lambda df, n: df.join(both, "ex", "left_semi").groupBy("ex", "p").agg(F.collect_set("v").alias(f"{n}_set"), F.min_by("v", F.struct("pos", "v")).alias(f"{n}_first"))
+    rows = side(gold, "g").join(side(predicted, "q"), ["ex", "p"], "full")
+    row = lambda kind, pred, own: F.struct(F.lit(kind).alias("type"), pred.alias("val_pred"), own.alias("val_gold"))
+    wrong = F.filter("q_set", lambda v: ~F.array_contains("g_set", F.trim(v)))
+    wrong = F.transform(wrong, lambda v: F.col("q_first")) if first_only else wrong
+    none = F.lit(None).cast("string")
+    each = F.when(F.col("q_set").isNull(), F.array(row("FN", none, F.col("g_first")))).when(F.col("g_set").isNull(), F.array(row("FP_new", F.col("q_first"), none))).otherwise(F.transform(wrong, lambda v: row("FP_different", v, F.col("g_first"))))
+    errors = rows.select("ex", F.col("p").alias("pred"), F.inline(each)).select("type", "ex", "pred", "val_pred", "val_gold")
+    if texts is None:
+        return errors
+    read = errors.join(texts.select("ex", F.col("text").alias("abs")), "ex", "left").join(F.broadcast(kinds.select(F.col("p").alias("pred"), "range")), "pred", "left")
+    kind = F.when((F.col("type") == "FP_new") & F.col("abs").isNull(), F.lit("FP")).otherwise(F.col("type"))
+    found = F.coalesce(in_text(F.coalesce("val_pred", "val_gold"), F.coalesce("range", F.lit("")), F.col("pred"), F.col("abs")), F.lit(False))
+    told = read.where((F.col("type") != "FP_different") | F.col("abs").isNotNull())
+    return told.select(kind.alias("type"), "ex", "pred", F.when(kind != "FP", F.col("val_pred")).alias("val_pred"), "val_gold", "abs", found.alias("found"))
+
+
+def not_parsed(rows: DataFrame) -> DataFrame:
+    """Of rows (gold_line, pred_line, predicted): what no triple was read from, with the edit distance to gold."""
+    return rows.where(F.coalesce(F.size("predicted"), F.lit(0)) <= 0).select(F.col("pred_line").alias("p_sent"), F.col("gold_line").alias("g_sent"), F.levenshtein("pred_line", "gold_line").alias("dist"))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    return rows.where("size(gold) > 0 AND size(predicted) > 0")
+
+
+def wrong_subject(rows: DataFrame) -> DataFrame:
+    """Of rows (gold, predicted) that are parsed: subjects that differ."""
+    first = lambda c: F.get(c, F.lit(0))["subj"]
+    return _parsed(rows).select(first("gold").alias("subj_gt"), first("predicted").alias("subj_pred")).where("subj_gt <> subj_pred OR subj_gt = ''")
+
+
+def not_valid(rows: DataFrame) -> DataFrame:
+    """Of rows (gold, predicted) that are parsed: property sets that differ, as text."""
+    props = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda t: t["prop"])))
+    pairs = _parsed(rows).select(F.get("predicted", F.lit(0))["subj"].alias("ent_uri"), props("predicted").alias("p"), props("gold").alias("g")).where("p <> g")
+    return pairs.select("ent_uri", F.array_join("p", ",").alias("p_pred"), F.array_join("g", ",").alias("g_pred"))
+
+
+def triples_to_facts(triples: DataFrame, shape: Shape, literals_only: bool = False) -> DataFrame:
+    """(s, p, o, k) from (subj, prop, val): properties that the shape doesn't know are left out, types kept. Values of object properties become IRIs without their
+    colon; with literals_only every value is a literal, as one reader of the scores has it."""
+    known = triples.sparkSession.createDataFrame([(p.name, p.kind) for p in shape.properties], "prop string, kind string").distinct()
+    rows = triples.join(F.broadcast(known.unionByName(triples.sparkSession.createDataFrame([("type", "type")], "prop string, kind string"))), "prop")
+    is_iri = (F.col("kind") == "type") | ((F.col("kind") == "object") & F.lit(not literals_only))
+    return rows.select(F.col("subj").alias("s"), F.when(F.col("kind") == "type", F.lit("rdf:type")).otherwise(F.col("prop")).alias("p"), F.when(is_iri, F.regexp_replace("val", "^:", "")).otherwise(F.col("val")).alias("o"), F.when(is_iri, "iri").otherwise("literal").alias("k"))
+
+
+def initial_graph(quads: DataFrame, shape: Shape) -> DataFrame:
+    """(ex, p, v) of the shape's properties as the knowledge base has them: objects as :Name, duplicates kept."""
+    names = [p.name for p in shape.properties]
+    value = F.when(F.col("k") == "iri", F.concat(F.lit(":"), F.col("o"))).otherwise(F.col("o"))
+    return quads.where(F.col("p").isin(names)).select(F.col("s").alias("ex"), "p", value.alias("v"))
+
+
+def correct_graph(initial: DataFrame, texts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The facts of an initial graph that the entity's text (ex, text, perhaps md) expresses. Years are cut to four digits; empty values and NaN go."""
+    trimmed = initial.withColumn("v", F.when(F.col("p").endswith("Year"), year_of(F.col("v"))).otherwise(F.col("v"))).where("v <> '' AND v <> 'NaN'")
+    facts = trimmed.select(F.col("ex").alias("s"), "p", F.col("v").alias("o"))
+    found = wikicheck(facts, texts.withColumnRenamed("ex", "s"), kinds).where("found")
+    return found.select(F.col("s").alias("ex"), "p", F.col("o").alias("v"))
+
+
+def compare_graphs(initial: DataFrame, correct: DataFrame, extracted: DataFrame, shape_props: list[str]) -> DataFrame:
+    """Per entity of any of three graphs (ex, p, v), types left out: precision, recall and F1 in percent of the extracted graph against the initial (init) and the correct
+    one, by property and by property and normalised value; expressiveness, the correct properties' share of the initial ones; coverage, the extracted
+    properties' share of the shape's. One shuffle by entity."""
+    pair = F.concat_ws("=", "p", normal_value(F.col("v")))
+    sides = {"i": initial, "c": correct, "x": extracted}
+    rows = None
+    for n, df in sides.items():
+        one = df.where("p NOT IN ('type', 'rdf:type')").select("ex", "p", pair.alias("pv"), F.lit(n).alias("side"))
+        rows = one if rows is None else rows.unionByName(one)
+    by = rows.groupBy("ex").agg(*[F.collect_set(F.when(F.col("side") == n, F.col(c))).alias(f"{n}_{c}") for n in sides for c in ("p", "pv")])
+    out = []
+    for name, n in (("init", "i"), ("correct", "c")):
+        for what, c in (("prop", "p"), ("value", "pv")):
+            scores = set_scores(F.col(f"x_{c}"), F.col(f"{n}_{c}"))
+            out += [F.round(x, 2).alias(f"{name}_{what}_{k}") for x, k in zip(scores, ("p", "r", "f1"), strict=True)]
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(100.0 * a, b), F.lit(0.0)), 2)
+    shape = F.array(*[F.lit(p) for p in shape_props])
+    return by.select("ex", *out, share(F.size("c_p"), F.size("i_p")).alias("expressiveness"), share(F.size(F.array_intersect("x_p", shape)), F.lit(len(set(shape_props)))).alias("coverage"))
+
+
+def critic_stats(scored: DataFrame, critics: list[str], entity: str = "s", prop: str = "p") -> DataFrame:
+    """Per property: its entities, and of each critic's score the least, the mean (rounded) and the greatest."""
+    aggs = [a for c in critics for a in (F.min(c).alias(f"{c}_min"), F.round(F.avg(c), 6).alias(f"{c}_avg"), F.max(c).alias(f"{c}_max"))]
+    return scored.groupBy(F.col(prop).alias("p")).agg(F.count_distinct(entity).alias("nb"), *aggs)
 
 
 def merge_annotations(sample: DataFrame, notes: DataFrame) -> DataFrame:

@@ -607,6 +607,12 @@ def query(text: str, quads: DataFrame, type_name: str = TYPE) -> DataFrame:
     raise ValueError(f"{q.form} changes quads: use update()")
 
 
+def scalar(text: str, quads: DataFrame, type_name: str = TYPE) -> int:
+    """The last cell of a SELECT's last row, as a number; for queries that return one."""
+    rows = query(text, quads, type_name).tail(1)
+    return int(rows[-1][-1]) if rows else 0
+
+
 def update(text: str, quads: DataFrame, graph: str = "default", type_name: str = TYPE) -> DataFrame:
     """The quads after INSERT ... WHERE, DELETE ... WHERE or DROP GRAPH.
 
