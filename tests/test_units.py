@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import codecs, text
-from weft.operators import grounding, mapping, plugins, reports, sampling, scoring, signatures
+from weft.operators import graph, grounding, mapping, plugins, reports, sampling, scoring, signatures
+from weft.plans.config import Run
 from weft.plans.shape import Shape, read_rules
 from weft.queries import ORDER_SHAPE
 from weft.sources import quads
@@ -145,9 +146,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_char_bleu(spark):
-    df = spark.createDataFrame([("same text", "same text"), ("", "x")], "a string, b string")
-    got = [r[0] for r in df.select(codecs.char_bleu("a", "b")).collect()]
-    assert got[0] == pytest.approx(100) and got[1] == 0
+    df = spark.createDataFrame([("abcd", ["abcd"]), ("abcd", ["wxyz"]), ("ab cd ef", ["abcdef"]), ("abcde", ["abcdx", "zbcde"]), ("abc", ["abc"]), ("abcd", ["abcdefgh"]), ("", ["a"]), (None, ["a"])], "a string, b array<string>")
+    got = [r[0] for r in df.select(codecs.char_bleu(F.col("a"), F.col("b"))).collect()]
+    assert got == [1.0, 0.0, 1.0, 1.0, 0.0, pytest.approx(0.36788, abs=1e-4), 0.0, 0.0]  # exp(1 - 8 / 4)
 
 
 def test_parse_quality_of_nothing(spark):
@@ -195,3 +196,97 @@ def test_other_syntaxes(spark):
     assert [[tuple(t) for t in x] for x in got] == [[("a", "b", "c")], [], []]
     facts = spark.createDataFrame([("x", "n", "1", "literal", "xsd:int"), ("x", "n", "2", "literal", None), ("x", "rdf:type", "T", "iri", None)], "s string, p string, o string, k string, dt string")
     assert codecs.statements(facts, datatypes=True).first().line == ':x a :T . :x :n "1"^^xsd:int . :x :n "2" .'
+
+
+def test_closure_of_any_graph(spark):
+    def up(*edges):
+        return {(r.c, r.a): r.d for r in graph.closure(spark.createDataFrame(list(edges), "c string, p string")).collect()}
+
+    def brute(edges):
+        out, nodes = {}, {x for e in edges for x in e}
+        for n in nodes:
+            seen, todo = {n: 0}, [n]
+            for x in todo:
+                for a, b in edges:
+                    if a == x and b not in seen:
+                        seen[b] = seen[x] + 1
+                        todo.append(b)
+            out |= {(n, a): d for a, d in seen.items()}
+        return out
+
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(80)]
+    diamonds = [e for i in range(12) for e in ((f"d{i}", f"l{i}"), (f"d{i}", f"r{i}"), (f"l{i}", f"d{i + 1}"), (f"r{i}", f"d{i + 1}"))]
+    cycle = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d")]
+    for edges in (chain, diamonds, cycle):
+        assert up(*edges) == brute(edges)
+
+
+def test_values_of_any_length_are_found(spark):
+    values = ["fox", "quick brown fox", "the quick brown fox jumps over", "own fo", "x", "", "jumps over the lazy dog again and again", "ox jumps", "  "]
+    texts = ["the quick brown fox", "a quick brown foxes", "the quick brown fox jumps over the lazy dog", "", None, "nothing", "he jumps over the lazy dog again and again!", "tabs\tand  blanks"]
+    v = spark.createDataFrame(list(enumerate(values)), "item long, value string")
+    t = spark.createDataFrame(list(enumerate(texts)), "s long, text string")
+    got = {tuple(r) for r in grounding.contained(v, t).collect()}
+    assert got == {(i, k) for i, x in enumerate(values) for k, y in enumerate(texts) if x and y and x in y}
+    assert grounding.contained(v.limit(0), t).count() == 0
+
+
+def test_errors_are_told_by_value(spark):
+    rows = lambda *r: spark.createDataFrame(list(r), "ex long, p string, v string, pos int")
+    gold = rows((1, "a", "x", 1), (1, "a", "y", 2), (2, "a", "x", 1), (3, "a", "x", 1), (3, "b", "z", 1), (1, "c", "k", 1))
+    pred = rows((1, "a", "y", 1), (1, "a", "q", 2), (1, "d", "n", 2), (1, "d", "m", 1), (3, "b", "z", 1))
+    got = sorted(tuple(r) for r in scoring.to_inspect(gold, pred).select("type", "ex", "pred", F.coalesce("val_pred", F.lit("-")), F.coalesce("val_gold", F.lit("-"))).collect())
+    assert got == [("FN", 1, "c", "-", "k"), ("FN", 3, "a", "-", "x"), ("FP_different", 1, "a", "q", "x"), ("FP_new", 1, "d", "m", "-")]
+    texts = spark.createDataFrame([(1, "a q here")], "ex long, text string")
+    kinds = spark.createDataFrame([(p, "xsd:string") for p in "abcd"], "p string, range string")
+    told = {(r.type, r.ex, r.pred): r.found for r in scoring.to_inspect(gold, pred, texts, kinds).collect()}
+    assert told == {("FN", 1, "c"): False, ("FN", 3, "a"): False, ("FP_different", 1, "a"): True, ("FP_new", 1, "d"): False}
+
+
+def test_golden_comparison_of_three_graphs(spark):
+    rows = lambda name, *r: spark.createDataFrame([("e", *x) for x in r], "ex string, p string, v string")
+    initial = rows("i", ("birthDate", "1965-06-21"), ("birthYear", "1965"), ("birthYear", "1965"), ("genre", ":World_music"), ("genre", ":World_Music"), ("label", "Stacey Fox"), ("alias", "S."), ("birthPlace", ":X"))
+    correct = rows("c", ("birthDate", "1965-06-21"), ("birthYear", "1965"), ("birthYear", "1965"))
+    extracted = rows("x", ("type", "Artist"), ("birthDate", "1965-06-21"))
+    got = scoring.compare_graphs(initial, correct, extracted, [f"p{i}" for i in range(17)] + ["birthDate"]).first()
+    assert (got.init_prop_p, got.init_prop_r, got.init_prop_f1) == (100, 16.67, 28.57) == (got.init_value_p, got.init_value_r, got.init_value_f1)
+    assert (got.correct_prop_p, got.correct_prop_r, got.correct_prop_f1) == (100, 50, 66.67) == (got.correct_value_p, got.correct_value_r, got.correct_value_f1)
+    assert (got.expressiveness, got.coverage) == (33.33, 5.56)
+
+
+def test_relations_by_names_within_names(spark):
+    names = ["city", "cityServed", "label"]
+    got = values(spark, scoring.relation_of(F.col("x"), names), "city", "cityServed", "dbo:label", "other")
+    assert got == ["city", None, "label", None]
+
+
+def test_run_settings(spark):
+    run = Run.of({"dataset": "DS_turtleS_0datatype_1inLine_1facto", "folds": "5", "limit": None})
+    assert run.folds == 5 and run.syntax["inLine"] is True and Run.from_json(run.to_json()) == run
+    spark.conf.set("weft.limit", "40")
+    try:
+        assert run.told_by(spark).limit == 40 and run.told_by(spark).folds == 5
+    finally:
+        spark.conf.unset("weft.limit")
+    with pytest.raises(ValueError, match="unknown"):
+        Run.of({"fold": 3})
+
+
+def test_sample_names():
+    assert [sampling.next_name(x) for x in ([], ["sample_0", "sample_12", "other_40", "sample_x"])] == ["sample_0", "sample_13"]
+
+
+def test_hot_groups_are_ranked_whole(spark):
+    rows = spark.range(5000).select(F.col("id").alias("s"), F.when(F.col("id") < 4000, "hot").otherwise(F.col("id").cast("string")).alias("g"))
+    got = sampling.ranked(rows, sampling.uid(F.col("s")), "s", by=("g",)).toPandas()
+    assert all(sorted(x.n) == list(range(len(x))) and (x["all"] == len(x)).all() for _, x in got.groupby("g"))
+    folds = sampling.stratified_kfold(rows, "g", 4).groupBy("fold").agg(F.count_if(F.col("g") == "hot").alias("n")).toPandas().n
+    assert set(folds) == {1000}
+    pairs = spark.range(300).select((F.col("id") % 3).alias("template"), F.col("id").alias("filler"), F.col("id").alias("uid"))
+    assert sampling.capped_reuse(pairs, 10).count() == 300
+
+
+def test_lead_without_noise(spark):
+    page = '<article><p>A <span class="IPA">xx</span><a href="./B C">b</a> <a class="new" href="./D">d</a><sup class="reference noprint">[1]</sup>.</p><p>Open'
+    assert values(spark, text.html_lead(F.col("x")), page, None) == ["A [b](:B C) d. Open", None]
+    assert values(spark, text.html_lead(F.col("x"), encode=True), page) == ["A [b](:B%20C) d. Open"]

@@ -11,7 +11,11 @@ from weft.functions import codecs, text
 from weft.operators import graph, grounding, mapping, plugins, reports, sampling, scoring, signatures
 from weft.plans import sparql
 from weft.plans.shape import Shape
+from weft.sources import quads as store
 from weft.sources.quads import delete_where, load, star_quads, star_sql
+from weft.sources.scratch import folder
+from weft.sources.turtle import parse as read_turtle
+from weft.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -371,16 +375,16 @@ RELATIONS = ["AF", "NO", "RF", "orderStatus"]
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ex"), F.concat("l_returnflag", "l_linestatus").alias("p"), F.col("l_suppkey").cast("string").alias("v"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ex"), F.concat("l_returnflag", "l_linestatus").alias("p"), F.col("l_suppkey").cast("string").alias("v"), F.col("l_linenumber").alias("pos"))
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = load(spark, sf_dir, "lineitem").where("l_linenumber % 3 <> 0 AND l_orderkey % 10 <> 0")
-    return x.select(F.col("l_orderkey").alias("ex"), F.concat(F.when(F.col("l_orderkey") % 4 == 0, F.lit("A")).otherwise(F.col("l_returnflag")), "l_linestatus").alias("p"), (F.col("l_suppkey") + (F.col("l_partkey") % 5 == 0).cast("int")).cast("string").alias("v"))
+    return x.select(F.col("l_orderkey").alias("ex"), F.concat(F.when(F.col("l_orderkey") % 4 == 0, F.lit("A")).otherwise(F.col("l_returnflag")), "l_linestatus").alias("p"), (F.col("l_suppkey") + (F.col("l_partkey") % 5 == 0).cast("int")).cast("string").alias("v"), F.col("l_linenumber").alias("pos"))
 
 
-_GP = """gold AS (SELECT l_orderkey AS ex, l_returnflag || l_linestatus AS p, l_suppkey::VARCHAR AS v FROM lineitem),
-    pred AS (SELECT l_orderkey AS ex, CASE WHEN l_orderkey % 4 = 0 THEN 'A' ELSE l_returnflag END || l_linestatus AS p, (l_suppkey + (l_partkey % 5 = 0)::INT)::VARCHAR AS v FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_orderkey % 10 <> 0)"""
+_GP = """gold AS (SELECT l_orderkey AS ex, l_returnflag || l_linestatus AS p, l_suppkey::VARCHAR AS v, l_linenumber AS pos FROM lineitem),
+    pred AS (SELECT l_orderkey AS ex, CASE WHEN l_orderkey % 4 = 0 THEN 'A' ELSE l_returnflag END || l_linestatus AS p, (l_suppkey + (l_partkey % 5 = 0)::INT)::VARCHAR AS v, l_linenumber AS pos FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_orderkey % 10 <> 0)"""
 _CASES = _GP + """, ex AS (SELECT DISTINCT ex FROM gold WHERE ex IN (SELECT ex FROM pred)), rel AS (SELECT unnest(['AF', 'NO', 'RF', 'orderStatus']) AS p),
     g AS (SELECT ex, p, list(DISTINCT v) AS vs, count(*) AS n FROM gold GROUP BY ALL), q AS (SELECT ex, p, list(DISTINCT v) AS vs, count(*) AS n FROM pred GROUP BY ALL),
     a AS (SELECT rel.p, g.vs AS G, q.vs AS Q, coalesce(g.n, 0) AS ng, coalesce(q.n, 0) AS nq, len(list_intersect(coalesce(g.vs, []), coalesce(q.vs, []))) AS hit FROM ex CROSS JOIN rel LEFT JOIN g USING (ex, p) LEFT JOIN q USING (ex, p)),
@@ -401,22 +405,69 @@ def score_micro_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.overall(scoring.relation_cases(_gold(spark, sf_dir), _predicted(spark, sf_dir), RELATIONS))
 
 
-@query(f"""WITH {_GP} SELECT * FROM (SELECT CASE WHEN b.v IS NULL THEN 'FN' WHEN a.v IS NULL THEN 'FP_new' WHEN a.v <> b.v THEN 'FP_different' END AS type, ex, p AS pred, b.v AS val_pred, a.v AS val_gold
-    FROM (SELECT ex, p, min(v) AS v FROM gold GROUP BY ALL) a FULL JOIN (SELECT ex, p, min(v) AS v FROM pred GROUP BY ALL) b USING (ex, p)) WHERE type IS NOT NULL""")
+_ERRS = _GP + """, ok AS (SELECT DISTINCT ex FROM gold WHERE ex IN (SELECT ex FROM pred)), eg AS (SELECT ex, p, list(DISTINCT v) AS vs, arg_min(v, (pos, v)) AS f FROM gold WHERE ex IN (SELECT ex FROM ok) GROUP BY ALL),
+    eq AS (SELECT ex, p, arg_min(v, (pos, v)) AS f FROM pred WHERE ex IN (SELECT ex FROM ok) GROUP BY ALL),
+    e AS (SELECT 'FP_different' AS type, q.ex, q.p AS pred, q.v AS val_pred, eg.f AS val_gold FROM (SELECT DISTINCT ex, p, v FROM pred) q JOIN eg ON eg.ex = q.ex AND eg.p = q.p WHERE NOT list_contains(eg.vs, q.v)
+        UNION ALL SELECT 'FN', eg.ex, eg.p, NULL, eg.f FROM eg LEFT JOIN eq ON eq.ex = eg.ex AND eq.p = eg.p WHERE eq.ex IS NULL
+        UNION ALL SELECT 'FP_new', eq.ex, eq.p, eq.f, NULL FROM eq LEFT JOIN eg ON eq.ex = eg.ex AND eq.p = eg.p WHERE eg.ex IS NULL)"""
+
+
+@query(f"WITH {_ERRS} SELECT * FROM e")
 def score_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.to_inspect(_gold(spark, sf_dir), _predicted(spark, sf_dir))
 
 
-@query(f"WITH {_GP}, e AS (SELECT CASE WHEN b.v IS NULL THEN 'FN' WHEN a.v IS NULL THEN 'FP_new' WHEN a.v <> b.v THEN 'FP_different' END AS type FROM (SELECT ex, p, min(v) AS v FROM gold GROUP BY ALL) a FULL JOIN (SELECT ex, p, min(v) AS v FROM pred GROUP BY ALL) b USING (ex, p)) SELECT count(*) FILTER (contains(type, 'FN')) AS n_fn, count(*) FILTER (contains(type, 'FP')) AS n_fp, round(count(*) FILTER (type = 'FP_new') / count(*) FILTER (contains(type, 'FP')), 6) AS new_rate FROM e")
+@query(f"""WITH {_ERRS}, t AS (SELECT o_orderkey AS ex, 'supplier ' || o_custkey || ' and ' || o_shippriority AS text FROM (SELECT *, o_orderkey % 7 AS o_shippriority FROM orders) WHERE o_orderkey % 3 <> 0)
+    SELECT CASE WHEN type = 'FP_new' AND text IS NULL THEN 'FP' ELSE type END AS type, e.ex, pred, CASE WHEN type = 'FP_new' AND text IS NULL THEN NULL ELSE val_pred END AS val_pred, val_gold, text AS abs, coalesce(contains(text, coalesce(val_pred, val_gold)), false) AS found
+    FROM e LEFT JOIN t ON t.ex = e.ex WHERE type <> 'FP_different' OR text IS NOT NULL""")
+def score_errors_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")
+    texts = o.select(F.col("o_orderkey").alias("ex"), F.concat(F.lit("supplier "), "o_custkey", F.lit(" and "), F.col("o_orderkey") % 7).alias("text"))
+    kinds = spark.createDataFrame([(p, "xsd:string") for p in ("AF", "AO", "NF", "NO", "RF", "RO")], "p string, range string")
+    return scoring.to_inspect(_gold(spark, sf_dir), _predicted(spark, sf_dir), texts, kinds)
+
+
+@query(f"WITH {_ERRS} SELECT count(*) FILTER (contains(type, 'FN')) AS n_fn, count(*) FILTER (contains(type, 'FP')) AS n_fp, round(count(*) FILTER (type = 'FP_new') / count(*) FILTER (contains(type, 'FP')), 6) AS new_rate FROM e")
 def fp_fn_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = score_errors(spark, sf_dir)
     fp = F.count_if(F.col("type").contains("FP"))
     return e.agg(F.count_if(F.col("type").contains("FN")).alias("n_fn"), fp.alias("n_fp"), F.round(F.count_if(F.col("type") == "FP_new") / fp, 6).alias("new_rate"))
 
 
-@query("SELECT p_partkey, levenshtein(p_name, p_type || p_brand)::INT AS dist FROM part")
-def edit_distance_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", F.concat("p_type", "p_brand")).alias("dist"))
+_LINES = """l AS (SELECT o_orderkey AS k, """ + _LINE + """ AS g, CASE WHEN o_orderkey % 5 = 0 THEN 'no graph ' || o_orderstatus ELSE """ + _LINE + """ END AS p FROM orders)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold and predicted lines of orders with their triples; a fifth of the predictions is no graph, some have another subject or lack a property."""
+    lines = ttl_light_serialize(spark, sf_dir).withColumn("n", F.substring_index("s", "/", -1).cast("long"))
+    own = F.regexp_extract("line", ':status "([^"]*)"', 1)
+    other = F.when(F.col("n") % 5 == 0, F.concat(F.lit("no graph "), own)).otherwise(F.col("line"))
+    triples = codecs.parse(other)
+    named = F.when(F.col("n") % 4 == 0, F.transform(triples, lambda t: F.struct(F.concat(F.lit("x"), t["subj"]).alias("subj"), t["prop"].alias("prop"), t["val"].alias("val")))).otherwise(triples)
+    fewer = F.when(F.col("n") % 3 == 0, F.filter(named, lambda t: t["prop"] != "status")).otherwise(named)
+    return lines.select("s", F.col("line").alias("gold_line"), other.alias("pred_line"), codecs.parse(F.col("line")).alias("gold"), fewer.alias("predicted"))
+
+
+@query(f"WITH {_LINES} SELECT p AS p_sent, g AS g_sent, levenshtein(p, g)::INT AS dist FROM l WHERE k % 5 = 0")
+def not_parsed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.not_parsed(_lines(spark, sf_dir))
+
+
+@query("SELECT 'order/' || o_orderkey AS subj_gt, 'xorder/' || o_orderkey AS subj_pred FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0")
+def wrong_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.wrong_subject(_lines(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'x' ELSE '' END || 'order/' || o_orderkey AS ent_uri, 'customer,orderDate,priority,type' AS p_pred, 'customer,orderDate,priority,status,type' AS g_pred FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0")
+def not_valid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.not_valid(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES} SELECT round(count(*) FILTER (k % 5 <> 0) / count(*), 6) AS part_parsed, round(count(*) FILTER (k % 5 <> 0 AND k % 4 <> 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_subj_ok, 1.0::DOUBLE AS part_type_ok,
+    round(count(*) FILTER (k % 5 <> 0 AND k % 3 <> 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_valid_rdf, round(count(*) FILTER (k % 5 <> 0 AND k % 2 = 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_valid_s,
+    round(avg(levenshtein(p, g)) FILTER (k % 5 = 0), 4) AS edit_distance FROM l""")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.parse_quality(_lines(spark, sf_dir).withColumn("valid", F.substring_index("s", "/", -1).cast("long") % 2 == 0))
 
 
 @query(f"""WITH {_GP}, a AS (SELECT ex, list_distinct(list(p)) AS g FROM gold GROUP BY ex), b AS (SELECT ex, list_distinct(list(p)) AS q FROM pred GROUP BY ex),
@@ -436,8 +487,7 @@ def pattern_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pattern_extension(own(_gold(spark, sf_dir), "g").join(own(_predicted(spark, sf_dir), "q"), "ex"))
 
 
-@query(f"""WITH {_GP}, e AS (SELECT CASE WHEN b.v IS NULL THEN 'FN' WHEN a.v IS NULL THEN 'FP_new' WHEN a.v <> b.v THEN 'FP_different' END AS type, ex, coalesce(b.v, a.v) AS val FROM (SELECT ex, p, min(v) AS v FROM gold GROUP BY ALL) a FULL JOIN (SELECT ex, p, min(v) AS v FROM pred GROUP BY ALL) b USING (ex, p))
-    SELECT ex, val, count(DISTINCT type) AS n_types FROM e WHERE type IS NOT NULL GROUP BY ALL HAVING count(DISTINCT type) > 1""")
+@query(f"WITH {_ERRS} SELECT ex, coalesce(val_pred, val_gold) AS val, count(DISTINCT type) AS n_types FROM e GROUP BY ALL HAVING count(DISTINCT type) > 1")
 def value_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.value_confusion(score_errors(spark, sf_dir).select("type", "ex", F.coalesce("val_pred", "val_gold").alias("val")))
 
@@ -452,10 +502,281 @@ def annotation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.merge_annotations(q, add.unionByName(gone))
 
 
-@query("SELECT l_returnflag AS p, count(DISTINCT l_orderkey) AS nb, round(avg(l_discount), 6) AS tc_avg, min(l_discount) AS tc_min, max(l_discount) AS tc_max, round(avg(l_tax), 6) AS xnli_avg FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag AS p, count(DISTINCT l_orderkey) AS nb, round(avg(l_discount), 6) AS tc_avg, min(l_discount) AS tc_min, max(l_discount) AS tc_max, round(avg(l_tax), 6) AS xnli_avg, min(l_tax) AS xnli_min, max(l_tax) AS xnli_max FROM lineitem GROUP BY 1")
 def critic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = load(spark, sf_dir, "lineitem")
-    return x.groupBy(F.col("l_returnflag").alias("p")).agg(F.count_distinct("l_orderkey").alias("nb"), F.round(F.avg("l_discount"), 6).alias("tc_avg"), F.min("l_discount").alias("tc_min"), F.max("l_discount").alias("tc_max"), F.round(F.avg("l_tax"), 6).alias("xnli_avg"))
+    scored = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), F.col("l_returnflag").alias("p"), F.col("l_discount").alias("tc"), F.col("l_tax").alias("xnli"))
+    return scoring.critic_stats(scored, ["tc", "xnli"])
+
+
+# Variants of the scorer
+
+
+@query(f"""WITH {_CASES}, s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cases) SELECT round(fp / (tp + fp + fn), 6) AS fp_rate, round(fn / (tp + fp + fn), 6) AS fn_rate FROM s""")
+def score_rates_of_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.overall(scoring.relation_cases(_gold(spark, sf_dir), _predicted(spark, sf_dir), RELATIONS), rates_with_tn=False).select("fp_rate", "fn_rate")
+
+
+@query(f"""WITH {_ERRS} SELECT type, ex, pred, CASE WHEN type = 'FP_different' THEN (SELECT f FROM eq WHERE eq.ex = e.ex AND eq.p = e.pred) ELSE val_pred END AS val_pred, val_gold FROM e""")
+def score_errors_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.to_inspect(_gold(spark, sf_dir), _predicted(spark, sf_dir), first_only=True)
+
+
+_NAMED = "(SELECT c_custkey AS ex, 'city' AS p, c_mktsegment AS v FROM customer UNION ALL SELECT c_custkey, 'cityServed', c_name FROM customer UNION ALL SELECT c_custkey, 'dbo:label', c_name FROM customer)"
+
+
+@query(f"SELECT r AS p, count(DISTINCT ex) FILTER (p = CASE r WHEN 'label' THEN 'dbo:label' ELSE r END AND r <> 'cityServed')::BIGINT AS tp, count(*) FILTER (p = r) AS nb_gt FROM {_NAMED}, (SELECT unnest(['city', 'cityServed', 'label']) AS r) GROUP BY r")
+def score_names_within_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    fact = lambda p, v: F.struct(F.lit(p).alias("p"), F.col(v).alias("v"))
+    facts = c.select(F.col("c_custkey").alias("ex"), F.inline(F.array(fact("city", "c_mktsegment"), fact("cityServed", "c_name"), fact("dbo:label", "c_name"))))
+    return scoring.relation_cases(facts, facts, ["city", "cityServed", "label"]).select("p", "tp", "nb_gt")
+
+
+_CHARS = "list_filter(string_split({}, ''), lambda c: trim(c) <> '')"
+_BLEU = f"""c AS (SELECT p_partkey, p_brand, {_CHARS.format("p_name")} AS a, {_CHARS.format("p_name || ' x'")} AS b FROM part),
+    g AS (SELECT p_partkey, p_brand, len(a) AS la, len(b) AS lb, n, list_transform(range(1, len(a) - n + 2), lambda i: array_to_string(a[i:i + n - 1], '')) AS m, list_transform(range(1, len(b) - n + 2), lambda i: array_to_string(b[i:i + n - 1], '')) AS t FROM c, (SELECT unnest([1, 2, 3, 4]) AS n)),
+    x AS (SELECT p_partkey, unnest(m) AS w, n, 1 AS own, 0 AS other FROM g UNION ALL SELECT p_partkey, unnest(t), n, 0, 1 FROM g),
+    h AS (SELECT p_partkey, n, sum(least(own, other)) AS h, sum(own) AS l FROM (SELECT p_partkey, n, w, sum(own) AS own, sum(other) AS other FROM x GROUP BY ALL) GROUP BY ALL),
+    bleus AS (SELECT p_partkey, p_brand, CASE WHEN min(h) = 0 THEN 0 ELSE exp(least(0, 1 - any_value(lb) / any_value(la)) + sum(ln(h / l)) / 4) END AS bleu FROM h JOIN (SELECT DISTINCT p_partkey, p_brand, la, lb FROM g) USING (p_partkey) GROUP BY ALL)"""
+
+
+@query(f"WITH {_BLEU} SELECT p_brand, round(avg(bleu), 4) AS bleu FROM bleus GROUP BY 1")
+def bleu_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").select("p_brand", codecs.char_bleu(F.col("p_name"), F.array(F.concat("p_name", F.lit(" x")))).alias("bleu"))
+    return p.groupBy("p_brand").agg(F.round(F.avg("bleu"), 4).alias("bleu"))
+
+
+@query(f"WITH {_BLEU} SELECT 'label' AS p, (SELECT count(*) FROM part) AS fp, (SELECT round(avg(bleu), 4) FROM bleus) AS bleu")
+def score_with_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = lambda v: load(spark, sf_dir, "part").select(F.col("p_partkey").alias("ex"), F.lit("label").alias("p"), v.alias("v"))
+    return scoring.relation_cases(side(F.concat("p_name", F.lit(" x"))), side(F.col("p_name")), ["label"], bleu_for=["label"]).select("p", "fp", "bleu")
+
+
+# Three graphs, validation with classes
+
+
+@query("SELECT 'customer/' || c_custkey AS s, 'nation' AS p, 'nation/' || c_nationkey AS o, c_custkey % 2 = 0 AS found FROM customer UNION ALL SELECT 'customer/' || c_custkey, 'label', c_name, c_custkey % 3 = 0 FROM customer")
+def ground_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = star_quads(spark, sf_dir, ("customer",)).where("p IN ('nation', 'label')")
+    c = load(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.lit("someone"))
+    link = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("[there](:nation/"), "c_nationkey", F.lit(")"))).otherwise(F.lit("there"))
+    texts = c.select(F.concat(F.lit("customer/"), "c_custkey").alias("s"), F.concat(name, F.lit(" lives there")).alias("text"), F.concat(name, F.lit(" lives "), link).alias("md"))
+    kinds = spark.createDataFrame([("nation", "dbo:Nation"), ("label", "xsd:string")], "p string, range string")
+    return grounding.wikicheck(q, texts, kinds)
+
+
+@query("SELECT s_suppkey, p, CASE p WHEN 'seat' THEN s_suppkey % 2 = 0 WHEN 'note' THEN true ELSE s_suppkey % 3 = 0 END AS found FROM supplier, (SELECT unnest(['seat', 'note', 'founded']) AS p)")
+def ground_plain_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "supplier").withColumn("s", F.concat(F.lit("s"), "s_suppkey"))
+    fact = lambda p, o: F.struct(F.lit(p).alias("p"), o.alias("o"))
+    facts = s.select("s", F.inline(F.array(fact("seat", F.lit(":New_Town")), fact("note", F.lit("FAMOUS")), fact("founded", F.lit("1994-08-29")))))
+    text = F.concat(F.lit("A famous firm"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(" in new town")).otherwise(F.lit("")), F.when(F.col("s_suppkey") % 3 == 0, F.lit(" of 29 August 1994.")).otherwise(F.lit(".")))
+    kinds = spark.createDataFrame([("seat", "dbo:Place"), ("founded", "xsd:date")], "p string, range string")
+    found = grounding.in_plain_text(facts, s.select("s", text.alias("text")), kinds)
+    return found.select(F.substring("s", 2, 99).cast("long").alias("s_suppkey"), "p", "found")
+
+
+@query("""SELECT 'order/' || o_orderkey AS s, concat_ws(',', CASE WHEN o_custkey % 2 <> 0 THEN 'customer' END, CASE WHEN o_orderkey % 3 = 0 THEN 'status' END) AS violations, o_custkey % 2 = 0 AND o_orderkey % 3 <> 0 AS conforms FROM orders""")
+def shacl_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted triples to facts, facts to a validation that looks at the classes of objects."""
+    lines = ttl_light_serialize(spark, sf_dir).where("s IS NOT NULL")
+    triples = lines.select(F.inline(codecs.parse(F.col("line")))).where(~((F.col("prop") == "status") & (F.substring_index("subj", "/", -1).cast("long") % 3 == 0)))
+    types = load(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select(F.concat(F.lit("customer/"), "o_custkey").alias("s"), F.lit("Customer").alias("cls"))
+    return scoring.validate(scoring.triples_to_facts(triples, ORDER_SHAPE), ORDER_SHAPE, "types", types)
+
+
+@query(f"""WITH {_CHECKED}, i AS (SELECT s, p, lower(replace(CASE WHEN k = 'iri' THEN o ELSE o END, '_', ' ')) AS v FROM quads WHERE p <> 'rdf:type'), c AS (SELECT s, p, lower(replace(o, '_', ' ')) AS v FROM checked WHERE found),
+    x AS (SELECT s, p, v FROM i WHERE p <> 'priority' AND (p <> 'status' OR split_part(s, '/', 2)::BIGINT % 2 = 0)), n AS (SELECT s, count(*) AS ni FROM i GROUP BY s), m AS (SELECT s, count(*) AS nc FROM c GROUP BY s), l AS (SELECT s, count(*) AS nx FROM x GROUP BY s),
+    h AS (SELECT x.s, count(*) AS hc FROM x JOIN c ON c.s = x.s AND c.p = x.p AND c.v = x.v GROUP BY x.s)
+    SELECT s AS ex, 100.0::DOUBLE AS init_prop_p, round(100 * nx / ni, 2) AS init_prop_r, round(200 * nx / (ni + nx), 2) AS init_prop_f1, round(100 * coalesce(hc, 0) / nx, 2) AS correct_value_p, round(coalesce(100 * hc / nc, 0), 2) AS correct_value_r,
+        round(100 * coalesce(nc, 0) / ni, 2) AS expressiveness, round(100 * nx / 4, 2) AS coverage FROM n JOIN l USING (s) LEFT JOIN m USING (s) LEFT JOIN h USING (s)""")
+def three_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The knowledge base's graph, what the text says of it, and an extraction, compared for each entity."""
+    kinds = spark.createDataFrame([("orderDate", "xsd:date"), ("status", "xsd:string"), ("priority", "xsd:string")], "p string, range string")
+    initial = scoring.initial_graph(star_quads(spark, sf_dir, ORDERS), ORDER_SHAPE)
+    correct = scoring.correct_graph(initial, _order_texts(spark, sf_dir).withColumnRenamed("s", "ex"), kinds)
+    extracted = initial.where("p <> 'priority'").where((F.col("p") != "status") | (F.substring_index("ex", "/", -1).cast("long") % 2 == 0))
+    found = scoring.compare_graphs(initial, correct, extracted, [p.name for p in ORDER_SHAPE.properties])
+    return found.select("ex", "init_prop_p", "init_prop_r", "init_prop_f1", "correct_value_p", "correct_value_r", "expressiveness", "coverage")
+
+
+@query("""WITH e AS (SELECT l_returnflag AS cls, l_orderkey AS ex, avg(l_quantity) AS quantity, avg(l_discount) AS discount FROM lineitem GROUP BY ALL), c AS (SELECT cls, count(*) AS n_entities, avg(quantity) AS quantity, avg(discount) AS discount FROM e GROUP BY cls)
+    SELECT cls, n_entities, round(quantity, 2) AS quantity, round(discount, 2) AS discount FROM c UNION ALL SELECT NULL, sum(n_entities)::BIGINT, round(avg(quantity), 2), round(avg(discount), 2) FROM c""")
+def means_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("cls"), F.col("l_orderkey").alias("ex"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    return reports.means(rows, ["quantity", "discount"])
+
+
+@query("SELECT o_orderstatus AS type, count(*) AS nb, round(avg(o_orderkey % 11 / 10), 6) AS score FROM orders GROUP BY 1")
+def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("type"), (F.col("o_orderkey") % 11 / 10).alias("score"))
+    return reports.claim_scores(o)
+
+
+# Samples and their statistics
+
+
+@query(f"WITH {_SIGS} SELECT signature, count(*) AS nb, any_value(n_props)::INT AS n_props, round(count(*) / (SELECT count(*) FROM sigs WHERE split_part(s, '/', 2)::BIGINT % 3 = 0), 6) AS freq FROM sigs WHERE split_part(s, '/', 2)::BIGINT % 3 = 0 GROUP BY signature")
+def sampled_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = _orders(spark, sf_dir).where(F.substring_index("s", "/", -1).cast("long") % 3 == 0)
+    return signatures.sampled_patterns(signatures.entity_signatures(_flags(spark, sf_dir), _orders(spark, sf_dir)), sample)
+
+
+@query(f"""WITH {_SIGS}, t AS (SELECT 'property' AS kind, p AS name, count(DISTINCT s) - 1 AS nb FROM facts GROUP BY p UNION ALL SELECT 'pattern', signature, count(*) - 1 FROM sigs WHERE n_props > 0 GROUP BY signature)
+    SELECT kind, name, nb, row_number() OVER (PARTITION BY kind ORDER BY nb, name)::INT AS place FROM t""")
+def stratum_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.tallies(_flags(spark, sf_dir), first_is_zero=True)
+
+
+@query(f"WITH {_FLAGS} SELECT s, count(DISTINCT p) AS n_props FROM facts GROUP BY s")
+def property_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.property_numbers(_flags(spark, sf_dir))
+
+
+@query(f"WITH {_FLAGS} SELECT DISTINCT s FROM facts WHERE p = 'NF' OR split_part(s, '/', 2)::BIGINT % 100 = 0")
+def with_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _flags(spark, sf_dir)
+    return sampling.with_property(f, "NF", f.where(F.substring_index("s", "/", -1).cast("long") % 100 == 0).select("s"))
+
+
+@query("SELECT doc_id AS s, source AS p FROM documents WHERE length(text) > 40 AND source IS NOT NULL")
+def usable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("s"), F.col("source").alias("p"), "text")
+    names = [r.p for r in d.select("p").distinct().collect() if r.p is not None]  # the shape's properties
+    return sampling.usable(d, names, 40).select("s", "p")
+
+
+@query(f"WITH {_STRATA}, placed AS (SELECT s, stratum, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || s), s) - 1 + ('0x' || substr(md5('42:' || stratum), 1, 6))::BIGINT AS n FROM strata) SELECT s, stratum, (n % 5)::INT AS fold FROM placed")
+def strat_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified_kfold(sampling.strata(_flags(spark, sf_dir)), "stratum", 5)
+
+
+# More forms of text and lines
+
+
+@query("""SELECT n AS o_orderkey, CASE WHEN n % 3 = 0 THEN 4 ELSE 5 END::INT AS n, n % 3 <> 0 AS same FROM (SELECT o_orderkey AS n FROM orders)""")
+def statement_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement lines read back; without the object of a statement its value is NULL."""
+    q = star_quads(spark, sf_dir, ORDERS)
+    lines = codecs.statements(q).join(codecs.serialize(q).withColumnRenamed("line", "light"), "s").withColumn("n", F.substring_index("s", "/", -1).cast("long"))
+    cut = F.when(F.col("n") % 3 == 0, F.regexp_replace("line", ':status "[^"]*"', ":status")).otherwise(F.col("line"))
+    t = lines.withColumn("t", codecs.parse_statements(cut)).withColumn("want", codecs.parse(F.col("light")))
+    known = F.filter("t", lambda x: x["val"] != "NULL")
+    return t.select(F.col("n").alias("o_orderkey"), F.size(known).alias("n"), (F.to_json(F.array_sort("t")) == F.to_json(F.array_sort("want"))).alias("same"))
+
+
+@query("SELECT p_partkey, p_partkey % 4 <> 3 AS accepted FROM part")
+def grammar_after_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.concat(F.lit(":p"), "p_partkey", F.lit(' a :Part; :brand "'), "p_brand", F.lit('" .'))
+    coded = F.replace(plain, F.lit(";"), F.lit("%3B"))
+    line = F.when(F.col("p_partkey") % 4 == 0, plain).when(F.col("p_partkey") % 4 == 1, coded).when(F.col("p_partkey") % 4 == 2, F.replace(coded, F.lit("%"), F.lit("%25"))).otherwise(F.replace(F.replace(coded, F.lit("%"), F.lit("%25")), F.lit("%"), F.lit("%25")))
+    return load(spark, sf_dir, "part").select("p_partkey", codecs.accepted_after_decoding(F.concat(line, F.lit("é"))).alias("accepted"))
+
+
+@query("SELECT 's' || s_suppkey AS subj, 'org' AS subj_type, 'seat' AS prop, 'n' || s_nationkey AS val, 'loc' AS val_type FROM supplier UNION ALL SELECT 's' || s_suppkey, 'org', 'head', 'p', 'per' FROM supplier")
+def typed_triplet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.concat(F.lit("<triplet> s"), "s_suppkey", F.lit(" <org> "))
+    text = F.concat(F.lit("<s>"), head, F.lit("n"), "s_nationkey", F.lit(" <loc> seat "), head, F.lit("p <per> head"))
+    return load(spark, sf_dir, "supplier").select(F.inline(codecs.from_typed_tokens(text)))
+
+
+@query("""SELECT c_custkey, 'c_' || replace(c_name, ' ', '_') AS name, 'a b' AS plain, 'Graph: ' || c_name || ' : ' || c_mktsegment AS prompt, 'caf ' || c_custkey AS ascii,
+    'A [place](:New%20Town) here' AS md FROM customer""")
+def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer")
+    html = F.lit('<section><p>A <a href="./New Town">place</a><sup class="noprint reference">[1]</sup> <a class="new" href="./X?redlink=1">here</a></p></section>')
+    return c.select("c_custkey", text.strip_entity_name(F.concat(F.lit("<http://dbpedia.org/resource/c_"), "c_name", F.lit('">'))).alias("name"), text.strip_prefixes(F.lit("dbo:a dbr:b")).alias("plain"), text.prompt(F.col("c_name"), F.col("c_mktsegment"), "Graph").alias("prompt"), text.ascii_only(F.concat(F.lit("café "), "c_custkey")).alias("ascii"), text.html_lead(html, encode=True).alias("md"))
+
+
+# Readers and writers: files written from the tables and read again
+
+
+@query("SELECT 'parts' AS g, 'http://x/p' || p_partkey AS s, 'http://x/brand' AS p, p_brand AS o, 'literal' AS k, NULL AS dt, 'en' AS lang FROM part UNION ALL SELECT 'parts', 'http://x/p' || p_partkey, 'http://x/size', p_size::VARCHAR, 'literal', 'http://x/int', NULL FROM part UNION ALL SELECT 'parts', 'http://x/p' || p_partkey, 'http://x/kind', 'http://x/Part', 'iri', NULL, NULL FROM part")
+def ntriples_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subject = F.concat(F.lit("<http://x/p"), "p_partkey", F.lit("> "))
+    lines = F.array(F.concat(subject, F.lit('<http://x/brand> "'), "p_brand", F.lit('"@en .')), F.concat(subject, F.lit('<http://x/size> "'), "p_size", F.lit('"^^<http://x/int> .')), F.concat(subject, F.lit("<http://x/kind> <http://x/Part> .")), F.lit("# no triple"))
+    load(spark, sf_dir, "part").select(F.explode(lines).alias("value")).write.text(path := folder(spark))
+    return store.read_ntriples(spark, path, "parts")
+
+
+@query("SELECT 'r' || r_regionkey AS s, 'label' AS p, r_name AS o FROM region")
+def turtle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turtle is what shapes are written in: a few facts on the driver."""
+    rows = load(spark, sf_dir, "region").collect()  # five
+    text = "@prefix : <http://x/> .\n" + "\n".join(f':r{r.r_regionkey} :label "{r.r_name}" .' for r in rows)
+    found = [(s.removeprefix("http://x/"), p.removeprefix("http://x/"), o) for s, p, o in read_turtle(text)]
+    return spark.createDataFrame(found, "s string, p string, o string")
+
+
+@query("SELECT ':c' || c_custkey || ' a :Customer .' AS triples, c_name AS abstract, 'c' || c_custkey AS ent, c_mktsegment AS pattern, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 0 END AS class FROM customer")
+def dataset_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON arrays of rows, under the newer and the older name of the entity, some without a class."""
+    c = load(spark, sf_dir, "customer")
+    name = F.concat(F.lit("c"), "c_custkey")
+    row = F.struct(F.concat(F.lit(":c"), "c_custkey", F.lit(" a :Customer .")).alias("triples"), F.col("c_name").alias("abstract"), F.when(F.col("c_custkey") % 3 == 0, name).alias("ent"), F.when(F.col("c_custkey") % 3 != 0, name).alias("entity"), F.col("c_mktsegment").alias("pattern"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("class"))
+    files = c.groupBy("c_nationkey").agg(F.to_json(F.collect_list(row)).alias("value")).select("value")
+    files.write.option("maxRecordsPerFile", 1).text(path := folder(spark))
+    return store.read_dataset(spark, path)
+
+
+@query("SELECT 's' || s_suppkey AS ent_uri, 'label' AS pred, 'FP_new' AS type, CASE WHEN s_suppkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS verif, s_name AS val_pred FROM supplier")
+def annotations_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "supplier")
+    rows = s.select(F.concat(F.lit("s"), "s_suppkey").alias("ent_uri"), F.lit("label").alias("pred"), F.lit("FP_new").alias("type"), F.when(F.col("s_suppkey") % 2 == 0, "TRUE").otherwise("FALSE").alias("verif"), F.lit("TRUE").alias("found"), F.col("s_name").alias("val_pred"), F.lit("x").alias("val_gold"))
+    reports.write_csv(rows, path := folder(spark))
+    return store.read_annotations(spark, path).select("ent_uri", "pred", "type", "verif", "val_pred")
+
+
+@query("SELECT DISTINCT 'Brand' AS name, p_brand AS brand, p_size::VARCHAR AS size FROM part")
+def artifact_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table artifacts (columns and a matrix of data), one a fold; rows that folds share count once."""
+    rows = load(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 8).alias("fold")).agg(F.collect_list(F.array("p_brand", F.col("p_size").cast("string"))).alias("data"))
+    rows.select(F.to_json(F.struct(F.array(F.lit("brand"), F.lit("size")).alias("columns"), "data")).alias("value")).write.option("maxRecordsPerFile", 1).text(path := folder(spark))
+    return store.read_artifact(spark, path).select(F.lit("Brand").alias("name"), F.col("row")["brand"].alias("brand"), F.col("row")["size"].alias("size"))
+
+
+@query(f"WITH {_QP} SELECT g, count(*) AS nb FROM quads WHERE g <> 'region' GROUP BY g")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk load, guarded insert of what is there in part, and removal of a graph."""
+    q, path = star_quads(spark, sf_dir, PEOPLE), folder(spark)
+    store.write_store(q.where("g <> 'supplier'"), path)
+    store.insert_missing(q, path)
+    store.drop_graph(spark, path, "region")
+    return spark.read.parquet(path).groupBy("g").agg(F.count("*").alias("nb"))
+
+
+@query(f"SELECT split, count(*) AS nb, min(s) AS first FROM (SELECT s, CASE WHEN n < 1000 THEN 'train' ELSE 'test' END AS split FROM {_RANK} WHERE n < 1200) GROUP BY split")
+def splits_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store.write_splits(slice_splits(spark, sf_dir), path := folder(spark))
+    return spark.read.schema("s string, split string").json(path).groupBy("split").agg(F.count("*").alias("nb"), F.min("s").alias("first"))
+
+
+@query(f"{ORACLE['class_weights']}")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as CSV and as JSON, read again and put together."""
+    report, csv, json = class_weights(spark, sf_dir), folder(spark), folder(spark)
+    reports.write_csv(report.select("o_orderpriority", "nb"), csv)
+    reports.write_json(report.select("o_orderpriority", "weight"), json)
+    return spark.read.schema("o_orderpriority string, nb long").csv(csv, header=True).join(spark.read.schema("o_orderpriority string, weight double").json(json), "o_orderpriority")
+
+
+@query("SELECT 'order/' || o_orderkey AS s, lower(o_orderpriority) AS o FROM orders")
+def incremental_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to do, done in two steps and a third that finds nothing."""
+    source = load(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("s"), "o_orderpriority")
+    work = lambda todo: todo.select("s", F.lower("o_orderpriority").alias("o"))
+    path = folder(spark)
+    incremental.step(source.where(F.substring_index("s", "/", -1).cast("long") % 2 == 0), path, work, ["s"])
+    for _ in range(2):
+        incremental.step(source, path, work, ["s"])
+    return spark.read.schema("s string, o string").parquet(path)
+
+
+@query("SELECT count(*)::INT AS nb FROM customer")
+def sparql_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = sparql.scalar("SELECT (COUNT(DISTINCT ?s) AS ?n) WHERE { ?s a <Customer> }", star_quads(spark, sf_dir, ("customer",)))
+    return spark.createDataFrame([(n,)], "nb int")
 
 
 # Ontology: nations under regions under the world
@@ -526,12 +847,6 @@ def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", masked.alias("template")).withColumn("filled", grounding.fill(F.col("template"), values))
 
 
-@query()
-def bleu_by_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").select("p_brand", codecs.char_bleu(F.col("p_name"), F.concat("p_name", F.lit(" x"))).alias("bleu"))
-    return p.groupBy("p_brand").agg(F.round(F.avg("bleu"), 4).alias("bleu"))
-
-
 # Lookups, clean-up, partitions
 
 
