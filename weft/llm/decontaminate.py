@@ -7,7 +7,8 @@ size (powers of two), and the number of MinHash values is set for each pair of p
 
 1. Sketch. The hash space is cut into bins; a document's MinHash values are the least hash of each bin (one-permutation MinHash), each a band of its
    own. With u / b shingles to a bin, a shared shingle is its bin's least with probability p(u / b) = (1 - exp(-u / b)) / (u / b). Each pair of partitions gets the
-   least power of two of bins with which a document at the threshold shows none of the ceil(t * q) shared ones with probability MISS at most.
+   least power of two of bins with which a document at the threshold shows none of the ceil(t * q) shared ones with probability MISS at most. The values for larger
+   items are among those for smaller ones; each is sent once, with the largest items' partition that it serves.
 2. Search. Items are indexed by all their shingles; a document is a candidate for an item when one of its values is among them.
 3. Verification. Of the candidate pairs, the shared shingles are counted exactly.
 
@@ -55,16 +56,16 @@ def load_bits(q: int, threshold: float, miss: float = MISS) -> int:
     return floor(log2(low))
 
 
-def _bin(h: Column, bits: Column) -> Column:
-    """The first bits of h; none if bits is 0."""
-    return F.call_function("shiftrightunsigned", F.shiftrightunsigned(h, 1), F.lit(63) - bits)
+def bin_shift(size: Column, load: int) -> Column:
+    """What a hash (without its last bit) is shifted by to give its bin, when a bin holds 2^load hashes at most on average in documents as large as their partition allows."""
+    partition = F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int")
+    return F.lit(63) - F.greatest(F.lit(0), F.least(F.lit(62), partition - F.lit(load)))
 
 
-def sketch(hashes: Column, size: Column, load: int) -> Column:
-    """The least of each bin, of sorted distinct hashes; a bin holds 2^load of them at most on average, in documents as large as their partition allows."""
-    partition = F.ceil(F.log2(size.cast("double"))).cast("int")
-    bits = F.greatest(F.lit(0), F.least(F.lit(62), partition - F.lit(load)))
-    return F.filter(hashes, lambda h, i: (i == 0) | (_bin(h, bits) != _bin(F.get(hashes, i - 1), bits)))
+def sketch(hashes: Column, shift: Column) -> Column:
+    """The least of each bin, of sorted distinct hashes."""
+    place = lambda h: F.call_function("shiftrightunsigned", F.shiftrightunsigned(h, 1), shift)
+    return F.filter(hashes, lambda h, i: (i == 0) | (place(h) != place(F.get(hashes, i - 1))))
 
 
 def _small(df: DataFrame, name: str) -> DataFrame:
@@ -77,16 +78,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_i
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).withColumn("doc", F.xxhash64("doc_id", "t"))
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("t")).withColumn("item", F.xxhash64("item_id", "t"))
     worded = lambda df, *keep: df.select(*keep, word_array(F.col("t")).alias("words"))  # noqa: E731  a step of its own: a lambda must not cut the text for each shingle
-    hashes = F.array_sort(F.array_distinct(shingle_hashes(F.col("words"))))
+    hashes = F.sort_array(F.array_distinct(shingle_hashes(F.col("words"))))
 
     wanted = worded(items, "item_id", "item").select("item_id", "item", hashes.alias("hashes")).withColumn("n", F.size("hashes")).where("n > 0").dropDuplicates(["item"])
     index = _small(wanted.select("item_id", "item", "n", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("of"), F.explode("hashes").alias("h")), "items")
     partitions = sorted(r.of for r in index.select("of").distinct().collect())  # of item sizes: powers of two
 
-    held = worded(docs, "doc").select("doc", hashes.alias("hashes")).withColumn("size", F.size("hashes"))
-    sketches = F.array(*[F.struct(F.lit(i).alias("of"), sketch(F.col("hashes"), F.col("size"), load_bits(1 << i, threshold)).alias("values")) for i in partitions]) if partitions else F.array().cast("array<struct<of: int, values: array<long>>>")
-    values = held.select("doc", F.inline(sketches)).select("doc", "of", F.explode("values").alias("h"))
-    pairs = _small(values.join(index.select("of", "h", "item"), ["of", "h"]).select("doc", "item").distinct(), "candidates")
+    held = worded(docs, "doc").select("doc", hashes.alias("v"))
+    held = held.select("doc", "v", *[bin_shift(F.size("v"), load_bits(1 << i, threshold)).alias(f"shift{i}") for i in partitions])
+    before = "v"
+    for i in partitions:  # larger items need fewer bins, and the least of a bin is the least of a smaller one within it
+        held = held.select("*", sketch(F.col(before), F.col(f"shift{i}")).alias(f"v{i}"))
+        before = f"v{i}"
+    each = [F.struct(F.lit(i).alias("level"), (F.array_except(f"v{i}", f"v{j}") if j else F.col(f"v{i}")).alias("values")) for i, j in zip(partitions, [*partitions[1:], 0])]
+    sketches = F.array(*each) if each else F.array().cast("array<struct<level: int, values: array<long>>>")
+    values = held.select("doc", F.inline(sketches)).select("doc", "level", F.explode("values").alias("h"))
+    pairs = _small(values.join(index.select("of", "h", "item"), "h").where("of <= level").select("doc", "item").distinct(), "candidates")
 
     of_pairs = worded(docs.join(pairs, "doc"), "doc_id", "doc", "item").select("doc_id", "doc", "item", hashes.alias("hashes"))
     each = of_pairs.select("doc_id", "doc", "item", F.explode(F.concat("hashes", F.array().cast("array<long>"))).alias("h"))  # concat() keeps the optimizer from deriving a filter that would compute the hashes twice
