@@ -85,6 +85,16 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head, np.append(head, len(x))[1:]
 
 
+def in_order(key: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order by key, then by the further arrays; those are only looked at where keys tie."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(key) else np.zeros(0, np.int64)
+    at = order[tied]
+    order[tied] = at[np.lexsort((*(m[at] for m in reversed(more)), key[at]))]
+    return order
+
+
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For the nodes 0..n-1 and the edges a-b, the smallest node of each node's component."""
     label = np.arange(n)

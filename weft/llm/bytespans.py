@@ -2,7 +2,7 @@
 
 Every byte covered by a min_bytes-byte string that also starts in a document with a smaller id is removed;
 strings are judged on the input. The frame is that of weft.llm.spans: it brings the different regions that share an anchor together,
-one copy of each. What they have in common is found on their Burrows-Wheeler transform, by threshold-bounded interval expansion: the
+one copy of each, so copies are one string, and a string that is alone under its anchor needs no comparison. What the others have in common is found on their Burrows-Wheeler transform, by threshold-bounded interval expansion: the
 intervals of one byte are extended to the left breadth first, through the transform's LF mapping alone. An interval of l bytes that extends to one of l + 1
 bytes whose right end is not yet known to be a boundary makes it one, with a common prefix of l bytes, and goes on; others end there.
 So boundaries come by increasing value, each once, and the expansion stops at min_bytes: what no boundary parts by then is a class of equal strings, and
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm.hashing import BYTES
-from weft.llm.spans import MAX_WINDOWS, PIECES, REGIONS, Held, Method, Part, Pieces, Unit, answers, repeated, spread, told
+from weft.llm.spans import ASK, MAX_WINDOWS, PIECES, REGIONS, Held, Method, Part, Pieces, Unit, answers, repeated, spread, told
 
 MIN_BYTES = 50
 #: Bytes that are transformed at once, unless the regions of one anchor have more.
@@ -155,7 +155,7 @@ def _masks(least: np.ndarray, begin: np.ndarray, windows: np.ndarray, ids: np.nd
 
 
 class Expansion(Method):
-    all_equal, hot, per, piece_units = True, 4096, 4, True
+    hot, per, piece_units = 4096, 4, True
 
     def regions(self, unit: Unit, held: Held) -> pa.Table:
         least = _in_batches(unit.n, held.key, held.windows, held.starts, held.units, held.least)
@@ -168,21 +168,24 @@ class Expansion(Method):
 
     def starts(self, part: Part, table: pa.Table, split: Pieces | None) -> Iterator[np.ndarray]:
         mask, judged = np.zeros(len(part.key), np.uint64), np.zeros(len(part.key), bool)
+        every = lambda windows: (~np.uint64(0)) >> (np.uint64(64) - windows.astype(np.uint64))
         at, found = told(table, REGIONS, "<u4", "<u8")
         mask[at], judged[at] = found, True
         if split is not None:
             at, found = told(table, PIECES, "<u4", "<u8")
             of_run = np.zeros(len(split.head), np.uint64)
             of_run[at] = found
-            every = (~np.uint64(0)) >> (np.uint64(64) - split.windows.astype(np.uint64))
-            own = np.where(split.id > split.id[split.head][split.run], every, of_run[split.run])
+            own = np.where(split.id > split.id[split.head][split.run], every(split.windows), of_run[split.run])
             np.bitwise_or.at(mask, split.region, own << split.offset.astype(np.uint64))
             judged[split.region] = True
+        at, _, least = told(table, ASK, "<u4", "u1", "<i8")
+        alone = at[~judged[at] & (least < part.id[at])]  # all that stands under their anchors are copies, one of a smaller id
+        mask[alone] = every(part.windows[part.holder[alone]])
         offset = 0
         for _, _, _, r, _ in part.blocks:
             which = part.which[offset : offset + len(r.first)]
             offset += len(r.first)
-            copy = judged[which] & (r.id > part.id[which])  # of a region that the expansion has put in classes with a smaller id
+            copy = r.id > part.id[which]
             window = spread(np.zeros(len(r.first), np.int64), r.windows)
             bits = (np.repeat(mask[which], r.windows) >> window.astype(np.uint64)) & np.uint64(1)
             yield r.valid[np.repeat(copy, r.windows) | bits.astype(bool)]

@@ -7,7 +7,8 @@ start in a document with a smaller id. The frame brings together what may be equ
    windows have equal anchors at equal places. The windows of a document that choose the same anchor are
    consecutive; their union is a region. Documents are dealt into parts of a few MB. Per part and different region, two
    hashes and the least id go to the bucket of the anchor; copies of a region are sent once.
-2. resolve. Anchors that documents of different ids hold are shared. Of each different region of a shared anchor, one part is asked for the units.
+2. resolve. Anchors that documents of different ids hold are shared. Where all regions of a shared anchor are equal (by 64-bit hashes of anchor and content),
+   there is nothing to find but the least id, and that is told. Of each different region of the others, one part is asked for the units.
 3. send. The units go to the bucket of the anchor. An anchor with more than Method.hot different regions is split: its regions are cut into pieces of
    Method.per windows, and each piece goes by the hash of the units that its windows have in common, wherever they belong. Equal pieces of a
    part are sent once. So no bucket grows with the regions of one anchor.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import bound_batches, pack, power_of_two, runs, unpack
+from weft.llm.base import bound_batches, in_order, pack, power_of_two, runs, unpack
 from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
@@ -143,7 +144,7 @@ class Part:
         #: By region in reading order: the place of its first unit and of its anchor in the part, and its windows.
         self.first, self.anchor = (np.concatenate([getattr(r, a) + o for r, o in zip(regions, self.offset, strict=False)] or [np.zeros(0, np.int64)]) for a in ("first", "anchor"))
         self.windows = np.concatenate([r.windows for r in regions] or [np.zeros(0, np.int64)])
-        order = np.lexsort((ids, content, key))
+        order = in_order(key, content, ids)
         k, c = key[order], content[order]
         new = np.ones(len(order), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
@@ -183,7 +184,7 @@ class Pieces:
         shape = (latest - self.first).astype(np.uint64) * np.uint64(4096) + self.windows.astype(np.uint64)
         content = mix(ranges(sums, self.first, self.first + self.windows + unit.n - 1) ^ mix(shape))
         self.id = part.id[self.region]
-        order = np.lexsort((self.id, content, key))
+        order = in_order(key, content, self.id)
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
         #: The first of each run of equal pieces, the run of each piece, and the key of each run.
@@ -196,9 +197,10 @@ class Pieces:
 SENT = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
 ANSWER = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
 _SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
-#: Kinds of answers: what the part has to send, and what the method says of regions and of pieces.
+#: Kinds of answers: what is asked of the part or told about its regions (least ids), and what the method says of regions and of pieces.
 ASK, REGIONS, PIECES = 0, 1, 2
-_UNITS, _PIECES = 2, 3
+#: What is asked for: nothing, a region's units, or its pieces.
+TOLD, UNITS, CUT = 0, 1, 2
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -238,10 +240,8 @@ class Held:
 
 
 class Method:
-    """What decides which windows are repeats. all_equal: whether it wants the units of shared regions that are equal everywhere, too. hot: different regions
-    of an anchor from which it is split, into pieces of `per` windows; piece_units: whether the pieces' units are wanted."""
+    """What decides which windows are repeats. hot: different regions of an anchor from which it is split, into pieces of `per` windows; piece_units: whether the pieces' units are wanted."""
 
-    all_equal: bool
     hot: int
     per: int
     piece_units: bool
@@ -293,7 +293,7 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
 
     def resolve(table: pa.Table) -> pa.Table:
         key, content, ids, several, part, at = regions_of(table)
-        order = np.lexsort((part, ids, content, key))
+        order = in_order(key, content, ids, part)
         key, content, ids = key[order], content[order], ids[order]
         new_key = np.append(True, key[1:] != key[:-1])
         new = new_key | np.append(True, content[1:] != content[:-1])
@@ -301,17 +301,17 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
         shared = (np.maximum.reduceat(ids, heads) > np.minimum.reduceat(ids, heads)) | np.logical_or.reduceat(several[order], heads)
         different = np.bincount(group, new)
         hot = (shared & (different > method.hot))[group]
-        wanted = (shared & ((different > 1) | method.all_equal))[group]
-        code = np.where(hot, _PIECES, np.where(wanted & new, _UNITS, 0)).astype(np.uint8)
+        wanted = (shared & (different > 1))[group]
+        code = np.where(hot, CUT, np.where(wanted & new, UNITS, TOLD)).astype(np.uint8)
         least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        some = code > 0 if method.all_equal else (code > 0) | (least < ids)
-        return answers(part[order][some], ASK, at[order][some].astype(np.uint32), code[some], least[some] * (not method.all_equal))
+        some = (code > 0) | (least < ids)
+        return answers(part[order][some], ASK, at[order][some].astype(np.uint32), code[some], least[some])
 
     def split_of(part: Part, table: pa.Table) -> tuple[np.ndarray, Pieces | None]:
         """The regions whose units are asked for, and the pieces of those that are split."""
         at, code, _ = told(table, ASK, "<u4", "u1", "<i8")
-        hot = np.sort(at[code == _PIECES])
-        return np.sort(at[code == _UNITS]), Pieces(part, hot, method.per) if len(hot) else None
+        hot = np.sort(at[code == CUT])
+        return np.sort(at[code == UNITS]), Pieces(part, hot, method.per) if len(hot) else None
 
     def send(table: pa.Table, asking: pa.Table) -> pa.Table:
         if not table.num_rows or not asking.num_rows:
@@ -349,7 +349,7 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
                 c.append(x)
         at, windows, ids, key, content, part, units = map(np.concatenate, cols)
         lengths = windows + unit.n - 1
-        order = np.lexsort((content, key))
+        order = in_order(key, content)
         if len(units):
             units = units[spread((np.cumsum(lengths) - lengths)[order], lengths[order])]
         at, windows, ids, key, content, part = (x[order] for x in (at, windows, ids, key, content, part))

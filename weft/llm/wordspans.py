@@ -60,7 +60,7 @@ class Index:
         windows = np.maximum(end - begin - n + 1, 0)
         place, block = spread(begin, windows), np.repeat(np.arange(len(begin)), windows)
         key = self.hashes(place)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         head, ends = runs(key[order])
         many = np.repeat(ends - head > 1, ends - head)
         order = order[many]
@@ -123,7 +123,7 @@ class Index:
 
 
 class Factoring(Method):
-    all_equal, hot, per, piece_units = False, 8, 1, False
+    hot, per, piece_units = 8, 1, False
 
     def regions(self, unit: Unit, held: Held) -> pa.Table:
         """The reference blocks that a part needs: of each anchor that it holds, the different regions of smaller ids."""
