@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,28 +37,36 @@ def statements(facts: DataFrame, subject: str = "s", gap: str = " ", datatypes:
     return by.select(subject, F.array_join(F.transform("parts", one), gap).alias("line"))
 
 
+TRIPLES = "array<struct<subj:string,prop:string,val:string>>"
+
+
 def accepted(line: Column) -> Column:
     return F.coalesce(line.rlike(GRAMMAR), F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def parse(line: Column) -> Column:
     """(subj, prop, val) triples; type as prop 'type'; objects keep their colon. Empty where no subject and type are found."""
-    text = F.regexp_replace(F.trim(line), "\\s*\\.\\s*$", "")
-    subject = F.regexp_extract(text, "^:?(\\S+?)\\s*\\ba\\s*:", 1)
-    kind = F.regexp_extract(text, "^:?\\S+?\\s*\\ba\\s*:([^\\s;.]+)", 1)
-    parts = F.split(text, ";")
-    rest = F.slice(parts, 2, F.size(parts))
-
     def one(part: Column) -> Column:
         name = F.regexp_extract(part, "^\\s*:([^\\s\":]+)", 1)
         literal = F.regexp_extract(part, '"([^"]*)"', 1)
         objects = F.transform(F.split(F.regexp_replace(part, "^\\s*:[^\\s\":]+\\s*", ""), ","), lambda x: F.trim(x))
         values = F.when(part.contains('"'), F.array(literal)).otherwise(F.filter(objects, lambda x: x.startswith(":") & (F.length(x) > 1)))
-        return F.transform(values, lambda v: F.struct(subject.alias("subj"), name.alias("prop"), v.alias("val")))
+        return _let(name, lambda n: F.when(n == "", F.array().cast("array<struct<prop:string,val:string>>")).otherwise(F.transform(values, lambda v: F.struct(n.alias("prop"), v.alias("val")))))
+
+    def read(text: Column) -> Column:
+        subject = F.regexp_extract(text, "^:?(\\S+?)\\s*\\ba\\s*:", 1)
+        kind = F.regexp_extract(text, "^:?\\S+?\\s*\\ba\\s*:([^\\s;.]+)", 1)
+        rest = _let(F.split(text, ";"), lambda parts: F.flatten(F.transform(F.slice(parts, 2, F.size(parts)), one)))
+        pairs = F.concat(F.array(F.struct(F.lit("type").alias("prop"), kind.alias("val"))), rest)
+        named = lambda s: F.when((s != "") & (kind != ""), F.transform(pairs, lambda t: F.struct(s.alias("subj"), t["prop"].alias("prop"), t["val"].alias("val")))).otherwise(F.array().cast(TRIPLES))
+        return _let(subject, named)
 
-    found = F.filter(F.flatten(F.transform(rest, one)), lambda t: t["prop"] != "")
-    head = F.array(F.struct(subject.alias("subj"), F.lit("type").alias("prop"), kind.alias("val")))
-    return F.when((subject != "") & (kind != ""), F.concat(head, found)).otherwise(F.array().cast("array<struct<subj:string,prop:string,val:string>>"))
+    return _let(F.regexp_replace(F.trim(F.coalesce(line, F.lit(""))), "\\s*\\.\\s*$", ""), read)
 
 
 def parse_ultra(line: Column) -> Column:
@@ -112,9 +121,6 @@ def to_list(triples: Column) -> Column:
     return F.to_json(F.transform(triples, lambda t: F.array(t["subj"], t["prop"], t["val"])))
 
 
-TRIPLES = "array<struct<subj:string,prop:string,val:string>>"
-
-
 def from_list(text: Column) -> Column:
     """Triples of [[subj, prop, val], ...]; lists of another length are left out, text that is no JSON gives none."""
     lists = F.filter(F.from_json(text, "array<array<string>>"), lambda t: F.size(t) == 3)

@@ -31,11 +31,13 @@ def signature_counts(signatures: DataFrame) -> DataFrame:
 
 
 def cumulative(counts: DataFrame) -> DataFrame:
-    """In descending order of count: the running share, and one minus it. A row for each distinct signature, so one ordered window does."""
-    order = W.Window.orderBy(F.col("nb").desc(), "signature").rowsBetween(W.Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("nb").alias("__all"))
-    run = F.sum("nb").over(order) / F.col("__all")
-    return counts.join(F.broadcast(total)).select("signature", "nb", F.round(run, 6).alias("freq_cumul"), F.round(1 - run, 6).alias("inv_freq_cumul"))
+    """In descending order of count, then of signature: the running share, and one minus it. Signatures are placed among those of their own count; what stands before is
+    added up over the different counts, which are few (their number grows with the square root of the entities')."""
+    by = counts.groupBy("nb").agg(F.sum("nb").alias("__n"))
+    above = by.select("nb", (F.sum("__n").over(W.Window.orderBy(F.col("nb").desc())) - F.col("__n")).alias("__above"), F.sum("__n").over(W.Window.partitionBy()).alias("__all"))
+    place = F.row_number().over(W.Window.partitionBy("nb").orderBy("signature"))
+    run = (F.col("__above") + F.col("__place") * F.col("nb")) / F.col("__all")
+    return counts.withColumn("__place", place).join(above, "nb").select("signature", "nb", F.round(run, 6).alias("freq_cumul"), F.round(1 - run, 6).alias("inv_freq_cumul"))
 
 
 def power_set(signatures: DataFrame, props: list[str], include_full: bool = True) -> DataFrame:
