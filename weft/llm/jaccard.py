@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.base import bound_batches, components, materialize, pack, power_of_two, runs, unpack
+from weft.llm.base import bound_batches, components, discard, materialize, pack, power_of_two, runs, unpack
 from weft.llm.hashing import FOLD, mix, prefix, ranges, words
 
 SHINGLE_WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
@@ -140,7 +140,8 @@ def connect(edges: DataFrame, name: str) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = materialize(small.where("a <> b").distinct(), name)
+        was, e = e, materialize(small.where("a <> b").distinct(), name)
+        discard(was)
 
 
 def _batched(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[bytes]]]:

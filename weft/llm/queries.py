@@ -88,7 +88,4 @@ ORACLE: dict[str, str] = {
             FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
         SELECT query_id, rank::INT AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
-    "op6_bwt_substrings": "",
-    "op8_rlz_windows": "",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}
