@@ -48,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = jaccard.join(keyed, doc_id=KEY, text=at["text"]).select(F.col("doc_id").alias(KEY), "class_id").distinct()
     about = materialize(classes.join(keyed.select(KEY, F.col(at["doc_id"]).alias("id")).distinct(), KEY), "classes")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", KEY))
-    winners = about.groupBy("class_id").agg(first.alias("w")).select("class_id", F.col(f"w.{KEY}").alias("winner"))
+    winners = _small(about.groupBy("class_id").agg(first.alias("w"), F.count("*").alias("n")).where("n > 1").select("class_id", F.col(f"w.{KEY}").alias("winner")), "winners")
     losers = _small(about.join(winners, "class_id").where(F.col(KEY) != F.col("winner")).select(KEY).distinct(), "losers")
     again = _small(keyed.groupBy(KEY).count().where("count > 1").select(KEY), "repeated")
     kept = keyed.join(losers, KEY, "left_anti")
