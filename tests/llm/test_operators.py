@@ -97,8 +97,8 @@ def near_copies(n=40):
 @pytest.mark.parametrize("hot", [0, 3, 10**6])
 def test_split_anchors_against_brute_force(spark, monkeypatch, part_bytes, hot):
     monkeypatch.setattr(spans, "PART_BYTES", part_bytes)
-    monkeypatch.setattr(bytespans.Expansion, "hot", hot)
-    monkeypatch.setattr(wordspans.Factoring, "hot", hot)
+    monkeypatch.setattr(bytespans, "HOT", hot)
+    monkeypatch.setattr(wordspans, "HOT", hot)
     rows = corpus()[:16] + near_copies()
     got = bytespans.dedup(table(spark, rows)).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == byte_brute(rows)
@@ -109,7 +109,8 @@ def test_split_anchors_against_brute_force(spark, monkeypatch, part_bytes, hot):
 @pytest.mark.parametrize("n", [3, 13, 130, 200])
 def test_window_lengths_against_brute_force(spark, monkeypatch, n):
     monkeypatch.setattr(spans, "PART_BYTES", 1 << 11)
-    monkeypatch.setattr(bytespans.Expansion, "hot", 20)
+    monkeypatch.setattr(bytespans, "HOT", 5)
+    monkeypatch.setattr(wordspans, "HOT", 2)
     rows = corpus()[4:16] + near_copies(12)
     got = bytespans.dedup(table(spark, rows), n).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256)).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == byte_brute(rows, n)

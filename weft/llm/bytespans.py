@@ -27,6 +27,8 @@ from weft.llm.spans import ASK, MAX_WINDOWS, PIECES, REGIONS, Held, Method, Part
 MIN_BYTES = 50
 #: Bytes that are transformed at once, unless the regions of one anchor have more.
 TRANSFORM_BYTES = 1 << 17
+#: Different regions of an anchor from which it is split.
+HOT = 4096
 
 
 class Bytes(Unit):
@@ -155,8 +157,6 @@ def _masks(least: np.ndarray, begin: np.ndarray, windows: np.ndarray, ids: np.nd
 
 
 class Expansion(Method):
-    hot, per, piece_units = 4096, 4, True
-
     def regions(self, unit: Unit, held: Held) -> pa.Table:
         least = _in_batches(unit.n, held.key, held.windows, held.starts, held.units, held.least)
         begin = np.cumsum(held.windows) - held.windows
@@ -228,4 +228,4 @@ def dedup(docs: DataFrame, min_bytes: int = MIN_BYTES, **columns) -> DataFrame:
         offsets = np.concatenate([[0], np.cumsum(kept)])[breaks]
         return [pa.array(np.diff(breaks)), spans(removed, breaks), binary_array(raw[kept], offsets)]
 
-    return repeated(docs, Bytes(min_bytes), Expansion(), finish, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary", **columns)
+    return repeated(docs, Bytes(min_bytes), Expansion(HOT, 4, True), finish, "n_bytes long, spans array<struct<start: long, end: long>>, kept binary", **columns)

@@ -242,9 +242,8 @@ class Held:
 class Method:
     """What decides which windows are repeats. hot: different regions of an anchor from which it is split, into pieces of `per` windows; piece_units: whether the pieces' units are wanted."""
 
-    hot: int
-    per: int
-    piece_units: bool
+    def __init__(self, hot: int, per: int, piece_units: bool):
+        self.hot, self.per, self.piece_units = hot, per, piece_units
 
     def regions(self, unit: Unit, held: Held) -> pa.Table:
         """Answers of kind REGIONS."""

@@ -33,6 +33,8 @@ from weft.llm.spans import ANSWER, ASK, MAX_WINDOWS, PIECES, REGIONS, Held, Meth
 MIN_WORDS = 13
 #: Places after a cursor that are looked up at once.
 AHEAD = 32
+#: Different regions of an anchor from which it is split, as each is sent to the parts that hold another.
+HOT = 8
 #: Bits of the sieve before the index.
 SIEVE = 22
 
@@ -123,8 +125,6 @@ class Index:
 
 
 class Factoring(Method):
-    hot, per, piece_units = 8, 1, False
-
     def regions(self, unit: Unit, held: Held) -> pa.Table:
         """The reference blocks that a part needs: of each anchor that it holds, the different regions of smaller ids."""
         head, ends = runs(held.key)
@@ -200,4 +200,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, **columns) -> DataFrame:
             kept.append(b" ".join(compress(own, stay[before[i] : before[i + 1]])))
         return [pa.array(np.diff(before)), spans(removed, before), pa.array(kept, pa.binary())]
 
-    return repeated(docs, Words(min_words), Factoring(), finish, "n_words long, spans array<struct<start: long, end: long>>, kept binary", **columns)
+    return repeated(docs, Words(min_words), Factoring(HOT, 1, False), finish, "n_words long, spans array<struct<start: long, end: long>>, kept binary", **columns)
