@@ -14,7 +14,7 @@ def folder(spark: SparkSession) -> str:
     """A new path in spark.checkpoint.dir. Where that is unset, a session that runs on this machine alone uses a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="weft-")
         atexit.register(shutil.rmtree, base, True)
