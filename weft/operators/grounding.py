@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import dates_in, folds_into
+from weft.sources.scratch import settle
+
+#: Candidate pairs up to which they are broadcast to the texts; beyond that both are joined by shuffle.
+MAX_BROADCAST = 100_000
 
 
 def contains_ci(text: Column, value: Column) -> Column:
@@ -81,8 +85,9 @@ def contained(values: DataFrame, texts: DataFrame, key: str = "s", n: int = 5, c
     if not sizes:
         return v.join(t, F.lit(False)).select("item", F.col("t_key").alias(key))
     held = t.withColumn("w", F.split("text", "\\s+")).select("t_id", F.inline(F.array(*[grams(m) for m in sorted(sizes)]))).select("t_id", "m", F.explode("hs").alias("h"))
-    pairs = held.join(v.select("item", "value", "m", "h"), ["m", "h"]).select("t_id", "item", "value").distinct()
-    return pairs.join(t, "t_id").where(F.contains("text", "value")).select("item", F.col("t_key").alias(key)).distinct()
+    pairs = settle(held.join(v.select("item", "value", "m", "h"), ["m", "h"]).select("t_id", "item", "value").distinct())
+    pairs = F.broadcast(pairs) if pairs.count() <= MAX_BROADCAST else pairs
+    return t.join(pairs, "t_id").where(F.contains("text", "value")).select("item", F.col("t_key").alias(key)).distinct()
 
 
 def tag(text: Column, values: Column, mask: str | None = None) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions import codecs, text
 from weft.operators import graph, grounding, mapping, plugins, reports, sampling, scoring, signatures
 from weft.plans import sparql
-from weft.plans.shape import Shape
+from weft.plans.shape import Shape, read_rules
 from weft.sources import quads as store
 from weft.sources.quads import delete_where, load, star_quads, star_sql
 from weft.sources.scratch import folder
@@ -1038,6 +1039,52 @@ def sparql_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparql.apply_rules([year, region], star_quads(spark, sf_dir, ("orders", "customer", "nation")), "inferences")
 
 
+@query("SELECT 'p' || p_partkey AS s, p_name AS name FROM part WHERE p_partkey % 2 = 0")
+def sparql_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels in two languages, one of them asked for."""
+    part = load(spark, sf_dir, "part")
+    lang = F.when(F.col("p_partkey") % 2 == 0, "en").otherwise("fr")
+    q = part.select(F.lit("part").alias("g"), F.concat(F.lit("p"), "p_partkey").alias("s"), F.lit("label").alias("p"), F.col("p_name").alias("o"), F.lit("literal").alias("k"), lang.alias("lang"))
+    return sparql.query("SELECT ?s ?name WHERE { ?s <label> ?name . FILTER(lang(?name) = 'en') }", q)
+
+
+@query("SELECT 'order/' || o_orderkey AS s, o_orderstatus AS v FROM orders UNION ALL SELECT 'order/' || o_orderkey, o_orderpriority FROM orders")
+def sparql_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparql.query("SELECT ?s ?v WHERE { ?s <status>|<priority> ?v }", star_quads(spark, sf_dir, ORDERS))
+
+
+# Shapes, rule files and names of datasets: metadata on the driver
+
+
+@query("""SELECT * FROM (VALUES ('Order', 'status', 'datatype', 1, 1, 0, 0), ('Order', 'customer', 'object', 1, NULL, 0, 0), ('Order', 'orderDate', 'datatype', 1, NULL, 1, 1), ('Order', 'priority', 'datatype', 1, NULL, 1, 2)) t(target, p, kind, min_count, max_count, or_group, or_branch)""")
+def shape_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ORDER_SHAPE.table(spark).select("target", "p", "kind", "min_count", "max_count", "or_group", "or_branch")
+
+
+@query("SELECT 'nation/' || n_nationkey AS s, 'region/' || n_regionkey AS o FROM nation")
+def rule_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of an XML file, applied."""
+    body = "CONSTRUCT { GRAPH $INFERENCE_NS$ { ?s <within> ?o } } WHERE { ?s a <Nation> . ?s <region> ?o }"
+    rules = read_rules(f"<rules><rule><body>{escape(body)}</body></rule></rules>")
+    return sparql.apply_rules([r.body for r in rules], star_quads(spark, sf_dir, ("nation",)), "inferences").select("s", "o")
+
+
+@query("SELECT 'DS_' || p_brand || '_1datatype_0inLine_1facto' AS dataset, true AS datatype, false AS in_line, true AS facto FROM (SELECT DISTINCT replace(p_brand, '#', '') AS p_brand FROM part)")
+def dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brands = [r[0] for r in load(spark, sf_dir, "part").select(F.replace("p_brand", F.lit("#"), F.lit(""))).distinct().collect()]  # names of datasets are few
+    names = [f"DS_{b}_1datatype_0inLine_1facto" for b in brands]
+    told = [(n, *(codecs.syntax_of(n)[k] for k in ("datatype", "inLine", "facto"))) for n in names]
+    return spark.createDataFrame(told, "dataset string, datatype boolean, in_line boolean, facto boolean")
+
+
+@query("""SELECT c_custkey, ':c' || c_custkey || '%28x%29 a :Customer;:label "' || c_name || ' (y)";:at :A%2Cb.' AS line, CASE WHEN length(c_name) + 12 <= 40 THEN c_name || '. It is here.' ELSE c_name || '.' END AS short FROM customer""")
+def line_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local names encoded in lines, and texts cut to whole sentences."""
+    line = F.concat(F.lit(":c"), "c_custkey", F.lit('(x) a :Customer;:label "'), "c_name", F.lit(' (y)";:at :A%2Cb.'))
+    told = F.concat("c_name", F.lit(". It is here. "), F.repeat(F.lit("And so on"), 9), F.lit("."))
+    return load(spark, sf_dir, "customer").select("c_custkey", codecs.encode_locals(line).alias("line"), text.shorten(told, 40).alias("short"))
+
+
 # Scorers and extractors
 
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
