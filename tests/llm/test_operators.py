@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from conftest import same_rows
 from pyspark.sql import functions as F
 
@@ -207,6 +208,13 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(table(spark, rows)).collect()} == want
 
 
+def test_jaccard_query_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    want = jaccard_brute(rows)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in queries.op9_bayes_jaccard(spark, sf_dir).collect()} == want
+    assert any(c != i for i, (c, _) in want.items())
+
+
 def test_jaccard_edge_cases(spark):
     assert jaccard.join(table(spark, [])).count() == 0
     got = jaccard.join(table(spark, [(None, "a b c d e f"), (1, None), (2, "a b c d e f"), (2, "a b c d e f")])).collect()
@@ -278,6 +286,37 @@ def test_language(spark, sf_dir):
     assert langid.fit(docs.limit(0)) == {} and langid.predict(table(spark, [(1, "abc")]), {}).first().lang_pred == "und"
 
 
+def test_language_query_against_brute_force(spark, sf_dir):
+    """Every whole text compressed anew with each language's dictionary, block by block."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    model = langid.fit(held.where("NOT held_out"))
+    got = {r.doc_id: r for r in queries.op1_compression_langid(spark, sf_dir).collect()}
+    for d in docs.collect():
+        raw = (d.text or "").encode()
+        flat = b" ".join(re.sub(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]", b" ", raw.lower() if raw.isascii() else re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw)).split())
+        sizes = {}
+        for lang, words_ in model.items():
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(words_, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(flat[i : i + langid.BLOCK_BYTES])) for i in range(0, len(flat), langid.BLOCK_BYTES))
+        ranked = sorted((n, lang) for lang, n in sizes.items())
+        known = any(c.isalpha() for c in d.text or "")
+        want = (ranked[0][1], (ranked[1][0] - ranked[0][0]) / max(ranked[1][0], 1)) if known else ("und", 0.0)
+        assert got[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == (want[0], pytest.approx(want[1])), d.doc_id
+
+
+def test_language_of_texts_that_begin_alike(spark):
+    header = "COPYRIGHT NOTICE " * 40
+    words_of = {lang: [f"{lang}{random.Random(f'{lang}{i}').randrange(10**9)}" for i in range(60)] for lang in ("aa", "bb", "cc")}
+    rows = [(k * 100 + i, header + " ".join(random.Random(k * 100 + i).choices(words, k=120)), lang, "s") for k, (lang, words) in enumerate(words_of.items()) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("score", F.lit("clash"))
+    told = langid.predict(docs, langid.fit(docs), keep=("lang",)).toPandas()
+    assert (told.lang == told.lang_pred).mean() > 0.95
+    small = langid.fit(docs, sample_chars=30)
+    assert set(small) == {"aa", "bb", "cc"} and all(len(v) <= 400 * 31 for v in small.values())
+
+
 def test_warc_round_trip(spark, sf_dir, duck):
     same_rows(queries.op2_arc_to_warc(spark, sf_dir).toPandas(), duck.execute(queries.ORACLE["op2_arc_to_warc"]).df())
     long = "line\r\n\r\n" * 40
