@@ -172,11 +172,17 @@ def wrong_subject(rows: DataFrame) -> DataFrame:
     return _parsed(rows).select(first("gold").alias("subj_gt"), first("predicted").alias("subj_pred")).where("subj_gt <> subj_pred OR subj_gt = ''")
 
 
-def not_valid(rows: DataFrame) -> DataFrame:
-    """Of rows (gold, predicted) that are parsed: property sets that differ, as text."""
+def not_valid(rows: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """Of rows (gold, predicted) that are parsed: property sets that differ, as text; with a validation (s, violations), what the shape has against the prediction."""
     props = lambda c: F.array_sort(F.array_distinct(F.transform(c, lambda t: t["prop"])))
     pairs = _parsed(rows).select(F.get("predicted", F.lit(0))["subj"].alias("ent_uri"), props("predicted").alias("p"), props("gold").alias("g")).where("p <> g")
-    return pairs.select("ent_uri", F.array_join("p", ",").alias("p_pred"), F.array_join("g", ",").alias("g_pred"))
+    told = pairs.select("ent_uri", F.array_join("p", ",").alias("p_pred"), F.array_join("g", ",").alias("g_pred"))
+    return told if validation is None else told.join(validation.select(F.col("s").alias("ent_uri"), F.col("violations").alias("report")), "ent_uri", "left")
+
+
+def datatype_relations(shape: Shape) -> list[str]:
+    """The relations of a scorer that looks at literals only."""
+    return [p.name for p in shape.properties if p.kind == "datatype"]
 
 
 def triples_to_facts(triples: DataFrame, shape: Shape, literals_only: bool = False) -> DataFrame:

@@ -464,6 +464,13 @@ def not_valid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.not_valid(_lines(spark, sf_dir))
 
 
+@query("SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'x' ELSE '' END || 'order/' || o_orderkey AS ent_uri, 'status' AS report FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0")
+def not_valid_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir)
+    facts = scoring.triples_to_facts(rows.select(F.inline("predicted")), ORDER_SHAPE)
+    return scoring.not_valid(rows, scoring.validate(facts, ORDER_SHAPE)).select("ent_uri", "report")
+
+
 @query(f"""WITH {_LINES} SELECT round(count(*) FILTER (k % 5 <> 0) / count(*), 6) AS part_parsed, round(count(*) FILTER (k % 5 <> 0 AND k % 4 <> 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_subj_ok, 1.0::DOUBLE AS part_type_ok,
     round(count(*) FILTER (k % 5 <> 0 AND k % 3 <> 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_valid_rdf, round(count(*) FILTER (k % 5 <> 0 AND k % 2 = 0) / count(*) FILTER (k % 5 <> 0), 6) AS part_valid_s,
     round(avg(levenshtein(p, g)) FILTER (k % 5 = 0), 4) AS edit_distance FROM l""")
@@ -522,6 +529,23 @@ def score_errors_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.to_inspect(_gold(spark, sf_dir), _predicted(spark, sf_dir), first_only=True)
 
 
+@query("SELECT 'label' AS p, count(*) FILTER (c_custkey % 2 = 0) AS tp, count(*) FILTER (c_custkey % 2 <> 0) AS fp FROM customer")
+def score_unstripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as they stand: a space at the end makes another value."""
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ex"), F.lit("label").alias("p"), F.col("c_name").alias("v"))
+    spaced = c.withColumn("v", F.when(F.col("ex") % 2 == 0, F.col("v")).otherwise(F.concat("v", F.lit(" "))))
+    return scoring.relation_cases(c, spaced, ["label"], strip=False).select("p", "tp", "fp")
+
+
+@query(f"""WITH {_ERRS.replace("FROM lineitem),", "FROM lineitem WHERE l_returnflag <> 'N'),", 1)} SELECT type, count(*) AS nb FROM e WHERE pred IN ('AF', 'RF') GROUP BY type""")
+def score_literals_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of a shape's literal relations."""
+    parts = "; sh:property ".join(f"[ sh:path e:{n} ; sh:{'datatype x:string' if n.endswith('F') else 'class e:C'} ]" for n in ("AF", "AO", "RF"))
+    shape = Shape.read(f"@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix x: <http://www.w3.org/2001/XMLSchema#> . @prefix e: <http://e/> . e:S a sh:NodeShape ; sh:targetClass e:C ; sh:property {parts} .")
+    errors = scoring.to_inspect(_gold(spark, sf_dir).where("p NOT LIKE 'N%'"), _predicted(spark, sf_dir))
+    return errors.where(F.col("pred").isin(scoring.datatype_relations(shape))).groupBy("type").agg(F.count("*").alias("nb"))
+
+
 _NAMED = "(SELECT c_custkey AS ex, 'city' AS p, c_mktsegment AS v FROM customer UNION ALL SELECT c_custkey, 'cityServed', c_name FROM customer UNION ALL SELECT c_custkey, 'dbo:label', c_name FROM customer)"
 
 
@@ -618,6 +642,15 @@ def claim_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Samples and their statistics
 
 
+@query(f"WITH t AS (SELECT 'order/' || o_orderkey AS s, o_orderpriority AS o, {_NOTE} AS note FROM orders ORDER BY md5('42:order/' || o_orderkey) LIMIT 300) SELECT s, CASE WHEN contains(note, o) THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM t")
+def sample_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample whose facts a caller's scorer has judged against their texts."""
+    q = star_quads(spark, sf_dir, ORDERS).where("p = 'priority'").select("s", "p", "o")
+    drawn = sampling.sample(q.select("s"), 300).select("s")
+    whole = lambda s, p, o, t: F.contains(t, o).cast("double")
+    return plugins.score(q.join(drawn, "s", "left_semi"), _order_texts(spark, sf_dir), whole).select("s", "score")
+
+
 @query(f"WITH {_SIGS} SELECT signature, count(*) AS nb, any_value(n_props)::INT AS n_props, round(count(*) / (SELECT count(*) FROM sigs WHERE split_part(s, '/', 2)::BIGINT % 3 = 0), 6) AS freq FROM sigs WHERE split_part(s, '/', 2)::BIGINT % 3 = 0 GROUP BY signature")
 def sampled_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = _orders(spark, sf_dir).where(F.substring_index("s", "/", -1).cast("long") % 3 == 0)
