@@ -7,7 +7,7 @@ start in a document with a smaller id. The frame brings together what may be equ
    windows have equal anchors at equal places. The windows of a document that choose the same anchor are
    consecutive; their union is a region. Documents are dealt into parts of a few MB. Per part and different region, two
    hashes and the least id go to the bucket of the anchor; copies of a region are sent once.
-2. resolve. Anchors that documents of different ids hold are shared. Where all regions of a shared anchor are equal (by 64-bit hashes of anchor and content),
+2. resolve. Anchors that documents of different ids hold are shared. Where all regions of a shared anchor are equal (by a 64-bit hash of their content),
    there is nothing to find but the least id, and that is told. Of each different region of the others, one part is asked for the units.
 3. send. The units go to the bucket of the anchor. An anchor with more than Method.hot different regions is split: its regions are cut into pieces of
    Method.per windows, and each piece goes by the hash of the units that its windows have in common, wherever they belong. Equal pieces of a
