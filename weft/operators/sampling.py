@@ -17,11 +17,15 @@ def sample(entities: DataFrame, n: int, taken: DataFrame | None = None, key: str
     return left.withColumn("uid", uid(F.col(key), seed)).orderBy("uid", key).limit(n)
 
 
-def quota(facts: DataFrame, n: int, key: str = "s", prop: str = "p", seed: int = 42) -> DataFrame:
+def quota(facts: DataFrame, n: int, key: str = "s", prop: str = "p", seed: int = 42, total: int | None = None) -> DataFrame:
     """Sufficient exposure, free of order: up to n entities for each property (random order); their union. Deviates from a sequential greedy, which
-    can't run in parallel: a property is never under its quota if it has the entities, the total may be larger."""
+    can't run in parallel: a property is never under its quota if it has the entities, the sum may be larger. With a total, only as many entities stay: those that stand
+    first for one of their properties, so that all properties lose alike."""
     place = F.row_number().over(W.Window.partitionBy(prop).orderBy(uid(F.col(key), seed), key))
-    return facts.select(key, prop).distinct().withColumn("n", place).where(F.col("n") <= n).groupBy(key).agg(F.count("*").alias("n_quotas"))
+    chosen = facts.select(key, prop).distinct().withColumn("n", place).where(F.col("n") <= n).groupBy(key).agg(F.count("*").alias("n_quotas"), F.min("n").alias("__first"))
+    if total is not None:
+        chosen = chosen.orderBy("__first", uid(F.col(key), seed), key).limit(total)
+    return chosen.drop("__first")
 
 
 def strata(facts: DataFrame, key: str = "s", prop: str = "p") -> DataFrame:

@@ -288,6 +288,11 @@ def exposure_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quota(_flags(spark, sf_dir), 100)
 
 
+@query(f"WITH {_FLAGS} SELECT s, count(*) AS n_quotas FROM (SELECT s, p, row_number() OVER (PARTITION BY p ORDER BY md5('42:' || s), s) AS n FROM (SELECT DISTINCT s, p FROM facts)) WHERE n <= 100 GROUP BY s ORDER BY min(n), md5('42:' || s), s LIMIT 250")
+def exposure_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.quota(_flags(spark, sf_dir), 100, total=250)
+
+
 _RANK = "(SELECT 'order/' || o_orderkey AS s, row_number() OVER (ORDER BY md5('42:order/' || o_orderkey)) - 1 AS n, count(*) OVER () AS a FROM orders)"
 
 
