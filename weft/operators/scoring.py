@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.codecs import char_bleu
-from weft.functions.text import normal_value, year_of
+from weft.functions.text import normal_value, strip_entity, year_of
 from weft.operators.grounding import in_text, wikicheck
-from weft.plans.shape import Shape
+from weft.plans.shape import Shape, abbreviate
 
 #: Lexical forms of the datatypes that shapes use; other types accept any text.
 LEXICAL = {"date": "^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}$", "gYear": "^-?[0-9]{4,}$", "double": "^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$", "nonNegativeInteger": "^[+]?[0-9]+$", "positiveInteger": "^[+]?0*[1-9][0-9]*$"}
@@ -72,6 +72,16 @@ def extraction_stats(found: Column, shape_props: list[str]) -> list[Column]:
     return [F.array_join(matched, ",").alias("matched"), F.array_join(F.array_sort(F.array_except(found, shape)), ",").alias("extra"), F.array_join(F.array_sort(F.array_except(shape, found)), ",").alias("missing"), F.round(100 * F.size(matched) / len(shape_props), 2).alias("coverage"), F.round(F.coalesce(F.try_divide(100.0 * F.size(matched), n), F.lit(0.0)), 2).alias("precision")]
 
 
+def extraction_by_kind(found: Column, shape: Shape) -> list[Column]:
+    """Of the shape's literal and of its object properties: how many there are, and the share in percent that was extracted."""
+    out = []
+    for kind in ("datatype", "object"):
+        names = sorted({p.name for p in shape.properties if p.kind == kind})
+        hit = F.size(F.array_intersect(found, F.array(*[F.lit(n) for n in names]).cast("array<string>")))
+        out += [F.lit(len(names)).alias(f"n_{kind}"), F.round(100 * hit / max(len(names), 1), 2).alias(f"coverage_{kind}")]
+    return out
+
+
 def relation_of(prop: Column, relations: list[str]) -> Column:
     """The relation whose name stands in a property's name, if that is one only; else null."""
     hits = F.filter(F.array(*[F.lit(r) for r in relations]), lambda r: F.contains(prop, r))
@@ -186,12 +196,14 @@ def datatype_relations(shape: Shape) -> list[str]:
 
 
 def triples_to_facts(triples: DataFrame, shape: Shape, literals_only: bool = False) -> DataFrame:
-    """(s, p, o, k) from (subj, prop, val): properties that the shape doesn't know are left out, types kept. Values of object properties become IRIs without their
-    colon; with literals_only every value is a literal, as one reader of the scores has it."""
-    known = triples.sparkSession.createDataFrame([(p.name, p.kind) for p in shape.properties], "prop string, kind string").distinct()
-    rows = triples.join(F.broadcast(known.unionByName(triples.sparkSession.createDataFrame([("type", "type")], "prop string, kind string"))), "prop")
+    """(s, p, o, k, dt) from (subj, prop, val): properties that the shape doesn't know are left out, types kept. Values of object properties become IRIs without brackets, namespace and
+    colon, other values literals with the datatype of the shape; with literals_only every value is a literal of its property's range, as one reader of the scores has it."""
+    known = {p.name: (p.kind, abbreviate(p.range) if p.range else None) for p in shape.properties} | {"type": ("type", None)}
+    kinds = triples.sparkSession.createDataFrame([(n, *v) for n, v in known.items()], "prop string, kind string, range string")
+    rows = triples.join(F.broadcast(kinds), "prop")
     is_iri = (F.col("kind") == "type") | ((F.col("kind") == "object") & F.lit(not literals_only))
-    return rows.select(F.col("subj").alias("s"), F.when(F.col("kind") == "type", F.lit("rdf:type")).otherwise(F.col("prop")).alias("p"), F.when(is_iri, F.regexp_replace("val", "^:", "")).otherwise(F.col("val")).alias("o"), F.when(is_iri, "iri").otherwise("literal").alias("k"))
+    name = F.regexp_replace(strip_entity(F.col("val")), "^:", "")
+    return rows.select(F.col("subj").alias("s"), F.when(F.col("kind") == "type", F.lit("rdf:type")).otherwise(F.col("prop")).alias("p"), F.when(is_iri, name).otherwise(F.col("val")).alias("o"), F.when(is_iri, "iri").otherwise("literal").alias("k"), F.when(~is_iri, F.col("range")).alias("dt"))
 
 
 def initial_graph(quads: DataFrame, shape: Shape) -> DataFrame:

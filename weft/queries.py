@@ -288,9 +288,9 @@ def exposure_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quota(_flags(spark, sf_dir), 100)
 
 
-@query(f"WITH {_FLAGS} SELECT s, count(*) AS n_quotas FROM (SELECT s, p, row_number() OVER (PARTITION BY p ORDER BY md5('42:' || s), s) AS n FROM (SELECT DISTINCT s, p FROM facts)) WHERE n <= 100 GROUP BY s ORDER BY min(n), md5('42:' || s), s LIMIT 250")
+@query(f"WITH {_FLAGS} SELECT s, count(*) AS n_quotas FROM (SELECT s, p, row_number() OVER (PARTITION BY p ORDER BY md5('42:' || s), s) AS n FROM (SELECT DISTINCT s, p FROM facts)) WHERE n <= 100 GROUP BY s ORDER BY min(n), md5('42:' || s), s LIMIT 150")
 def exposure_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.quota(_flags(spark, sf_dir), 100, total=250)
+    return sampling.quota(_flags(spark, sf_dir), 100, total=150)
 
 
 _RANK = "(SELECT 'order/' || o_orderkey AS s, row_number() OVER (ORDER BY md5('42:order/' || o_orderkey)) - 1 AS n, count(*) OVER () AS a FROM orders)"
@@ -377,6 +377,20 @@ def extract_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("s", *scoring.extraction_stats(F.col("found"), [p.name for p in ORDER_SHAPE.properties]))
 
 
+@query("""SELECT 'order/' || n AS s, 3::INT AS n_datatype, round(100 * (3 - (n % 7 = 0)::INT) / 3, 2) AS coverage_datatype, 1::INT AS n_object, CASE WHEN n % 11 = 0 THEN 0 ELSE 100 END::DOUBLE AS coverage_object FROM (SELECT o_orderkey AS n FROM orders)""")
+def extract_stats_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _damaged(spark, sf_dir).groupBy("s").agg(F.collect_set("p").alias("found"))
+    return found.select("s", *scoring.extraction_by_kind(F.col("found"), ORDER_SHAPE))
+
+
+@query("""SELECT 'order/' || o_orderkey AS s, 'customer' AS p, 'customer/' || o_custkey AS o, 'iri' AS k, NULL AS dt FROM orders UNION ALL SELECT 'order/' || o_orderkey, 'status', o_orderstatus, 'literal', 'xsd:string' FROM orders UNION ALL SELECT 'order/' || o_orderkey, 'rdf:type', 'Order', 'iri', NULL FROM orders""")
+def triples_to_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact = lambda p, v: F.struct(F.lit(p).alias("prop"), v.alias("val"))
+    own = F.array(fact("customer", F.concat(F.lit("<http://dbpedia.org/resource/customer/"), "o_custkey", F.lit(">"))), fact("status", F.col("o_orderstatus")), fact("type", F.lit(":Order")), fact("unheard", F.lit("x")))
+    triples = load(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), "o_orderkey").alias("subj"), F.inline(own))
+    return scoring.triples_to_facts(triples, ORDER_SHAPE)
+
+
 RELATIONS = ["AF", "NO", "RF", "orderStatus"]
 
 
