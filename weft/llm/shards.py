@@ -168,7 +168,7 @@ def assign(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
     share = (whole.s or 0) / n_shards
     local_rows = max(LOCAL_ROWS, min(MOST_LOCAL_ROWS, whole.n >> 12))
     settled: dict[int, tuple[int, int]] = {}
-    live, rows = [_Node(0, 0, n_shards)], rows.withColumn("node", F.lit(0).cast("long"))
+    live, rows = [_Node(0, 0, n_shards)], rows.withColumn("node", F.col("uid").bitwiseAND(F.lit(0)))  # no constant, or joins on it would lose their key
     moved = None
     while live:
         of = rows if len(settled) == 0 else _joined(rows, live, "left_semi")
