@@ -127,6 +127,14 @@ def test_span_queries_against_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == word_brute(rows)
 
 
+def test_names_are_dealt_evenly(spark):
+    for n, partitions in ((1, 8), (256, 51), (1000, 7), (40, 211)):
+        names = spans.even_names(n, partitions)
+        assert len(set(names.tolist())) == n
+        dealt = spark.createDataFrame([(x,) for x in names.tolist()], "x long").groupBy(F.pmod(F.hash("x"), F.lit(partitions))).count().toPandas()["count"]
+        assert dealt.max() <= -(-n // partitions) and dealt.sum() == n
+
+
 def test_expansion_finds_the_classes():
     r = np.random.default_rng(1)
     for _ in range(200):

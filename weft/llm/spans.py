@@ -66,6 +66,33 @@ def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) + np.repeat(first - np.cumsum(lengths) + lengths, lengths)
 
 
+def _murmur(x: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of long values, by which it deals rows out to partitions (Murmur3, 32 bits)."""
+    turn = lambda v, n: (v << np.uint32(n)) | (v >> np.uint32(32 - n))
+    h = np.full(len(x), seed, np.uint32)
+    for half in (x & 0xFFFFFFFF, x >> 32):
+        h ^= turn(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def even_names(n: int, partitions: int) -> np.ndarray:
+    """Names for n parts or buckets that Spark's hash deals evenly to so many partitions; left to chance, the fullest partition gets several times its share."""
+    share, names, found = -(-n // partitions), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while len(found) < n:
+        names = np.arange(len(names) * 2 or 4 * n + 64)
+        at = _murmur(names).astype(np.int64) % partitions
+        order = np.argsort(at, kind="stable")
+        head, ends = runs(at[order])
+        place = np.empty(len(names), np.int64)
+        place[order] = spread(np.zeros(len(head), np.int64), ends - head)
+        found = names[place < share]
+    return found[np.argsort(place[found], kind="stable")][:n]
+
+
 def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, their breaks and the ids."""
     column = table.column("text").combine_chunks()
@@ -268,7 +295,10 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
     n_parts = power_of_two(size / PART_BYTES / growth)
     n_buckets = power_of_two(size * unit.density * 2 / (unit.n - unit.k + 2) / BUCKET_REGIONS / growth)
     shift = np.uint64(64 - n_buckets.bit_length() + 1)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(n_parts)))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = even_names(2 * n_buckets, partitions)  # those of the buckets of regions, then those of pieces
+    parts = rows.sparkSession.createDataFrame(list(enumerate(even_names(n_parts, partitions).tolist())), "dealt long, part long")  # a row for some MB of text
+    rows = rows.withColumn("dealt", F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(n_parts))).join(F.broadcast(parts), "dealt").drop("dealt")
     bucket_of = lambda key: (key >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(key), np.int64)
     told_kinds, sent_kinds = ("<u8", "<u8", "<i8", "u1"), ("<u4", "<u2", "<i8", "<u8", "<u8")
     low = np.uint64(12)
@@ -281,7 +311,7 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
         bucket = bucket_of(part.key)
         head, ends = runs(bucket)
         data = [pack(part.key[i:j] >> low, part.content[i:j], part.id[i:j], part.several[i:j].astype(np.uint8)) for i, j in zip(head, ends, strict=True)]
-        return rows_of(table.column("part")[0].as_py(), bucket[head], head, data)
+        return rows_of(table.column("part")[0].as_py(), names[bucket[head]], head, data)
 
     def regions_of(table: pa.Table) -> list[np.ndarray]:
         """key, content, ids, several, part and number of the regions told."""
@@ -322,7 +352,7 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
         asked, split = split_of(part, asking)
         number, out = table.column("part")[0].as_py(), []
 
-        def put(base: int, bucket: np.ndarray, at: np.ndarray, first: np.ndarray, windows: np.ndarray, ids: np.ndarray, key: np.ndarray, content: np.ndarray, whole: bool) -> None:
+        def put(cut: bool, bucket: np.ndarray, at: np.ndarray, first: np.ndarray, windows: np.ndarray, ids: np.ndarray, key: np.ndarray, content: np.ndarray, whole: bool) -> None:
             order = np.argsort(bucket, kind="stable")
             head, ends = runs(bucket[order])
             data = []
@@ -330,13 +360,13 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
                 o = order[i:j]
                 about = pack(at[o].astype(np.uint32), windows[o].astype(np.uint16), ids[o], key[o], content[o])
                 data.append(len(about).to_bytes(4, "little") + about + pack(part.units(first[o], windows[o]) if whole else np.zeros(0, unit.sent)))
-            out.append(rows_of(number, base + bucket[order][head], np.zeros(len(head), np.int64), data))
+            out.append(rows_of(number, names[n_buckets * cut + bucket[order][head]], np.full(len(head), cut, np.int64), data))
 
         own = part.holder[asked]
-        put(0, bucket_of(part.key[asked]), asked, part.first[own], part.windows[own], np.zeros(len(asked), np.int64), part.key[asked] >> low, part.content[asked], True)  # the ids are told with the regions
+        put(False, bucket_of(part.key[asked]), asked, part.first[own], part.windows[own], np.zeros(len(asked), np.int64), part.key[asked] >> low, part.content[asked], True)  # the ids are told with the regions
         if split is not None:
             h = split.head
-            put(n_buckets, bucket_of(split.key), np.arange(len(h)), split.first[h], split.windows[h], split.id[h], split.key, split.key, method.piece_units)
+            put(True, bucket_of(split.key), np.arange(len(h)), split.first[h], split.windows[h], split.id[h], split.key, split.key, method.piece_units)
         return pa.concat_tables(out)
 
     def compare(table: pa.Table, sent: pa.Table) -> pa.Table:
@@ -356,17 +386,17 @@ def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.n
             units = units[spread((np.cumsum(lengths) - lengths)[order], lengths[order])]
         at, windows, ids, key, content, part = (x[order] for x in (at, windows, ids, key, content, part))
         starts = np.concatenate([[0], np.cumsum(lengths[order])])
-        if sent.column("bucket")[0].as_py() >= n_buckets:
+        if sent.column("base")[0].as_py():
             return method.pieces(unit, key, windows, starts, units, ids, part, at)
-        name = lambda k, c: mix(k) ^ c
-        names = name(key, content)
-        by = np.argsort(names)
+        both = lambda k, c: mix(k) ^ c
+        known = both(key, content)
+        by = np.argsort(known)
         of_key, of_content, of_id, several, of_part, of_at = regions_of(table)
-        mine = name(of_key, of_content)
-        where = np.minimum(np.searchsorted(names[by], mine), len(by) - 1)
-        some = names[by][where] == mine
+        mine = both(of_key, of_content)
+        where = np.minimum(np.searchsorted(known[by], mine), len(by) - 1)
+        some = known[by][where] == mine
         holds = by[where[some]]
-        least = np.full(len(names), NO_ID)
+        least = np.full(len(known), NO_ID)
         np.minimum.at(least, holds, of_id[some])
         return method.regions(unit, Held(key, windows, starts, units, least, holds, of_part[some], of_at[some], of_id[some], several[some].astype(bool)))
 
