@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bitslices, bytespans, decontaminate, jaccard, langid, licenses, mixing, shards, warc, wordspans
+from weft.llm import bitslices, bytespans, centroids, decontaminate, jaccard, langid, licenses, mixing, shards, warc, wordspans
 from weft.llm.base import load
 
 N_SHARDS = 40
@@ -59,7 +59,12 @@ def op10_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_langid, op2_arc_to_warc, op3_benchmark_leaks, op4_bit_sliced_topk, op5_kd_tree_shards, op6_bwt_substrings, op7_license_scan, op8_rlz_windows, op9_bayes_jaccard, op10_multinomial_mix)}
+def op12_interval_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(load(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_langid, op2_arc_to_warc, op3_benchmark_leaks, op4_bit_sliced_topk, op5_kd_tree_shards, op6_bwt_substrings, op7_license_scan, op8_rlz_windows, op9_bayes_jaccard, op10_multinomial_mix, op12_interval_centroids)}
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
@@ -68,6 +73,22 @@ def _shingles(key: str, table: str) -> str:
         FROM (SELECT {key}, {_WORDS} AS w FROM {table}) WHERE len(w) >= 5)"""
 
 
+def _centroids(k: int, rounds: int, dims: int) -> str:
+    """Rounds as steps of one WITH; a vector's nearest centroid is the least (distance, number)."""
+    nearest = "SELECT vec_id, q, min(struct_pack(d := list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, n := n)) AS m FROM v, c{} GROUP BY ALL"
+    floors = ", ".join(f"sum(q[{i}])::HUGEINT" for i in range(1, dims + 1))
+    steps = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS n, q AS c FROM (SELECT sha256('2:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k}))"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT n, coalesce(moved, c) AS c FROM c{i} LEFT JOIN
+            (SELECT m.n AS n, list_transform([{floors}], lambda s: ((s - ((s % count(*)) + count(*)) % count(*)) // count(*))::BIGINT) AS moved FROM a{i} GROUP BY m.n) USING (n))""")
+    return f"""WITH {", ".join(steps)}, a AS MATERIALIZED ({nearest.format(rounds)})
+        SELECT vec_id, m.n::INT AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.n))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a JOIN c{rounds} ON m.n = c{rounds}.n"""
+
+
 #: SQL for DuckDB that returns the same rows.
 ORACLE: dict[str, str] = {
     "op2_arc_to_warc": """
@@ -88,4 +109,5 @@ ORACLE: dict[str, str] = {
             FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
         SELECT query_id, rank::INT AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op12_interval_centroids": _centroids(40, 5, 64),
 }
