@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bitslices, bytespans, centroids, decontaminate, jaccard, langid, licenses, mixing, shards, warc, wordspans
+from weft.llm import bitslices, bytespans, centroids, decontaminate, jaccard, langid, licenses, mixing, packing, shards, warc, wordspans
 from weft.llm.base import load
 
 N_SHARDS = 40
@@ -64,7 +65,12 @@ def op12_interval_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_langid, op2_arc_to_warc, op3_benchmark_leaks, op4_bit_sliced_topk, op5_kd_tree_shards, op6_bwt_substrings, op7_license_scan, op8_rlz_windows, op9_bayes_jaccard, op10_multinomial_mix, op12_interval_centroids)}
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_langid, op2_arc_to_warc, op3_benchmark_leaks, op4_bit_sliced_topk, op5_kd_tree_shards, op6_bwt_substrings, op7_license_scan, op8_rlz_windows, op9_bayes_jaccard, op10_multinomial_mix, op12_interval_centroids, op13_pattern_packing)}
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
