@@ -123,10 +123,10 @@ def test_knapsack_finds_the_best_bags():
 
 
 def test_columns_lower_the_cost_to_that_of_the_best_patterns():
-    """Twelve pieces that fill four sequences in one way only."""
+    """Fractions of full sequences hold all of these; slacks alone would cost 14."""
     lengths, counts = np.array([10, 20, 30, 40, 50, 70, 80]), np.array([1, 2, 2, 1, 1, 1, 1])
     bags, cost = cutting.relax(lengths, counts, 100, 4.0, tables=50)
-    assert cost == pytest.approx(4.0 * (lengths @ counts % 100) / 100, abs=1.5)
+    assert cost == pytest.approx(0, abs=0.02) and all(sum(lengths[i] * a for i, a in bag.items()) == 100 for bag, _ in bags)
     for seed in range(5):
         rng = np.random.default_rng(seed)
         lengths, counts = np.unique(rng.integers(1, 256, 300), return_counts=True)

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bitslices, bytespans, centroids, decontaminate, jaccard, langid, licenses, mixing, packing, shards, warc, wordspans
-from weft.llm.base import load
+from weft.llm import alignment, bitslices, bytespans, centroids, decontaminate, jaccard, langid, licenses, mixing, packing, shards, warc, wordspans
+from weft.llm.base import load, materialize
 
 N_SHARDS = 40
 
@@ -60,6 +60,13 @@ def op10_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_dangling_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    found = materialize(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "links").withColumn("rid", F.monotonically_increasing_id()), "aligned")
+    return alignment.score(found, alignment.pair_counts(found)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_interval_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = centroids.cluster(load(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256)
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
@@ -70,7 +77,7 @@ def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_langid, op2_arc_to_warc, op3_benchmark_leaks, op4_bit_sliced_topk, op5_kd_tree_shards, op6_bwt_substrings, op7_license_scan, op8_rlz_windows, op9_bayes_jaccard, op10_multinomial_mix, op12_interval_centroids, op13_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_compression_langid, op2_arc_to_warc, op3_benchmark_leaks, op4_bit_sliced_topk, op5_kd_tree_shards, op6_bwt_substrings, op7_license_scan, op8_rlz_windows, op9_bayes_jaccard, op10_multinomial_mix, op11_dangling_alignment, op12_interval_centroids, op13_pattern_packing)}
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 
