@@ -137,4 +137,5 @@ def test_columns_lower_the_cost_to_that_of_the_best_patterns():
             for length, a in bag.items():
                 used[length] += a * n
         assert [used[int(x)] + k for x, k in zip(lengths, left, strict=True)] == counts.tolist()
-        assert left @ lengths <= 0.1 * (counts @ lengths)
+        _, least = cutting.relax(lengths, counts, 256, 4.0, tables=100)
+        assert left @ lengths <= least * 256 / 4.0 + 256  # rounding leaves a sequence more than the program at most
