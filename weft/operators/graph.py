@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.sources.scratch import settle
+from weft.sources.scratch import discard, settle
 
 
 def in_graphs(quads: DataFrame, *graphs: str) -> DataFrame:
@@ -94,29 +94,56 @@ def closure(edges: DataFrame, child: str = "c", parent: str = "p") -> DataFrame:
     while True:
         step = up.select(F.col("c").alias("a"), F.col("a").alias("b"), F.col("d").alias("d2"))
         longer = up.join(step, "a").select("c", F.col("b").alias("a"), (F.col("d") + F.col("d2")).alias("d"))
-        up = settle(longer.groupBy("c", "a").agg(F.min("d").alias("d")))
+        old, up = up, settle(longer.groupBy("c", "a").agg(F.min("d").alias("d")))
+        discard(old)
         was, state = state, up.agg(F.count("*"), F.sum("d")).first()
         if was == state:
             return up
 
 
+def distances(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """Per distinct pair (c1, c2): n, the nodes that are above c1 and below c2, both included, less one; so a node with several ways between counts the nodes of
+    all of them. -1 where c2 is not above c1. up: closure(). Ancestors of the one are met with descendants of the other by key (node, c2)."""
+    wanted = pairs.select("c1", "c2").where("c1 IS NOT NULL AND c2 IS NOT NULL").distinct()
+    above = wanted.join(up.select(F.col("c").alias("c1"), F.col("a").alias("mid")), "c1")
+    below = up.select(F.col("c").alias("mid"), F.col("a").alias("c2"))
+    own = wanted.where("c1 = c2").select("c1", "c2", F.col("c1").alias("mid"))  # each class is above itself, known or not
+    between = above.join(below, ["mid", "c2"], "left_semi").select("c1", "c2", "mid").unionByName(own).distinct()
+    by = between.groupBy("c1", "c2").agg(F.count("*").alias("m"))
+    return wanted.join(by, ["c1", "c2"], "left").select("c1", "c2", (F.coalesce("m", F.lit(0)) - 1).cast("int").alias("n"))
+
+
+def lowest_common(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """Per distinct pair (c1, c2): all its lowest common ancestors (lca), those above both that no other one above both is a direct child of. A pair has several where classes have several
+    parents, and none where nothing is above both or only classes of a cycle are."""
+    wanted = pairs.select("c1", "c2").distinct()
+    a, b = up.select(F.col("c").alias("c1"), F.col("a").alias("lca")), up.select(F.col("c").alias("c2"), F.col("a").alias("lca"))
+    shared = wanted.join(a, "c1").join(b, ["c2", "lca"])
+    direct = up.where("d = 1").select(F.col("c").alias("lca"), F.col("a").alias("parent"))
+    undercut = shared.join(direct, "lca").select("c1", "c2", F.col("parent").alias("lca"))
+    return shared.join(undercut, ["c1", "c2", "lca"], "left_anti").select("c1", "c2", "lca")
+
+
 def common_ancestors(pairs: DataFrame, up: DataFrame) -> DataFrame:
-    """Per pair (c1, c2): the lowest common ancestor (nearest by steps, then by name) and the steps to it."""
-    a = up.select(F.col("c").alias("c1"), F.col("a").alias("lca"), F.col("d").alias("d1"))
-    b = up.select(F.col("c").alias("c2"), F.col("a").alias("lca"), F.col("d").alias("d2"))
-    shared = pairs.join(a, "c1").join(b, ["c2", "lca"])
-    return shared.groupBy("c1", "c2").agg(F.min(F.struct(F.col("d1") + F.col("d2"), "lca", "d1", "d2")).alias("m")).select("c1", "c2", "m.lca", "m.d1", "m.d2")
+    """Per distinct pair (c1, c2): the lowest common ancestor (of several the least by name; null if there is none) and the distances of both to it."""
+    wanted = pairs.select("c1", "c2").distinct()
+    low = settle(wanted.join(lowest_common(wanted, up).groupBy("c1", "c2").agg(F.min("lca").alias("lca")), ["c1", "c2"], "left"))  # read several times
+    sides = low.select(F.col("c1"), F.col("lca").alias("c2")).union(low.select("c2", "lca"))
+    far = distances(sides, up)
+    d1, d2 = far.select("c1", F.col("c2").alias("lca"), F.col("n").alias("d1")), far.select(F.col("c1").alias("c2"), F.col("c2").alias("lca"), F.col("n").alias("d2"))
+    return low.join(d1, ["c1", "lca"], "left").join(d2, ["c2", "lca"], "left").select("c1", "c2", "lca", "d1", "d2")
 
 
 def similarities(lcas: DataFrame, up: DataFrame, root: str) -> DataFrame:
-    """Wu-Palmer and depth similarity of each pair."""
-    depth = up.where(F.col("a") == root).select(F.col("c").alias("lca"), F.col("d").alias("d0"))
-    joined = lcas.join(depth, "lca")
+    """Wu-Palmer and depth similarity of each pair: 1 for equal classes; without a common ancestor the one is null, the other 0."""
+    depth = distances(lcas.select(F.col("lca").alias("c1"), F.lit(root).alias("c2")), up).select(F.col("c1").alias("lca"), F.col("n").alias("d0"))
+    joined = lcas.join(depth, "lca", "left")
     d0, d1, d2 = F.col("d0"), F.col("d1"), F.col("d2")
     far = lambda d: 1 - F.pow(F.lit(0.5), d)
     same = F.col("c1") == F.col("c2")
-    wu = F.when(same, 1.0).otherwise(F.coalesce(F.try_divide(2 * d0, d1 + d2 + 2 * d0), F.lit(0.0)))
-    deep = F.when(same, 1.0).otherwise(F.coalesce(F.try_divide(far(d0), far(d1) + far(d2) + far(d0)), F.lit(0.0)))
+    none = F.col("lca").isNull()
+    wu = F.when(same, 1.0).when(none, None).otherwise(F.coalesce(F.try_divide(2 * d0, d1 + d2 + 2 * d0), F.lit(0.0)))
+    deep = F.when(same, 1.0).when(none, 0.0).otherwise(F.coalesce(F.try_divide(far(d0), far(d1) + far(d2) + far(d0)), F.lit(0.0)))
     return joined.select("c1", "c2", "lca", F.round(wu, 6).alias("wu_palmer"), F.round(deep, 6).alias("depth_sim"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text
 from weft.operators.graph import common_ancestors, similarities
+from weft.sources.scratch import settle
 
 
 def parse_quality(rows: DataFrame) -> DataFrame:
@@ -74,9 +75,9 @@ def object_novelty(errors: DataFrame, types: DataFrame, ranges: DataFrame, up: D
     def typed(df: DataFrame, value: str, other: str, name: str, by: str) -> DataFrame:
         """Adds the greatest similarity of column other to a class of the value, and that class; null for an unknown value."""
         own = df.select(value, other).distinct().join(types, bare(F.col(value)) == types["uri"]).select(value, F.col(other).alias("c1"), F.col("cls").alias("c2"))
-        sims = similarities(common_ancestors(own.select("c1", "c2").distinct(), up), up, root)
+        sims = settle(similarities(common_ancestors(own.select("c1", "c2").distinct(), up), up, root))
         best = own.join(sims, ["c1", "c2"], "left").groupBy(value, F.col("c1").alias(other)).agg(F.max(F.coalesce(by, F.lit(0.0))).alias(name), F.max_by("c2", F.struct(F.coalesce(by, F.lit(0.0)), "c2")).alias(f"{name}_cls"))
-        return df.join(best, [value, other], "left")
+        return settle(df.join(best, [value, other], "left"))  # the next step reads it several times
 
     rows = typed(rows, "val_pred", "shape_cls", "pred_shape", "depth_sim")
     rows = typed(rows, "val_gold", "pred_shape_cls", "pred_gold", "depth_sim").drop("pred_gold_cls")

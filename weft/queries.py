@@ -871,6 +871,46 @@ def class_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.similarities(graph.common_ancestors(_pairs(spark, sf_dir), up), up, "world")
 
 
+def _two_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class graph in which a part k has the parents k div 2 and k div 3: diamonds everywhere, and pairs with several lowest common ancestors."""
+    k = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).where("k > 0")
+    return k.select(F.concat(F.lit("part/"), "k").alias("c"), F.explode(F.array(F.expr("k div 2"), F.expr("k div 3"))).alias("up")).select("c", F.concat(F.lit("part/"), "up").alias("p")).distinct()
+
+
+def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part with the parts that are 1, 4 and 30 further, and with the one at half its number."""
+    k = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    other = F.explode(F.array(F.col("k") + 1, F.col("k") + 4, F.col("k") + 30, F.expr("k div 2"))).alias("o")
+    return k.select("k", other).select(F.concat(F.lit("part/"), "k").alias("c1"), F.concat(F.lit("part/"), "o").alias("c2")).distinct()
+
+
+_DAG = """e AS (SELECT DISTINCT 'part/' || p_partkey AS c, 'part/' || unnest([p_partkey // 2, p_partkey // 3]) AS p FROM part WHERE p_partkey > 0),
+    up AS (SELECT c, c AS a FROM e UNION SELECT p, p FROM e UNION SELECT up.c, e.p FROM up JOIN e ON up.a = e.c),
+    pairs AS (SELECT DISTINCT 'part/' || p_partkey AS c1, 'part/' || unnest([p_partkey + 1, p_partkey + 4, p_partkey + 30, p_partkey // 2]) AS c2 FROM part),
+    shared AS (SELECT c1, c2, x.a FROM pairs JOIN up x ON x.c = c1 JOIN up y ON y.c = c2 AND y.a = x.a),
+    lowest AS (SELECT c1, c2, a AS lca FROM shared s WHERE NOT EXISTS (SELECT 1 FROM shared t JOIN e ON e.c = t.a WHERE t.c1 = s.c1 AND t.c2 = s.c2 AND e.p = s.a)),
+    one AS (SELECT c1, c2, min(lca) AS lca FROM pairs LEFT JOIN lowest USING (c1, c2) GROUP BY c1, c2),
+    dist AS (SELECT x.c AS b, y.a AS t, count(DISTINCT x.a) - 1 AS n FROM up x JOIN up y ON y.c = x.a GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_DAG} SELECT c1, c2, coalesce(n, CASE WHEN c1 = c2 THEN 0 ELSE -1 END)::INT AS n FROM pairs LEFT JOIN dist ON b = c1 AND t = c2")
+def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.distances(_part_pairs(spark, sf_dir), graph.closure(_two_parents(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_DAG} SELECT c1, c2, lca FROM lowest")
+def lowest_common_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.lowest_common(_part_pairs(spark, sf_dir), graph.closure(_two_parents(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_DAG}, z AS (SELECT one.*, p.n AS d1, q.n AS d2, r.n AS d0 FROM one LEFT JOIN dist p ON p.b = c1 AND p.t = lca LEFT JOIN dist q ON q.b = c2 AND q.t = lca LEFT JOIN dist r ON r.b = lca AND r.t = 'part/0')
+    SELECT c1, c2, lca, round(CASE WHEN c1 = c2 THEN 1 WHEN lca IS NULL THEN NULL WHEN d0 = 0 THEN 0 ELSE 2.0::DOUBLE * d0 / (d1 + d2 + 2 * d0) END, 6) AS wu_palmer,
+    round(CASE WHEN c1 = c2 THEN 1 WHEN lca IS NULL OR d0 = 0 THEN 0 ELSE (1 - pow(0.5, d0)) / (1 - pow(0.5, d1) + 1 - pow(0.5, d2) + 1 - pow(0.5, d0)) END, 6) AS depth_sim FROM z""")
+def similarity_several_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = graph.closure(_two_parents(spark, sf_dir))
+    return graph.similarities(graph.common_ancestors(_part_pairs(spark, sf_dir), up), up, "part/0")
+
+
 @query("SELECT n_name AS c, CASE WHEN n_nationkey % 2 = 0 THEN n_name WHEN n_nationkey % 3 = 0 THEN 'eq' || n_nationkey END AS cls FROM nation")
 def equivalent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = load(spark, sf_dir, "nation").withColumnRenamed("n_name", "c")

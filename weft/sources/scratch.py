@@ -25,4 +25,14 @@ def settle(df: DataFrame) -> DataFrame:
     """df written and read again, so that what follows doesn't compute it anew."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that settle() has written for df, once nothing reads it any more."""
+    if path := getattr(df, "_weft_path", None):
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
