@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.codecs import char_bleu
 from weft.functions.text import normal_value, strip_entity, year_of
 from weft.operators.grounding import in_text, wikicheck
-from weft.plans.shape import Shape, abbreviate
+from weft.plans.shape import Property, Shape, abbreviate, local_name
 
 #: Lexical forms of the datatypes that shapes use; other types accept any text.
 LEXICAL = {"date": "^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}$", "gYear": "^-?[0-9]{4,}$", "double": "^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$", "nonNegativeInteger": "^[+]?[0-9]+$", "positiveInteger": "^[+]?0*[1-9][0-9]*$"}
@@ -56,6 +56,58 @@ def validate(facts: DataFrame, shape: Shape, class_check: str = "skip", types: D
     return by.select("s", names.alias("violations"), (names == "").alias("conforms"))
 
 
+def report(facts: DataFrame, shape: Shape, types: DataFrame) -> DataFrame:
+    """A row for each violation of a shape: focus, path, value, constraint. facts: (s, p, o, k), types: (s, cls), with the inferred ones if these are to count.
+    Focus nodes are the subjects with the target class, those without any fact included. Constraints: minCount and maxCount (value null, path the property), datatype, nodeKind
+    and class for each offending value, and or (path or1, or2, ... in the order of the shape) where no branch of a sh:or holds; values in branches are not told one by one.
+    One pass over the facts for values and one grouping by focus node for counts; the shape, tens of properties, becomes columns."""
+    focus = types.where(F.col("cls") == local_name(shape.target)).select(F.col("s").alias("focus")).distinct()
+    own = facts.dropDuplicates(["s", "p", "o"]).select(F.col("s").alias("focus"), "p", "o", "k").join(focus, "focus", "left_semi")
+    wanted = facts.sparkSession.createDataFrame(sorted({(p.name, local_name(p.range)) for p in shape.properties if p.kind == "object"}), "p string, cls string")
+    have = types.select(F.col("s").alias("o"), "cls").distinct().withColumn("classed", F.lit(True))
+    own = own.join(F.broadcast(wanted), "p", "left").join(have, ["o", "cls"], "left")
+
+    def wrong(p: Property) -> dict[str, Column]:
+        """By constraint, whether a value of the property offends it."""
+        out = {}
+        lexical = LEXICAL.get((p.range or "").rsplit("#", 1)[-1]) if p.kind == "datatype" else None
+        if p.kind == "datatype" and p.range:
+            out["datatype"] = (F.col("k") != "literal") | (~F.col("o").rlike(lexical) if lexical else F.lit(False))
+        if p.node_kind:
+            out["nodeKind"] = (F.col("k") == "literal") != F.lit(p.node_kind.endswith("Literal"))
+        if p.kind == "object":
+            out["class"] = (F.col("k") != "iri") | F.col("classed").isNull()
+        return out
+
+    here = lambda p: F.col("p") == p.name
+    told = [F.when(here(p) & bad, F.struct(F.lit(p.name).alias("path"), F.lit(c).alias("constraint"))) for p in shape.properties if not p.or_group for c, bad in wrong(p).items()]
+    values = own.select("focus", F.col("o").alias("value"), F.inline(F.array_distinct(F.array_compact(F.array(*told))))) if told else None
+
+    aggs, branches, counts = [], {}, []
+    for i, p in enumerate(shape.properties):
+        bad = F.lit(False)
+        for w in wrong(p).values():
+            bad = bad | w
+        aggs += [F.count_if(here(p)).alias(f"n{i}"), F.count_if(here(p) & bad).alias(f"w{i}")]
+        n = F.coalesce(f"n{i}", F.lit(0))
+        over = n > p.max_count if p.max_count is not None else F.lit(False)
+        if p.or_group:
+            branches.setdefault(p.or_group, {}).setdefault(p.or_branch, []).append((n >= p.min_count) & ~over & (F.coalesce(f"w{i}", F.lit(0)) == 0))
+        else:
+            counts += [F.when(broken, F.struct(F.lit(p.name).alias("path"), F.lit(c).alias("constraint"))) for c, broken in (("minCount", n < p.min_count), ("maxCount", over))]
+    for group, by in sorted(branches.items()):
+        held = F.lit(False)
+        for every in by.values():
+            ok = F.lit(True)
+            for one in every:
+                ok = ok & one
+            held = held | ok
+        counts.append(F.when(~held, F.struct(F.lit(f"or{group}").alias("path"), F.lit("or").alias("constraint"))))
+    by = focus.join(own.groupBy("focus").agg(*aggs), "focus", "left")
+    counted = by.select("focus", F.lit(None).cast("string").alias("value"), F.inline(F.array_distinct(F.array_compact(F.array(*counts)))))
+    return (counted if values is None else values.unionByName(counted)).select("focus", "path", "value", "constraint")
+
+
 def set_scores(found: Column, gold: Column) -> tuple[Column, Column, Column]:
     """Precision, recall and F1 in percent of two arrays as sets; 0 on empty."""
     hit = F.size(F.array_intersect(found, gold)).cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import codecs, text
-from weft.operators import graph, grounding, mapping, plugins, reports, sampling, scoring, signatures
+from weft.operators import graph, grounding, inference, mapping, plugins, reports, sampling, scoring, signatures
 from weft.plans import sparql
 from weft.plans.shape import Shape, read_rules
 from weft.sources import quads as store
@@ -917,6 +917,66 @@ def equivalent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.or_equivalent(n.select("c"), n.where("n_nationkey % 2 = 0").select("c"), n.where("n_nationkey % 3 = 0").select("c", F.concat(F.lit("eq"), "n_nationkey").alias("e")))
 
 
+# Inference and reports
+
+#: Classes and properties of the orders below: priorities are kinds of orders, buyers and payers are customers.
+ONTOLOGY = [("Urgent", "rdfs:subClassOf", "Prioritised"), ("Prioritised", "rdfs:subClassOf", "Order"), ("Order", "rdfs:subClassOf", "Record"), ("Customer", "rdfs:subClassOf", "Party"),
+    ("buyer", "rdfs:subPropertyOf", "customer"), ("payer", "rdfs:subPropertyOf", "buyer"), ("customer", "rdfs:domain", "Order"), ("customer", "rdfs:range", "Customer"), ("status", "rdfs:domain", "Record")]
+INFERRED_SHAPE = Shape.read("""
+@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix ex: <http://example.org/> .
+ex:OrderShape a sh:NodeShape ; sh:targetClass ex:Order ;
+  sh:property [ sh:path ex:status ; sh:datatype xsd:string ; sh:minCount 1 ; sh:maxCount 1 ] , [ sh:path ex:customer ; sh:class ex:Customer ; sh:minCount 1 ; sh:maxCount 1 ] , [ sh:path ex:orderDate ; sh:datatype xsd:date ; sh:minCount 1 ] ;
+  sh:or ( [ sh:property [ sh:path ex:priority ; sh:datatype xsd:string ; sh:minCount 1 ] ] [ sh:property [ sh:path ex:comment ; sh:datatype xsd:string ; sh:minCount 1 ] ] ) .
+""")
+
+
+def _untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with defects by their number: a seventh are urgent, others have no type; one customer property of three; missing or second status, dates that are none, no priority."""
+    k = F.col("o_orderkey")
+    who = F.when(k % 3 == 0, "buyer").when(k % 3 == 1, "payer").otherwise("customer")
+    fact = lambda p, o, kind, when: F.when(when, F.struct(p.alias("p"), o.alias("o"), F.lit(kind).alias("k")))
+    each = F.array(
+        fact(F.lit("rdf:type"), F.lit("Urgent"), "iri", k % 7 == 0), fact(who, F.concat(F.lit("customer/"), "o_custkey"), "iri", k % 11 != 0), fact(F.lit("buyer"), F.lit("nobody"), "literal", k % 13 == 0),
+        fact(F.lit("status"), F.col("o_orderstatus"), "literal", k % 5 != 0), fact(F.lit("status"), F.lit("again"), "literal", k % 17 == 0),
+        fact(F.lit("orderDate"), F.when(k % 19 == 0, "soon").otherwise(F.to_date("o_orderdate").cast("string")), "literal", F.lit(True)), fact(F.lit("priority"), F.col("o_orderpriority"), "literal", k % 23 != 0),
+    )
+    return load(spark, sf_dir, "orders").select(F.concat(F.lit("order/"), k).alias("s"), F.inline(F.array_compact(each)))
+
+
+def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.rdfs(_untyped(spark, sf_dir), spark.createDataFrame([(*t, "iri") for t in ONTOLOGY], "s string, p string, o string, k string"))
+
+
+_UNTYPED = """u AS (SELECT o_orderkey AS k, 'order/' || o_orderkey AS s, o_orderkey % 3 AS w, o_orderkey % 7 = 0 AS urgent, o_orderkey % 11 <> 0 AS linked, o_orderkey % 13 = 0 AS nobody,
+    o_orderkey % 5 <> 0 AS stated, o_orderkey % 17 = 0 AS again, 'customer/' || o_custkey AS c, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS priority FROM orders)"""
+
+
+@query(f"""WITH {_UNTYPED}, t AS (SELECT s, unnest(['Urgent', 'Prioritised', 'Order', 'Record']) AS cls FROM u WHERE urgent UNION SELECT s, unnest(['Order', 'Record']) FROM u WHERE linked OR nobody
+    UNION SELECT s, 'Record' FROM u WHERE stated OR again UNION SELECT c, unnest(['Customer', 'Party']) FROM u WHERE linked) SELECT s, cls FROM t""")
+def rdfs_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.types(_inferred(spark, sf_dir)).where("s LIKE '%/%'")
+
+
+@query(f"""WITH {_UNTYPED}, f AS (SELECT s, p, o, 'iri' AS k FROM (SELECT s, unnest(CASE w WHEN 0 THEN ['buyer', 'customer'] WHEN 1 THEN ['payer', 'buyer', 'customer'] ELSE ['customer'] END) AS p, c AS o FROM u WHERE linked)
+    UNION SELECT s, unnest(['buyer', 'customer']), 'nobody', 'literal' FROM u WHERE nobody)
+    SELECT s, p, o, k FROM f""")
+def rdfs_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _inferred(spark, sf_dir).where(F.col("p").isin("buyer", "payer", "customer") & F.col("s").startswith("order/"))
+
+
+@query(f"""WITH {_UNTYPED}, f AS (SELECT * FROM u WHERE urgent OR linked OR nobody)
+    SELECT s AS focus, 'status' AS path, NULL AS value, 'minCount' AS constraint FROM f WHERE NOT stated AND NOT again
+    UNION ALL SELECT s, 'status', NULL, 'maxCount' FROM f WHERE stated AND again
+    UNION ALL SELECT s, 'customer', NULL, 'minCount' FROM f WHERE NOT linked AND NOT nobody
+    UNION ALL SELECT s, 'customer', NULL, 'maxCount' FROM f WHERE linked AND nobody
+    UNION ALL SELECT s, 'customer', 'nobody', 'class' FROM f WHERE nobody
+    UNION ALL SELECT s, 'orderDate', 'soon', 'datatype' FROM f WHERE k % 19 = 0
+    UNION ALL SELECT s, 'or1', NULL, 'or' FROM f WHERE k % 23 = 0""")
+def shacl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _inferred(spark, sf_dir)
+    return scoring.report(facts, INFERRED_SHAPE, inference.types(facts))
+
+
 # Augmentation
 
 
