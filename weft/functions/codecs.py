@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.text import ascii_only, decode_uri, encode_uri
-
-#: The regular language of the one-line form: subject, type, then properties with literals or object lists.
-_LOCAL = "[^ ;,.\"]+"
-GRAMMAR = f'^:{_LOCAL} *a *:{_LOCAL} *(; *:{_LOCAL} *("[^"]*"|:{_LOCAL}( *, *:{_LOCAL})*) *)*\\.'
-
+from weft.plans.grammar import LIGHT, Grammar
 
 def serialize(facts: DataFrame, subject: str = "s") -> DataFrame:
     """Per subject of (s, p, o, k): the line `:S a :Type; :p "literal"; :q :A, :B .`; properties and values sorted, the type first. One grouping: a value that
@@ -40,8 +36,9 @@ def statements(facts: DataFrame, subject: str = "s", gap: str = " ", datatypes:
 TRIPLES = "array<struct<subj:string,prop:string,val:string>>"
 
 
-def accepted(line: Column) -> Column:
-    return F.coalesce(line.rlike(GRAMMAR), F.lit(False))
+def accepted(line: Column, grammar: Grammar = LIGHT) -> Column:
+    """Whether the line is the beginning of a sentence of the grammar, or one."""
+    return grammar.run(line)["prefix"]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -199,12 +196,12 @@ def parse_statements(line: Column) -> Column:
     return F.coalesce(F.filter(F.transform(pieces, one), lambda t: t["prop"] != ""), F.array().cast(TRIPLES))
 
 
-def accepted_after_decoding(line: Column, times: int = 2) -> Column:
+def accepted_after_decoding(line: Column, times: int = 2, grammar: Grammar = LIGHT) -> Column:
     """Whether the line, or what up to `times` percent-decodings make of it, is in the grammar; characters beyond ASCII don't count."""
-    found, text = accepted(ascii_only(line)), line
+    found, text = accepted(ascii_only(line), grammar), line
     for _ in range(times):
         text = decode_uri(text)
-        found = found | accepted(ascii_only(text))
+        found = found | accepted(ascii_only(text), grammar)
     return found
 
 

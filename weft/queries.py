@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions import codecs, text
 from weft.operators import graph, grounding, inference, mapping, plugins, reports, sampling, scoring, signatures
 from weft.plans import sparql
+from weft.plans.grammar import COMPACT, LIGHT
 from weft.plans.shape import Shape, read_rules
 from weft.sources import quads as store
 from weft.sources.quads import delete_where, load, star_quads, star_sql
@@ -347,6 +348,25 @@ def grammar_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("s", codecs.accepted(broken).alias("accepted"))
 
 
+@query("""WITH l AS (SELECT o_orderkey AS k, ':order/' || o_orderkey || ' a :Order; :customer :customer/' || o_custkey || '; :orderDate "' || strftime(o_orderdate, '%Y-%m-%d') || '"; :priority "' || o_orderpriority || '"; :status "' || o_orderstatus || '" .' AS line FROM orders)
+    SELECT k AS o_orderkey, k % 4 < 2 AS prefix, k % 4 = 0 AS "full", (CASE k % 4 WHEN 2 THEN strpos(line, '; :status') + 1 WHEN 3 THEN length(line) END - CASE WHEN k % 4 = 2 THEN 1 ELSE 0 END)::INT AS failed FROM l""")
+def grammar_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines, halves, lines without one semicolon, and lines with something after the end."""
+    lines = ttl_light_serialize(spark, sf_dir).withColumn("k", F.substring_index("s", "/", -1).cast("long"))
+    half = F.substring(F.col("line"), F.lit(1), (F.length("line") / 2).cast("int"))
+    damaged = F.when(F.col("k") % 4 == 0, F.col("line")).when(F.col("k") % 4 == 1, half).when(F.col("k") % 4 == 2, F.replace("line", F.lit("; :status"), F.lit(" :status"))).otherwise(F.concat("line", F.lit("x")))
+    return lines.select(F.col("k").alias("o_orderkey"), LIGHT.run(damaged).alias("r")).select("o_orderkey", "r.prefix", "r.full", "r.failed")
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS light, p_partkey % 3 <> 2 AS compact FROM part")
+def grammar_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that both grammars hold for sentences or beginnings, that only the compact one does (an escaped comma in a name), and that neither does."""
+    k = F.col("p_partkey")
+    odd = F.when(k % 3 == 0, "").when(k % 3 == 1, "\\,x").otherwise('"')
+    line = F.concat(F.lit(":p"), k.cast("string"), F.lit(" a:Part"), odd, F.lit(';:brand "'), "p_brand", F.lit('".'))
+    return load(spark, sf_dir, "part").select("p_partkey", codecs.accepted(line).alias("light"), codecs.accepted(line, COMPACT).alias("compact"))
+
+
 @query("SELECT 'nation/' || n_nationkey AS subj, 'region' AS prop, 'region ' || n_regionkey AS val FROM nation UNION ALL SELECT 'nation/' || n_nationkey, 'label', n_name FROM nation")
 def triplet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.concat(F.lit("<s><triplet> nation/"), "n_nationkey", F.lit(" <subj> region "), "n_regionkey", F.lit(" <obj> region <subj> "), "n_name", F.lit(" <obj> label "))
