@@ -1,10 +1,13 @@
-"""URI, markdown, HTML, date and literal functions as column expressions; all stay in the JVM."""
+"""URI, markdown, HTML, date and literal functions as column expressions; all but html_lead() stay in the JVM."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weft.functions.html import lead
+
 RESOURCE = "http://dbpedia.org/resource/"
 ONTOLOGY = "http://dbpedia.org/ontology/"
 
@@ -75,17 +78,14 @@ def md_to_text(c: Column) -> Column:
 DROPPED = ("ext-phonos", "IPA", "IPA-label", "Inline-Template", "reference")
 
 
+def _lead(pages: pd.Series) -> pd.Series:
+    return pd.Series([lead(x, DROPPED) for x in pages], dtype=object)
+
+
 def html_lead(c: Column, encode: bool = False) -> Column:
-    """The paragraphs of the first <article> or <section> as markdown links and text; tolerates a missing end. Elements of the DROPPED classes go, links to pages
-    that don't exist lose their target; with encode, targets are percent-encoded."""
-    block = F.regexp_extract(c, "(?s)<(?:article|section)[^>]*>(.*?)(?:</article>|</section>|$)", 1)
-    each = F.regexp_extract_all(block, F.lit("(?s)<p>(.*?)(?:</p>|<p>|$)"), F.lit(1))
-    text = F.array_join(each, " ")
-    names = "|".join(DROPPED)
-    text = F.regexp_replace(text, f'(?s)<(span|sup|small)[^>]*class="(?:[^"]* )?(?:{names})(?: [^"]*)?"[^>]*>.*?</\\1>', "")
-    text = F.regexp_replace(text, '<a [^>]*(?:redlink=1|class="new")[^>]*>([^<]*)</a>', "$1")
-    text = F.regexp_replace(text, '<a [^>]*href="\\./([^"]*)"[^>]*>([^<]*)</a>', "[$2](:$1)")
-    text = F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), "[ \\n\\r\\t]+", " "))
+    """The paragraphs of the first <article> or <section> as markdown links and text, by the structure of the page (weft/functions/html.py). Elements of the DROPPED
+    classes go with all they hold, links to pages that don't exist lose their target; with encode, targets are percent-encoded."""
+    text = F.pandas_udf(_lead, "string")(c)
     if not encode:
         return text
     pieces = F.regexp_extract_all(text, F.lit("(?s)(\\]\\(:[^)]*\\)|\\]|[^\\]]+)"), F.lit(1))

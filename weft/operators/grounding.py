@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.matching import replace_each
 from weft.functions.text import dates_in, folds_into
 from weft.sources.scratch import settle
 
@@ -91,12 +92,13 @@ def contained(values: DataFrame, texts: DataFrame, key: str = "s", n: int = 5, c
 
 
 def tag(text: Column, values: Column, mask: str | None = None) -> Column:
-    """Replaces values by $prop$ (or a mask), the longest first. values: array<struct<val, prop>>."""
-    ordered = F.array_sort(values, lambda a, b: F.when(F.length(a["val"]) != F.length(b["val"]), F.length(b["val"]) - F.length(a["val"])).when(a["val"] < b["val"], -1).when(a["val"] > b["val"], 1).otherwise(0))
-    into = (lambda x: F.lit(mask)) if mask else (lambda x: F.concat(F.lit("$"), x["prop"], F.lit("$")))
-    return F.aggregate(ordered, text, lambda t, x: F.when(x["val"] == "", t).otherwise(F.replace(t, x["val"], into(x))))
+    """Replaces values by $prop$ (or a mask) in one pass over the text: leftmost first, of those the longest, and never within what a replacement has put there. A value of several
+    properties gets the least one; empty values and nulls are left out. values: array<struct<val, prop>>."""
+    into = (lambda x: F.lit(mask)) if mask is not None else (lambda x: F.concat(F.lit("$"), x["prop"], F.lit("$")))
+    ordered = F.array_sort(F.transform(values, lambda x: F.struct(x["val"].alias("val"), x["prop"].alias("prop"))))
+    return replace_each(text, F.transform(ordered, lambda x: F.struct(x["val"].alias("find"), into(x).alias("put"))))
 
 
 def fill(template: Column, values: Column) -> Column:
-    """Puts values in the place of $prop$."""
-    return F.aggregate(values, template, lambda t, x: F.replace(t, F.concat(F.lit("$"), x["prop"], F.lit("$")), x["val"]))
+    """Puts values in the place of $prop$, in one pass: a value that looks like a placeholder stays as it is. Of several values of a property the first counts."""
+    return replace_each(template, F.transform(values, lambda x: F.struct(F.concat(F.lit("$"), x["prop"], F.lit("$")).alias("find"), x["val"].alias("put"))))

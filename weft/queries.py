@@ -243,11 +243,21 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.array_join(links, " ").alias("links"), F.size(links).alias("n"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<(?:article|section)[^>]*>(.*?)(?:</article>|</section>|$)', 1), '(?s)<p>(.*?)(?:</p>|<p>|$)', 1), ' '), '<[^>]*>', '', 'g'), '[ \n\r\t]+', ' ', 'g'), ' ') AS lead FROM pages""")
+@query(r"""WITH b AS (SELECT page_id, regexp_extract(html, '(?s)<(?:article|section)[^>]*>(.*?)(?:</article>|</section>|$)', 1) AS block FROM pages),
+    t AS (SELECT page_id, array_to_string(list_transform(string_split(block, '<p>')[2:], lambda x: split_part(x, '</p>', 1)), ' ') AS t FROM b)
+    SELECT page_id, trim(regexp_replace(replace(replace(regexp_replace(replace(t, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '[ \n\r\t]+', ' ', 'g'), ' ') AS lead FROM t""")
 def html_paragraph_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.html_lead(F.col("html")).alias("lead"))
 
 
+@query("SELECT page_id, md5(html) || ' [see it](:T_' || page_id || ') Last' || page_id || ' & more' AS lead FROM pages")
+def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads with a dropped element that holds another one of its kind, a link with markup in its label, and paragraphs that a list or the end of the page ends."""
+    page = F.concat(F.lit('<!-- <p> --><script>"<section>"</script><p>before</p><section><p>'), F.md5("html"), F.lit('<span class="IPA">x <span>y</span> z</span> <a href="./T_'), "page_id",
+        F.lit('">see <i>it</i></a><ul><li>one<li>two</ul><p class=k>Last'), "page_id", F.lit(" &amp; more</b></section><p>after</p>"))
+    return load(spark, sf_dir, "pages").select("page_id", text.html_lead(page).alias("lead"))
+
+
 @query("""SELECT conv_id, turn, '<s>' || role || ' : ' || text || '</s>' AS prompt, replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), '"', '\\"') AS escaped, trim(replace(replace(replace(replace(replace(replace(text, ' ;', ';'), '; ', ';'), ' .', '.'), '" ', '"'), '  ', ' '), chr(0), ''), ' ') AS repaired FROM conversations WHERE text IS NOT NULL""".replace("\\\\", "\\"))
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "conversations").where("text IS NOT NULL")
@@ -937,6 +947,18 @@ def equivalent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.or_equivalent(n.select("c"), n.where("n_nationkey % 2 = 0").select("c"), n.where("n_nationkey % 3 = 0").select("c", F.concat(F.lit("eq"), "n_nationkey").alias("e")))
 
 
+@query("""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL), v AS (SELECT doc_id, text, list_filter(list_distinct([w[2], w[2] || ' ' || w[3], w[4], right(w[2], 3), 'a']), lambda x: coalesce(x, '') <> '') AS v FROM w),
+    p AS (SELECT doc_id, text, array_to_string(list_transform(list_reverse_sort(list_transform(v, lambda x: {'n': length(x), 'x': x})), lambda x: regexp_escape(x.x)), '|') AS pattern FROM v)
+    SELECT doc_id, regexp_replace(text, pattern, '$\\0$', 'g') AS tagged, regexp_replace(text, pattern, '$MASK$', 'g') AS masked FROM p""".replace("\\\\", "\\"))
+def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with values that hold one another and the letter a, each tagged by itself and masked."""
+    d = load(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("w", F.split("text", " "))
+    word = lambda i: F.get("w", F.lit(i))
+    found = F.array(word(1), F.concat(word(1), F.lit(" "), word(2)), word(3), F.substring(word(1), -3, 3), F.lit("a"))
+    values = F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("val"), x.alias("prop")))
+    return d.select("doc_id", grounding.tag(F.col("text"), values).alias("tagged"), grounding.tag(F.col("text"), values, "$MASK$").alias("masked"))
+
+
 # Inference and reports
 
 #: Classes and properties of the orders below: priorities are kinds of orders, buyers and payers are customers.
