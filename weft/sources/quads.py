@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TYPE = "rdf:type"
 COLUMNS = ("g", "s", "p", "o", "k")
@@ -59,15 +60,31 @@ def star_sql(tables: tuple[str, ...] = tuple(STAR)) -> str:
     return "quads AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def write_store(quads: DataFrame, path: str, mode: str = "append") -> None:
-    """Bulk load: Parquet partitioned by graph, so a graph is a directory and scoping prunes."""
-    quads.dropDuplicates(list(COLUMNS)).repartition("g").write.mode(mode).partitionBy("g").parquet(path)
+#: Quads of a graph for each of its files, and graphs up to which their sizes are broadcast.
+FILE_ROWS, MAX_GRAPHS = 2_000_000, 100_000
+
+
+def write_store(quads: DataFrame, path: str, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
+    """Bulk load: Parquet partitioned by graph, so a graph is a directory and scoping prunes. A graph is cut into buckets by the hash of its quads, as many as its size asks for, so
+    no task writes a large graph as a whole, and a small one has one file."""
+    quads = quads.dropDuplicates(list(COLUMNS))
+    sizes = quads.groupBy("g").agg(F.count("*").alias("__n")).withColumnRenamed("g", "__g")
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_GRAPHS else sizes
+    placed = quads.join(sizes, quads["g"].eqNullSafe(F.col("__g"))).withColumn("__b", F.pmod(F.xxhash64("s", "p", "o", "k"), F.ceil(F.col("__n") / file_rows)))
+    placed.repartition("g", "__b").drop("__g", "__n", "__b").write.mode(mode).partitionBy("g").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The quads of a store. Graphs stay text, also where all of their names look like numbers or days."""
+    found = spark.read.option("mergeSchema", False).parquet(path)
+    return spark.read.schema(T.StructType([*(f for f in found.schema if f.name != "g"), T.StructField("g", T.StringType())])).parquet(path)
 
 
 def insert_missing(quads: DataFrame, path: str) -> int:
-    """Guarded insert: appends the quads that the store lacks; returns how many."""
-    have = quads.sparkSession.read.parquet(path)
-    new = quads.join(have, list(COLUMNS), "left_anti").dropDuplicates(list(COLUMNS)).persist()
+    """Guarded insert: appends the quads that the store lacks; returns how many. Quads with nulls count as equal where all of their columns are."""
+    have = read_store(quads.sparkSession, path)
+    same = [quads[c].eqNullSafe(have[c]) for c in COLUMNS]
+    new = quads.join(have, same, "left_anti").dropDuplicates(list(COLUMNS)).persist()
     n = new.count()
     if n:
         write_store(new, path)
@@ -75,25 +92,60 @@ def insert_missing(quads: DataFrame, path: str) -> int:
     return n
 
 
-def drop_graph(spark: SparkSession, path: str, graph: str) -> None:
-    """Removes one graph: its partition becomes empty, the others stay as they are."""
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/g={graph}")
-    base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(base, True)
+def drop_graph(spark: SparkSession, path: str, graph: str | None) -> None:
+    """Removes one graph, whatever its name; the others stay as they are. FileNotFoundError if the store has none of that name."""
+    folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("g", graph)
+    base = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.org.apache.hadoop.fs.Path(path), folder)
+    files = base.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.delete(base, True):
+        raise FileNotFoundError(f"no graph {graph} in {path}")
 
 
 def delete_where(quads: DataFrame, condition: Column) -> DataFrame:
     return quads.where(~F.coalesce(condition, F.lit(False)))
 
 
+#: N-Triples: the terms of a line. Quantifiers don't give back what they took, so long literals need no deep recursion.
+_IRI, _NODE = r"<([^\x00-\x20<>\"{}|^`]*)>", r"_:([\p{L}\p{N}_:](?:[\p{L}\p{N}_:·.-]*[\p{L}\p{N}_:·-])?)"
+_LITERAL = r'"([^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+)"(?:@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*)|\^\^' + _IRI + ")?"
+_TRIPLE = rf"^[ \t]*(?:{_IRI}|{_NODE})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_NODE}|{_LITERAL})[ \t]*\.[ \t]*(?:#.*)?$"
+
+
+def unescaped(c: Column) -> Column:
+    """Text with the escapes of N-Triples decoded: \\t \\b \\n \\r \\f \\" \\' \\\\, \\u and \\U. Numbers that are no character become U+FFFD; other escapes stay as they are."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\)"), F.lit(1))
+    plain = F.create_map(*[F.lit(x) for pair in (("\\t", "\t"), ("\\b", "\b"), ("\\n", "\n"), ("\\r", "\r"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\")) for x in pair])
+
+    def one(x: Column) -> Column:
+        code = F.conv(F.substring(x, 3, 8), 16, 10).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+        is_code = (x.startswith("\\u") | x.startswith("\\U")) & (F.length(x) > 2)
+        return F.when(is_code, F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").otherwise(char)).otherwise(F.coalesce(F.element_at(plain, x), x))
+
+    return F.when(c.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+
+
+def _ntriple_lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(~F.col("value").rlike(r"^[ \t]*(?:#.*)?$")).withColumn("is_triple", F.col("value").rlike(_TRIPLE))
+
+
 def read_ntriples(spark: SparkSession, path: str, graph: str) -> DataFrame:
-    """Line-by-line N-Triples; lines that are no triple are dropped."""
-    pattern = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([\w-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
-    at = [F.regexp_extract("value", pattern, i) for i in range(1, 7)]
-    return (
-        spark.read.text(path)
-        .where(F.col("value").rlike(pattern))
-        .select(F.lit(graph).alias("g"), at[0].alias("s"), at[1].alias("p"), F.when(at[2] != "", at[2]).otherwise(at[3]).alias("o"), F.when(at[2] != "", "iri").otherwise("literal").alias("k"), F.nullif(at[5], F.lit("")).alias("dt"), F.nullif(at[4], F.lit("")).alias("lang"))
-    )
+    """Line-by-line N-Triples: g, s, p, o, k (iri, bnode or literal), dt, lang. Escapes are decoded. A blank node is named by its file and label, as labels hold within a file. Lines that
+    are neither triples nor comments: see ntriples_rejects()."""
+    lines = _ntriple_lines(spark, path).where("is_triple")
+    at = [F.nullif(F.regexp_extract("value", _TRIPLE, i), F.lit("")) for i in range(1, 9)]
+    node = lambda c: F.concat(F.lit("_:"), F.substring(F.md5("file"), 1, 16), F.lit("."), c)
+    is_iri = F.col("value").rlike(_TRIPLE.replace(rf"(?:{_IRI}|{_NODE}|{_LITERAL})", _IRI))
+    obj = F.when(is_iri, unescaped(F.coalesce(at[3], F.lit("")))).when(at[4].isNotNull(), node(at[4])).otherwise(unescaped(F.regexp_extract("value", _TRIPLE, 6)))
+    kind = F.when(is_iri, "iri").when(at[4].isNotNull(), "bnode").otherwise("literal")
+    subject = F.when(at[1].isNotNull(), node(at[1])).otherwise(unescaped(F.coalesce(at[0], F.lit(""))))
+    return lines.select(F.lit(graph).alias("g"), subject.alias("s"), unescaped(F.coalesce(at[2], F.lit(""))).alias("p"), obj.alias("o"), kind.alias("k"), unescaped(at[7]).alias("dt"), at[6].alias("lang"))
+
+
+def ntriples_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the lines that read_ntriples() leaves out as they are neither triples nor comments."""
+    return _ntriple_lines(spark, path).where("NOT is_triple").select("file", "value")
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
