@@ -59,6 +59,11 @@ def test_uris(spark):
 def test_dates(spark):
     got = values(spark, text.dates_in(F.col("x")), "born 29 August 1994, died 2001-02-03; or May 5, 1999; not 31 February 2000 or 1994-99-99", "none", None)
     assert got[0] == ["1994-08-29", "1999-05-05", "2001-02-03"] and got[1] == []
+    for written in ("Aug 29, 1994", "29.08.1994", "29th August 1994", "29 august 1994", "AUG. 29TH 1994", "29/8/1994", "08/29/1994", "29-08-1994", "1994.8.29", "29 Aug 1994.", "(29. August, 1994)", "29th of aug., 1994"):
+        assert values(spark, text.dates_in(F.col("x")), f"It was {written} then") == [["1994-08-29"]], written
+    for none in ("August 1994", "29 August", "05/06/1994", "129 August 1994", "29 August 19945", "29 Augustus 1994", "1994-08-291", "29.13.1994", "30 Feb 1994", "29.08/1994", "x29 May 1994", "29 May 94"):
+        assert values(spark, text.dates_in(F.col("x")), none) == [[]], none
+    assert values(spark, text.dates_in(F.col("x")), "5/5/1999 and Sept 3, 2001, Sep 4 2001, september 5th 2001") == [["1999-05-05", "2001-09-03", "2001-09-04", "2001-09-05"]]
 
 
 def test_shorten(spark):

@@ -116,16 +116,32 @@ def ascii_only(c: Column) -> Column:
 
 #: Month names of the date formats below.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-_MONTH = "(" + "|".join(MONTHS) + ")"
+#: Dates as people write them: a day with or without its ordinal ending and a month by name or abbreviation in either order, then the year; or numbers with one sign between them.
+_NAMED = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "September" else "Sep(?:t(?:ember)?)?" for m in MONTHS) + r")\b\.?"
+_DAY, _YEAR = r"[0-9]{1,2}(?:st|nd|rd|th)?\b\.?", r"[0-9]{4}(?![0-9])"
+_WRITTEN = rf"(?i)(?<![\p{{L}}0-9])(?:{_DAY}\s+(?:of\s+)?{_NAMED},?\s+{_YEAR}|{_NAMED}\s+{_DAY},?\s+{_YEAR}|[0-9]{{4}}([-/.])[0-9]{{1,2}}\1[0-9]{{1,2}}(?![0-9])|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\2{_YEAR})"
+
+
+def _read_date(x: Column) -> Column:
+    """The ISO form of one written date; null if there is no such day, or if two numbers below 13 leave open which one is the month (with full stops the day is first)."""
+    numbers = F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
+    n = lambda i: F.get(numbers, F.lit(i)).cast("int")
+    name = F.lower(F.regexp_extract(x, "(?i)(" + "|".join(m[:3] for m in MONTHS) + ")", 1))
+    month = F.element_at(F.create_map(*[F.lit(v) for i, m in enumerate(MONTHS, 1) for v in (m[:3].lower(), i)]), name)
+    iso = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd").cast("string")
+    day_first = x.contains(".") | (n(0) > 12) | (n(0) == n(1))
+    return (
+        F.when(name != "", iso(n(1), month, n(0)))
+        .when(F.length(F.get(numbers, F.lit(0))) == 4, iso(n(0), n(1), n(2)))
+        .when(day_first, iso(n(2), n(1), n(0)))
+        .when(n(1) > 12, iso(n(2), n(0), n(1)))
+    )
 
 
 def dates_in(c: Column) -> Column:
-    """ISO dates for every date written as 1994-08-29, 29 August 1994 or August 29, 1994; a closed list of formats, so the clock plays no part."""
-    iso = F.regexp_extract_all(c, F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2})"), F.lit(1))
-    day_first = F.regexp_extract_all(c, F.lit(f"([0-9]{{1,2}} {_MONTH} [0-9]{{4}})"), F.lit(1))
-    month_first = F.regexp_extract_all(c, F.lit(f"({_MONTH} [0-9]{{1,2}}, [0-9]{{4}})"), F.lit(1))
-    read = lambda a, f: F.transform(a, lambda x: F.try_to_date(x, f).cast("string"))
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(read(iso, "yyyy-MM-dd"), read(day_first, "d MMMM yyyy"), read(month_first, "MMMM d, yyyy")))))
+    """ISO dates, sorted, for every date of a closed list of forms: 1994-08-29 (or with / and .), 29.08.1994, 29/08/1994, 08/29/1994, 29 August 1994, 29th of Aug 1994, Aug. 29th, 1994, in any letter
+    case. Partial dates and ambiguous ones (05/06/1994) are left out; nothing is filled in from the clock."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(c, F.lit(_WRITTEN), F.lit(0)), _read_date))))
 
 
 def long_date(c: Column) -> Column:

@@ -265,6 +265,23 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", text.prompt(F.col("role"), F.col("text")).alias("prompt"), text.escape_literal(F.col("text")).alias("escaped"), text.repair_decoded(decoded).alias("repaired"))
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS found, CASE WHEN day(o_orderdate) > 12 OR day(o_orderdate) = month(o_orderdate) THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS slashed FROM orders")
+def dates_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's day in one of eight forms within a text, and with slashes, where the month may be in doubt."""
+    d, form = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    ending = F.when(F.dayofmonth(d).isin(1, 21, 31), "st").when(F.dayofmonth(d).isin(2, 22), "nd").when(F.dayofmonth(d).isin(3, 23), "rd").otherwise("th")
+    day, year = F.date_format(d, "d"), F.date_format(d, "yyyy")
+    forms = [F.concat(F.date_format(d, "MMM d"), F.lit(", "), year), F.date_format(d, "dd.MM.yyyy"), F.concat(day, ending, F.lit(" "), F.date_format(d, "MMMM yyyy")), F.lower(F.date_format(d, "d MMMM yyyy")),
+        F.upper(F.concat(F.date_format(d, "MMMM d"), ending, F.lit(" "), year)), F.date_format(d, "yyyy/M/d"), F.concat(day, ending, F.lit(" of "), F.date_format(d, "MMM"), F.lit("., "), year), F.date_format(d, "yyyy-MM-dd")]
+    written = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        written = F.when(form == i, f).otherwise(written)
+    around = F.concat(F.lit("In May 1990, no. 12-1999: ("), written, F.lit("); 31 February 2000, 1234-5678."))
+    slashed = F.when(form % 2 == 0, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+    told = lambda c: F.array_join(text.dates_in(c), ",")
+    return load(spark, sf_dir, "orders").select("o_orderkey", told(around).alias("found"), told(slashed).alias("slashed"))
+
+
 # Sampling and splitting
 
 
