@@ -8,9 +8,9 @@ ISO timestamp, the type is ``response`` for an HTTP message (``revisit`` for a p
 anything else, and SHA-256 digests of block and payload are added. The version block becomes a ``warcinfo`` record.
 
 Files may be compressed, as a whole or record by record. Newlines between records may be missing or repeated. A record that the file's
-end cuts short keeps the bytes that are there and is marked ``WARC-Truncated``. Lines that are no header line where one has to stand are skipped up to the next one.
-Each record has a key: the number in its X-Record-Key header (null, if that is empty); a record without that header gets one by its file, URL,
-date and place.
+end cuts short, or in which a gzip member is damaged, keeps the bytes that are there and is marked ``WARC-Truncated``; reading goes on with the next member. Lines that are no header line where one has to stand are skipped up to the next one.
+Each record has a key: the number in its X-Record-Key header (null, if that is empty); a record without that header, or with one that holds no 64-bit number, gets one by its file, URL,
+date and place. IP address, result code and checksum of the header line are carried along.
 
 WARC files are written with Spark's text writer: a record and the four bytes that end it are a line and its
 separator, so a written file is one gzip member holding a plain WARC file; it holds what one task converts. The reader takes the lines of a
@@ -107,38 +107,72 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
-def _pieces(content: bytes, size: int = 1 << 16) -> Iterator[bytes]:
-    """The bytes of a file in pieces, decompressed if they are gzip members; what a member that is damaged or cut short gives until there."""
-    if content[:2] != b"\x1f\x8b":
+#: What a gzip member begins with.
+MAGIC = b"\x1f\x8b\x08"
+
+
+def _pieces(content: bytes, size: int = 1 << 16, step: int = 64) -> Iterator[bytes | None]:
+    """The bytes of a file in pieces, decompressed if they are gzip members. A member that is damaged gives what can be read until there, then None for the gap, and reading goes on with the
+    next place that looks like a member and can be read as one; a member that the file's end cuts short gives what is there, then None."""
+    if content[:2] != MAGIC[:2]:
         yield content
         return
-    view, member = memoryview(content), zlib.decompressobj(31)
-    for at in range(0, len(view), size):
-        left = bytes(view[at : at + size])
-        while left:
+    view, start = memoryview(content), 0
+    while start >= 0:
+        member, at, failed = zlib.decompressobj(31), start, -1
+        while at < len(view) and not member.eof:
+            spare = member.copy()
             try:
-                piece = member.decompress(left)
+                piece = member.decompress(view[at : at + size])
             except zlib.error:
-                return
+                for at in range(at, at + size, step):  # again in small steps, for what comes before the damage
+                    try:
+                        piece = spare.decompress(view[at : at + step])
+                    except zlib.error:
+                        failed = at
+                        break
+                    if piece:
+                        yield piece
+                break
             if piece:
                 yield piece
-            left = member.unused_data if member.eof else b""
-            if member.eof:
-                member = zlib.decompressobj(31)
+            at += size
+        if member.eof:
+            start = min(at, len(view)) - len(member.unused_data)
+            if bytes(view[start : start + 2]) != MAGIC[:2]:
+                start = content.find(MAGIC, start)
+        else:
+            yield None
+            start = content.find(MAGIC, max(failed, start + 1)) if failed >= 0 else -1
 
 
 class _Stream:
-    """A file's bytes by line or by number."""
+    """A file's bytes by line or by number. Neither goes over a gap; gap tells whether one has been met and not passed yet."""
 
     def __init__(self, content: bytes):
-        self._from, self._held, self._at, self.place = _pieces(content), b"", 0, 0
+        self._from, self._held, self._at, self.place, self.gap, self._ended = _pieces(content), b"", 0, 0, False, False
 
     def _more(self) -> bool:
-        if (piece := next(self._from, None)) is None:
+        if self.gap:
+            return False
+        try:
+            piece = next(self._from)
+        except StopIteration:
+            self._ended = True
+            return False
+        if piece is None:
+            self.gap = True
             return False
         self._held, self._at = self._held[self._at :] + piece if self._at < len(self._held) else piece, 0
         return True
 
+    def at_end(self) -> bool:
+        """Whether nothing is left; passes gaps."""
+        while self._at >= len(self._held) and not self._ended:
+            self.gap = False
+            self._more()
+        return self._at >= len(self._held)
+
     def _got(self, end: int) -> bytes:
         out = self._held[self._at : end]
         self._at += len(out)
@@ -146,7 +180,7 @@ class _Stream:
         return out
 
     def line(self) -> bytes:
-        """Up to the next newline, with it; nothing at the end."""
+        """Up to the next newline, with it, or to the end or a gap."""
         seen = self._at
         while (end := self._held.find(b"\n", seen)) < 0:
             seen = len(self._held) - self._at
@@ -155,24 +189,23 @@ class _Stream:
         return self._got(end + 1)
 
     def take(self, n: int) -> bytes:
-        """The next n bytes, or what is left."""
+        """The next n bytes, or what is left until the end or a gap."""
         out = [self._got(self._at + n)]
         while (n := n - len(out[-1])) > 0 and self._more():
             out.append(self._got(self._at + n))
         return b"".join(out)
 
 
+_NUMBER = re.compile("-?[0-9]{1,19}")
 _HEADER = re.compile(r"(\S.*) (\S+) (\d{8,17}) (\S.*|) (\d+)$")
 
 
 def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int, bool]]:
     """The records of an ARC file, the version block first if it has one: header fields, block, place in the file, and whether it is cut short."""
     stream, names = _Stream(content), ARC_FIELDS[1].split()
-    while True:
+    while not stream.at_end():
         place = stream.place
-        if not (raw := stream.line()):
-            return
-        line = raw.rstrip(b"\r\n").decode("utf-8", "replace")
+        line = stream.line().rstrip(b"\r\n").decode("utf-8", "replace")
         if not _HEADER.match(line):  # newlines between records, or bytes that no header declares
             continue
         fields = line.split(" ")
@@ -206,27 +239,33 @@ def timestamp(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-CONVERTED = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("timestamp", pa.string()), ("record_id", pa.string()), ("content_type", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("truncated", pa.bool_())])
+CONVERTED = pa.schema([("key", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("timestamp", pa.string()), ("record_id", pa.string()), ("content_type", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("truncated", pa.bool_()), ("ip", pa.string()), ("result_code", pa.string()), ("checksum", pa.string())])
+#: Values of ARC fields that tell nothing.
+UNKNOWN = ("", "-", "0.0.0.0")
 
 
 def _converted(name: str, fields: dict[str, str], block: bytes, place: int, cut: bool) -> tuple:
     url, date = fields.get("url", ""), fields.get("archive-date", "")
     head, payload, headers = _http(block)
     own = headers.get(KEY.lower())
+    key = None
+    if own:
+        key = int(own) if _NUMBER.fullmatch(own) and -(1 << 63) <= int(own) < 1 << 63 else None
+    if own and key is None:
+        own = None  # no number that a key can be
     if own is None:
         key = xxhash.xxh64_intdigest(f"{name} {url} {date} {place}") >> 1
-    else:
-        key = int(own) if own.lstrip("-").isdigit() else None
     if url.startswith("filedesc://"):
         kind, mime, key, head, payload = "warcinfo", "application/warc-fields", None, b"", b"software: weft\r\nformat: WARC File Format 1.1\r\ndescription: converted from " + url.encode() + b"\r\n"
     else:
         kind, mime = ("response", "application/http; msgtype=response") if head else ("resource", fields.get("content-type") or "application/octet-stream")
     record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {name} {place}' if own is None else f'{url} {date} {own}')}>"
-    return key, kind, url, timestamp(date), record, mime, head, payload, hashlib.sha256(payload).hexdigest(), len(payload), cut
+    return key, kind, url, timestamp(date), record, mime, head, payload, hashlib.sha256(payload).hexdigest(), len(payload), cut, *(None if (x := fields.get(n, "")) in UNKNOWN else x for n in ("ip-address", "result-code", "checksum"))
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """Per ARC record: key, kind, uri, timestamp, record_id, content_type, head, payload, payload_digest, payload_bytes, truncated."""
+    """Per ARC record: key, kind, uri, timestamp, record_id, content_type, head, payload, payload_digest, payload_bytes, truncated, and of the header ip, result_code and checksum
+    (null where it has none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -244,7 +283,7 @@ def convert(arcs: DataFrame) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    return arcs.mapInArrow(run, "key long, kind string, uri string, timestamp string, record_id string, content_type string, head binary, payload binary, payload_digest string, payload_bytes long, truncated boolean")
+    return arcs.mapInArrow(run, "key long, kind string, uri string, timestamp string, record_id string, content_type string, head binary, payload binary, payload_digest string, payload_bytes long, truncated boolean, ip string, result_code string, checksum string")
 
 
 def with_roles(records: DataFrame) -> DataFrame:
@@ -258,6 +297,10 @@ def with_roles(records: DataFrame) -> DataFrame:
     return held.withColumn("first", F.when(may & (F.col("first.key") < F.col("key")), F.col("first")))
 
 
+#: Header fields of a WARC record that hold what an ARC header line tells besides.
+CARRIED = {"WARC-IP-Address": "ip", "X-ARC-Result-Code": "result_code", "X-ARC-Checksum": "checksum"}
+
+
 def render(records: DataFrame) -> DataFrame:
     """One WARC record for each row, without the four bytes that end it."""
 
@@ -275,13 +318,14 @@ def render(records: DataFrame) -> DataFrame:
                     lines += [f"WARC-Target-URI: {c['uri'][i]}", f"WARC-Payload-Digest: sha256:{c['payload_digest'][i]}", f"{KEY}: {'' if c['key'][i] is None else c['key'][i]}"]
                 if first is not None:
                     lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {first['record_id']}", f"WARC-Refers-To-Target-URI: {first['uri']}", f"WARC-Refers-To-Date: {first['timestamp']}", f"X-Refers-To-Key: {first['key']}", f"X-Payload-Length: {len(payload)}"]
+                lines += [f"{name}: {c[x][i]}" for name, x in CARRIED.items() if c[x][i] is not None]
                 if c["truncated"][i]:
                     lines.append("WARC-Truncated: unspecified")
                 lines += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {c['content_type'][i]}", f"Content-Length: {len(block)}"]
                 out.append("\r\n".join(lines).encode() + END + block)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    return records.select("key", "kind", "first", "head", "payload", "record_id", "timestamp", "uri", "content_type", "payload_digest", "truncated").mapInArrow(run, "record binary")
+    return records.select("key", "kind", "first", "head", "payload", "record_id", "timestamp", "uri", "content_type", "payload_digest", "truncated", *CARRIED.values()).mapInArrow(run, "record binary")
 
 
 def write(rendered: DataFrame, path: str) -> None:
@@ -324,11 +368,11 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 #: What read() returns.
-READ = pa.schema([("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("refers_to_id", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("truncated", pa.bool_())])
+READ = pa.schema([("key", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("refers_to_id", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("truncated", pa.bool_()), ("ip", pa.string()), ("result_code", pa.string()), ("checksum", pa.string())])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: key, payload_bytes, payload_digest, record_type, refers_to (a key), uri, refers_to_id, record_id, date, truncated.
+    """Per record: key, payload_bytes, payload_digest, record_type, refers_to (a key), uri, refers_to_id, record_id, date, truncated, ip, result_code, checksum.
     Block digests, and the payload digests of whole payloads, are verified."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -355,14 +399,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             if fields["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}" or kind != "revisit" and found != digest:
                 raise ValueError(f"{fields['warc-record-id']}: digest differs")
             size = int(fields["x-payload-length"]) if kind == "revisit" else len(payload)
-            rows.append((number(fields.get(KEY.lower())), size, digest, kind, number(fields.get("x-refers-to-key")), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields["warc-record-id"], fields["warc-date"], "warc-truncated" in fields))
+            rows.append((number(fields.get(KEY.lower())), size, digest, kind, number(fields.get("x-refers-to-key")), fields.get("warc-target-uri"), fields.get("warc-refers-to"), fields["warc-record-id"], fields["warc-date"], "warc-truncated" in fields, *(fields.get(n.lower()) for n in CARRIED)))
             if len(rows) >= 5000:
                 yield flush()
         if rows:
             yield flush()
 
     text = spark.read.option("lineSep", END.decode()).text(path).select(F.col("value").cast("binary"))
-    return text.mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, refers_to_id string, record_id string, date string, truncated boolean")
+    return text.mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, refers_to_id string, record_id string, date string, truncated boolean, ip string, result_code string, checksum string")
 
 
 def archive(arcs: DataFrame) -> DataFrame:
