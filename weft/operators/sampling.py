@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from weft.sources.scratch import settle
+
 
 def uid(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
@@ -28,6 +30,38 @@ def quota(facts: DataFrame, n: int, key: str = "s", prop: str = "p", seed: int =
     return chosen.drop("__first")
 
 
+def exposure(facts: DataFrame, quota: int = 1000, total: int = 4800, repeats: int = 100, key: str = "s", prop: str = "p", seed: int = 42) -> DataFrame:
+    """Sufficient exposure as a greedy does it: (key, round, prop) of the entities chosen. Properties come rarest first, a round for each. A round goes through the entities of its property in random
+    order until it has met `repeats` that an earlier round has met too; the new ones among those are chosen while the property has no more than `quota` chosen entities (of any
+    round) and fewer than `total` are chosen in all. Those met but not chosen are not new in later rounds either.
+
+    A round is a few joins and top-k steps, as only the number of choices of each property passes from one to the next: numbers for the properties of a
+    shape, on the driver, and the entities met, as a table. No task gets the entities of a property as a whole."""
+    pairs = facts.select(F.col(key).alias("s"), F.col(prop).alias("p")).where("s IS NOT NULL AND p IS NOT NULL").distinct()
+    pairs = settle(pairs.withColumn("u", uid(F.col("s"), seed)))
+    order = sorted(pairs.groupBy("p").count().collect(), key=lambda r: (r["count"], r.p))  # the properties of a shape
+    chosen, met, have = [], None, dict.fromkeys((r.p for r in order), 0)
+    for i, p in enumerate(r.p for r in order):
+        own = pairs.where(F.col("p") == p).select("s", "u")
+        new = own
+        if met is not None:
+            last = own.join(met, "s", "left_semi").orderBy("u", "s").limit(repeats).agg(F.count("*").alias("n"), F.max(F.struct("u", "s")).alias("last")).first()
+            new = own.join(met, "s", "left_anti")
+            if last.n == repeats:
+                new = new.where((F.col("u") < last["last"].u) | ((F.col("u") == last["last"].u) & (F.col("s") < last["last"].s)))
+        k = max(0, min(quota + 1 - have[p], total - sum(n for _, n in chosen)))
+        new = settle(new)
+        picked = settle(new.orderBy("u", "s").limit(k).select("s", F.lit(i).alias("round"), F.lit(p).alias("p")))
+        for r in pairs.join(picked.select("s"), "s").groupBy("p").count().collect():
+            have[r.p] += r["count"]
+        chosen.append((picked, picked.count()))
+        met = new.select("s") if met is None else met.unionByName(new.select("s"))
+    out = chosen[0][0] if chosen else facts.sparkSession.createDataFrame([], "s string, round int, p string")
+    for picked, _ in chosen[1:]:
+        out = out.unionByName(picked)
+    return out.select(F.col("s").alias(key), "round", F.col("p").alias(prop))
+
+
 def strata(facts: DataFrame, key: str = "s", prop: str = "p") -> DataFrame:
     """Per entity its stratum: the rarest of its under-represented properties (those below the mean count), else NONE."""
     counts = facts.groupBy(prop).agg(F.count_distinct(key).alias("n"))
@@ -92,7 +126,8 @@ def augment(sample: DataFrame, synthetic: DataFrame, key: str = "s") -> DataFram
 
 def capped_reuse(pairs: DataFrame, cap: int, left: str = "template", right: str = "filler", order: str = "uid") -> DataFrame:
     """Distinct pairs in which either side has been used fewer than cap times before: the first cap of each left and of each right one, which Spark
-    cuts to cap rows a key before it shuffles them."""
+    cuts to cap rows a key before it shuffles them. It makes no difference whether pairs that are left out count as uses: the first cap pairs of a side are all kept, so a side is used up from
+    its next one on either way. A loop that goes through the pairs one by one gives the same."""
     first = lambda c: pairs.withColumn("__n", F.row_number().over(W.Window.partitionBy(c).orderBy(order, left, right))).where(F.col("__n") <= cap).drop("__n")
     return first(left).unionByName(first(right)).distinct()
 

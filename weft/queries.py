@@ -129,9 +129,10 @@ def infer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.infer_two_hops(star_quads(spark, sf_dir, PEOPLE), "nation", "Nation", "region", "region", "inferences")
 
 
-@query("SELECT DISTINCT 'customer/' || c_custkey AS s FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT 'customer/' || c_custkey AS s FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def todo_anti_s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bought = load(spark, sf_dir, "orders").select(F.concat(F.lit("customer/"), "o_custkey").alias("s"))
+    """Customers without an order in progress."""
+    bought = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("customer/"), "o_custkey").alias("s"))
     return graph.missing(graph.of_class(star_quads(spark, sf_dir, ("customer",)), "Customer"), bought, "s")
 
 
@@ -321,6 +322,25 @@ def exposure_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.quota(_flags(spark, sf_dir), 100, total=150)
 
 
+def _exposure(quota: int, total: int, repeats: int, rounds: int) -> str:
+    steps = [_FLAGS, "own AS MATERIALIZED (SELECT DISTINCT s, p, md5('42:' || s) AS u FROM facts)", "props AS MATERIALIZED (SELECT p, row_number() OVER (ORDER BY count(*), p) - 1 AS r FROM own GROUP BY p)",
+        "seen_0 AS (SELECT s FROM own WHERE false)", "taken_0 AS (SELECT s, 0::BIGINT AS r FROM own WHERE false)"]
+    for i in range(rounds):
+        steps.append(f"c{i} AS MATERIALIZED (SELECT s, u, s IN (SELECT s FROM seen_{i}) AS old FROM own JOIN props USING (p) WHERE r = {i})")
+        steps.append(f"cut{i} AS MATERIALIZED (SELECT u, s FROM c{i} WHERE old ORDER BY u, s LIMIT 1 OFFSET {repeats - 1})")
+        steps.append(f"new{i} AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY u, s) AS n FROM c{i} a WHERE NOT old AND NOT EXISTS (SELECT 1 FROM cut{i} k WHERE a.u > k.u OR a.u = k.u AND a.s > k.s))")
+        steps.append(f"seen_{i + 1} AS MATERIALIZED (SELECT s FROM seen_{i} UNION ALL SELECT s FROM new{i})")
+        steps.append(f"""taken_{i + 1} AS MATERIALIZED (SELECT * FROM taken_{i} UNION ALL SELECT s, {i} FROM new{i} WHERE n <= least({total} - (SELECT count(*) FROM taken_{i}),
+            {quota + 1} - (SELECT count(*) FROM taken_{i} t JOIN own o ON o.s = t.s JOIN props q ON q.p = o.p AND q.r = {i})))""")
+    return f"WITH {', '.join(steps)} SELECT s, t.r::INT AS round, p FROM taken_{rounds} t JOIN props USING (r)"
+
+
+@query(_exposure(120, 300, 15, 8))
+def exposure_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round for each property, rarest first, each depending on what the rounds before have chosen."""
+    return sampling.exposure(_flags(spark, sf_dir), quota=120, total=300, repeats=15)
+
+
 _RANK = "(SELECT 'order/' || o_orderkey AS s, row_number() OVER (ORDER BY md5('42:order/' || o_orderkey)) - 1 AS n, count(*) OVER () AS a FROM orders)"
 
 
