@@ -162,6 +162,14 @@ def syntax_of(dataset: str) -> dict[str, str | bool]:
     return {"syntax": found[1] if found else "", "datatype": False, "inLine": False, "facto": False} | flags
 
 
+def syntaxes_of(dataset: Column) -> Column:
+    """syntax_of() as a column: struct<syntax, datatype, inLine, facto>."""
+    flag = lambda name: (F.element_at(F.regexp_extract_all(dataset, F.lit(f"_([01]){name}"), F.lit(1)), -1) == "1").alias(name)
+    off = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
+    found = [off(F.when(dataset.rlike(f"_[01]{n}"), flag(n)), n) for n in ("datatype", "inLine", "facto")]
+    return F.struct(F.coalesce(F.regexp_extract(dataset, "^(?:DS_)?([A-Za-z]+)", 1), F.lit("")).alias("syntax"), *found)
+
+
 def char_bleu(predicted: Column, references: Column) -> Column:
     """BLEU over characters but spaces, up to 4-grams, against an array of references, from 0 to 1: clipped precisions without smoothing (0 if one is 0),
     brevity against the reference nearest in length."""

@@ -153,9 +153,26 @@ def year_of(c: Column) -> Column:
     return F.substring(F.substring_index(c, "-", 1), 1, 4)
 
 
+#: Small letters of the Cyrillic and Greek scripts, and Latin ones that are no letter with an accent, in Latin letters as is usual in ASCII.
+ROMAN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f",
+    "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "'", "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ї": "i", "ґ": "g", "ў": "u", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "ts", "џ": "dz",
+    "α": "a", "ά": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "έ": "e", "ζ": "z", "η": "e", "ή": "e", "θ": "th", "ι": "i", "ί": "i", "ϊ": "i", "ΐ": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "ό": "o", "π": "p", "ρ": "r",
+    "σ": "s", "ς": "s", "τ": "t", "υ": "u", "ύ": "u", "ϋ": "u", "ΰ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o", "ώ": "o",
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "ł": "l", "þ": "th", "ı": "i", "ħ": "h",
+}
+
+
+def romanised(c: Column) -> Column:
+    """The text in small letters, those of ROMAN in Latin ones; accents stay. One pass for letters that become one letter, a replacement for each of the others; ASCII text is only made small."""
+    single, longer = {a: b for a, b in ROMAN.items() if len(b) == 1}, [(a, b) for a, b in ROMAN.items() if len(b) > 1]
+    small = F.lower(c)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), _chain(F.translate(small, "".join(single), "".join(single.values())), longer)).otherwise(small)
+
+
 def folds_into(text: Column, value: Column) -> Column:
-    """Whether the text contains the value but for case and accents."""
-    return F.contains(F.collate(text, "UNICODE_CI_AI"), F.collate(value, "UNICODE_CI_AI"))
+    """Whether the text contains the value but for case, accents and script (Cyrillic and Greek against Latin letters)."""
+    return F.contains(F.collate(romanised(text), "UNICODE_CI_AI"), F.collate(romanised(value), "UNICODE_CI_AI"))
 
 
 def shorten(c: Column, budget: int) -> Column:

@@ -16,7 +16,7 @@ from weft.plans.shape import Shape, read_rules
 from weft.sources import quads as store
 from weft.sources.quads import delete_where, load, star_quads, star_sql
 from weft.sources.scratch import folder
-from weft.sources.turtle import parse as read_turtle
+from weft.sources.turtle import triples_in
 from weft.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +203,15 @@ def ground_accent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select("n_nationkey", text.folds_into(accented, F.col("n_name")).alias("found"))
 
 
+@query("SELECT c_custkey, c_custkey % 5 <> 4 AS found FROM customer")
+def ground_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in Cyrillic, Greek and Latin letters of their own, each in a text of ASCII letters or the other way about; one of five is another name."""
+    k = F.col("c_custkey")
+    pick = lambda *of: F.concat(F.element_at(F.array(*map(F.lit, of)), (k % 5 + 1).cast("int")), F.lit(" "), k)
+    said, meant = pick("Moskva", "АФИНЫ", "Łódź", "Athena", "Pinsk"), pick("Москва", "Afiny", "lodz", "Αθήνα", "Минск")
+    return load(spark, sf_dir, "customer").select("c_custkey", text.folds_into(F.concat(F.lit("Near "), said, F.lit(".")), meant).alias("found"))
+
+
 @query("SELECT DISTINCT item_id AS item, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def ground_benchmark_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("value"))
@@ -843,13 +852,15 @@ def store_graph_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_store(spark, path).groupBy("g").agg(F.count("*").alias("nb"))
 
 
-@query("SELECT 'r' || r_regionkey AS s, 'label' AS p, r_name AS o FROM region")
+@query("""SELECT 'p' || p_partkey AS s, 'type' AS p, 'Part' AS o FROM part UNION ALL SELECT 'p' || p_partkey, 'label', p_name || ' "x"' FROM part UNION ALL SELECT 'p' || p_partkey, 'size', p_size::VARCHAR FROM part
+    UNION ALL SELECT 'p' || p_partkey, 'like', 'p' || (p_partkey + n) FROM part, (VALUES (1), (2)) t(n)""")
 def turtle_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turtle is what shapes are written in: a few facts on the driver."""
-    rows = load(spark, sf_dir, "region").collect()  # five
-    text = "@prefix : <http://x/> .\n" + "\n".join(f':r{r.r_regionkey} :label "{r.r_name}" .' for r in rows)
-    found = [(s.removeprefix("http://x/"), p.removeprefix("http://x/"), o) for s, p, o in read_turtle(text)]
-    return spark.createDataFrame(found, "s string, p string, o string")
+    """A Turtle document for each part: prefixes, lists of properties and values, a literal with quotes and one with a datatype."""
+    k = F.col("p_partkey")
+    doc = F.concat(F.lit("@prefix : <http://x/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> .\n:p"), k, F.lit(' a :Part ; :label "'), "p_name", F.lit(' \\"x\\"" ;\n  :size "'), "p_size", F.lit('"^^xsd:int ; :like :p'), k + 1, F.lit(", :p"), k + 2, F.lit(" . # end"))
+    found = load(spark, sf_dir, "part").select(F.inline(triples_in(doc)))
+    bare = lambda c: F.regexp_extract(c, "([^/#]*)$", 1)
+    return found.select(bare("s").alias("s"), bare("p").alias("p"), F.when(F.col("p").endswith("label"), F.col("o")).otherwise(bare("o")).alias("o"))
 
 
 @query("SELECT ':c' || c_custkey || ' a :Customer .' AS triples, c_name AS abstract, 'c' || c_custkey AS ent, c_mktsegment AS pattern, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE 0 END AS class FROM customer")
@@ -1310,9 +1321,13 @@ def sparql_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Shapes, rule files and names of datasets: metadata on the driver
 
 
-@query("""SELECT * FROM (VALUES ('Order', 'status', 'datatype', 1, 1, 0, 0), ('Order', 'customer', 'object', 1, NULL, 0, 0), ('Order', 'orderDate', 'datatype', 1, NULL, 1, 1), ('Order', 'priority', 'datatype', 1, NULL, 1, 2)) t(target, p, kind, min_count, max_count, or_group, or_branch)""")
+@query(f"""WITH {_QO} SELECT t.*, count(q.s) AS nb, count(DISTINCT q.o) AS n_values FROM (VALUES ('Order', 'status', 'datatype', 1, 1, 0, 0), ('Order', 'customer', 'object', 1, NULL, 0, 0), ('Order', 'orderDate', 'datatype', 1, NULL, 1, 1), ('Order', 'priority', 'datatype', 1, NULL, 1, 2)) t(target, p, kind, min_count, max_count, or_group, or_branch)
+    LEFT JOIN quads q USING (p) GROUP BY ALL""")
 def shape_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ORDER_SHAPE.table(spark).select("target", "p", "kind", "min_count", "max_count", "or_group", "or_branch")
+    """A shape's properties with the facts that have them and their different values."""
+    shape = ORDER_SHAPE.table(spark).select("target", "p", "kind", "min_count", "max_count", "or_group", "or_branch")
+    used = star_quads(spark, sf_dir, ORDERS).groupBy("p").agg(F.count("*").alias("nb"), F.count_distinct("o").alias("n_values"))
+    return F.broadcast(shape).join(used, "p", "left").fillna(0, ["nb", "n_values"])
 
 
 @query("SELECT 'nation/' || n_nationkey AS s, 'region/' || n_regionkey AS o FROM nation")
@@ -1323,12 +1338,13 @@ def rule_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparql.apply_rules([r.body for r in rules], star_quads(spark, sf_dir, ("nation",)), "inferences").select("s", "o")
 
 
-@query("SELECT 'DS_' || p_brand || '_1datatype_0inLine_1facto' AS dataset, true AS datatype, false AS in_line, true AS facto FROM (SELECT DISTINCT replace(p_brand, '#', '') AS p_brand FROM part)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'turtle' END AS syntax, p_partkey % 2 = 1 AS datatype, p_partkey % 3 = 1 AS in_line, p_partkey % 4 = 0 AS facto FROM part")
 def dataset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brands = [r[0] for r in load(spark, sf_dir, "part").select(F.replace("p_brand", F.lit("#"), F.lit(""))).distinct().collect()]  # names of datasets are few
-    names = [f"DS_{b}_1datatype_0inLine_1facto" for b in brands]
-    told = [(n, *(codecs.syntax_of(n)[k] for k in ("datatype", "inLine", "facto"))) for n in names]
-    return spark.createDataFrame(told, "dataset string, datatype boolean, in_line boolean, facto boolean")
+    """Names of datasets, some without a flag or a syntax."""
+    k = F.col("p_partkey")
+    flag = lambda name, n: F.concat(F.lit("_"), F.when(k % n == 1, "1").otherwise("0"), F.lit(name))
+    name = F.concat(F.when(k % 5 == 0, "").otherwise("DS_turtle"), flag("datatype", 2), flag("inLine", 3), F.when(k % 4 == 0, "_1facto").otherwise(""), F.lit("_sample_"), k)
+    return load(spark, sf_dir, "part").select("p_partkey", codecs.syntaxes_of(name).alias("x")).select("p_partkey", "x.syntax", "x.datatype", F.col("x.inLine").alias("in_line"), "x.facto")
 
 
 @query("""SELECT c_custkey, ':c' || c_custkey || '%28x%29 a :Customer;:label "' || c_name || ' (y)";:at :A%2Cb.' AS line, CASE WHEN length(c_name) + 12 <= 40 THEN c_name || '. It is here.' ELSE c_name || '.' END AS short FROM customer""")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.sources.arrays import read_json_array
+
 TYPE = "rdf:type"
 COLUMNS = ("g", "s", "p", "o", "k")
 
@@ -149,9 +151,8 @@ def ntriples_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Dataset rows from a JSON array: triples, abstract, ent (or the older name entity), class (0 if missing)."""
-    schema = "triples string, abstract string, ent string, entity string, pattern string, class int"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    """Dataset rows from JSON arrays: triples, abstract, ent (or the older name entity), class (0 if missing). One array may be of any size: see read_json_array()."""
+    raw = read_json_array(spark, path, "triples string, abstract string, ent string, entity string, pattern string, class int")
     return raw.select("triples", "abstract", F.coalesce("ent", "entity").alias("ent"), "pattern", F.coalesce("class", F.lit(0)).alias("class"))
 
 

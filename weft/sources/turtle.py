@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _TOKEN = re.compile(r'#[^\n]*|"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\\n]|\\.)*"|<[^>]*>|\^\^|@[A-Za-z-]+|[\[\]();,]|[^\s\[\]();,"<>]+|\s+')
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -99,3 +103,14 @@ class _Reader:
 def parse(text: str) -> list[Triple]:
     """Triples of full IRIs, blank nodes and plain literal values."""
     return _Reader(text).read()
+
+
+def triples_in(documents: Column) -> Column:
+    """The triples of Turtle documents, a document a row: array<struct<s, p, o>>. Blank nodes are named within their document; a null document has none. Documents are read in Python, batch by
+    batch, so one has to fit a worker's memory, the table may be of any size."""
+
+    @F.pandas_udf("array<struct<s:string,p:string,o:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"s": s, "p": p, "o": o} for s, p, o in parse(t)] if t is not None else [] for t in texts], dtype=object)
+
+    return run(documents)
