@@ -7,7 +7,7 @@ that its left half of the shards has to hold. A leaf is one shard; all have near
 
 The nodes of a level are split at once: histograms that Spark adds up narrow each node's cut, and the driver sees only
 these (about MOST_BINS numbers a round). Nodes and cuts are tables that are joined to the rows. A node of few rows (a 4096th of all, but
-LOCAL_ROWS at least and MOST_LOCAL_ROWS at most) is split to its leaves in one task, at exact medians.
+LOCAL_ROWS at least and MOST_LOCAL_ROWS at most), and of an eighth of the shards at most, is split to its leaves in one task, at exact medians.
 
 Groups are equal texts. All rows of a group are the same point (that of the group's smallest id, language and source), and a cut goes beside a group unless the
 group holds more than GROUP_SLACK of a shard's bytes. So copies share a shard, but for groups too large for it and those at a cut of that size: a group
@@ -28,8 +28,8 @@ from weft.llm.base import discard, materialize
 
 #: Bins of a histogram, and of all histograms of a round.
 BINS, MOST_BINS = 1 << 10, 1 << 20
-#: Rows of a node that is split in one task.
-LOCAL_ROWS, MOST_LOCAL_ROWS = 1 << 14, 1 << 20
+#: Rows of a node that is split in one task, and the share of all shards that it may have (one over this): the first levels are split by histograms at every size.
+LOCAL_ROWS, MOST_LOCAL_ROWS, LOCAL_SHARE = 1 << 14, 1 << 20, 8
 #: A cut is fine enough when the bytes that it leaves undecided are this share of a shard's; a group up to the second share is not cut.
 TOLERANCE, GROUP_SLACK = 0.002, 0.02
 ROW_BYTES = 16
@@ -176,7 +176,7 @@ def assign(rows: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
         open_ = []
         for n in live:
             r = spread.get(n.key)
-            if n.n == 1 or r is None or r.n <= local_rows:
+            if n.n == 1 or r is None or r.n <= local_rows and n.n * LOCAL_SHARE <= n_shards:
                 settled[n.key] = (n.first, n.n)
                 continue
             n.dim = max(range(len(dims)), key=lambda i: r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"])
