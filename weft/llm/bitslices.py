@@ -9,9 +9,9 @@ addition is left at the end. The k largest rows are then chosen from the most si
 bitmaps: rows sure to be in, and rows still tied. Rows tied on all slices are boundary rows; the smallest
 ids among them fill what is left, so ties are exact.
 
-The index is written as blocks of BLOCK_ROWS rows, the queries are packed into blocks of up to QUERY_ROWS, and each
-(query block, index block) pair is one row of an equi-join on the index block's number: a pair is bounded
-in size, whatever the table's, and a block is sent once for thousands of queries. Of every pair only the best k are kept; a window by query merges them.
+The index is written as blocks of BLOCK_ROWS rows, the queries are packed into blocks of up to QUERY_ROWS. An index block
+and a chunk of CHUNK query blocks meet in one group, which is bounded in size, whatever the table's; so a block is sent once for tens of thousands of queries (more
+often only where there are fewer index blocks than tasks to keep busy). Of every pair of blocks only the best k are kept; a window by query merges them.
 
 Vectors that are null, empty, or have null or non-finite components (or such that no 64-bit integer holds when scaled) take no part; vectors are compared with
 those of their own length. Sums have as many slices as they need, so the order is exact at any size; a score that no 64-bit integer holds is told as the nearest one that does.
@@ -35,6 +35,8 @@ from weft.llm.base import materialize
 BLOCK_ROWS, QUERY_ROWS = 16384, 4096
 #: Query blocks to begin with, so that a small table is not searched in one task.
 QUERY_BLOCKS = 32
+#: Query blocks that meet an index block in one task.
+CHUNK = 16
 
 
 def quantise(vector: Column, scale: int) -> Column:
@@ -188,33 +190,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     n_queries = queries.count()
     query_rows = max(64, min(QUERY_ROWS, -(-n_queries // QUERY_BLOCKS)))
     asking = _blocks(queries.repartitionByRange(max(1, n_queries // (4 * query_rows)), "id"), query_rows, False, "queries")
-    n_blocks = index.count()
-    asking = asking.select(F.col("ids").alias("q_ids"), F.col("which").alias("q_which"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))).alias("block"))
-    pairs = index.join(asking, "block").where("dims = q_dims").repartition(max(2, 2 * n_blocks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                bits, dims, words = r["bits"], r["dims"], -(-r["n"] // 64)
-                data = np.frombuffer(r["data"], np.uint64).reshape(dims, bits, words)
-                asked, which, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_which"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(-1, dims)
-                everyone = np.zeros(words * 64, np.uint8)
-                everyone[: r["n"]] = 1
-                take = np.packbits(everyone, bitorder="little").view(np.uint64)
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for a, w, v in zip(asked, which, q, strict=True):
-                    width = sum(map(abs, v.tolist())).bit_length() + bits + 1
-                    total = add_up(v, data, width)
-                    mine = take.copy()
-                    for own in np.arange(np.searchsorted(ids, a, "left"), np.searchsorted(ids, a, "right")):
-                        mine[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
-                    best = select(total, mine, k)
-                    for column, x in zip(out, (np.full(len(best), a), np.full(len(best), w), ids[best], values_at(total, best)), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["query_id", "which", "vec_id", "score"])
-
-    found = pairs.select("n", "dims", "bits", "ids", "data", "q_ids", "q_which", "q_data").mapInArrow(run, "query_id long, which long, vec_id long, score long")
+    asking = _numbered(asking, "queries").select(F.col("ids").alias("q_ids"), F.col("which").alias("q_which"), F.col("data").alias("q_data"), F.col("dims").alias("q_dims"), F.col("block").alias("q"))
+    n_blocks, n_asking = index.count(), asking.count()
+    # a block of the index is sent once for each chunk of query blocks: as many chunks as memory asks for, or as keep QUERY_BLOCKS tasks busy
+    chunks = max(1, -(-n_asking // CHUNK), min(n_asking, -(-QUERY_BLOCKS // max(1, n_blocks))))
+    index = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    asking = asking.withColumn("chunk", (F.col("q") % chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_blocks - 1)))))
+
+    def search(block: dict, asked: dict) -> list[np.ndarray]:
+        """query_id, which, vec_id, score: the best rows of a block for each query of a query block."""
+        ids = np.frombuffer(block["ids"], np.int64)
+        bits, dims, words = block["bits"], block["dims"], -(-block["n"] // 64)
+        data = np.frombuffer(block["data"], np.uint64).reshape(dims, bits, words)
+        everyone = np.zeros(words * 64, np.uint8)
+        everyone[: block["n"]] = 1
+        take = np.packbits(everyone, bitorder="little").view(np.uint64)
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for a, w, v in zip(np.frombuffer(asked["q_ids"], np.int64), np.frombuffer(asked["q_which"], np.int64), np.frombuffer(asked["q_data"], np.int64).reshape(-1, dims), strict=True):
+            width = sum(map(abs, v.tolist())).bit_length() + bits + 1
+            total = add_up(v, data, width)
+            mine = take.copy()
+            for own in np.arange(np.searchsorted(ids, a, "left"), np.searchsorted(ids, a, "right")):
+                mine[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
+            best = select(total, mine, k)
+            for column, x in zip(out, (np.full(len(best), a), np.full(len(best), w), ids[best], values_at(total, best)), strict=True):
+                column.append(x)
+        return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        found = [search(r, q) for r in blocks.to_pylist() for q in asked.to_pylist() if r["dims"] == q["q_dims"]]
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "which", "vec_id", "score"])
+
+    found = index.select("block", "chunk", "n", "dims", "bits", "ids", "data").groupBy("block", "chunk").cogroup(asking.drop("q").groupBy("block", "chunk")).applyInArrow(run, "query_id long, which long, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
     ranked = found.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id", "which").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
