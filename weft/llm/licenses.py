@@ -3,15 +3,16 @@
 A template is a notice with a label, and words that it can't do without (those that tell it from similar notices). Templates are put into classes by length (powers of
 two). For a class of up to n words, the words of each whole text, across line ends, are cut into blocks of 2 n words that overlap by half: any
 stretch of n words stands whole in a block. A block matches a template when it holds at least
-the share ``threshold`` of the template's distinct words, and all that it can't do without. The words of all templates are ordered globally by the
+the share ``threshold`` of the template's distinct words: the join tells all such pairs of block and template. The words of all templates are ordered globally by the
 number of documents that hold them, rarest first. The filters lose no match:
 
 * prefix: with n words of which ceil(threshold * n) must be shared, one of the first n - ceil(...) + 1 must be;
 * length: a block with fewer distinct words than must be shared is out;
 * position: when the first shared prefix word stands at place i of the template, n - i words can be shared at most.
 
-What passes is verified word by word. Besides, phrases are searched as they stand (places where all words of a
-phrase stand consecutively); they give the base labels, and a match of a template adds its own.
+What passes is verified word by word. Labels are decided after the join: a match gives its template's label if the block holds the words that the template can't do without, and, as a short template's words may meet
+by chance, if of a template of SHORT words at most as many as must be shared stand in its order. Besides, phrases are searched as they stand (places where all words of a
+phrase stand consecutively); they give the base labels, to which those of the templates are added.
 
 Words are the runs of ASCII letters and digits and of bytes above 0x7F, A-Z lowered. Null and empty texts
 have no words and no labels; ties between templates keep all labels; repeated rows are scanned each for itself;
@@ -31,6 +32,8 @@ from weft.llm.base import bound_batches
 from weft.llm.hashing import FOLD
 
 THRESHOLD = 0.8
+#: Words up to which a template's order counts.
+SHORT = 16
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Public license notices, their labels, and the words that they can't do without.
@@ -85,7 +88,7 @@ class Index:
     """The templates' words in global order, and the inverted index of their prefixes."""
 
     def __init__(self, templates: tuple[tuple[str, str, str], ...], frequency: dict[bytes, int], threshold: float):
-        self.sets, self.labels, self.must, self.need, self.size, self.prefix = [], [], [], [], [], {}
+        self.sets, self.labels, self.must, self.need, self.size, self.words, self.prefix = [], [], [], [], [], [], {}
         for i, (label, text, must) in enumerate(templates):
             words = tokens(text.encode())
             ordered = sorted(set(words), key=lambda w: (frequency[w], w))
@@ -95,6 +98,7 @@ class Index:
             self.must.append(frozenset(tokens(must.encode())))
             self.need.append(need)
             self.size.append(1 << (len(words) - 1).bit_length())
+            self.words.append(words)
             for at, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((i, len(ordered) - at))
         self.first = frozenset(self.prefix)
@@ -103,7 +107,7 @@ class Index:
         """By class, the templates that a text of these words may match."""
         out: dict[int, set[int]] = {}
         for i in {i for w in self.first & held for i, _ in self.prefix[w]}:
-            if self.must[i] <= held and len(self.sets[i] & held) >= self.need[i]:
+            if len(self.sets[i] & held) >= self.need[i]:
                 out.setdefault(self.size[i], set()).add(i)
         return out
 
@@ -116,15 +120,29 @@ class Index:
                 if of is None or i in of:
                     at_most[i] = max(rest, at_most.get(i, 0))
         for i, most in at_most.items():
-            if len(block) >= self.need[i] and most >= self.need[i] and self.must[i] <= block and (shared := len(self.sets[i] & block)) >= self.need[i]:
+            if len(block) >= self.need[i] and most >= self.need[i] and (shared := len(self.sets[i] & block)) >= self.need[i]:
                 out[i] = shared / len(self.sets[i])
         return out
 
 
-def cut(own: list[bytes], size: int) -> Iterator[frozenset[bytes]]:
-    """Blocks of 2 * size words that overlap by half."""
+    def decides(self, i: int, block: list[bytes]) -> bool:
+        """Whether a block that matches template i has its label."""
+        if not self.must[i].issubset(block):
+            return False
+        if len(self.words[i]) > SHORT:
+            return True
+        best = [0] * (len(self.words[i]) + 1)  # the most words in common order, by how much of the template is looked at
+        for w in block:
+            before = 0
+            for at, x in enumerate(self.words[i], 1):
+                before, best[at] = best[at], before + 1 if x == w else max(best[at], best[at - 1])
+        return best[-1] >= self.need[i]
+
+
+def cut(own: list[bytes], size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Blocks of 2 * size words that overlap by half, with the place of their first word."""
     for i in range(0, max(1, len(own) - size), size):
-        yield frozenset(own[i : i + 2 * size])
+        yield i, own[i : i + 2 * size]
 
 
 def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
@@ -140,7 +158,8 @@ def places(own: list[bytes], phrase: list[bytes]) -> list[int]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment, 1 for a phrase) and templates (the places in ``templates`` that match)."""
+    """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score (the best containment of a match that gives its label, 1 for a phrase), templates (the places in
+    ``templates`` of those) and matches (template, the first word of the block, and share of each pair of the join)."""
     docs = bound_batches(docs)
     frequency = frequencies(docs, text, {w for _, t, _ in templates for w in tokens(t.encode())})
     index = Index(templates, frequency, threshold)
@@ -150,24 +169,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for x in batch.column("__text"):
                 raw = memoryview(x.as_buffer()).tobytes() if x.is_valid else b""
                 own = tokens(raw)
                 held = set(own)
-                base, starts, hits = set(), [], {}
+                base, starts, hits, pairs = set(), [], {}, []
                 if held & rare:
                     for phrase, label in searched:
                         if found := places(own, phrase):
                             base.add(label)
                             starts += found
                 for size, of in index.possible(held).items():
-                    for block in cut(own, size):
-                        for i, share in index.match(block, of).items():
-                            hits[i] = max(share, hits.get(i, 0.0))
-                for column, value in zip(out, (len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {index.labels[i] for i in hits})), 1.0 if base else max(hits.values(), default=0.0), sorted(hits)), strict=True):
+                    for place, block in cut(own, size):
+                        for i, share in index.match(frozenset(block), of).items():
+                            pairs.append({"template": i, "block": place, "share": share})
+                            if index.decides(i, block):
+                                hits[i] = max(share, hits.get(i, 0.0))
+                for column, value in zip(out, (len(own), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {index.labels[i] for i in hits})), 1.0 if base else max(hits.values(), default=0.0), sorted(hits), pairs), strict=True):
                     column.append(value)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col)] + [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates"])
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.int32()), pa.list_(pa.struct([("template", pa.int32()), ("block", pa.int64()), ("share", pa.float64())]))]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col)] + [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "templates", "matches"])
 
-    return docs.select(id_col, F.col(text).cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates array<int>")
+    return docs.select(id_col, F.col(text).cast("binary").alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates array<int>, matches array<struct<template:int,block:bigint,share:double>>")

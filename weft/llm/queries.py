@@ -42,7 +42,7 @@ def op6_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(load(spark, sf_dir, "documents")).drop("templates")
+    return licenses.scan(load(spark, sf_dir, "documents")).drop("templates", "matches")
 
 
 def op8_rlz_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
