@@ -154,6 +154,10 @@ def test_char_bleu(spark):
     df = spark.createDataFrame([("abcd", ["abcd"]), ("abcd", ["wxyz"]), ("ab cd ef", ["abcdef"]), ("abcde", ["abcdx", "zbcde"]), ("abc", ["abc"]), ("abcd", ["abcdefgh"]), ("", ["a"]), (None, ["a"])], "a string, b array<string>")
     got = [r[0] for r in df.select(codecs.char_bleu(F.col("a"), F.col("b"))).collect()]
     assert got == [1.0, 0.0, 1.0, 1.0, 0.0, pytest.approx(0.36788, abs=1e-4), 0.0, 0.0]  # exp(1 - 8 / 4)
+    long = spark.range(1).select(F.repeat(F.lit("abcdefg hij"), 40_000).alias("a")).select(codecs.char_bleu(F.col("a"), F.array(F.concat("a", F.lit("x"))))).first()[0]
+    assert long == pytest.approx(1.0, abs=1e-4)  # 400,000 characters: linear in the text
+    both = df.select(codecs.char_bleus(F.array("a", F.lit("wxyz"), F.lit(None).cast("string")), F.col("b"))).collect()
+    assert both[0][0] == [1.0, 0.0, 0.0] and both[1][0] == [0.0, 1.0, 0.0]
 
 
 def test_parse_quality_of_nothing(spark):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,25 +173,41 @@ def syntaxes_of(dataset: Column) -> Column:
     return F.struct(F.coalesce(F.regexp_extract(dataset, "^(?:DS_)?([A-Za-z]+)", 1), F.lit("")).alias("syntax"), *found)
 
 
+def _bleu(predicted: str | None, references: list[str | None]) -> float:
+    """char_bleu() of one value: n-grams are counted once for each side, so it is linear in the texts."""
+    bare = lambda t: t.replace(" ", "")
+    others = [bare(r) for r in references if r is not None]
+    own = bare(predicted or "")
+    if not own or not others:
+        return 0.0
+    logs = 0.0
+    for n in range(1, 5):
+        count = lambda t: Counter(t[i : i + n] for i in range(len(t) - n + 1))  # noqa: B023, E731
+        most: Counter[str] = Counter()
+        for r in others:
+            most |= count(r)
+        mine = count(own)
+        hits = sum((mine & most).values())
+        if not hits:
+            return 0.0
+        logs += math.log(hits / sum(mine.values())) / 4
+    nearest = min((abs(len(r) - len(own)), len(r)) for r in others)[1]
+    return math.exp(min(0.0, 1 - nearest / len(own)) + logs)
+
+
+def char_bleus(predicted: Column, references: Column) -> Column:
+    """char_bleu() of each value of an array."""
+
+    def run(values: pd.Series, golds: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [_bleu(x, [] if g is None else list(g)) for x in v] for v, g in zip(values, golds, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(predicted, references)
+
+
 def char_bleu(predicted: Column, references: Column) -> Column:
     """BLEU over characters but spaces, up to 4-grams, against an array of references, from 0 to 1: clipped precisions without smoothing (0 if one is 0),
-    brevity against the reference nearest in length."""
-    chars = lambda c: F.filter(F.split(c, ""), lambda x: F.trim(x) != "")
-    grams = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), ""))).otherwise(F.array().cast("array<string>"))
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    own, others = chars(predicted), F.transform(references, chars)
-
-    def log_precision(n: int) -> Column:
-        mine, theirs = grams(own, n), F.transform(others, lambda r: grams(r, n))
-        most = lambda g: F.array_max(F.transform(theirs, lambda r: times(r, g)))
-        hits = F.aggregate(F.array_distinct(mine), F.lit(0), lambda acc, g: acc + F.least(times(mine, g), most(g)))
-        return F.ln(F.nullif(hits.cast("double"), F.lit(0.0)) / F.size(mine))
-
-    logs = sum((log_precision(n) / 4 for n in range(1, 5)), F.lit(0.0))
-    sizes = F.transform(others, lambda r: F.size(r))
-    nearest = F.element_at(F.array_sort(F.transform(sizes, lambda n: F.struct(F.abs(n - F.size(own)).alias("far"), n.alias("n")))), 1)["n"]
-    short = F.least(F.lit(0.0), 1 - F.try_divide(nearest.cast("double"), F.size(own)))
-    return F.coalesce(F.exp(short + logs), F.lit(0.0))
+    brevity against the reference nearest in length. A null value gives 0."""
+    return F.get(char_bleus(F.array(predicted), references), F.lit(0))
 
 
 def parse_statements(line: Column) -> Column:

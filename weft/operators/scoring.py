@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.codecs import char_bleu
+from weft.functions.codecs import char_bleus
 from weft.functions.text import normal_value, strip_entity, year_of
 from weft.operators.grounding import in_text, wikicheck
 from weft.plans.shape import Property, Shape, abbreviate, local_name
@@ -159,7 +159,7 @@ def relation_cases(gold: DataFrame, predicted: DataFrame, relations: list[str],
     hit = F.size(F.array_intersect("pred_set", "gold_set"))
     scores = [F.sum(F.when(g & p, hit).otherwise(0)).alias("tp"), F.sum(F.when(g & p, F.size("pred_set") - hit).when(p, 1).otherwise(0)).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count("*").alias("__seen")]
     if bleu_for:
-        each = F.transform("pred_set", lambda v: char_bleu(v, F.col("gold_set")))
+        each = char_bleus(F.col("pred_set"), F.col("gold_set"))
         total = F.when(g & p & F.col("p").isin(bleu_for), F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
         scores.append(F.round(F.try_divide(F.sum(total), F.sum(F.when(total.isNotNull(), F.size("pred_set")))), 4).alias("bleu"))
     by = sets.groupBy("p").agg(*scores)
