@@ -299,3 +299,13 @@ def test_lead_without_noise(spark):
     page = '<article><p>A <span class="IPA">xx</span><a href="./B C">b</a> <a class="new" href="./D">d</a><sup class="reference noprint">[1]</sup>.</p><p>Open'
     assert values(spark, text.html_lead(F.col("x")), page, None) == ["A [b](:B C) d. Open", None]
     assert values(spark, text.html_lead(F.col("x"), encode=True), page) == ["A [b](:B%20C) d. Open"]
+
+
+def test_repairs_of_each_kind(spark):
+    fix = lambda x, repairs: values(spark, text.repair_decoded(F.col("x"), repairs), x)[0]
+    assert fix('<s>< rdf : type =" a" / ></s><pad>', text.REPAIRS_MODEL) == '<rdf:type="a" />'
+    assert fix('"1994" ^^ xsd : date', text.REPAIRS_TRAINED) == '"1994"^^xsd:date'
+    assert fix("it\\'s \\\\\"x\\\\\" . end", text.REPAIRS_SCORED) == 'it\'s "x".end'
+    assert fix("<s>: A  a : B .</s>", text.REPAIRS_LINE) == ":A a:B."
+    assert fix("<s>:A a:B;:c :d</s>", text.REPAIRS_NAMES) == ":A a :B; :c  :d"
+    assert values(spark, text.repair_decoded(F.col("x"), text.REPAIRS_MODEL), None) == [None]

@@ -99,11 +99,23 @@ def html_links(c: Column) -> Column:
 
 #: Replacements in decoded model output, in their order.
 REPAIRS = (("<s>", ""), ("</s>", ""), ("<pad>", ""), (" ;", ";"), ("; ", ";"), (" .", "."), ('" ', '"'), ("  ", " "))
-
-
-def repair_decoded(c: Column, repairs: tuple[tuple[str, str], ...] = REPAIRS) -> Column:
+_SIGNS = (('=" ', '="'), (" : ", ":"), (" :", ":"), (": ", ":"), (" #", "#"), ("< ", "<"), ("</ ", "</"), ("= ", "="), ("<? ", "<?"), ("# ", "#"), (" >", ">"), (" <", "<"), (" =", "="), ("/ ", "/"), ("/ ", "/"))
+_ENDS = ((' "/>', '"/>'), (' ">', '">'))
+_CARETS = ((":<", ": <"), (" ^", "^"), ("^ ", "^"), ("><", "> <"))
+_STOPS = ((". ", "."), (" .", "."))
+_QUOTES = (("\\\\'", "'"), ("\\'", "'"), ("\\'", "'"), ('\\\\"', '"'), ('\\"', '"'), ('\\"', '"'))
+#: Those of markup syntaxes: what a model says, what is compared while it trains, what is scored (special tokens stay in these two), and lines before they are parsed, without or with a
+#: space before each name.
+REPAIRS_MODEL = (("<s>", ""), ("</s>", ""), ("<pad>", ""), *_SIGNS[:-1], *_ENDS, *_CARETS)
+REPAIRS_TRAINED = (*_SIGNS, *_ENDS, *_CARETS)
+REPAIRS_SCORED = (*_SIGNS, *_ENDS, (' " ', ' "'), (' ":"', '":"'), *_CARETS, *_STOPS, *_QUOTES, ("  a", " a"))
+REPAIRS_LINE = (("<s>", ""), ("</s>", ""), *_SIGNS, *_ENDS, (' ":"', '":"'), *_CARETS, (' " ', ' "'), *_STOPS, ("  a", " a"))
+REPAIRS_NAMES = (("<s>", ""), ("</s>", ""), (":", " :"), _SIGNS[0], *_SIGNS[3:], *_ENDS, (' ":"', '":"'), *_CARETS, (' " ', ' "'), *_STOPS)
+
+
+def repair_decoded(c: Column, repairs: tuple[tuple[str, str], ...] = REPAIRS, trim: bool = True) -> Column:
     """Decoded model output: special tokens go, spaces around signs are put right, in the order given."""
-    return F.trim(_chain(c, list(repairs)))
+    return F.trim(_chain(c, list(repairs))) if trim else _chain(c, list(repairs))
 
 
 def escape_literal(c: Column) -> Column:

@@ -268,9 +268,9 @@ def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", text.html_lead(page).alias("lead"))
 
 
-@query("""SELECT conv_id, turn, '<s>' || role || ' : ' || text || '</s>' AS prompt, replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), '"', '\\"') AS escaped, trim(replace(replace(replace(replace(replace(replace(text, ' ;', ';'), '; ', ';'), ' .', '.'), '" ', '"'), '  ', ' '), chr(0), ''), ' ') AS repaired FROM conversations WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+@query("""SELECT conv_id, turn, '<s>' || role || ' : ' || text || '</s>' AS prompt, replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), '"', '\\"') AS escaped, trim(replace(replace(replace(replace(replace(replace(text, ' ;', ';'), '; ', ';'), ' .', '.'), '" ', '"'), '  ', ' '), chr(0), ''), ' ') AS repaired FROM conversations""".replace("\\\\", "\\"))
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    c = load(spark, sf_dir, "conversations")
     decoded = F.concat(F.lit("<s>"), "text", F.lit("</s><pad>"))
     return c.select("conv_id", "turn", text.prompt(F.col("role"), F.col("text")).alias("prompt"), text.escape_literal(F.col("text")).alias("escaped"), text.repair_decoded(decoded).alias("repaired"))
 
@@ -292,6 +292,23 @@ def dates_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", told(around).alias("found"), told(slashed).alias("slashed"))
 
 
+def _repaired(text_sql: str, repairs: tuple[tuple[str, str], ...]) -> str:
+    for a, b in repairs:
+        text_sql = f"replace({text_sql}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return text_sql
+
+
+_DECODED = """('<s>< a href =" x" / > : ' || text || ' "/><b> ^^ xsd : date " : "' || role || '" # . a</s>')"""
+
+
+@query(f"SELECT conv_id, turn, trim({_repaired(_DECODED, text.REPAIRS_MODEL)}, ' ') AS model, {_repaired(_DECODED, text.REPAIRS_TRAINED)} AS trained, {_repaired(_DECODED, text.REPAIRS_SCORED)} AS scored, {_repaired(_DECODED, text.REPAIRS_LINE)} AS line, trim({_repaired(_DECODED, text.REPAIRS_NAMES)}, ' ') AS names FROM conversations")
+def decoded_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns set in markup as a tokenizer spaces it, put right by each list."""
+    said = F.concat(F.lit('<s>< a href =" x" / > : '), "text", F.lit(' "/><b> ^^ xsd : date " : "'), "role", F.lit('" # . a</s>'))
+    fix = lambda repairs, trim=False: text.repair_decoded(said, repairs, trim)
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", fix(text.REPAIRS_MODEL, True).alias("model"), fix(text.REPAIRS_TRAINED).alias("trained"), fix(text.REPAIRS_SCORED).alias("scored"), fix(text.REPAIRS_LINE).alias("line"), fix(text.REPAIRS_NAMES, True).alias("names"))
+
+
 # Sampling and splitting
 
 
