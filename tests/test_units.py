@@ -1,3 +1,4 @@
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +310,20 @@ def test_repairs_of_each_kind(spark):
     assert fix("<s>: A  a : B .</s>", text.REPAIRS_LINE) == ":A a:B."
     assert fix("<s>:A a:B;:c :d</s>", text.REPAIRS_NAMES) == ":A a :B; :c  :d"
     assert values(spark, text.repair_decoded(F.col("x"), text.REPAIRS_MODEL), None) == [None]
+
+
+def test_token_budget_is_the_loop(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids) + 2
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    rows += [(-1, None), (-2, ""), (-3, "..a..b. c" * 200), (-4, "word " * 400), (-5, "Short. Text.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.short for r in df.select("doc_id", text.shorten_to_tokens(F.col("text"), F.lit(7), 128, path).alias("short")).collect()}
+    for i, t in rows:
+        while t and size(t) + 7 > 128:
+            t = ".".join([x for x in t.split(".") if x][:-1])
+        assert got[i] == t
+    assert got[-4] == "" and got[-5] == "Short. Text."

@@ -1,13 +1,20 @@
-"""URI, markdown, HTML, date and literal functions as column expressions; all but html_lead() stay in the JVM."""
+"""URI, markdown, HTML, date and literal functions as column expressions; all but html_lead() and shorten_to_tokens() stay in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+from typing import TYPE_CHECKING
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weft.functions.html import lead
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 RESOURCE = "http://dbpedia.org/resource/"
 ONTOLOGY = "http://dbpedia.org/ontology/"
 
@@ -199,3 +206,37 @@ def prompt(entity: Column, text: Column, prefix: str | None = None) -> Column:
     if prefix is not None:
         return F.concat(F.lit(f"{prefix}: "), entity, F.lit(" : "), text)
     return F.concat(F.lit("<s>"), entity, F.lit(" : "), text, F.lit("</s>"))
+
+
+def _fitting(parts: list[str], fits: Callable[[str], bool]) -> str:
+    """The longest beginning of parts that fits; more parts never make fewer tokens, so halving finds it."""
+    low, high = 0, len(parts)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(".".join(parts[:middle])) else (low, middle - 1)
+    return ".".join(parts[:low])
+
+
+def shorten_to_tokens(c: Column, added: Column, budget: int, path: str, special: int = 2) -> Column:
+    """Drops sentences (what stands between full stops) from the end until tokens, special ones and `added` come to budget at most; a text that fits stays as it is. path: a tokenizers
+    file. Null texts stay null; a first sentence that doesn't fit leaves an empty text."""
+
+    def run(texts: pd.Series, more: pd.Series) -> pd.Series:
+        encode = _tokenizer(path).encode
+        size = lambda t: len(encode(t, add_special_tokens=False).ids) + special
+
+        def cut(t: str | None, n: float) -> str | None:
+            if t is None or size(t) + n <= budget:
+                return t
+            return _fitting([x for x in t.split(".") if x][:-1], lambda x: size(x) + n <= budget)
+
+        return pd.Series([cut(t, 0 if pd.isna(n) else n) for t, n in zip(texts, more, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(c, added)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Tokenizer:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,10 +198,10 @@ def ground_object_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("s", "o", grounding.in_markdown(F.concat(F.lit(":"), "o"), md).alias("found"))
 
 
-@query("SELECT n_nationkey, contains(strip_accents('im land ' || replace(replace(lower(n_name), 'a', 'á'), 'e', 'ë')), lower(n_name)) AS found FROM nation")
+@query("SELECT p_partkey, contains(strip_accents('im land ' || replace(replace(lower(p_name), 'a', 'á'), 'e', 'ë')), lower(p_name)) AS found FROM part")
 def ground_accent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accented = F.concat(F.lit("im land "), F.replace(F.replace(F.lower("n_name"), F.lit("a"), F.lit("á")), F.lit("e"), F.lit("ë")))
-    return load(spark, sf_dir, "nation").select("n_nationkey", text.folds_into(accented, F.col("n_name")).alias("found"))
+    accented = F.concat(F.lit("im land "), F.replace(F.replace(F.lower("p_name"), F.lit("a"), F.lit("á")), F.lit("e"), F.lit("ë")))
+    return load(spark, sf_dir, "part").select("p_partkey", text.folds_into(accented, F.col("p_name")).alias("found"))
 
 
 @query("SELECT c_custkey, c_custkey % 5 <> 4 AS found FROM customer")
@@ -240,11 +241,11 @@ def label_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", text.simple_label(raw).alias("label"), text.normal_value(value).alias("normal"), F.concat("p_type", F.lit(" (x)")).alias("raw"))
 
 
-@query("SELECT n_nationkey, 'In ' || n_name || ' & beyond' AS plain, n_name AS label, 'N' || n_nationkey AS target FROM nation")
+@query("SELECT c_custkey, 'In ' || c_name || ' & beyond' AS plain, c_name AS label, 'N' || c_custkey AS target FROM customer")
 def md_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = F.concat(F.lit("In  **["), "n_name", F.lit("](:N"), "n_nationkey", F.lit(")** ( )&amp; beyond"))
-    n = load(spark, sf_dir, "nation").withColumn("md", md)
-    return n.select("n_nationkey", text.md_to_text(F.col("md")).alias("plain"), F.get(text.md_links(F.col("md"), 1), F.lit(0)).alias("label"), F.get(text.md_links(F.col("md")), F.lit(0)).alias("target"))
+    md = F.concat(F.lit("In  **["), "c_name", F.lit("](:N"), "c_custkey", F.lit(")** ( )&amp; beyond"))
+    n = load(spark, sf_dir, "customer").withColumn("md", md)
+    return n.select("c_custkey", text.md_to_text(F.col("md")).alias("plain"), F.get(text.md_links(F.col("md"), 1), F.lit(0)).alias("label"), F.get(text.md_links(F.col("md")), F.lit(0)).alias("target"))
 
 
 @query("""SELECT page_id, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS links, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::INT AS n FROM pages""")
@@ -309,6 +310,13 @@ def decoded_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", fix(text.REPAIRS_MODEL, True).alias("model"), fix(text.REPAIRS_TRAINED).alias("trained"), fix(text.REPAIRS_SCORED).alias("scored"), fix(text.REPAIRS_LINE).alias("line"), fix(text.REPAIRS_NAMES, True).alias("names"))
 
 
+@query()
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents cut to sentences that fit 256 tokens with their source; SQL has no tokenizer, a test repeats the loop."""
+    d = load(spark, sf_dir, "documents")
+    return d.select("doc_id", text.shorten_to_tokens(F.col("text"), F.length(F.coalesce("source", F.lit(""))) + 10, 256, public_tokenizers.path("byte_bpe_50k.json")).alias("short"))
+
+
 # Sampling and splitting
 
 
@@ -440,10 +448,10 @@ def grammar_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", codecs.accepted(line).alias("light"), codecs.accepted(line, COMPACT).alias("compact"))
 
 
-@query("SELECT 'nation/' || n_nationkey AS subj, 'region' AS prop, 'region ' || n_regionkey AS val FROM nation UNION ALL SELECT 'nation/' || n_nationkey, 'label', n_name FROM nation")
+@query("SELECT 'customer/' || c_custkey AS subj, 'nation' AS prop, 'nation ' || c_nationkey AS val FROM customer UNION ALL SELECT 'customer/' || c_custkey, 'label', c_name FROM customer")
 def triplet_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.concat(F.lit("<s><triplet> nation/"), "n_nationkey", F.lit(" <subj> region "), "n_regionkey", F.lit(" <obj> region <subj> "), "n_name", F.lit(" <obj> label "))
-    return load(spark, sf_dir, "nation").select(F.inline(codecs.from_triplet_tokens(s)))
+    s = F.concat(F.lit("<s><triplet> customer/"), "c_custkey", F.lit(" <subj> nation "), "c_nationkey", F.lit(" <obj> nation <subj> "), "c_name", F.lit(" <obj> label "))
+    return load(spark, sf_dir, "customer").select(F.inline(codecs.from_triplet_tokens(s)))
 
 
 # Validation and scores
@@ -1266,16 +1274,16 @@ def ultra_light_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.inline(codecs.parse_ultra(line)))
 
 
-@query("SELECT n_nationkey, CASE WHEN 'label' < n_name THEN 'label,' || n_name ELSE n_name || ',label' END AS members FROM nation")
+@query("SELECT p_partkey, CASE WHEN 'label' < p_name THEN 'label,' || p_name ELSE p_name || ',label' END AS members FROM part")
 def set_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = F.concat(F.lit("{'"), "n_name", F.lit("', 'label', '"), "n_name", F.lit("'}"))
-    return load(spark, sf_dir, "nation").select("n_nationkey", F.array_join(codecs.from_set_text(written), ",").alias("members"))
+    written = F.concat(F.lit("{'"), "p_name", F.lit("', 'label', '"), "p_name", F.lit("'}"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(codecs.from_set_text(written), ",").alias("members"))
 
 
-@query("SELECT n_nationkey, 'rdf-syntax-ns#type N' || chr(10) || 'rdf-schema#label ' || n_name || chr(10) || 'region ' || n_regionkey || chr(10) || 'rdf-schema#label also' AS lines FROM nation")
+@query("SELECT c_custkey, 'rdf-syntax-ns#type N' || chr(10) || 'rdf-schema#label ' || c_name || chr(10) || 'nation ' || c_nationkey || chr(10) || 'rdf-schema#label also' AS lines FROM customer")
 def ntriples_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.array(F.concat(F.lit("region "), "n_regionkey"), F.concat(F.lit("rdf-schema#label "), "n_name"), F.lit("rdf-syntax-ns#type N"), F.lit("rdf-schema#label also"))
-    return load(spark, sf_dir, "nation").select("n_nationkey", F.array_join(codecs.type_and_label_first(lines), "\n").alias("lines"))
+    lines = F.array(F.concat(F.lit("nation "), "c_nationkey"), F.concat(F.lit("rdf-schema#label "), "c_name"), F.lit("rdf-syntax-ns#type N"), F.lit("rdf-schema#label also"))
+    return load(spark, sf_dir, "customer").select("c_custkey", F.array_join(codecs.type_and_label_first(lines), "\n").alias("lines"))
 
 
 # SPARQL text
@@ -1302,15 +1310,15 @@ def sparql_exists_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparql.query(_STORE + text, star_quads(spark, sf_dir, ("orders", "customer")))
 
 
-@query("SELECT n_name AS name, r_name AS land, CASE WHEN r_name LIKE 'A%' THEN 'region/' || r_regionkey END AS a FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("SELECT c_name AS name, n_name AS land, CASE WHEN n_name LIKE 'A%' THEN 'nation/' || n_nationkey END AS a FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def sparql_optional_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "SELECT ?name ?land ?a WHERE { ?n :label ?name . ?n :region/:label ?land . OPTIONAL { ?n :region ?a . ?a :label ?x . FILTER regex(?x, '^A') } }"
-    return sparql.query(_STORE + text, star_quads(spark, sf_dir, ("nation", "region")))
+    text = "SELECT ?name ?land ?a WHERE { ?n :label ?name . ?n :nation/:label ?land . OPTIONAL { ?n :nation ?a . ?a :label ?x . FILTER regex(?x, '^A') } }"
+    return sparql.query(_STORE + text, star_quads(spark, sf_dir, ("customer", "nation")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'nation/' || n_nationkey AS c, 'region/' || n_regionkey AS p FROM nation), u AS (SELECT 'nation/3' AS a UNION SELECT p FROM e JOIN u ON e.c = u.a) SELECT a FROM u""")
+@query("SELECT 'customer/' || c_custkey AS c, unnest(['customer/' || c_custkey, 'nation/' || c_nationkey]) AS a FROM customer")
 def sparql_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparql.query("SELECT ?a { <nation/3> <region>* ?a }", star_quads(spark, sf_dir, ("nation", "region")))
+    return sparql.query("SELECT ?c ?a { ?c a <Customer> . ?c <nation>* ?a }", star_quads(spark, sf_dir, ("customer", "nation")))
 
 
 @query("""SELECT 'inferences' AS g, 'order/' || o_orderkey AS s, 'orderYear' AS p, year(o_orderdate)::VARCHAR AS o, 'literal' AS k FROM orders
@@ -1347,12 +1355,12 @@ def shape_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return F.broadcast(shape).join(used, "p", "left").fillna(0, ["nb", "n_values"])
 
 
-@query("SELECT 'nation/' || n_nationkey AS s, 'region/' || n_regionkey AS o FROM nation")
+@query("SELECT 'customer/' || c_custkey AS s, 'nation/' || c_nationkey AS o FROM customer")
 def rule_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of an XML file, applied."""
-    body = "CONSTRUCT { GRAPH $INFERENCE_NS$ { ?s <within> ?o } } WHERE { ?s a <Nation> . ?s <region> ?o }"
+    body = "CONSTRUCT { GRAPH $INFERENCE_NS$ { ?s <within> ?o } } WHERE { ?s a <Customer> . ?s <nation> ?o }"
     rules = read_rules(f"<rules><rule><body>{escape(body)}</body></rule></rules>")
-    return sparql.apply_rules([r.body for r in rules], star_quads(spark, sf_dir, ("nation",)), "inferences").select("s", "o")
+    return sparql.apply_rules([r.body for r in rules], star_quads(spark, sf_dir, ("customer",)), "inferences").select("s", "o")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'turtle' END AS syntax, p_partkey % 2 = 1 AS datatype, p_partkey % 3 = 1 AS in_line, p_partkey % 4 = 0 AS facto FROM part")
@@ -1390,9 +1398,10 @@ def extract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plugins.extract_by_rules(_order_texts(spark, sf_dir), {"status": "status (\\w+)", "year": " (\\d{4}) "})
 
 
-@query("SELECT 'nation/' || n_nationkey AS s, ':nation/' || n_nationkey || ' a :Nation .' || chr(10) || ':nation/' || n_nationkey || ' :label \"' || n_name || '\" .' || chr(10) || ':nation/' || n_nationkey || ' :region :region/' || n_regionkey || ' .' AS line FROM nation")
+@query("""SELECT s, s1 || 'a :Customer .' || chr(10) || s1 || ':label "' || c_name || '" .' || chr(10) || s1 || ':nation :nation/' || c_nationkey || ' .' || chr(10) || s1 || ':segment "' || c_mktsegment || '" .' AS line
+    FROM (SELECT *, 'customer/' || c_custkey AS s, ':customer/' || c_custkey || ' ' AS s1 FROM customer)""")
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codecs.statements(star_quads(spark, sf_dir, ("nation",)), gap="\n")
+    return codecs.statements(star_quads(spark, sf_dir, ("customer",)), gap="\n")
 
 
 @query("SELECT s, syntax, n::INT AS n, true AS same FROM (SELECT 'order/' || o_orderkey AS s FROM orders), (VALUES ('light', 5), ('tags', 5), ('list', 5), ('other', 0)) v(syntax, n)")
