@@ -177,3 +177,9 @@ def next_name(names: list[str], stem: str = "sample") -> str:
     """The first free name, <stem>_<number>."""
     numbers = [int(n.rsplit("_", 1)[1]) for n in names if n.startswith(f"{stem}_") and n.rsplit("_", 1)[1].isdigit()]
     return f"{stem}_{max(numbers, default=-1) + 1}"
+
+
+def free_name(graphs: DataFrame, stem: str = "sample", name: str = "g") -> DataFrame:
+    """next_name() over a table of graph names of any length: one row."""
+    number = F.regexp_extract(F.col(name), f"^{stem}_([0-9]+)$", 1)
+    return graphs.agg((F.coalesce(F.max(F.when(number != "", number.cast("long"))), F.lit(-1)) + 1).alias("__n")).select(F.concat(F.lit(f"{stem}_"), "__n").alias(name))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weft.functions import codecs, text
 from weft.operators import graph, grounding, inference, mapping, plugins, reports, sampling, scoring, signatures
 from weft.plans import sparql
+from weft.plans.config import Run
 from weft.plans.grammar import COMPACT, LIGHT
 from weft.plans.shape import Shape, read_rules
 from weft.sources import quads as store
@@ -1055,6 +1056,22 @@ def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", grounding.tag(F.col("text"), values).alias("tagged"), grounding.tag(F.col("text"), values, "$MASK$").alias("masked"))
 
 
+@query("SELECT 'sample_' || (max(p_size) + 1) AS g FROM part")
+def free_sample_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first free name beside those of the samples that parts are in, and of graphs with other names."""
+    k = F.col("p_size")
+    graphs = load(spark, sf_dir, "part").select(F.explode(F.array(F.concat(F.lit("sample_"), k), F.concat(F.lit("other_"), k + 100), F.concat(F.lit("sample_"), k + 200, F.lit("x")))).alias("g"))
+    return sampling.free_name(graphs)
+
+
+@query("""SELECT floor(n * 7 / 500)::INT AS fold, count(*) AS nb, min(s) AS first FROM (SELECT s, row_number() OVER (ORDER BY md5('42:' || s), s) - 1 AS n FROM (SELECT 'order/' || o_orderkey AS s FROM orders)) WHERE n < 500 GROUP BY 1""")
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run as its settings say: a sample of limit orders, in folds."""
+    run = Run.from_json('{"dataset": "DS_turtleS_0datatype_1inLine_1facto", "folds": "7", "limit": 500}')
+    chosen = sampling.sample(_orders(spark, sf_dir), run.limit, seed=run.seed).select("s")
+    return sampling.kfold(chosen, run.folds, seed=run.seed).groupBy("fold").agg(F.count("*").alias("nb"), F.min("s").alias("first"))
+
+
 # Inference and reports
 
 #: Classes and properties of the orders below: priorities are kinds of orders, buyers and payers are customers.
