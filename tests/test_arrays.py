@@ -47,3 +47,24 @@ def test_datasets_and_what_is_no_object(spark, tmp_path):
     (tmp_path / "b.json").write_text('["text", {"a": 1}]')
     with pytest.raises(Exception, match="no object"):
         arrays.json_objects(spark, str(tmp_path / "b.json")).collect()
+
+
+@pytest.mark.parametrize("size", ["40b", "173b", "16m"])
+def test_matrices_in_splits(spark, tmp_path, size):
+    r, want = random.Random(3), set()
+    odd = ['"', "\\", "{", "}", "[", "]", ",", "é🙂", "\n", "x", ' "columns": [', '], "data": [[']
+    (tmp_path / "m").mkdir()
+    for fold in range(3):
+        columns = [f"c {fold}", 'q"u', "third"]
+        rows = [["".join(r.choice(odd) for _ in range(r.randrange(12))), r.choice(["1", None]), str(i)] for i in range(25 if fold else 0)]
+        want |= {tuple(zip(columns, row, strict=True)) for row in rows}
+        wrapped = {"columns": columns, "data": rows, "ncols": 3} if fold % 2 else {"ncols": 3, "note": "a [b] {c}", "data": rows, "columns": columns}
+        (tmp_path / "m" / f"f{fold}.json").write_text(json.dumps(wrapped, ensure_ascii=fold == 1), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = [tuple(x.row.items()) for x in quads.read_artifact(spark, str(tmp_path / "m")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {tuple(sorted(x)) for x in got} == {tuple(sorted(x)) for x in want}

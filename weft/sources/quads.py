@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.sources.arrays import read_json_array
+from weft.sources.arrays import read_json_array, read_json_matrix
 
 TYPE = "rdf:type"
 COLUMNS = ("g", "s", "p", "o", "k")
@@ -167,5 +167,4 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_artifact(spark: SparkSession, path: str) -> DataFrame:
     """Rows of table artifacts (columns, data matrix), without repeats across folds, as maps from column to value."""
-    raw = spark.read.schema("columns array<string>, data array<array<string>>").json(path, multiLine=True)
-    return raw.select("columns", F.explode("data").alias("d")).dropDuplicates().select(F.map_from_arrays("columns", "d").alias("row"))
+    return read_json_matrix(spark, path).dropDuplicates().select(F.map_from_arrays("columns", "d").alias("row"))
