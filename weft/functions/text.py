@@ -190,8 +190,10 @@ def romanised(c: Column) -> Column:
 
 
 def folds_into(text: Column, value: Column) -> Column:
-    """Whether the text contains the value but for case, accents and script (Cyrillic and Greek against Latin letters)."""
-    return F.contains(F.collate(romanised(text), "UNICODE_CI_AI"), F.collate(romanised(value), "UNICODE_CI_AI"))
+    """Whether the text contains the value but for case, accents and script (Cyrillic and Greek against Latin letters). Where both are ASCII, case alone is left to look over, without a
+    collation."""
+    folded = F.contains(F.collate(romanised(text), "UNICODE_CI_AI"), F.collate(romanised(value), "UNICODE_CI_AI"))
+    return F.when(text.rlike("[^\\x00-\\x7F]") | value.rlike("[^\\x00-\\x7F]"), folded).otherwise(F.contains(F.lower(text), F.lower(value)))
 
 
 def shorten(c: Column, budget: int) -> Column:
