@@ -65,3 +65,14 @@ def test_the_diamond_counts_the_nodes_of_both_ways(spark):
     pairs = spark.createDataFrame([("a", "r"), ("a", "e")], "c1 string, c2 string")
     assert {(r.c1, r.c2): r.n for r in graph.distances(pairs, up).collect()} == {("a", "r"): 4, ("a", "e"): -1}
     assert sorted(r.lca for r in graph.lowest_common(pairs.where("c2 = 'e'"), up).collect()) == ["b", "c"]
+
+
+def test_ancestors_are_sent_as_a_row_for_each_node(spark):
+    """Parts under their halves and thirds: rows for each pair of a node and what is above it grew faster than the parts."""
+    n = 300
+    up = graph.closure(spark.range(1, n).selectExpr("string(id) AS c", "explode(array(string(id div 2), string(id div 3))) AS p"))
+    assert up._weft_above.above.count() == n and up._weft_above.within.count() == n
+    edges = {(str(k), str(k // q)) for k in range(1, n) for q in (2, 3)}
+    pairs = spark.createDataFrame([("288", "289"), ("288", "144"), ("216", "162"), ("7", "0")], "c1 string, c2 string")
+    assert {(r.c1, r.c2): r.n for r in graph.distances(pairs, up).collect()} == {(a, b): by_paths(edges, a, b) for a, b in (("288", "289"), ("288", "144"), ("216", "162"), ("7", "0"))}
+    assert {r.lca for r in graph.lowest_common(pairs.where("c1 = '216'"), up).collect()} == by_search(edges, "216", "162")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,44 +90,128 @@ def infer_two_hops(quads: DataFrame, first: str, cls: str, second: str, target:
     return missing(found, quads.where(F.col("p") == target), "s").select(F.lit(graph).alias("g"), "s", F.lit(target).alias("p"), "o", F.lit("iri").alias("k"))
 
 
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """names (name, id) of the nodes of edges (c, a), ids dense from 0 or nearly so, and the edges by id."""
+    names = settle(edges.select("c").union(edges.select("a")).distinct().select(F.col("c").alias("name"), F.monotonically_increasing_id().alias("m")))
+    parts = names.agg(F.max(F.shiftright("m", 33)) + 1).first()[0] or 1
+    names = names.select("name", (F.col("m").bitwiseAND((1 << 33) - 1) * parts + F.shiftright("m", 33)).cast("int").alias("id"))
+    child, parent = names.select(F.col("name").alias("c"), F.col("id").alias("ci")), names.select(F.col("name").alias("a"), F.col("id").alias("ai"))
+    return names, edges.join(child, "c").join(parent, "a").select(F.col("ci").alias("c"), F.col("ai").alias("a"), *[x for x in edges.columns if x not in ("c", "a")])
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """A row for each node of (c, a, d): what is above it and how far, as arrays. Rows that are partitioned by c stay where they are."""
+    return rows.groupBy("c", "a").agg(F.min("d").alias("d")).groupBy("c").agg(F.collect_list("a").alias("a"), F.collect_list("d").alias("d"))
+
+
+class _Above:
+    """A closure by numbers: above (c, a, d), a row for each node, and names (name, id)."""
+
+    def __init__(self, above: DataFrame, names: DataFrame):
+        self.above, self.names = above, names
+
+    @staticmethod
+    def of(up: DataFrame) -> _Above:
+        """That of closure(); of any other table (c, a, d) it is made."""
+        known = getattr(up, "_weft_above", None)
+        if known is None:
+            names, rows = _numbered(up.select("c", "a", "d"))
+            known = up._weft_above = _Above(settle(_gathered(rows)), names)
+        return known
+
+    def rows(self) -> DataFrame:
+        each = self.above.select("c", F.inline(F.arrays_zip("a", "d")))
+        child, parent = self.names.select(F.col("id").alias("c"), F.col("name").alias("cn")), self.names.select(F.col("id").alias("a"), F.col("name").alias("an"))
+        return each.join(child, "c").join(parent, "a").select(F.col("cn").alias("c"), F.col("an").alias("a"), "d")
+
+    @cached_property
+    def within(self) -> DataFrame:
+        """Per node the edges (x, y) of all that is above it; y is -1 for an x without parents."""
+        each = self.above.select("c", F.inline(F.arrays_zip("a", "d")))
+        direct = each.where("d = 1").select(F.col("c").alias("a"), F.col("a").alias("y"))
+        edges = each.select("c", "a").join(direct, "a", "left").select("c", F.col("a").alias("x"), F.coalesce("y", F.lit(-1)).alias("y"))
+        return settle(edges.repartition("c").groupBy("c").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")))
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (c1, c2) of known nodes with their numbers i1, i2."""
+        for c, i in (("c1", "i1"), ("c2", "i2")):
+            pairs = pairs.join(self.names.select(F.col("name").alias(c), F.col("id").alias(i)), c)
+        return pairs.select("c1", "c2", "i1", "i2")
+
+
 def closure(edges: DataFrame, child: str = "c", parent: str = "p") -> DataFrame:
-    """Reflexive transitive closure with the least number of steps (c, a, d), of any graph, cycles included. Paths double their length with each round,
-    so there are as many rounds as the longest distance has binary digits, and one that finds nothing new."""
-    e = edges.select(F.col(child).alias("c"), F.col(parent).alias("a")).where("c IS NOT NULL AND a IS NOT NULL")
-    nodes = e.select("c").union(e.select("a")).select("c", F.col("c").alias("a"), F.lit(0).alias("d"))
-    up = settle(nodes.unionByName(e.withColumn("d", F.lit(1))).groupBy("c", "a").agg(F.min("d").alias("d")))
-    state = up.agg(F.count("*"), F.sum("d")).first()
+    """Reflexive transitive closure with the least number of steps (c, a, d), of any graph, cycles included. Reach doubles with each round: a node further than t steps and
+    within 2t is within t of one at just t. So there are as many rounds as the longest distance has binary digits, and one that finds nothing. Rounds send arrays of
+    numbers, a row for each node at just t."""
+    e = edges.select(F.col(child).alias("c"), F.col(parent).alias("a")).where("c IS NOT NULL AND a IS NOT NULL").distinct()
+    names, e = _numbered(e)
+    first = names.select(F.col("id").alias("c"), F.col("id").alias("a"), F.lit(0).alias("d")).unionByName(e.withColumn("d", F.lit(1)))
+    above, t = settle(_gathered(first.repartition("c"))), 1
     while True:
-        step = up.select(F.col("c").alias("a"), F.col("a").alias("b"), F.col("d").alias("d2"))
-        longer = up.join(step, "a").select("c", F.col("b").alias("a"), (F.col("d") + F.col("d2")).alias("d"))
-        old, up = up, settle(longer.groupBy("c", "a").agg(F.min("d").alias("d")))
+        last = above.select("c", F.inline(F.arrays_zip("a", "d"))).where(F.col("d") == t).select("c", "a")
+        if last.isEmpty():
+            out = (known := _Above(above, names)).rows()
+            out._weft_above = known
+            return out
+        further = last.join(above.select(F.col("c").alias("a"), F.col("a").alias("b"), "d"), "a").select("c", F.col("b").alias("a"), "d", F.lit(t).alias("more"))
+        both = above.withColumn("more", F.lit(0)).unionByName(further).repartition("c")
+        old, above = above, settle(_gathered(both.select("c", "more", F.inline(F.arrays_zip("a", "d"))).select("c", "a", (F.col("d") + F.col("more")).alias("d"))))
         discard(old)
-        was, state = state, up.agg(F.count("*"), F.sum("d")).first()
-        if was == state:
-            return up
+        t *= 2
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The members of a column of lists, each with the number of its row above 32 bits, and those numbers."""
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy())
+    return row << 32 | pc.list_flatten(column).to_numpy().astype(np.int64) & 0xFFFFFFFF, row
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n of distances() for rows (c1, c2, i2, x, y): what is below i2 among the edges, from it downwards."""
+    for batch in batches:
+        (x, row), (y, _) = _flat(batch.column("x")), _flat(batch.column("y"))
+        nodes, x = np.unique(x, return_inverse=True)
+        some = (y & 0xFFFFFFFF) != 0xFFFFFFFF
+        x, y = x[some], np.searchsorted(nodes, y[some])
+        marked = np.isin(nodes, np.arange(batch.num_rows) << 32 | batch.column("i2").to_numpy())
+        new = marked
+        while new.any():
+            goes = np.zeros(len(nodes), bool)
+            goes[x[new[y]]] = True
+            new = goes & ~marked
+            marked = marked | new
+        n = np.bincount(nodes[marked] >> 32, minlength=batch.num_rows) - 1
+        yield pa.RecordBatch.from_arrays([batch.column("c1"), batch.column("c2"), pa.array(n, pa.int32())], ["c1", "c2", "n"])
+
+
+def _lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of the lowest common ancestors for rows (c1, c2, x, y, a): a are the ancestors of c2."""
+    for batch in batches:
+        (x, _), (y, _), (a, _) = (_flat(batch.column(k)) for k in "xya")
+        both = np.isin(x, a)
+        low = np.setdiff1d(x[both], y[both])
+        row = pa.array(low >> 32)
+        yield pa.RecordBatch.from_arrays([batch.column("c1").take(row), batch.column("c2").take(row), pa.array(low & 0xFFFFFFFF, pa.int32())], ["c1", "c2", "id"])
 
 
 def distances(pairs: DataFrame, up: DataFrame) -> DataFrame:
     """Per distinct pair (c1, c2): n, the nodes that are above c1 and below c2, both included, less one; so a node with several ways between counts the nodes of
-    all of them. -1 where c2 is not above c1. up: closure(). Ancestors of the one are met with descendants of the other by key (node, c2)."""
+    all of them. -1 where c2 is not above c1. up: closure(). Each c1 meets the edges above it, and the way down from c2 is followed there."""
     wanted = pairs.select("c1", "c2").where("c1 IS NOT NULL AND c2 IS NOT NULL").distinct()
-    above = wanted.join(up.select(F.col("c").alias("c1"), F.col("a").alias("mid")), "c1")
-    below = up.select(F.col("c").alias("mid"), F.col("a").alias("c2"))
-    own = wanted.where("c1 = c2").select("c1", "c2", F.col("c1").alias("mid"))  # each class is above itself, known or not
-    between = above.join(below, ["mid", "c2"], "left_semi").select("c1", "c2", "mid").unionByName(own).distinct()
-    by = between.groupBy("c1", "c2").agg(F.count("*").alias("m"))
-    return wanted.join(by, ["c1", "c2"], "left").select("c1", "c2", (F.coalesce("m", F.lit(0)) - 1).cast("int").alias("n"))
+    known = _Above.of(up)
+    met = known.pairs(wanted).join(known.within.withColumnRenamed("c", "i1"), "i1").where(F.array_contains("x", F.col("i2")))
+    by = met.select("c1", "c2", "i2", "x", "y").mapInArrow(_between, "c1 string, c2 string, n int")
+    same = F.when(F.col("c1") == F.col("c2"), 0).otherwise(-1)  # each class is above itself, known or not
+    return wanted.join(by, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("n", same).alias("n"))
 
 
 def lowest_common(pairs: DataFrame, up: DataFrame) -> DataFrame:
     """Per distinct pair (c1, c2): all its lowest common ancestors (lca), those above both that no other one above both is a direct child of. A pair has several where classes have several
-    parents, and none where nothing is above both or only classes of a cycle are."""
-    wanted = pairs.select("c1", "c2").distinct()
-    a, b = up.select(F.col("c").alias("c1"), F.col("a").alias("lca")), up.select(F.col("c").alias("c2"), F.col("a").alias("lca"))
-    shared = wanted.join(a, "c1").join(b, ["c2", "lca"])
-    direct = up.where("d = 1").select(F.col("c").alias("lca"), F.col("a").alias("parent"))
-    undercut = shared.join(direct, "lca").select("c1", "c2", F.col("parent").alias("lca"))
-    return shared.join(undercut, ["c1", "c2", "lca"], "left_anti").select("c1", "c2", "lca")
+    parents, and none where nothing is above both or only classes of a cycle are. The ancestors of c2 meet the edges above c1."""
+    known = _Above.of(up)
+    met = known.pairs(pairs.select("c1", "c2").distinct()).join(known.above.select(F.col("c").alias("i2"), "a"), "i2").join(known.within.withColumnRenamed("c", "i1"), "i1")
+    low = met.select("c1", "c2", "x", "y", "a").mapInArrow(_lowest, "c1 string, c2 string, id int")
+    return low.join(known.names.withColumnRenamed("name", "lca"), "id").select("c1", "c2", "lca")
 
 
 def common_ancestors(pairs: DataFrame, up: DataFrame) -> DataFrame:
