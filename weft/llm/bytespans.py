@@ -3,7 +3,7 @@
 Every byte covered by a min_bytes-byte string that also starts in a document with a smaller id is removed;
 strings are judged on the input. The frame is that of weft.llm.spans: it brings the different regions that share an anchor together,
 one copy of each, so copies are one string, and a string that is alone under its anchor needs no comparison. What the others have in common is found on their Burrows-Wheeler transform, by threshold-bounded interval expansion: the
-intervals of one byte are extended to the left breadth first, through the transform's LF mapping alone. An interval of l bytes that extends to one of l + 1
+intervals of the first few bytes, which the transform's sorting by machine words parts, are extended to the left breadth first, through the transform's LF mapping alone. An interval of l bytes that extends to one of l + 1
 bytes whose right end is not yet known to be a boundary makes it one, with a common prefix of l bytes, and goes on; others end there.
 So boundaries come by increasing value, each once, and the expansion stops at min_bytes: what no boundary parts by then is a class of equal strings, and
 its least id is the one that keeps them.
@@ -44,10 +44,10 @@ class Bytes(Unit):
         return BYTES[sent]
 
 
-def transform(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def transform(text: np.ndarray, starts: np.ndarray, n: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Of strings that stand one after another, string i from starts[i] to starts[i + 1]: the order of all suffixes (places in the
     strings with an end mark after each), the transform and the first symbols. A symbol is a byte plus one; end marks are 0 and
-    sort by their strings."""
+    sort by their strings. And what the first sorting by numbers tells: whether a suffix shares less than h symbols with the one before it, and h, n at most."""
     lengths = np.diff(starts)
     ends = starts[1:] + np.arange(len(lengths))
     size = len(text) + len(lengths)
@@ -62,6 +62,8 @@ def transform(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     padded, keys = np.concatenate([code[symbols], np.zeros(have, np.int64)]), np.zeros(size, np.int64)
     for i in range(have):
         keys = keys << bits | np.where(rest > i, padded[i : i + size], 0)
+    h = min(have, n)
+    begin = keys >> bits * (have - h)
     order = np.argsort(keys)
     keys = keys[order]
     head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))  # a rank is the place of the first suffix that isn't told apart yet
@@ -88,23 +90,26 @@ def transform(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = order[tied]
     order[tied] = at[np.lexsort((at, rank[at]))]
     before = order - 1
-    return order, np.where(before >= 0, symbols[before], 0), symbols[order]
+    begin, ends_early = begin[order], rest[order] < h  # end marks differ, so what ends before h symbols shares them with none
+    parted = ends_early.copy()
+    parted[0] = True
+    parted[1:] |= (begin[1:] != begin[:-1]) | ends_early[:-1]
+    return order, np.where(before >= 0, symbols[before], 0), symbols[order], parted, h
 
 
-def boundaries(bwt: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
-    """Whether a suffix shares less than n symbols with the one before it in the order, from the transform."""
+def boundaries(bwt: np.ndarray, first: np.ndarray, parted_by: np.ndarray, h: int, n: int) -> np.ndarray:
+    """Whether a suffix shares less than n symbols with the one before it in the order, from the transform. The expansion begins with the intervals of h symbols, which parted_by tells."""
     size = len(bwt)
     kind = np.int32 if size < 1 << 31 else np.int64
     lf = np.empty(size, kind)
     lf[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(size, dtype=kind)
     differs = np.ones(size + 1, bool)  # from the first symbol before
     differs[1:size] = first[1:] != first[:-1]
-    parted = differs.copy()
-    parted[:size] |= first == 0
+    parted = np.append(parted_by, True)
     left = np.flatnonzero(parted[:-1]).astype(kind)
     right = np.append(left[1:], size).astype(kind)
     holder = np.full(size + 1, -1, kind)
-    for _ in range(1, n):
+    for _ in range(h, n):
         if not len(left):
             break
         width = right - left
@@ -125,8 +130,8 @@ def boundaries(bwt: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 
 def least_ids(n: int, windows: np.ndarray, starts: np.ndarray, units: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For all windows of the strings, one string after another, the least id of a string that holds it."""
-    order, bwt, first = transform(units, starts)
-    head = np.flatnonzero(boundaries(bwt, first, n))
+    order, bwt, first, parted, h = transform(units, starts, n)
+    head = np.flatnonzero(boundaries(bwt, first, parted, h, n))
     string = np.repeat(np.arange(len(windows)), np.diff(starts) + 1)
     place = np.arange(len(order)) - (starts[:-1] + np.arange(len(windows)))[string]
     starts_window = place < windows[string]

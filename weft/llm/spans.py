@@ -35,8 +35,8 @@ from weft.llm.hashing import mix, prefix, ranges
 
 #: Bytes of text in a part, bytes of text read at once within it, and regions in a bucket, all on average.
 PART_BYTES, BLOCK_BYTES, BUCKET_REGIONS = 4 << 20, 1 << 18, 1 << 17
-#: Bytes of text from which parts and buckets grow with the square root of the corpus, so that a part still sends several regions to a bucket; up to this factor.
-LARGE_BYTES, MOST_GROWTH = 1 << 36, 8
+#: Bytes of text from which parts and buckets grow with the square root of the corpus, so that the messages between them grow with the text and not with its square; up to this factor.
+LARGE_BYTES, MOST_GROWTH = 1 << 30, 8
 #: Stands for a null id: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 #: Windows of a region at most: as many as a mask has bits.
@@ -287,13 +287,17 @@ class Method:
         raise NotImplementedError
 
 
+def numbers(size: int, unit: Unit) -> tuple[int, int]:
+    """Parts and buckets for so many bytes of text; each part sends a message to each bucket."""
+    growth = min(MOST_GROWTH, max(1.0, (size / LARGE_BYTES) ** 0.5))
+    return power_of_two(size / PART_BYTES / growth), power_of_two(size * unit.density * 2 / (unit.n - unit.k + 2) / BUCKET_REGIONS / growth)
+
+
 def repeated(docs: DataFrame, unit: Unit, method: Method, finish: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], out: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs the five steps. finish(raw, breaks, before, sent, starts): columns after doc_id for some texts; starts are the repeated windows' first units."""
     rows = bound_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    growth = min(MOST_GROWTH, max(1.0, (size / LARGE_BYTES) ** 0.5))
-    n_parts = power_of_two(size / PART_BYTES / growth)
-    n_buckets = power_of_two(size * unit.density * 2 / (unit.n - unit.k + 2) / BUCKET_REGIONS / growth)
+    n_parts, n_buckets = numbers(size, unit)
     shift = np.uint64(64 - n_buckets.bit_length() + 1)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = even_names(2 * n_buckets, partitions)  # those of the buckets of regions, then those of pieces
