@@ -68,3 +68,12 @@ def test_what_is_no_regular_grammar_raises(text):
 
 def test_other_roots_and_texts():
     assert Grammar.read(LIGHT_TEXT, "name").walk(":abc")[1] and Grammar.read(COMPACT_TEXT, "hex").walk("g") == (False, False, 0)
+
+
+def test_many_texts_are_walked_at_once():
+    import pandas as pd
+
+    texts = [":a a :B .", ":a a :B; :c \"é😀\" .x", "", None, ":a", "😀", ":a a :B . " * 50]
+    got = LIGHT.walks(pd.Series(texts, dtype=object))
+    want = [(False, False, 0) if t is None else LIGHT.walk(t) for t in texts]
+    assert [(p, f, None if pd.isna(n) else int(n)) for p, f, n in got.itertuples(index=False)] == want
