@@ -859,13 +859,13 @@ def ntriples_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'b' || l_orderkey AS s, 'http://x/é' || l_linenumber AS p, CASE WHEN l_linenumber % 2 = 0 THEN 'b' || l_partkey ELSE 'say "' || l_returnflag || '"' || chr(10) || chr(92) || 'é😀' END AS o,
     CASE WHEN l_linenumber % 2 = 0 THEN 'bnode' ELSE 'literal' END AS k, CASE WHEN l_linenumber % 2 = 1 THEN 'http://x/t' END AS dt, 1::BIGINT AS files FROM lineitem""")
 def ntriples_blank_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blank nodes and escapes; the name of a node's file is told by how many it has."""
+    """Blank nodes and escapes. A node's lines are written to one file, which its name tells; files: the most that one has."""
     literal = F.concat(F.lit('"say \\"'), "l_returnflag", F.lit('\\"\\n\\\\\\u00e9\\U0001F600"^^<http://x/t>'))
     line = F.concat(F.lit("_:b"), "l_orderkey", F.lit(" <http://x/\\u00E9"), "l_linenumber", F.lit("> "), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("_:b"), "l_partkey")).otherwise(literal), F.lit(" . # seen"))
-    load(spark, sf_dir, "lineitem").select(line.alias("value")).coalesce(1).write.text(path := folder(spark))
+    load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").repartition("l_orderkey").select(line.alias("value")).write.text(path := folder(spark))
     bare = lambda c: F.when(F.col(c).startswith("_:"), F.substring_index(c, ".", -1)).otherwise(F.col(c))
     t = store.read_ntriples(spark, path, "items")
-    files = t.select(F.substring_index("s", ".", 1).alias("f")).distinct().agg(F.count("*").alias("files"))
+    files = t.select("s").distinct().groupBy(bare("s").alias("b")).agg(F.count("*").alias("n")).agg(F.max("n").alias("files"))
     return t.select(bare("s").alias("s"), "p", F.when(F.col("k") == "bnode", bare("o")).otherwise(F.col("o")).alias("o"), "k", "dt").join(F.broadcast(files), F.lit(True))
 
 

@@ -111,6 +111,8 @@ def delete_where(quads: DataFrame, condition: Column) -> DataFrame:
 _IRI, _NODE = r"<([^\x00-\x20<>\"{}|^`]*)>", r"_:([\p{L}\p{N}_:](?:[\p{L}\p{N}_:·.-]*[\p{L}\p{N}_:·-])?)"
 _LITERAL = r'"([^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+)"(?:@([a-zA-Z]+(?:-[a-zA-Z0-9]+)*)|\^\^' + _IRI + ")?"
 _TRIPLE = rf"^[ \t]*(?:{_IRI}|{_NODE})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_NODE}|{_LITERAL})[ \t]*\.[ \t]*(?:#.*)?$"
+#: The same with the first character of the object as group 4, matched to the very end of the line.
+_PARTS = _TRIPLE.replace(rf"(?:{_IRI}|{_NODE}|{_LITERAL})", rf"(?=(.))(?:{_IRI}|{_NODE}|{_LITERAL})")[:-1] + r"(?:\r\n|[\n\r\u0085\u2028\u2029])?\z"
 
 
 def unescaped(c: Column) -> Column:
@@ -136,13 +138,16 @@ def read_ntriples(spark: SparkSession, path: str, graph: str) -> DataFrame:
     """Line-by-line N-Triples: g, s, p, o, k (iri, bnode or literal), dt, lang. Escapes are decoded. A blank node is named by its file and label, as labels hold within a file. Lines that
     are neither triples nor comments: see ntriples_rejects()."""
     lines = _ntriple_lines(spark, path).where("is_triple")
-    at = [F.nullif(F.regexp_extract("value", _TRIPLE, i), F.lit("")) for i in range(1, 9)]
+    # one match a line: all terms as fields, the literal last, as it alone may hold the mark between them
+    fields = F.split(F.regexp_replace("value", _PARTS, "\x1f".join(f"${i}" for i in (1, 2, 3, 4, 5, 6, 8, 9, 7))), "\x1f", 9)
+    read = lines.select("file", fields.alias("f"))
+    iri, label, prop, mark, obj_iri, obj_label, lang, dt, literal = (F.get("f", F.lit(i)) for i in range(9))
     node = lambda c: F.concat(F.lit("_:"), F.substring(F.md5("file"), 1, 16), F.lit("."), c)
-    is_iri = F.col("value").rlike(_TRIPLE.replace(rf"(?:{_IRI}|{_NODE}|{_LITERAL})", _IRI))
-    obj = F.when(is_iri, unescaped(F.coalesce(at[3], F.lit("")))).when(at[4].isNotNull(), node(at[4])).otherwise(unescaped(F.regexp_extract("value", _TRIPLE, 6)))
-    kind = F.when(is_iri, "iri").when(at[4].isNotNull(), "bnode").otherwise("literal")
-    subject = F.when(at[1].isNotNull(), node(at[1])).otherwise(unescaped(F.coalesce(at[0], F.lit(""))))
-    return lines.select(F.lit(graph).alias("g"), subject.alias("s"), unescaped(F.coalesce(at[2], F.lit(""))).alias("p"), obj.alias("o"), kind.alias("k"), unescaped(at[7]).alias("dt"), at[6].alias("lang"))
+    obj = F.when(mark == "<", unescaped(obj_iri)).when(mark == "_", node(obj_label)).otherwise(unescaped(literal))
+    kind = F.when(mark == "<", "iri").when(mark == "_", "bnode").otherwise("literal")
+    subject = F.when(label != "", node(label)).otherwise(unescaped(iri))
+    none = lambda c: F.nullif(c, F.lit(""))
+    return read.select(F.lit(graph).alias("g"), subject.alias("s"), unescaped(prop).alias("p"), obj.alias("o"), kind.alias("k"), unescaped(none(dt)).alias("dt"), none(lang).alias("lang"))
 
 
 def ntriples_rejects(spark: SparkSession, path: str) -> DataFrame:
