@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import inference, scoring
 from weft.plans.shape import Shape
@@ -74,3 +75,19 @@ def test_a_row_for_each_violation(spark):
     assert sorted(tuple(r) for r in rows if r.value is None) == [("b", "born", None, "maxCount"), ("b", "or1", None, "or"), ("c", "born", None, "minCount"), ("c", "or1", None, "or")]
     assert sorted(tuple(r) for r in rows if r.value is not None) == [("b", "born", "x", "datatype"), ("b", "home", "q", "class"), ("b", "home", "text", "class"), ("b", "home", "text", "nodeKind")]
     assert scoring.report(spark.createDataFrame([], FACT), SHAPE, spark.createDataFrame([], "s string, cls string")).collect() == []
+
+
+def test_values_without_a_class_stay_apart(spark):
+    """Facts that ask for no class go to their class's lookup by subject: equal values don't meet in one partition, and results stay."""
+    facts = spark.range(4000).selectExpr("concat('n', id) AS s", "inline(array(struct('rdf:type' AS p, 'Person' AS o, 'iri' AS k), struct('home' AS p, concat('p', id) AS o, 'iri' AS k)))")
+    types = spark.range(0, 4000, 2).selectExpr("concat('p', id) AS s", "'Place' AS cls")
+    classed = scoring._classed(facts, {("home", "Place")}, types, "s")
+    assert classed.where("p = 'home' AND classed").count() == 2000 and classed.where("p <> 'home' AND classed IS NOT NULL").count() == 0 and classed.count() == 8000
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r[0] for r in classed.where("p <> 'home'").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 8 and max(sizes) < 1000

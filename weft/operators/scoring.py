@@ -14,15 +14,22 @@ from weft.plans.shape import Property, Shape, abbreviate, local_name
 LEXICAL = {"date": "^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}$", "gYear": "^-?[0-9]{4,}$", "double": "^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$", "nonNegativeInteger": "^[+]?[0-9]+$", "positiveInteger": "^[+]?0*[1-9][0-9]*$"}
 
 
+def _classed(facts: DataFrame, wanted: set[tuple[str, str]], types: DataFrame, subject: str) -> DataFrame:
+    """facts with cls, the class that wanted (property, class) asks of their object, and classed, true where types (s, cls) give it that class. Facts of other properties look up nothing: they go
+    by their subject, as their values (a few types or states) would bring them all to a few tasks."""
+    asked = facts.sparkSession.createDataFrame(sorted(wanted), "p string, cls string")
+    have = types.where(F.col("cls").isin(sorted({c for _, c in wanted}))).select(F.col("s").alias("__o"), "cls").distinct().withColumn("classed", F.lit(True))
+    keyed = facts.join(F.broadcast(asked), "p", "left").withColumn("__o", F.when(F.col("cls").isNull(), F.col(subject)).otherwise(F.col("o")))
+    return keyed.join(have, ["__o", "cls"], "left").drop("__o")
+
+
 def validate(facts: DataFrame, shape: Shape, class_check: str = "skip", types: DataFrame | None = None) -> DataFrame:
     """Per subject of (s, p, o, k): violations and conforms. One aggregation by subject. Counts, datatypes, node kinds and sh:or (a group holds if
     all properties of one branch do). class_check: skip, strict (an object property needs an IRI), or types (its object must have the class asked for among types
     (s, cls), which include those of superclasses if these are to count)."""
-    facts = facts.dropDuplicates(["s", "p", "o"])
+    facts = facts.select("s", "p", "o", "k").dropDuplicates(["s", "p", "o"])
     if class_check == "types":
-        wanted = facts.sparkSession.createDataFrame([(p.name, (p.range or "").rsplit("/", 1)[-1].rsplit("#", 1)[-1]) for p in shape.properties if p.kind == "object"], "p string, cls string").distinct()
-        have = types.select(F.col("s").alias("o"), "cls").distinct().withColumn("classed", F.lit(True))
-        facts = facts.join(F.broadcast(wanted), "p", "left").join(have, ["o", "cls"], "left")
+        facts = _classed(facts, {(p.name, (p.range or "").rsplit("/", 1)[-1].rsplit("#", 1)[-1]) for p in shape.properties if p.kind == "object"}, types, "s")
     here = lambda p: F.col("p") == p.name
     aggs, holds = [], {}
     for i, p in enumerate(shape.properties):
@@ -63,9 +70,7 @@ def report(facts: DataFrame, shape: Shape, types: DataFrame) -> DataFrame:
     One pass over the facts for values and one grouping by focus node for counts; the shape, tens of properties, becomes columns."""
     focus = types.where(F.col("cls") == local_name(shape.target)).select(F.col("s").alias("focus")).distinct()
     own = facts.dropDuplicates(["s", "p", "o"]).select(F.col("s").alias("focus"), "p", "o", "k").join(focus, "focus", "left_semi")
-    wanted = facts.sparkSession.createDataFrame(sorted({(p.name, local_name(p.range)) for p in shape.properties if p.kind == "object"}), "p string, cls string")
-    have = types.select(F.col("s").alias("o"), "cls").distinct().withColumn("classed", F.lit(True))
-    own = own.join(F.broadcast(wanted), "p", "left").join(have, ["o", "cls"], "left")
+    own = _classed(own, {(p.name, local_name(p.range)) for p in shape.properties if p.kind == "object"}, types, "focus")
 
     def wrong(p: Property) -> dict[str, Column]:
         """By constraint, whether a value of the property offends it."""
