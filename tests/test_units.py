@@ -327,3 +327,24 @@ def test_token_budget_is_the_loop(spark, sf_dir):
             t = ".".join([x for x in t.split(".") if x][:-1])
         assert got[i] == t
     assert got[-4] == "" and got[-5] == "Short. Text."
+
+
+def test_token_budget_encodes_heads_only():
+    """Sizes of beginnings by one encoding of the head equal encodings of them, at every place; long texts are not encoded whole."""
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    sizes, r = text._sizes(path), random.Random(5)
+    seen, whole = [], sizes.whole
+    words = ["word", " ", ". ", ".", "..", "  ", "\n", "it's", "3.14", "naïve", "год", "東京", "x)", "\u00a0", "_", "<|endoftext|>", "e\u0301", "😀.", "'re", "\t\t", "\x1c"]
+    for n in range(150):
+        t = "".join(r.choice(words if n % 3 else words[:-6]) for _ in range(r.randrange(200)))
+        for most in (-1, 0, 3, 20, 500):
+            fits, end = sizes.of(t, most)
+            for i in [r.randrange(len(t) + 1) for _ in range(15)] + [0, len(t), end]:
+                if i == len(t) or text._SURE.match(t, i) or i < end:
+                    assert fits(i) == (whole(t[:i]) <= most), (t, i, most)
+    cut = text._Sizes(text._tokenizer(path))
+    cut.whole = lambda t: seen.append(len(t)) or whole(t)
+    fits, end = cut.of("A sentence of words. " * 5000, 254)
+    assert not fits(105000) and end < 3000 and not seen

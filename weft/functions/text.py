@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_right
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
+from math import floor
 from typing import TYPE_CHECKING
 
 import pandas as pd
@@ -210,13 +215,59 @@ def prompt(entity: Column, text: Column, prefix: str | None = None) -> Column:
     return F.concat(F.lit("<s>"), entity, F.lit(" : "), text, F.lit("</s>"))
 
 
-def _fitting(parts: list[str], fits: Callable[[str], bool]) -> str:
-    """The longest beginning of parts that fits; more parts never make fewer tokens, so halving finds it."""
-    low, high = 0, len(parts)
+def _fitting(n: int, fits: Callable[[int], bool]) -> int:
+    """The largest number up to n that fits, 0 if none does; more parts never make fewer tokens, so halving finds it."""
+    low, high = 0, n
     while low < high:
         middle = (low + high + 1) // 2
-        low, high = (middle, high) if fits(".".join(parts[:middle])) else (low, middle - 1)
-    return ".".join(parts[:low])
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    return low
+
+
+#: Characters of a text's head for each token of the budget, and of what is encoded at once at most, if the budget is not yet used up.
+_HEAD, _HEAD_MOST = 6, 1 << 16
+#: Where a byte-level tokenizer with the usual pattern cuts in any case: between a letter or digit (of scripts that all versions of Unicode know) and white space or a full stop that follows.
+_SURE = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωЀ-џぁ-ゔァ-ヺ一-龥가-힣])(?=[\s.])")
+
+
+class _Sizes:
+    """How many tokens beginnings of texts have, told by one encoding of a text's head.
+
+    A byte-level tokenizer with the usual pattern cuts texts between a letter or digit and white space or a full stop, whatever stands further on. So what stands before such a place has
+    the tokens that end before it, and a text has no fewer than its beginning up to there. Other tokenizers, other places and texts with special tokens are encoded as they are."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        about = json.loads(tokenizer.to_str())
+        split, model = about.get("pre_tokenizer") or {}, about.get("model") or {}
+        self.plain = about.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+        self.marks = [t["content"] for t in about.get("added_tokens") or []]
+        self.plain = self.plain and all(about.get(k) is None for k in ("truncation", "padding", "post_processor"))
+        self.tokenizer = tokenizer
+
+    def whole(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def of(self, text: str, most: int) -> tuple[Callable[[int], bool], int]:
+        """Whether the first i characters of a text have `most` tokens or fewer, and how many characters were encoded to tell."""
+        if not self.plain or most < 0 or any(m in text for m in self.marks):
+            return lambda i: self.whole(text[:i]) <= most, len(text)
+        n, end, ends = _HEAD * (most + 1), 0, []
+        while True:
+            n = min(n, len(text))
+            place = len(text) if n == len(text) else next((m.start() for m in _SURE.finditer(text, n, n + _HEAD_MOST)), None)
+            if place is None:  # no place to cut near
+                place = len(text)
+            end, ends = place, [b for _, b in self.tokenizer.encode(text[:place], add_special_tokens=False).offsets]
+            if len(ends) > most or end == len(text):
+                break
+            n = 2 * end
+
+        def fits(i: int) -> bool:
+            if i >= end:
+                return len(ends) <= most if i == end or len(ends) > most else self.whole(text[:i]) <= most
+            return bisect_right(ends, i) <= most if _SURE.match(text, i) else self.whole(text[:i]) <= most
+
+        return fits, end
 
 
 def shorten_to_tokens(c: Column, added: Column, budget: int, path: str, special: int = 2) -> Column:
@@ -224,19 +275,32 @@ def shorten_to_tokens(c: Column, added: Column, budget: int, path: str, special:
     file. Null texts stay null; a first sentence that doesn't fit leaves an empty text."""
 
     def run(texts: pd.Series, more: pd.Series) -> pd.Series:
-        encode = _tokenizer(path).encode
-        size = lambda t: len(encode(t, add_special_tokens=False).ids) + special
+        sizes = _sizes(path)
 
         def cut(t: str | None, n: float) -> str | None:
-            if t is None or size(t) + n <= budget:
+            if t is None:
+                return t
+            most = floor(budget - special - n)
+            fits, seen = sizes.of(t, most)
+            if fits(len(t)):
                 return t
-            return _fitting([x for x in t.split(".") if x][:-1], lambda x: size(x) + n <= budget)
+            parts = [x for x in t.split(".") if x][:-1]
+            joined, ends = ".".join(parts), list(accumulate(len(x) + 1 for x in parts))
+            if not (t.startswith(joined) or joined.startswith(t[: seen + 1])):  # full stops that were left out
+                fits, _ = sizes.of(joined, most)
+            kept = _fitting(len(parts), lambda k: fits(ends[k - 1] - 1))
+            return joined[: ends[kept - 1] - 1] if kept else ""
 
         return pd.Series([cut(t, 0 if pd.isna(n) else n) for t, n in zip(texts, more, strict=True)], dtype=object)
 
     return F.pandas_udf(run, "string")(c, added)
 
 
+@lru_cache(maxsize=2)
+def _sizes(path: str) -> _Sizes:
+    return _Sizes(_tokenizer(path))
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
     from tokenizers import Tokenizer
