@@ -91,3 +91,14 @@ def test_values_without_a_class_stay_apart(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(sizes) == 8 and max(sizes) < 1000
+
+
+def test_long_chains_need_no_further_rounds(spark, monkeypatch):
+    """The facts are written as often for a chain of nine classes as for one of two."""
+    written = []
+    monkeypatch.setattr(inference, "settle", lambda df, real=inference.settle: written.append(df) or real(df))
+    for n in (2, 9):
+        ontology = [(f"C{i}", "rdfs:subClassOf", f"C{i + 1}", "iri") for i in range(n)] + [("p", "rdfs:subPropertyOf", "q", "iri"), ("q", "rdfs:range", "C0", "iri")]
+        facts = [("x", "p", "y", "iri", 0), ("x", "p", "z", "literal", 0)]
+        assert run(spark, facts, ontology) == naive([f[:4] for f in facts] + ontology)
+    assert len(written) == 8
