@@ -9,6 +9,7 @@ from weft.functions.codecs import char_bleus
 from weft.functions.text import normal_value, strip_entity, year_of
 from weft.operators.grounding import in_text, wikicheck
 from weft.plans.shape import Property, Shape, abbreviate, local_name
+from weft.sources.scratch import settle
 
 #: Lexical forms of the datatypes that shapes use; other types accept any text.
 LEXICAL = {"date": "^-?[0-9]{4,}-[0-9]{2}-[0-9]{2}$", "gYear": "^-?[0-9]{4,}$", "double": "^[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?$", "nonNegativeInteger": "^[+]?[0-9]+$", "positiveInteger": "^[+]?0*[1-9][0-9]*$"}
@@ -69,8 +70,9 @@ def report(facts: DataFrame, shape: Shape, types: DataFrame) -> DataFrame:
     and class for each offending value, and or (path or1, or2, ... in the order of the shape) where no branch of a sh:or holds; values in branches are not told one by one.
     One pass over the facts for values and one grouping by focus node for counts; the shape, tens of properties, becomes columns."""
     focus = types.where(F.col("cls") == local_name(shape.target)).select(F.col("s").alias("focus")).distinct()
-    own = facts.dropDuplicates(["s", "p", "o"]).select(F.col("s").alias("focus"), "p", "o", "k").join(focus, "focus", "left_semi")
-    own = _classed(own, {(p.name, local_name(p.range)) for p in shape.properties if p.kind == "object"}, types, "focus")
+    named = facts.where(F.col("p").isin(sorted({p.name for p in shape.properties}))).select(F.col("s").alias("focus"), "p", "o", "k")
+    own = named.join(focus, "focus", "left_semi").dropDuplicates(["focus", "p", "o"])
+    own = settle(_classed(own, {(p.name, local_name(p.range)) for p in shape.properties if p.kind == "object"}, types, "focus"))  # read for values and for counts
 
     def wrong(p: Property) -> dict[str, Column]:
         """By constraint, whether a value of the property offends it."""
