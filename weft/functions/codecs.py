@@ -129,10 +129,12 @@ def from_list(text: Column) -> Column:
 
 def to_factored(triples: Column) -> Column:
     """[subj, [[prop, [val, ...]], ...]] for each subject as an array of (subj, pairs of (prop, vals)), in order of first use."""
-    def pairs(s: Column) -> Column:
-        mine = F.filter(triples, lambda t: t["subj"] == s)
+    def by_prop(mine: Column) -> Column:
         return F.transform(F.array_distinct(F.transform(mine, lambda t: t["prop"])), lambda p: F.struct(p.alias("prop"), F.transform(F.filter(mine, lambda t: t["prop"] == p), lambda t: t["val"]).alias("vals")))
 
+    def pairs(s: Column) -> Column:
+        return _let(F.filter(triples, lambda t: t["subj"] == s), by_prop)
+
     return F.transform(F.array_distinct(F.transform(triples, lambda t: t["subj"])), lambda s: F.struct(s.alias("subj"), pairs(s).alias("pairs")))
 
 

@@ -1428,7 +1428,7 @@ def parse_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.create_map(F.lit("light"), F.col("line"), F.lit("tags"), codecs.to_tags(F.col("t")), F.lit("list"), codecs.to_list(F.col("t")), F.lit("other"), F.col("line"))
     back = t.select("s", "t", F.explode(written).alias("syntax", "text")).withColumn("back", codecs.parse_as(F.col("text"), F.col("syntax")))
     again = codecs.from_factored(codecs.to_factored(F.col("back")))
-    return back.select("s", "syntax", F.size("back").alias("n"), (F.to_json(again) == F.to_json(F.when(F.size("back") > 0, F.col("t")).otherwise(F.col("back")))).alias("same"))
+    return back.select("s", "syntax", F.size("back").alias("n"), (again == F.when(F.size("back") > 0, F.col("t")).otherwise(F.col("back"))).alias("same"))
 
 
 @query(f"WITH {_CHECKED}, y AS (SELECT s, 'orderYear' AS p FROM quads WHERE p = 'orderDate'), f AS (SELECT s, p FROM checked WHERE found UNION ALL SELECT s, p FROM y) SELECT p, count(DISTINCT s) AS nb, round(count(DISTINCT s) / (SELECT count(DISTINCT s) FROM f), 6) AS freq FROM f GROUP BY p")
