@@ -988,7 +988,7 @@ def class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_LCA} SELECT c1, c2, lca, d1::INT AS d1, d2::INT AS d2 FROM l")
 def lowest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.common_ancestors(_pairs(spark, sf_dir), graph.closure(_tree(spark, sf_dir)))
+    return graph.common_ancestors(_pairs(spark, sf_dir), graph.direct(_tree(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {_LCA}, z AS (SELECT l.*, u.d AS d0 FROM l JOIN up u ON u.c = lca AND u.a = 'world')
@@ -1002,14 +1002,14 @@ def class_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _two_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class graph in which a part k has the parents k div 2 and k div 3: diamonds everywhere, and pairs with several lowest common ancestors."""
     k = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).where("k > 0")
-    return k.select(F.concat(F.lit("part/"), "k").alias("c"), F.explode(F.array(F.expr("k div 2"), F.expr("k div 3"))).alias("up")).select("c", F.concat(F.lit("part/"), "up").alias("p")).distinct()
+    return k.select(F.concat(F.lit("part/"), "k").alias("c"), F.explode(F.array(F.expr("k div 2"), F.expr("k div 3"))).alias("up")).select("c", F.concat(F.lit("part/"), "up").alias("p"))
 
 
 def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part with the parts that are 1, 4 and 30 further, and with the one at half its number."""
     k = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     other = F.explode(F.array(F.col("k") + 1, F.col("k") + 4, F.col("k") + 30, F.expr("k div 2"))).alias("o")
-    return k.select("k", other).select(F.concat(F.lit("part/"), "k").alias("c1"), F.concat(F.lit("part/"), "o").alias("c2")).distinct()
+    return k.select("k", other).select(F.concat(F.lit("part/"), "k").alias("c1"), F.concat(F.lit("part/"), "o").alias("c2"))
 
 
 _DAG = """e AS (SELECT DISTINCT 'part/' || p_partkey AS c, 'part/' || unnest([p_partkey // 2, p_partkey // 3]) AS p FROM part WHERE p_partkey > 0),
@@ -1023,12 +1023,12 @@ _DAG = """e AS (SELECT DISTINCT 'part/' || p_partkey AS c, 'part/' || unnest([p_
 
 @query(f"WITH RECURSIVE {_DAG} SELECT c1, c2, coalesce(n, CASE WHEN c1 = c2 THEN 0 ELSE -1 END)::INT AS n FROM pairs LEFT JOIN dist ON b = c1 AND t = c2")
 def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.distances(_part_pairs(spark, sf_dir), graph.closure(_two_parents(spark, sf_dir)))
+    return graph.distances(_part_pairs(spark, sf_dir), graph.direct(_two_parents(spark, sf_dir)))
 
 
 @query(f"WITH RECURSIVE {_DAG} SELECT c1, c2, lca FROM lowest")
 def lowest_common_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.lowest_common(_part_pairs(spark, sf_dir), graph.closure(_two_parents(spark, sf_dir)))
+    return graph.lowest_common(_part_pairs(spark, sf_dir), graph.direct(_two_parents(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, z AS (SELECT one.*, p.n AS d1, q.n AS d2, r.n AS d0 FROM one LEFT JOIN dist p ON p.b = c1 AND p.t = lca LEFT JOIN dist q ON q.b = c2 AND q.t = lca LEFT JOIN dist r ON r.b = lca AND r.t = 'part/0')
