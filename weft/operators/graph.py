@@ -364,7 +364,8 @@ def common_ancestors(pairs: DataFrame, up: DataFrame) -> DataFrame:
 
 def similarities(lcas: DataFrame, up: DataFrame, root: str) -> DataFrame:
     """Wu-Palmer and depth similarity of each pair: 1 for equal classes; without a common ancestor the one is null, the other 0."""
-    depth = distances(lcas.select(F.col("lca").alias("c1"), F.lit(root).alias("c2")), up).select(F.col("c1").alias("lca"), F.col("n").alias("d0"))
+    lcas = settle(lcas)  # read twice
+    depth = distances(lcas.select(F.col("lca").alias("c1"), F.lit(root).alias("c2")).distinct(), up).select(F.col("c1").alias("lca"), F.col("n").alias("d0"))
     joined = lcas.join(depth, "lca", "left")
     d0, d1, d2 = F.col("d0"), F.col("d1"), F.col("d2")
     far = lambda d: 1 - F.pow(F.lit(0.5), d)

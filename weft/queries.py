@@ -995,7 +995,7 @@ def lowest_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c1, c2, lca, round(CASE WHEN c1 = c2 THEN 1 WHEN d0 = 0 THEN 0 ELSE 2.0::DOUBLE * d0 / (d1 + d2 + 2 * d0) END, 6) AS wu_palmer,
     round(CASE WHEN c1 = c2 THEN 1 WHEN d0 = 0 THEN 0 ELSE (1 - pow(0.5, d0)) / (1 - pow(0.5, d1) + 1 - pow(0.5, d2) + 1 - pow(0.5, d0)) END, 6) AS depth_sim FROM z""")
 def class_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = graph.closure(_tree(spark, sf_dir))
+    up = graph.direct(_tree(spark, sf_dir))
     return graph.similarities(graph.common_ancestors(_pairs(spark, sf_dir), up), up, "world")
 
 
@@ -1035,7 +1035,7 @@ def lowest_common_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c1, c2, lca, round(CASE WHEN c1 = c2 THEN 1 WHEN lca IS NULL THEN NULL WHEN d0 = 0 THEN 0 ELSE 2.0::DOUBLE * d0 / (d1 + d2 + 2 * d0) END, 6) AS wu_palmer,
     round(CASE WHEN c1 = c2 THEN 1 WHEN lca IS NULL OR d0 = 0 THEN 0 ELSE (1 - pow(0.5, d0)) / (1 - pow(0.5, d1) + 1 - pow(0.5, d2) + 1 - pow(0.5, d0)) END, 6) AS depth_sim FROM z""")
 def similarity_several_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    up = graph.closure(_two_parents(spark, sf_dir))
+    up = graph.direct(_two_parents(spark, sf_dir))
     return graph.similarities(graph.common_ancestors(_part_pairs(spark, sf_dir), up), up, "part/0")
 
 
